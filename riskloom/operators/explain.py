@@ -10,10 +10,11 @@ The game is the path-dependent one: a feature left out follows both branches by
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import factorial
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,10 +196,7 @@ def add_prefix_scores(df: DataFrame, trees: list[Leaves], probes: Sequence[int])
     shared = df.sparkSession.sparkContext.broadcast((trees, list(probes)))
 
     @F.pandas_udf("array<double>")
-    def margins(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
-        import numpy as np
-        import pandas as pd
-
+    def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trees, probes = shared.value
         for batch in batches:
             found = prefix_margins(np.array(batch.tolist(), dtype=float), trees, probes)
@@ -228,10 +226,7 @@ def add_contributions(
     shared = df.sparkSession.sparkContext.broadcast((trees, tables))
 
     @F.pandas_udf("array<double>")
-    def explain(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
-        import numpy as np
-        import pandas as pd
-
+    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trees, tables = shared.value
         for batch in batches:
             known = batch.notna()
