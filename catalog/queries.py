@@ -449,33 +449,35 @@ def progress_batches(spark, sf_dir):
 
 
 def _samples(spark, sf_dir):
-    def side(rows):
-        return dr.reference_snapshot(tx.add_standin_score(fe.engineer_features(rows)))
-
-    return side(train_rows(spark, sf_dir)), side(test_rows(spark, sf_dir))
+    """Training steps against later ones: one table, its features built once."""
+    features = tx.add_standin_score(fe.engineer_features(txn(spark, sf_dir)))
+    return features.withColumn("is_reference", F.col("step") <= 500)
 
 
 def ks_by_feature(spark, sf_dir):
-    return dr.ks_by_feature(*_samples(spark, sf_dir), method="asymptotic")
+    return dr.ks_by_feature(_samples(spark, sf_dir), method="asymptotic")
 
 
 def chi2_dummies(spark, sf_dir):
-    return dr.chi2_by_dummy(*_samples(spark, sf_dir))
+    return dr.chi2_by_dummy(_samples(spark, sf_dir))
 
 
 def drift_by_column(spark, sf_dir):
-    return dr.drift_by_column(*_samples(spark, sf_dir), method="asymptotic")
+    return dr.drift_by_column(_samples(spark, sf_dir), method="asymptotic")
 
 
 def _moved(spark, sf_dir):
     """The reference next to a current sample whose amounts and velocities have grown."""
-    reference, current = _samples(spark, sf_dir)
-    moved = {c: F.col(c) * 1.5 + 1 for c in ("amount", *VELOCITY)}
-    return reference, current.withColumns(moved)
+    samples = _samples(spark, sf_dir)
+
+    def moved(c):
+        return F.when(F.col("is_reference"), F.col(c)).otherwise(F.col(c) * 1.5 + 1)
+
+    return samples.withColumns({c: moved(c) for c in ("amount", *VELOCITY)})
 
 
 def drift_summary(spark, sf_dir):
-    summary, _ = dr.check_drift(*_moved(spark, sf_dir), method="asymptotic")
+    summary, _ = dr.check_drift(_moved(spark, sf_dir), method="asymptotic")
     names = F.concat_ws(",", "drifted_features").alias("drifted_features")
     return summary.select(
         "is_drifted", "drift_ratio", names, "current_size", "reference_size"
@@ -483,13 +485,14 @@ def drift_summary(spark, sf_dir):
 
 
 def retrain_trigger(spark, sf_dir):
-    summary, _ = dr.check_drift(*_moved(spark, sf_dir), method="asymptotic")
+    summary, _ = dr.check_drift(_moved(spark, sf_dir), method="asymptotic")
     return reg.should_retrain(summary)
 
 
 def score_drift(spark, sf_dir):
-    reference, current = _samples(spark, sf_dir)
-    return dr.score_drift(reference, current, method="asymptotic")
+    rows = tx.add_standin_score(txn(spark, sf_dir))
+    samples = rows.withColumn("is_reference", F.col("step") <= 500)
+    return dr.score_drift(samples, method="asymptotic")
 
 
 def ap_by_bucket(spark, sf_dir):
@@ -538,7 +541,7 @@ def retrain_window(spark, sf_dir):
 _models: dict[tuple[str, str], tuple] = {}
 
 
-def _model(spark, sf_dir):
+def fitted_model(spark, sf_dir):
     """(model, folder, trees), fitted once per session and table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
@@ -553,7 +556,7 @@ def _model(spark, sf_dir):
 
 
 def gbt_scores(spark, sf_dir):
-    model, _, _ = _model(spark, sf_dir)
+    model, _, _ = fitted_model(spark, sf_dir)
     features = fe.engineer_features(test_rows(spark, sf_dir), "shared")
     return dec.add_decision(mo.add_scores(features, model)).select(
         "event_id", "isFraud", "risk_score", "decision"
@@ -561,7 +564,7 @@ def gbt_scores(spark, sf_dir):
 
 
 def gbt_explain(spark, sf_dir):
-    model, _, trees = _model(spark, sf_dir)
+    model, _, trees = fitted_model(spark, sf_dir)
     features = fe.engineer_features(test_rows(spark, sf_dir), "shared")
     explained = add_contributions(
         mo.add_scores(features, model, keep_vector=True), trees, explain_from=0.1
@@ -572,18 +575,18 @@ def gbt_explain(spark, sf_dir):
 
 
 def gbt_importance(spark, sf_dir):
-    model, root, _ = _model(spark, sf_dir)
+    model, root, _ = fitted_model(spark, sf_dir)
     return mo.importance(spark, model, f"{root}/v1")
 
 
 def gbt_quality(spark, sf_dir):
-    model, _, _ = _model(spark, sf_dir)
+    model, _, _ = fitted_model(spark, sf_dir)
     features = fe.engineer_features(test_rows(spark, sf_dir), "shared")
     return ev.average_precision(mo.add_scores(features, model))
 
 
 def model_versions(spark, sf_dir):
-    _, root, _ = _model(spark, sf_dir)
+    _, root, _ = fitted_model(spark, sf_dir)
     return mo.list_versions(spark, root)
 
 
@@ -630,7 +633,7 @@ def stream_velocity(spark, sf_dir):
 
 
 def stream_scoring(spark, sf_dir):
-    model, _, trees = _model(spark, sf_dir)
+    model, _, trees = fitted_model(spark, sf_dir)
     root = fresh_path(spark, "scoring")
     value = F.to_json(F.struct(*[c for c in TXN_COLUMNS if c != "event_id"]))
     messages = spoiled(txn(spark, sf_dir)).select("event_id", value.alias("value"))

@@ -34,25 +34,33 @@ def reference_snapshot(df: DataFrame) -> DataFrame:
     return df.select(*MODEL_FEATURES, "isFraud", *score)
 
 
-def _tagged_long(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value, ref, cur): one row per sample row and feature, nulls left out."""
-    _require(reference, features)
-    _require(current, features)
-
-    def side(df: DataFrame, is_ref: int) -> DataFrame:
-        values = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-        return values.unpivot([], list(features), "feature", "value").select(
-            "feature", "value", F.lit(is_ref).alias("ref"), F.lit(1 - is_ref).alias("cur")
-        )
+def two_samples(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """Both samples as one DataFrame with `is_reference`.
+
+    When both are parts of one table, put that column on the table instead: it is then read, and
+    its features are built, only once.
+    """
+    columns = [c for c in reference.columns if c in current.columns]
+    return (
+        reference.select(*columns)
+        .withColumn("is_reference", F.lit(True))
+        .unionByName(current.select(*columns).withColumn("is_reference", F.lit(False)))
+    )
 
-    return side(reference, 1).unionByName(side(current, 0)).where(
+
+def _long(samples: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(is_reference, feature, value): one row per sample row and feature, nulls left out."""
+    _require(samples, [*features, "is_reference"])
+    values = samples.select(
+        "is_reference", *[F.col(f).cast("double").alias(f) for f in features]
+    )
+    return values.unpivot(["is_reference"], list(features), "feature", "value").where(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
 
 
 def ks_by_feature(
-    reference: DataFrame,
-    current: DataFrame,
+    samples: DataFrame,
     features: Sequence[str] = MODEL_FEATURES,
     method: str = "auto",
 ) -> DataFrame:
@@ -65,9 +73,12 @@ def ks_by_feature(
     if method not in ("auto", "exact", "asymptotic"):
         raise ValueError(f"unknown method {method!r}")
     counts = (
-        _tagged_long(reference, current, features)
+        _long(samples, features)
         .groupBy("feature", "value")
-        .agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+        .agg(
+            F.count_if(F.col("is_reference")).alias("ref"),
+            F.count_if(~F.col("is_reference")).alias("cur"),
+        )
     )
     width = F.when(F.col("feature") == "risk_score", SCORE_WIDTH).otherwise(VALUE_WIDTH)
     steps = running_totals(
@@ -110,19 +121,17 @@ def ks_by_feature(
     )
 
 
-def chi2_by_dummy(
-    reference: DataFrame, current: DataFrame, features: Sequence[str] = DUMMY_FEATURES
-) -> DataFrame:
+def chi2_by_dummy(samples: DataFrame, features: Sequence[str] = DUMMY_FEATURES) -> DataFrame:
     """2 x 2 chi-square test (no correction) per 0/1 feature; a constant feature never drifts."""
-    one = F.col("value") == 1
+    one, ref = F.col("value") == 1, F.col("is_reference")
     cells = (
-        _tagged_long(reference, current, features)
+        _long(samples, features)
         .groupBy("feature")
         .agg(
-            F.count_if((F.col("ref") == 1) & one).cast("double").alias("a"),
-            F.count_if((F.col("ref") == 1) & ~one).cast("double").alias("b"),
-            F.count_if((F.col("cur") == 1) & one).cast("double").alias("c"),
-            F.count_if((F.col("cur") == 1) & ~one).cast("double").alias("e"),
+            F.count_if(ref & one).cast("double").alias("a"),
+            F.count_if(ref & ~one).cast("double").alias("b"),
+            F.count_if(~ref & one).cast("double").alias("c"),
+            F.count_if(~ref & ~one).cast("double").alias("e"),
         )
     )
     a, b, c, e = (F.col(x) for x in "abce")
@@ -139,45 +148,33 @@ def chi2_by_dummy(
     )
 
 
-def drift_by_column(reference: DataFrame, current: DataFrame, method: str = "auto") -> DataFrame:
-    """Preset per column: KS for numbers, chi-square for dummies, KS on the score if both have it."""
+def drift_by_column(samples: DataFrame, method: str = "auto") -> DataFrame:
+    """Preset per column: KS for numbers, chi-square for dummies, KS on the score if there is one."""
     numbers = [f for f in MODEL_FEATURES if f not in DUMMY_FEATURES]
-    if "risk_score" in reference.columns and "risk_score" in current.columns:
+    if "risk_score" in samples.columns:
         numbers.append("risk_score")
-    ks = ks_by_feature(reference, current, numbers, method).select(
+    ks = ks_by_feature(samples, numbers, method).select(
         "feature", F.lit("ks").alias("test"), F.col("ks_stat").alias("statistic"), "p_value",
         "drifted",
     )
-    chi2 = chi2_by_dummy(reference, current).select(
+    chi2 = chi2_by_dummy(samples).select(
         "feature", F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), "p_value",
         "drifted",
     )
     return ks.unionByName(chi2)
 
 
-def drift_summary(tests: DataFrame, sizes: DataFrame, threshold: float = 0.3) -> DataFrame:
+def drift_summary(tests: DataFrame, threshold: float = 0.3) -> DataFrame:
     """One row: flag, ratio over the model features, drifted features, sizes, time.
 
-    `tests` needs (feature, drifted), `sizes` one row (reference_size, current_size). Score drift is
-    not counted in the ratio.
+    Score drift is not counted in the ratio. The sizes are the largest ones tested: amounts are
+    never null, so that is the number of rows. Ten rows come in, bounded by the model.
     """
-    # Ten feature names at most: bounded by the model, not by the data.
     names = F.array(*[F.lit(f) for f in MODEL_FEATURES])
-    hits = tests.where(F.col("feature").isin(*MODEL_FEATURES)).agg(
-        F.collect_set(F.when(F.col("drifted"), F.col("feature"))).alias("hits")
-    )
-    nothing = F.lit(None).cast("bigint")
-    both = hits.select(
-        "hits", nothing.alias("reference_size"), nothing.alias("current_size")
-    ).unionByName(
-        sizes.select(
-            F.lit(None).cast("array<string>").alias("hits"), "reference_size", "current_size"
-        )
-    )
-    row = both.agg(
-        F.first("hits", ignorenulls=True).alias("hits"),
-        F.max("reference_size").alias("reference_size"),
-        F.max("current_size").alias("current_size"),
+    row = tests.where(F.col("feature").isin(*MODEL_FEATURES)).agg(
+        F.collect_set(F.when(F.col("drifted"), F.col("feature"))).alias("hits"),
+        F.coalesce(F.max("current_rows"), F.lit(0)).alias("current_size"),
+        F.coalesce(F.max("reference_rows"), F.lit(0)).alias("reference_size"),
     )
     drifted = F.filter(names, lambda f: F.array_contains("hits", f))
     share = F.size("drifted_features") / F.lit(float(len(MODEL_FEATURES)))
@@ -191,25 +188,16 @@ def drift_summary(tests: DataFrame, sizes: DataFrame, threshold: float = 0.3) ->
     )
 
 
-def sample_sizes(reference: DataFrame, current: DataFrame) -> DataFrame:
-    one = reference.select(F.lit(1).alias("r"), F.lit(0).alias("c"))
-    two = current.select(F.lit(0).alias("r"), F.lit(1).alias("c"))
-    return one.unionByName(two).agg(
-        F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("reference_size"),
-        F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("current_size"),
-    )
-
-
 def check_drift(
-    reference: DataFrame, current: DataFrame, threshold: float = 0.3, method: str = "auto"
+    samples: DataFrame, threshold: float = 0.3, method: str = "auto"
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, tests): KS on all ten features, the share of drifted ones against `threshold`."""
-    tests = ks_by_feature(reference, current, MODEL_FEATURES, method)
-    return drift_summary(tests, sample_sizes(reference, current), threshold), tests
+    tests = ks_by_feature(samples, MODEL_FEATURES, method)
+    return drift_summary(tests, threshold), tests
 
 
-def score_drift(reference: DataFrame, current: DataFrame, method: str = "auto") -> DataFrame:
-    return ks_by_feature(reference, current, ["risk_score"], method)
+def score_drift(samples: DataFrame, method: str = "auto") -> DataFrame:
+    return ks_by_feature(samples, ["risk_score"], method)
 
 
 def performance_by_period(df: DataFrame, steps: int = 24) -> DataFrame:

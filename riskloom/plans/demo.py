@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame
 
 from riskloom.operators.decisions import decision_mix, interesting_cases
-from riskloom.operators.drift import check_drift, reference_snapshot
+from riskloom.operators.drift import check_drift, reference_snapshot, two_samples
 from riskloom.operators.explain import read_trees
 from riskloom.operators.explore import label_totals
 from riskloom.operators.features import engineer_features
@@ -39,9 +39,8 @@ def run(transactions: DataFrame, params: BoostingParams = BoostingParams()) -> d
         features = engineer_features(rows).orderBy("event_id").limit(n)
         return reference_snapshot(add_scores(features, model))
 
-    summary, tests = check_drift(
-        sample(train_rows, REFERENCE_ROWS), sample(test_rows, CURRENT_ROWS)
-    )
+    samples = two_samples(sample(train_rows, REFERENCE_ROWS), sample(test_rows, CURRENT_ROWS))
+    summary, tests = check_drift(train.store(samples, "demo-samples"))
     return {
         "split": label_totals(train_rows).unionByName(label_totals(test_rows)),
         "evaluation": evaluation,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from riskloom.operators.drift import check_drift, save_drift_report
+from riskloom.operators.drift import check_drift, save_drift_report, two_samples
 from riskloom.operators.registry import should_retrain
 from riskloom.plans.session import session
 from riskloom.settings import Settings
@@ -20,8 +20,7 @@ def main() -> None:
 
     spark = session("monitor")
     summary, tests = check_drift(
-        spark.read.parquet(args.reference),
-        spark.read.parquet(args.current),
+        two_samples(spark.read.parquet(args.reference), spark.read.parquet(args.current)),
         settings.drift_threshold,
     )
     if args.report:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.drift import check_drift
+from riskloom.operators.drift import check_drift, two_samples
 from riskloom.operators.monitor import (
     WINDOW_ROWS,
     alerts,
@@ -74,7 +74,9 @@ def start_monitor(
                 )
             if _due(before, after, settings.drift_window_size):
                 current = last_rows(recent, settings.drift_window_size)
-                summary, tests = check_drift(reference, current, settings.drift_threshold)
+                summary, tests = check_drift(
+                    two_samples(reference, current), settings.drift_threshold
+                )
                 summary.write.mode("overwrite").parquet(
                     f"{report_path}/drift_summary/batch={batch_id}"
                 )

@@ -16,7 +16,12 @@ from riskloom.operators.running import HOT_ROWS
 from riskloom.operators.validate import quarantined_rows, valid_rows
 from riskloom.settings import Settings
 from riskloom.sources.topics import decision_messages, decode, sink_options
-from riskloom.streaming.velocity import add_stream_velocity, save_totals
+from riskloom.streaming.velocity import (
+    StreamState,
+    add_stream_velocity,
+    open_state,
+    save_totals,
+)
 
 TOP_FEATURES = 3
 
@@ -51,17 +56,14 @@ def score_enriched(
 
 def score_batch(
     rows: DataFrame,
-    batch_id: int,
+    state: StreamState,
     model: GBTClassificationModel,
     trees: list[Leaves],
-    paths: ScoringPaths,
     settings: Settings = Settings(),
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One micro-batch of valid, stored transactions to decision records (lazy)."""
-    velocity = add_stream_velocity(
-        rows, paths.state, batch_id, settings.velocity_ttl_steps, hot_rows
-    )
+    velocity = add_stream_velocity(rows, state, hot_rows)
     features = velocity.transform(add_balance_errors).transform(add_type_dummies)
     scored = score_enriched(features, model, trees, settings)
     if "arrived_at" in rows.columns:
@@ -92,13 +94,14 @@ def start_scoring(
         stored = decode(raw, keep=keep).persist()
         try:
             accepted = valid_rows(stored)
-            records = score_batch(accepted, batch_id, model, trees, paths, settings, hot_rows)
+            state = open_state(accepted, paths.state, batch_id, settings.velocity_ttl_steps)
+            records = score_batch(accepted, state, model, trees, settings, hot_rows)
             target = f"{paths.decisions}/batch={batch_id}"
             records.write.mode("overwrite").parquet(target)
             quarantined_rows(stored).write.mode("overwrite").parquet(
                 f"{paths.rejects}/batch={batch_id}"
             )
-            save_totals(accepted, paths.state, batch_id)
+            save_totals(accepted, state)
             if to_topic:
                 written = raw.sparkSession.read.parquet(target)
                 options = sink_options(settings.kafka_decisions_topic, settings)

@@ -1,14 +1,16 @@
 """Velocity over a stream, with the batch operator doing the counting.
 
-Each micro-batch adds its totals per (step, account) to a table in the shared folder, in folders
-by step and batch. The next batches read the totals of earlier batches for the steps they contain
-and hand them to the batch operator as what came before. So the stream equals the batch result,
-an account in a third of all rows is split exactly as in batch, and a batch that is run again
-after a failure reads the same earlier folders and overwrites its own.
+Each micro-batch leaves its totals per (step, account) as one part, a folder named after the batch,
+in the shared folder. The next batch hands the totals of the living parts to the batch operator as
+what came before. So the stream equals the batch result, and an account in a third of all rows is
+split exactly as in batch. A one-row record per batch names the living parts: a batch that runs
+again after a failure starts from its predecessor's record and replaces its own folders.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,85 +21,129 @@ from riskloom.sources.workspace import read_or_empty
 
 TOTALS_SCHEMA = T.StructType(
     [
+        T.StructField("step", T.LongType()),
         T.StructField("account", T.StringType()),
         T.StructField("n", T.LongType()),
         T.StructField("c", T.LongType()),
-        T.StructField("step", T.LongType()),
-        T.StructField("batch", T.LongType()),
     ]
 )
-NEWEST_SCHEMA = T.StructType([T.StructField("step", T.LongType())])
-MAX_NAMED_STEPS = 1000
+RECORD_SCHEMA = T.StructType(
+    [
+        T.StructField("newest_step", T.LongType()),
+        T.StructField(
+            "parts",
+            T.ArrayType(
+                T.StructType(
+                    [T.StructField("batch", T.LongType()), T.StructField("last_step", T.LongType())]
+                )
+            ),
+        ),
+    ]
+)
+MAX_PARTS = 32
 
 
-def totals_before(
-    spark: SparkSession, state_path: str, batch_id: int, first_step: int, last_step: int
-) -> DataFrame:
-    """(step, account, n, c) of earlier batches.
+def _record(spark: SparkSession, state_path: str, batch_id: int) -> tuple[int | None, list]:
+    """(newest step, living parts) as left by this batch; at most MAX_PARTS + 1 parts."""
+    row = read_or_empty(spark, f"{state_path}/record/batch={batch_id}", RECORD_SCHEMA).first()
+    return (None, []) if row is None else (row["newest_step"], list(row["parts"]))
 
-    Only the folders of the given steps are listed and read, however long the stream has run.
-    """
-    steps = range(first_step, last_step + 1)
-    folder = f"{state_path}/totals"
-    path = folder
-    if len(steps) <= MAX_NAMED_STEPS:
-        path = f"{folder}/step={{{','.join(map(str, steps)) or 'none'}}}"
-    reader = spark.read.option("basePath", folder)
-    return (
-        read_or_empty(spark, path, TOTALS_SCHEMA, reader)
-        .where(F.col("batch") < batch_id)
-        .where(F.col("step").between(first_step, last_step))
-        .groupBy("step", "account")
-        .agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+
+def _read_parts(spark: SparkSession, state_path: str, parts: list, first_step: int) -> DataFrame:
+    """Totals of the parts from a step on. Parts are sorted by step, so the scan skips the rest."""
+    paths = [f"{state_path}/totals/batch={p['batch']}" for p in parts]
+    if not paths:
+        return spark.createDataFrame([], TOTALS_SCHEMA)
+    return spark.read.schema(TOTALS_SCHEMA).parquet(*paths).where(F.col("step") >= first_step)
+
+
+def _sum_totals(totals: DataFrame) -> DataFrame:
+    return totals.groupBy("step", "account").agg(
+        F.sum("n").cast("long").alias("n"), F.sum("c").cast("long").alias("c")
     )
 
 
-def newest_step(spark: SparkSession, state_path: str, batch_id: int) -> int | None:
-    """Largest step before this batch: the one-row record the previous batch left."""
-    record = read_or_empty(spark, f"{state_path}/newest/batch={batch_id - 1}", NEWEST_SCHEMA)
-    return record.agg(F.max("step")).first()[0]
+@dataclass(frozen=True)
+class StreamState:
+    """What a micro-batch knows when it starts: its own steps and what earlier batches left."""
+
+    path: str
+    batch_id: int
+    ttl_steps: int
+    rows: int
+    first_step: int | None
+    last_step: int | None
+    newest_step: int | None
+    parts: list
+
 
+def open_state(
+    rows: DataFrame, state_path: str, batch_id: int, ttl_steps: int = 2
+) -> StreamState:
+    """Eager on two single rows: size and steps of the batch, and the record of the batch before."""
+    seen = rows.agg(F.count(F.lit(1)), F.min("step"), F.max("step")).first()
+    newest, parts = _record(rows.sparkSession, state_path, batch_id - 1)
+    return StreamState(state_path, batch_id, ttl_steps, *seen, newest, parts)
 
-def save_totals(rows: DataFrame, state_path: str, batch_id: int) -> None:
-    """Replace this batch's totals; a busy account is one row per task before the shuffle."""
+
+def totals_before(spark: SparkSession, state: StreamState) -> DataFrame:
+    """(step, account, n, c) of earlier batches, for the steps of this batch that have not expired.
+
+    Totals more than `ttl_steps` behind the newest step are gone, so a row that late starts again
+    from zero.
+    """
+    if state.first_step is None or state.newest_step is None:
+        return spark.createDataFrame([], TOTALS_SCHEMA)
+    alive_from = max(state.first_step, state.newest_step - state.ttl_steps)
+    living = [p for p in state.parts if p["last_step"] >= alive_from]
+    earlier = _read_parts(spark, state.path, living, alive_from)
+    return _sum_totals(earlier.where(F.col("step") <= state.last_step))
+
+
+def save_totals(rows: DataFrame, state: StreamState) -> None:
+    """Write this batch's part and record.
+
+    A busy account is one row per task before the shuffle. Once MAX_PARTS parts are alive, the new
+    part takes them all in, so the number of files to list stays bounded.
+    """
     spark = rows.sparkSession
-    totals = (
-        account_sides(rows)
-        .groupBy("step", "account")
-        .agg(F.sum("n").cast("long").alias("n"), F.sum("c").cast("long").alias("c"))
-        .withColumn("batch", F.lit(batch_id).cast("long"))
-    )
-    (
-        totals.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("step", "batch")
-        .parquet(f"{state_path}/totals")
+    newest, last, parts = state.newest_step, state.last_step, state.parts
+    if last is not None:
+        newest = last if newest is None else max(newest, last)
+        alive_from = newest - state.ttl_steps
+        parts = [p for p in parts if p["last_step"] >= alive_from]
+        totals = account_sides(rows).select("step", "account", F.col("n").cast("long"), "c")
+        if len(parts) >= MAX_PARTS:
+            totals = totals.unionByName(_read_parts(spark, state.path, parts, alive_from))
+            last, parts = max(last, *(p["last_step"] for p in parts)), []
+        (
+            _sum_totals(totals)
+            .sortWithinPartitions("step", "account")
+            .write.mode("overwrite")
+            .parquet(f"{state.path}/totals/batch={state.batch_id}")
+        )
+        parts = [*parts, {"batch": state.batch_id, "last_step": last}]
+    listed = [
+        F.struct(F.lit(p["batch"]).alias("batch"), F.lit(p["last_step"]).alias("last_step"))
+        for p in parts
+    ]
+    record = spark.range(1, numPartitions=1).select(
+        F.lit(newest).cast("long").alias("newest_step"),
+        F.array(*listed).cast(RECORD_SCHEMA["parts"].dataType).alias("parts"),
     )
-    before = newest_step(spark, state_path, batch_id)
-    newest = rows.agg(F.greatest(F.max("step"), F.lit(before).cast("long")).alias("step"))
-    newest.write.mode("overwrite").parquet(f"{state_path}/newest/batch={batch_id}")
+    record.write.mode("overwrite").parquet(f"{state.path}/record/batch={state.batch_id}")
 
 
 def add_stream_velocity(
-    rows: DataFrame,
-    state_path: str,
-    batch_id: int,
-    ttl_steps: int = 2,
-    hot_rows: int | None = HOT_ROWS,
+    rows: DataFrame, state: StreamState, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Velocity of one micro-batch. `rows` is read several times: pass a stored batch.
 
-    Totals more than `ttl_steps` behind the newest step have expired, so a row that late starts
-    again from zero.
+    A batch no larger than `hot_rows` cannot hold a hot group, so it is not searched for one.
     """
-    spark = rows.sparkSession
-    span = rows.agg(F.min("step").alias("first"), F.max("step").alias("last")).first()
-    if span["first"] is None:
-        empty = totals_before(spark, state_path, 0, 1, 0)
-        return add_velocity_shared(rows, hot_rows, carried=empty)
-    newest = newest_step(spark, state_path, batch_id)
-    alive_from = span["first"] if newest is None else max(span["first"], newest - ttl_steps)
-    carried = totals_before(spark, state_path, batch_id, alive_from, span["last"])
+    carried = totals_before(rows.sparkSession, state)
+    if hot_rows is not None and state.rows < hot_rows:
+        hot_rows = None
     return add_velocity_shared(rows, hot_rows, carried=carried)
 
 
@@ -115,9 +161,10 @@ def start_velocity(
     def one_batch(rows: DataFrame, batch_id: int) -> None:
         stored = rows.persist()
         try:
-            enriched = add_stream_velocity(stored, state_path, batch_id, ttl_steps, hot_rows)
+            state = open_state(stored, state_path, batch_id, ttl_steps)
+            enriched = add_stream_velocity(stored, state, hot_rows)
             enriched.write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
-            save_totals(stored, state_path, batch_id)
+            save_totals(stored, state)
         finally:
             stored.unpersist()
 
