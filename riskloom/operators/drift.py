@@ -51,10 +51,14 @@ def two_samples(reference: DataFrame, current: DataFrame) -> DataFrame:
 def _long(samples: DataFrame, features: Sequence[str]) -> DataFrame:
     """(is_reference, feature, value): one row per sample row and feature, nulls left out."""
     _require(samples, [*features, "is_reference"])
-    values = samples.select(
-        "is_reference", *[F.col(f).cast("double").alias(f) for f in features]
-    )
-    return values.unpivot(["is_reference"], list(features), "feature", "value").where(
+    # Not `unpivot`: two copies of an Expand are never recognised as one shuffle.
+    pairs = F.array(
+        *[
+            F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
+            for f in features
+        ]
+    )
+    return samples.select("is_reference", F.inline(pairs)).where(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
 
@@ -80,7 +84,7 @@ def ks_by_feature(
             F.count_if(~F.col("is_reference")).alias("cur"),
         )
     )
-    width = F.when(F.col("feature") == "risk_score", SCORE_WIDTH).otherwise(VALUE_WIDTH)
+    width = f"CASE WHEN feature = 'risk_score' THEN {SCORE_WIDTH}D ELSE {VALUE_WIDTH}D END"
     steps = running_totals(
         value_buckets(counts, "value", width),
         ["ref", "cur"],

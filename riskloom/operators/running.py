@@ -12,17 +12,56 @@ Two forms avoid that, both exact:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 SLICE_BITS = 16
+NOT_SLICED = -(2**62)
 
 
-def _before(total: str, window) -> Column:
-    return F.coalesce(F.sum(total).over(window), F.lit(0)).cast("long")
+def _list(names: Iterable[str]) -> str:
+    return ", ".join(f"`{n}`" for n in names)
+
+
+def _before(total: str, keys: Sequence[str], order: Sequence[str]) -> str:
+    by = f"PARTITION BY {_list(keys)} " if keys else ""
+    frame = f"{by}ORDER BY {_list(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"CAST(coalesce(sum(`{total}`) OVER ({frame}), 0) AS BIGINT) AS `{total}_before`"
+
+
+def _overall(total: str, keys: Sequence[str]) -> str:
+    by = f"PARTITION BY {_list(keys)}" if keys else ""
+    return f"CAST(sum(`{total}`) OVER ({by}) AS BIGINT) AS `{total}_all`"
+
+
+def _sums(totals: Sequence[str]) -> list:
+    return [F.expr(f"CAST(sum(`{t}`) AS BIGINT) AS `{t}`") for t in totals]
+
+
+def _carried(df: DataFrame, keys: Sequence[str], totals: Sequence[str], overall: bool):
+    return df.selectExpr(
+        *[f"`{k}`" for k in keys],
+        *[f"`{t}_before` AS `__carried_{t}`" for t in totals],
+        *[f"`{t}_all`" for t in totals if overall],
+    )
+
+
+def _add_carried(
+    within: DataFrame,
+    carried: DataFrame,
+    keys: Sequence[str],
+    totals: Sequence[str],
+    kept: Sequence[str],
+    overall: bool,
+) -> DataFrame:
+    return within.join(carried, list(keys), "left").selectExpr(
+        *[f"`{c}`" for c in kept],
+        *[f"`{t}_before` + coalesce(`__carried_{t}`, 0) AS `{t}_before`" for t in totals],
+        *[f"`{t}_all`" for t in totals if overall],
+    )
 
 
 def running_totals(
@@ -40,42 +79,23 @@ def running_totals(
     must determine the next one. With `overall`, `<total>_all` is the sum of the whole group: it
     comes down with the carried totals, so it needs no further shuffle or join.
     """
-    groups, order = list(groups), list(order)
-    keys = groups + (list(levels[0]) if levels else [])
-    window = (
-        Window.partitionBy(*keys)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*groups, *(levels[0] if levels else ())]
+    within = df.selectExpr(
+        "*",
+        *[_before(t, keys, order) for t in totals],
+        *[_overall(t, keys) for t in totals if overall and not levels],
     )
-    within = df.withColumns({f"{t}_before": _before(t, window) for t in totals})
     if not levels:
-        if overall:
-            whole = Window.partitionBy(*keys)
-            within = within.withColumns(
-                {f"{t}_all": F.sum(t).over(whole).cast("long") for t in totals}
-            )
         return within
 
     # Columns of the coarser levels are fixed by this level, so any aggregate brings them along.
-    coarser = {c for level in levels[1:] for c in level} - set(keys)
+    coarser = sorted({c for level in levels[1:] for c in level} - set(keys))
     bucket_totals = df.groupBy(*keys).agg(
-        *[F.sum(t).cast("long").alias(t) for t in totals],
-        *[F.max(c).alias(c) for c in sorted(coarser)],
-    )
-    carried = running_totals(
-        bucket_totals, totals, levels[0], levels[1:], groups, overall
-    ).select(
-        *keys,
-        *[F.col(f"{t}_before").alias(f"__carried_{t}") for t in totals],
-        *[f"{t}_all" for t in totals if overall],
+        *_sums(totals), *[F.expr(f"max(`{c}`) AS `{c}`") for c in coarser]
     )
-    joined = within.join(carried, keys, "left")
-    return joined.withColumns(
-        {
-            f"{t}_before": F.col(f"{t}_before") + F.coalesce(F.col(f"__carried_{t}"), F.lit(0))
-            for t in totals
-        }
-    ).drop(*[f"__carried_{t}" for t in totals])
+    above = running_totals(bucket_totals, totals, levels[0], levels[1:], groups, overall)
+    carried = _carried(above, keys, totals, overall)
+    return _add_carried(within, carried, keys, totals, df.columns, overall)
 
 
 def grouped_running_totals(
@@ -96,58 +116,51 @@ def grouped_running_totals(
     the same groups, order and totals as `df` when those are cheaper to read from an earlier step.
     """
     groups = list(groups)
-    source = (df if source is None else source).select(*groups, order, *totals)
     if hot_rows is None:
         return running_totals(df, totals, [order], (), groups)
+    source = (df if source is None else source).select(*groups, order, *totals)
 
     hot = (
         source.groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > hot_rows)
-        .select(*groups, F.lit(True).alias("__hot"))
+        .agg(F.expr("count(1) AS __rows"))
+        .where(f"__rows > {hot_rows}")
+        .selectExpr(*[f"`{g}`" for g in groups], "true AS __hot")
     )
-    slice_of = F.shiftright(F.col(order), slice_bits)
+    slice_of = f"shiftright(`{order}`, {slice_bits})"
     keys = [*groups, "__slice"]
 
-    tagged = (
+    within = (
         df.join(F.broadcast(hot), groups, "left")
-        .withColumn("__slice", F.when(F.col("__hot"), slice_of).otherwise(F.lit(-(2**62))))
-        .drop("__hot")
+        .selectExpr(
+            *[f"`{c}`" for c in df.columns],
+            f"CASE WHEN __hot THEN {slice_of} ELSE {NOT_SLICED} END AS __slice",
+        )
+        .selectExpr("*", *[_before(t, keys, [order]) for t in totals])
     )
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    within = tagged.withColumns({f"{t}_before": _before(t, window) for t in totals})
-
     slices = (
         source.join(F.broadcast(hot), groups, "inner")
-        .withColumn("__slice", slice_of)
+        .selectExpr(*[f"`{c}`" for c in source.columns], f"{slice_of} AS __slice")
         .groupBy(*keys)
-        .agg(*[F.sum(t).cast("long").alias(t) for t in totals])
-        .withColumn("__block", F.shiftright("__slice", slice_bits))
-    )
-    carried = running_totals(slices, totals, ["__slice"], [["__block"]], groups).select(
-        *keys, *[F.col(f"{t}_before").alias(f"__carried_{t}") for t in totals]
-    )
-    return (
-        within.join(carried, keys, "left")
-        .withColumns(
-            {
-                f"{t}_before": F.col(f"{t}_before")
-                + F.coalesce(F.col(f"__carried_{t}"), F.lit(0))
-                for t in totals
-            }
-        )
-        .drop("__slice", *[f"__carried_{t}" for t in totals])
+        .agg(*_sums(totals))
+        .selectExpr("*", f"shiftright(__slice, {slice_bits}) AS __block")
     )
+    above = running_totals(slices, totals, ["__slice"], [["__block"]], groups)
+    carried = _carried(above, keys, totals, False)
+    return _add_carried(within, carried, keys, totals, df.columns, False)
 
 
-def value_buckets(df: DataFrame, value: str, width, bits: int = 16) -> DataFrame:
+def value_buckets(df: DataFrame, value: str, width: float | str, bits: int = 16) -> DataFrame:
     """Two levels of buckets over a number: `__b1` is `width` wide, `__b2` joins 2**bits of them.
 
     Rounding down a scaled number never reverses an order, so both are non-decreasing in `value`.
+    `width` is a number or a SQL expression. The buckets are declared non-null, which keeps the
+    optimizer from putting a null filter under one of two otherwise equal shuffles.
     """
-    width = width if isinstance(width, Column) else F.lit(float(width))
-    fine = F.floor(F.col(value).cast("double") / width).cast("long")
-    return df.withColumn("__b1", fine).withColumn("__b2", F.shiftright("__b1", bits))
+    width = f"{width!r}D" if isinstance(width, float) else width
+    fine = f"coalesce(CAST(floor(CAST(`{value}` AS DOUBLE) / ({width})) AS BIGINT), 0L)"
+    return df.selectExpr("*", f"{fine} AS __b1").selectExpr(
+        "*", f"shiftright(__b1, {bits}) AS __b2"
+    )
 
 
 VALUE_LEVELS = (("__b1",), ("__b2",))
