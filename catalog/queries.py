@@ -623,9 +623,7 @@ def stream_velocity(spark, sf_dir):
     root = fresh_path(spark, "stream")
     rows = txn(spark, sf_dir)
     _as_files(rows, f"{root}/in")
-    stream = (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    )
+    stream = tx.read_stream(spark, f"{root}/in")
     start_velocity(
         stream, f"{root}/out", f"{root}/state", f"{root}/checkpoint"
     ).awaitTermination()

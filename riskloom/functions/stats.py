@@ -25,7 +25,8 @@ def exact_ks_p():
 
     All orderings of the pooled samples are equally likely under the null hypothesis. An ordering
     is a walk of n right and m up steps; the p-value is the chance that it somewhere leaves the
-    band |i/n - j/m| < d. The walk is advanced one step at a time, for all positions at once.
+    band |i/n - j/m| < d. The walk is advanced one step at a time, for all positions inside the
+    band at once. A p-value that is certain to round to zero is not worked out.
     """
 
     @F.pandas_udf("double")
@@ -34,18 +35,29 @@ def exact_ks_p():
         import pandas as pd
 
         def one(d, n, m):
-            limit = round(d * n * m)
-            inside = np.zeros(n + 1)
-            inside[0] = 1.0
-            i = np.arange(n + 1)
-            for step in range(n + m):
-                j = step - i
-                right = inside * np.clip((n - i) / (n + m - step), 0.0, 1.0)
-                up = inside * np.clip((m - j) / (n + m - step), 0.0, 1.0)
-                inside = up
-                inside[1:] += right[:-1]
-                inside[np.abs(i * m - (step + 1 - i) * n) >= limit] = 0.0
-            return min(1.0, max(0.0, 1.0 - inside[n]))
+            # Two-sample tail bound e * exp(-2 lambda^2), which holds for all n and m.
+            bound = np.exp(1.0 - 2.0 * d * d * n * m / (n + m))
+            if bound < 1e-7:
+                return float(bound)
+            limit, total = round(d * n * m), n + m
+            if limit == 0:
+                return 1.0
+            low, inside = 0, np.ones(1)
+            for step in range(total):
+                i = np.arange(low, low + len(inside))
+                left = total - step
+                grown = np.zeros(len(inside) + 1)
+                grown[:-1] = inside * np.maximum(m - (step - i), 0) / left
+                grown[1:] += inside * (n - i) / left
+                # Positions i after this step with |i m - j n| < limit, j = step + 1 - i.
+                middle = (step + 1) * n
+                first = max(low, (middle - limit) // total + 1)
+                last = min(low + len(grown) - 1, -((-middle - limit) // total) - 1)
+                inside = grown[first - low : last - low + 1]
+                low = first
+                if not len(inside):
+                    return 1.0
+            return min(1.0, max(0.0, 1.0 - float(inside.sum())))
 
         return pd.Series(
             [

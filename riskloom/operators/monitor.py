@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import is_flagged, ratio
+from riskloom.operators.limits import first_rows
 from riskloom.operators.running import running_totals
 from riskloom.schemas import DECISIONS
 
@@ -17,8 +18,8 @@ LATENCY_LIMIT_MS = 100.0
 
 
 def last_rows(df: DataFrame, n: int = WINDOW_ROWS) -> DataFrame:
-    """The newest `n` rows. The window size is the feature; each task keeps its own top n only."""
-    return df.orderBy(F.desc("event_id")).limit(n)
+    """The newest `n` rows. The window size is the feature."""
+    return first_rows(df, n, ["event_id"], bits=16, newest=True)
 
 
 def lifetime_counts(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import money
+from riskloom.operators.limits import first_rows
 from riskloom.operators.running import running_totals
 from riskloom.operators.validate import valid_rows
 from riskloom.schemas import FILE_SCHEMA, SNAKE_NAMES, TRAIN_MAX_STEP, TXN_COLUMNS, TXN_SCHEMA
@@ -25,6 +26,26 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TXN_SCHEMA).parquet(path)
 
 
+def import_csv(spark: SparkSession, path: str, table: str) -> None:
+    """Store a CSV file without ids as a partitioned table, its file order becoming `event_id`.
+
+    Ids come from the position of a row in the scan (part number and row), so they increase along
+    one file, and a task that runs again gives the same ids. Read the stored table afterwards:
+    another scan of the file could be cut differently.
+    """
+    rows = read_csv(spark, path, with_event_id=False)
+    numbered = rows.withColumn("event_id", F.monotonically_increasing_id())
+    stored = f"{table}/_numbered"
+    numbered.select(*TXN_COLUMNS).write.parquet(stored)
+    write_partitioned(read_parquet(spark, stored), f"{table}/by_step")
+
+
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Stored transactions as a stream, oldest file first."""
+    reader = spark.readStream.schema(TXN_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
 def write_partitioned(df: DataFrame, path: str, steps_per_folder: int = 24) -> None:
     """Store by step bucket, so a split or window on `step` prunes folders.
 
@@ -87,8 +108,10 @@ def temporal_split(df: DataFrame, boundary: int = TRAIN_MAX_STEP) -> tuple[DataF
 
 def replay(df: DataFrame, name: str = "test", max_events: int | None = None) -> DataFrame:
     """Valid rows of a split in replay order; the cap counts valid rows only."""
-    ordered = valid_rows(split(df, name)).orderBy("step", "event_id")
-    return ordered if max_events is None else ordered.limit(max_events)
+    rows = valid_rows(split(df, name))
+    if max_events is None:
+        return rows.orderBy("step", "event_id")
+    return first_rows(rows, max_events, ["step", "event_id"])
 
 
 def replay_positions(df: DataFrame, name: str = "test") -> DataFrame:

@@ -9,7 +9,6 @@ from riskloom.operators.drift import check_drift, two_samples
 from riskloom.operators.monitor import (
     WINDOW_ROWS,
     alerts,
-    last_rows,
     lifetime_counts,
     monitor_summary,
 )
@@ -42,6 +41,10 @@ def start_monitor(
     """
     kept_rows = max(settings.drift_window_size, WINDOW_ROWS)
 
+    def newest(rows: DataFrame, n: int) -> DataFrame:
+        # The rows at hand are a window and one batch, so a plain ordered limit will do.
+        return rows.orderBy(F.desc("event_id")).limit(n)
+
     def one_batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         stored = rows.persist()
@@ -59,7 +62,7 @@ def start_monitor(
             window = read_or_empty(
                 spark, f"{state_path}/window/batch={batch_id - 1}", stored.schema
             )
-            last_rows(window.unionByName(stored), kept_rows).write.mode("overwrite").parquet(
+            newest(window.unionByName(stored), kept_rows).write.mode("overwrite").parquet(
                 f"{state_path}/window/batch={batch_id}"
             )
             counts = spark.read.parquet(f"{state_path}/counts/batch={batch_id}")
@@ -73,7 +76,7 @@ def start_monitor(
                     f"{report_path}/alerts/batch={batch_id}"
                 )
             if _due(before, after, settings.drift_window_size):
-                current = last_rows(recent, settings.drift_window_size)
+                current = newest(recent, settings.drift_window_size)
                 summary, tests = check_drift(
                     two_samples(reference, current), settings.drift_threshold
                 )

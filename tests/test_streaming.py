@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from riskloom.operators import drift as dr
 from riskloom.operators import features as fe
 from riskloom.operators import validate as va
-from riskloom.schemas import TXN_SCHEMA, WIRE_FIELDS
+from riskloom.operators.limits import first_rows
+from riskloom.schemas import WIRE_FIELDS
 from riskloom.settings import Settings
 from riskloom.sources import topics
 from riskloom.sources import transactions as tx
@@ -27,11 +28,8 @@ def append(spark, rows, path):
 
 
 def follow(spark, root, **options):
-    stream = (
-        spark.readStream.schema(TXN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    )
     sv.start_velocity(
-        stream, f"{root}/out", f"{root}/state", f"{root}/checkpoint", **options
+        tx.read_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/state", f"{root}/checkpoint", **options
     ).awaitTermination()
     return by_event(spark.read.parquet(f"{root}/out"), *VELOCITY)
 
@@ -236,3 +234,32 @@ def test_csv_has_a_declared_schema(spark, tmp_path):
     rows = tx.read_csv(spark, str(tmp_path / "log.csv"), with_event_id=False)
     assert rows.schema["amount"].dataType.typeName() == "double"
     assert rows.first()["newbalanceOrig"] == 160296.36
+
+
+def test_imported_csv_keeps_file_order(spark, tmp_path):
+    names = ["step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest",
+             "oldbalanceDest", "newbalanceDest", "isFraud", "isFlaggedFraud"]
+    lines = [f"{1 + i // 900},PAYMENT,{i + 1}.0,C{i},0,0,M,0,0,0,0" for i in range(2000)]
+    (tmp_path / "log.csv").write_text("\n".join([",".join(names), *lines]) + "\n")
+    table = fresh_path(spark, "t-import")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        tx.import_csv(spark, str(tmp_path / "log.csv"), table)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = tx.read_partitioned(spark, f"{table}/by_step").orderBy("event_id").collect()
+    assert [r["amount"] for r in rows] == [i + 1.0 for i in range(2000)]
+    assert len({r["event_id"] for r in rows}) == 2000
+
+
+@pytest.mark.parametrize("n", [0, 1, 25, 60, 500])
+def test_first_rows_equal_a_plain_limit(spark, n):
+    pick = random.Random(n)
+    rows = [txn_row(i * 7, step=pick.randrange(1, 6)) for i in range(60)]
+    df = txns(spark, rows)
+    key = sorted((r[1], r[0]) for r in rows)
+    got = first_rows(df, n, ["step", "event_id"]).collect()
+    assert [(r["step"], r["event_id"]) for r in got] == key[:n]
+    ids = sorted((r[0] for r in rows), reverse=True)
+    got = first_rows(df, n, ["event_id"], bits=4, newest=True).collect()
+    assert [r["event_id"] for r in got] == ids[:n]
