@@ -19,7 +19,12 @@ from riskloom.functions.columns import (
     money,
     type_dummies,
 )
-from riskloom.operators.running import HOT_ROWS, SLICE_BITS, grouped_running_totals
+from riskloom.operators.running import (
+    HOT_ROWS,
+    SLICE_BITS,
+    grouped_running_totals,
+    hot_groups,
+)
 from riskloom.schemas import MODEL_FEATURES
 
 MAX_CATEGORIES = 1000
@@ -67,15 +72,28 @@ def add_dummies_drop_first(df: DataFrame, column: str, known: list[str]) -> Data
     return df.withColumns(flags).drop(column)
 
 
+def hot_accounts(df: DataFrame, hot_rows: int | None) -> DataFrame | None:
+    """(step, account) seen in more than `hot_rows` rows, in either role: one pass for both."""
+    if hot_rows is None:
+        return None
+    accounts = df.select("step", F.explode(F.array("nameOrig", "nameDest")).alias("account"))
+    return hot_groups(accounts, ["step", "account"], hot_rows)
+
+
 def add_velocity_by_role(
     df: DataFrame, hot_rows: int | None = HOT_ROWS, slice_bits: int = SLICE_BITS
 ) -> DataFrame:
     base = df.withColumns({"__n": F.lit(1), "__c": cents("amount")})
+    hot = hot_accounts(df, hot_rows)
+
+    def of(role: str) -> DataFrame | None:
+        return None if hot is None else hot.withColumnRenamed("account", role)
+
     sent = grouped_running_totals(
-        base, ["step", "nameOrig"], "event_id", ["__n", "__c"], hot_rows, slice_bits
+        base, ["step", "nameOrig"], "event_id", ["__n", "__c"], of("nameOrig"), slice_bits
     ).withColumnsRenamed({"__n_before": "orig_tx_count_1h", "__c_before": "__sent_c"})
     received = grouped_running_totals(
-        sent, ["step", "nameDest"], "event_id", ["__n"], hot_rows, slice_bits, source=base
+        sent, ["step", "nameDest"], "event_id", ["__n"], of("nameDest"), slice_bits, source=base
     )
     return received.select(
         *df.columns,
@@ -108,9 +126,14 @@ def account_sides(df: DataFrame) -> DataFrame:
 
 
 def pair_sides(sides: DataFrame) -> DataFrame:
-    """Back to one row per event: the sender's count and sum, the receiver's count."""
+    """Back to one row per event: the sender's count and sum, the receiver's count.
+
+    The sides of an event come from different tasks, so combining before the shuffle would find
+    nothing to combine: the rows are moved first.
+    """
     sender, receiver = F.col("role") != 2, F.col("role") != 1
-    return sides.groupBy("event_id").agg(
+    slim = sides.select("event_id", "role", "n_before", "c_before").repartition("event_id")
+    return slim.groupBy("event_id").agg(
         F.max(F.when(sender, F.col("n_before"))).alias("orig_tx_count_1h"),
         F.max(F.when(sender, F.col("c_before"))).alias("__sent_c"),
         F.max(F.when(receiver, F.col("n_before"))).alias("dest_tx_count_1h"),
@@ -141,7 +164,7 @@ def add_velocity_shared(
         )
         sides = sides.withColumn("n", F.col("n").cast("long")).unionByName(first)
     counted = grouped_running_totals(
-        sides, ["step", "account"], "event_id", ["n", "c"], hot_rows, slice_bits
+        sides, ["step", "account"], "event_id", ["n", "c"], hot_accounts(df, hot_rows), slice_bits
     ).where(F.col("role") > 0)
     paired = pair_sides(counted)
     return df.join(paired, "event_id").select(

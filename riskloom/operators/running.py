@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 SLICE_BITS = 16
+HASH_COUNTERS = 4096
 NOT_SLICED = -(2**62)
 
 
@@ -98,34 +99,52 @@ def running_totals(
     return _add_carried(within, carried, keys, totals, df.columns, overall)
 
 
+def hot_groups(df: DataFrame, groups: Sequence[str], hot_rows: int) -> DataFrame:
+    """Groups of more than `hot_rows` rows, with `__hot` = true.
+
+    Rows are first counted per first group column and hash of the others: few counters, so next to
+    nothing is shuffled. A counter is never below the size of a group in it, so only rows under a
+    large counter, usually none, are counted by group. At most rows / hot_rows counters or groups
+    can be large (a million keys, tens of MB, for 10**12 rows): those lists get broadcast.
+    """
+    lead, rest = groups[0], groups[1:] or groups
+    counter = f"pmod(xxhash64({_list(rest)}), {HASH_COUNTERS}) AS __counter"
+    rows = df.selectExpr(*[f"`{g}`" for g in groups], counter)
+    large = (
+        rows.groupBy(lead, "__counter")
+        .agg(F.expr("count(1) AS __rows"))
+        .where(f"__rows > {hot_rows}")
+        .select(lead, "__counter")
+    )
+    return (
+        rows.join(F.broadcast(large), [lead, "__counter"])
+        .groupBy(*groups)
+        .agg(F.expr("count(1) AS __rows"))
+        .where(f"__rows > {hot_rows}")
+        .selectExpr(*[f"`{g}`" for g in groups], "true AS __hot")
+    )
+
+
 def grouped_running_totals(
     df: DataFrame,
     groups: Sequence[str],
     order: str,
     totals: Sequence[str],
-    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
     slice_bits: int = SLICE_BITS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Add `<total>_before` per group, ordered by the integer column `order`, unique in a group.
 
-    A group of more than `hot_rows` rows is cut into slices of 2**slice_bits order values, so no
-    window ever holds more than max(hot_rows, 2**slice_bits) rows. At most rows / hot_rows groups
-    are hot (a million keys, tens of MB, for 10**12 rows): that list is what gets broadcast.
-    `hot_rows=None` skips the check for callers whose groups are bounded already. `source` holds
-    the same groups, order and totals as `df` when those are cheaper to read from an earlier step.
+    Groups listed in `hot` (see `hot_groups`) are cut into slices of 2**slice_bits order values, so
+    no window holds more rows than that, or than the limit the list was made with. `None` is for
+    groups that are bounded already. `source` holds the same groups, order and totals as `df` when
+    those are cheaper to read from an earlier step.
     """
     groups = list(groups)
-    if hot_rows is None:
+    if hot is None:
         return running_totals(df, totals, [order], (), groups)
     source = (df if source is None else source).select(*groups, order, *totals)
-
-    hot = (
-        source.groupBy(*groups)
-        .agg(F.expr("count(1) AS __rows"))
-        .where(f"__rows > {hot_rows}")
-        .selectExpr(*[f"`{g}`" for g in groups], "true AS __hot")
-    )
     slice_of = f"shiftright(`{order}`, {slice_bits})"
     keys = [*groups, "__slice"]
 

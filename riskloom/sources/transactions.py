@@ -165,13 +165,16 @@ def from_events(
             )
         ]
     )
+    hundreds = F.col("value") * 100
+    # Half away from zero, without the decimal detour that `round` takes.
+    whole_cents = (F.floor(F.abs(hundreds) + 0.5) * F.signum(hundreds)).cast("long")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     base = events.select(
         eid,
         # Interval arithmetic on local times: whole hours, whatever the session's time zone.
         ((ts - epoch).cast("interval hour").cast("long") + 1).alias("step"),
         F.element_at(types, F.col("event_type")).alias("type"),
-        F.round(F.col("value") * 100).cast("long").alias("amt_c"),
+        whole_cents.alias("amt_c"),
         F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("nameOrig"),
         F.concat(F.lit("C"), ((F.col("user_id") * 7 + k) % 150).cast("string")).alias("nameDest"),
         ((eid * 7919) % 60000).alias("oo_c"),
