@@ -607,42 +607,39 @@ def retrain_cycle(spark, sf_dir):
 
 # -- streaming ----------------------------------------------------------------------------------
 
-STREAM_FILES = 4
+ARRIVALS = 4
 
 
-def _as_files(df: DataFrame, path: str) -> None:
-    """Write the rows as files in event order, so that a file stream replays them in that order."""
+def _arrivals(df: DataFrame, path: str):
+    """Append the rows below `path` in ARRIVALS portions of event order, pausing after each."""
     last = df.agg(F.max("event_id")).first()[0]
-    width = last // STREAM_FILES + 1
-    for i in range(STREAM_FILES):
+    width = last // ARRIVALS + 1
+    for i in range(ARRIVALS):
         part = df.where((F.col("event_id") >= i * width) & (F.col("event_id") < (i + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
+        yield i
 
 
 def stream_velocity(spark, sf_dir):
+    """A stream that is stopped and resumed from its checkpoint after every arrival."""
     root = fresh_path(spark, "stream")
-    rows = txn(spark, sf_dir)
-    _as_files(rows, f"{root}/in")
-    stream = tx.read_stream(spark, f"{root}/in")
-    start_velocity(
-        stream, f"{root}/out", f"{root}/state", f"{root}/checkpoint"
-    ).awaitTermination()
+    for _ in _arrivals(txn(spark, sf_dir), f"{root}/in"):
+        start_velocity(
+            tx.read_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/state",
+            f"{root}/checkpoint",
+        ).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", *VELOCITY)
 
 
 def stream_scoring(spark, sf_dir):
     model, _, trees = fitted_model(spark, sf_dir)
     root = fresh_path(spark, "scoring")
+    paths = ScoringPaths.below(root)
     value = F.to_json(F.struct(*[c for c in TXN_COLUMNS if c != "event_id"]))
     messages = spoiled(txn(spark, sf_dir)).select("event_id", value.alias("value"))
-    _as_files(messages, f"{root}/in")
-    stream = (
-        spark.readStream.schema(messages.schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{root}/in")
-    )
-    paths = ScoringPaths.below(root)
-    start_scoring(stream, model, trees, paths).awaitTermination()
+    for _ in _arrivals(messages, f"{root}/in"):
+        stream = spark.readStream.schema(messages.schema).parquet(f"{root}/in")
+        start_scoring(stream, model, trees, paths).awaitTermination()
     out = spark.read.parquet(paths.decisions).drop("batch")
     return out.withColumn("top_features", F.to_json("top_features"))
 

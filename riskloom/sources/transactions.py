@@ -40,9 +40,11 @@ def import_csv(spark: SparkSession, path: str, table: str) -> None:
     write_partitioned(read_parquet(spark, stored), f"{table}/by_step")
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Stored transactions as a stream, oldest file first."""
-    reader = spark.readStream.schema(TXN_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stored transactions as a stream, oldest file first; all new files at once by default."""
+    reader = spark.readStream.schema(TXN_SCHEMA)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 

@@ -29,7 +29,7 @@ def append(spark, rows, path):
 
 def follow(spark, root, **options):
     sv.start_velocity(
-        tx.read_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/state", f"{root}/checkpoint", **options
+        tx.read_stream(spark, f"{root}/in", files_per_batch=1), f"{root}/out", f"{root}/state", f"{root}/checkpoint", **options
     ).awaitTermination()
     return by_event(spark.read.parquet(f"{root}/out"), *VELOCITY)
 
@@ -130,7 +130,9 @@ def test_monitor_stream(spark, sf_dir):
     rows = q.scored(spark, sf_dir)
     features = fe.engineer_features(rows).withColumn("isFraud", F.lit(0))
     root = fresh_path(spark, "t-monitor")
-    q._as_files(features, f"{root}/in")
+    for i in range(4):
+        part = features.where(F.col("event_id").between(i * 2500, i * 2500 + 2499))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
     stored = spark.read.parquet(f"{root}/in")
     reference = dr.reference_snapshot(stored.withColumn("amount", F.col("amount") + 1000))
     stream = (
