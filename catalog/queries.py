@@ -18,7 +18,7 @@ from riskloom.operators import model as mo
 from riskloom.operators import monitor as mon
 from riskloom.operators import registry as reg
 from riskloom.operators import validate as va
-from riskloom.operators.explain import add_contributions, read_trees
+from riskloom.operators.explain import Explainer, add_contributions
 from riskloom.plans import retrain as retrain_plan
 from riskloom.plans.retrain import recent_window
 from riskloom.schemas import MODEL_FEATURES, TXN_COLUMNS
@@ -542,7 +542,7 @@ _models: dict[tuple[str, str], tuple] = {}
 
 
 def fitted_model(spark, sf_dir):
-    """(model, folder, trees), fitted once per session and table."""
+    """(model, folder, explainer), fitted once per session and table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
         train = fe.engineer_features(train_rows(spark, sf_dir), "shared")
@@ -551,7 +551,7 @@ def fitted_model(spark, sf_dir):
         model = mo.train_boosted(spark.read.parquet(path), params=QUERY_MODEL)
         root = fresh_path(spark, "models")
         mo.save_model(spark, model, root, "v1")
-        _models[key] = (mo.load_model(spark, root, "v1"), root, read_trees(spark, f"{root}/v1"))
+        _models[key] = (mo.load_model(spark, root, "v1"), root, Explainer.load(spark, f"{root}/v1"))
     return _models[key]
 
 
@@ -564,10 +564,10 @@ def gbt_scores(spark, sf_dir):
 
 
 def gbt_explain(spark, sf_dir):
-    model, _, trees = fitted_model(spark, sf_dir)
+    model, _, explainer = fitted_model(spark, sf_dir)
     features = fe.engineer_features(test_rows(spark, sf_dir), "shared")
     explained = add_contributions(
-        mo.add_scores(features, model, keep_vector=True), trees, explain_from=0.1
+        mo.add_scores(features, model, keep_vector=True), explainer, explain_from=0.1
     )
     return explained.select(
         "event_id", "risk_score", F.inline_outer(top_contributions("contributions", 3))
@@ -632,14 +632,14 @@ def stream_velocity(spark, sf_dir):
 
 
 def stream_scoring(spark, sf_dir):
-    model, _, trees = fitted_model(spark, sf_dir)
+    model, _, explainer = fitted_model(spark, sf_dir)
     root = fresh_path(spark, "scoring")
     paths = ScoringPaths.below(root)
     value = F.to_json(F.struct(*[c for c in TXN_COLUMNS if c != "event_id"]))
     messages = spoiled(txn(spark, sf_dir)).select("event_id", value.alias("value"))
     for _ in _arrivals(messages, f"{root}/in"):
         stream = spark.readStream.schema(messages.schema).parquet(f"{root}/in")
-        start_scoring(stream, model, trees, paths).awaitTermination()
+        start_scoring(stream, model, explainer, paths).awaitTermination()
     out = spark.read.parquet(paths.decisions).drop("batch")
     return out.withColumn("top_features", F.to_json("top_features"))
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,9 +212,23 @@ def add_prefix_scores(df: DataFrame, trees: list[Leaves], probes: Sequence[int])
     )
 
 
+@dataclass(frozen=True)
+class Explainer:
+    """A model's leaves, and their look-up tables on the executors: made once, used for any rows."""
+
+    trees: list[Leaves]
+    shared: Broadcast
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Explainer:
+        trees = read_trees(spark, path)
+        tables = [contribution_tables(g) for g in trees]
+        return cls(trees, spark.sparkContext.broadcast((trees, tables)))
+
+
 def add_contributions(
     df: DataFrame,
-    trees: list[Leaves],
+    explainer: Explainer,
     explain_from: float = EXPLAIN_FROM,
     vector: str = "features",
     score: str = "risk_score",
@@ -222,8 +237,7 @@ def add_contributions(
 
     Rows below the gate travel as nulls and cost no work, and the scored rows are read only once.
     """
-    tables = [contribution_tables(g) for g in trees]
-    shared = df.sparkSession.sparkContext.broadcast((trees, tables))
+    shared = explainer.shared
 
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

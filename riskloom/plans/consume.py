@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import replace
 
-from riskloom.operators.explain import read_trees
+from riskloom.operators.explain import Explainer
 from riskloom.operators.model import load_model
 from riskloom.plans.session import session
 from riskloom.settings import Settings
@@ -29,7 +29,7 @@ def main() -> None:
     query = start_scoring(
         read_topic(spark, settings, args.max_messages),
         load_model(spark, args.models, args.model_version),
-        read_trees(spark, f"{args.models}/{args.model_version}"),
+        Explainer.load(spark, f"{args.models}/{args.model_version}"),
         ScoringPaths.below(args.root),
         settings,
         to_topic=True,

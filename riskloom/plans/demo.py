@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from riskloom.operators.decisions import decision_mix, interesting_cases
 from riskloom.operators.drift import check_drift, reference_snapshot, two_samples
-from riskloom.operators.explain import read_trees
+from riskloom.operators.explain import Explainer
 from riskloom.operators.explore import label_totals
 from riskloom.operators.features import engineer_features
 from riskloom.operators.model import BoostingParams, add_scores
@@ -29,11 +29,11 @@ def run(transactions: DataFrame, params: BoostingParams = BoostingParams()) -> d
     spark = transactions.sparkSession
     root = fresh_path(spark, "demo-models")
     model, evaluation, explained = train.run(transactions, root, "demo", True, params)
-    trees = read_trees(spark, f"{root}/demo")
+    explainer = Explainer.load(spark, f"{root}/demo")
     train_rows, test_rows = temporal_split(transactions)
 
     replayed = engineer_features(replay(test_rows, "test", REPLAYED), "shared")
-    scored = train.store(score_enriched(replayed, model, trees, explain_from=0.05), "demo-scores")
+    scored = train.store(score_enriched(replayed, model, explainer, explain_from=0.05), "demo-scores")
 
     def sample(rows: DataFrame, n: int) -> DataFrame:
         features = engineer_features(rows).orderBy("event_id").limit(n)

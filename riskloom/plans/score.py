@@ -8,7 +8,7 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame
 
 from riskloom.operators.decisions import log_decisions, to_decision_records
-from riskloom.operators.explain import Leaves, read_trees
+from riskloom.operators.explain import Explainer
 from riskloom.operators.features import engineer_features
 from riskloom.operators.model import load_model
 from riskloom.operators.validate import valid_rows
@@ -22,7 +22,7 @@ TOP_FEATURES = 5
 def score_transactions(
     transactions: DataFrame,
     model: GBTClassificationModel,
-    trees: list[Leaves],
+    explainer: Explainer,
     explain_k: int = TOP_FEATURES,
     explain_from: float = 0.0,
     velocity_mode: str = "shared",
@@ -30,7 +30,7 @@ def score_transactions(
 ) -> DataFrame:
     """Decision records for all valid rows. Any number of rows, all explained in one pass."""
     features = engineer_features(valid_rows(transactions), velocity_mode)
-    scored = score_enriched(features, model, trees, settings, explain_from)
+    scored = score_enriched(features, model, explainer, settings, explain_from)
     return to_decision_records(scored, explain_k)
 
 
@@ -47,10 +47,10 @@ def main() -> None:
 
     spark = session("score")
     model = load_model(spark, args.models, args.model_version)
-    trees = read_trees(spark, f"{args.models}/{args.model_version}")
+    explainer = Explainer.load(spark, f"{args.models}/{args.model_version}")
     rows = read_input(spark, args.input, args.format)
     score_transactions(
-        rows, model, trees, explain_from=args.explain_from, velocity_mode=args.velocity,
+        rows, model, explainer, explain_from=args.explain_from, velocity_mode=args.velocity,
         settings=settings,
     ).write.parquet(args.output)
     if args.log:

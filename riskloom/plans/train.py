@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import top_contributions
 from riskloom.operators.decisions import first_frauds
 from riskloom.operators.evaluate import average_precision, best_f1, class_report
-from riskloom.operators.explain import add_contributions, read_trees
+from riskloom.operators.explain import Explainer, add_contributions
 from riskloom.operators.features import engineer_features
 from riskloom.operators.model import (
     BoostingParams,
@@ -99,7 +99,7 @@ def run(
             False,
         )
     cases = add_scores(first_frauds(test), model, keep_vector=True)
-    explained = add_contributions(cases, read_trees(spark, path), explain_from=0.0).select(
+    explained = add_contributions(cases, Explainer.load(spark, path), explain_from=0.0).select(
         "event_id", "risk_score", top_contributions("contributions", 5).alias("top_features")
     )
     return model, result, explained

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.decisions import add_decision, to_decision_records
-from riskloom.operators.explain import EXPLAIN_FROM, Leaves, add_contributions
+from riskloom.operators.explain import EXPLAIN_FROM, Explainer, add_contributions
 from riskloom.operators.features import add_balance_errors, add_type_dummies
 from riskloom.operators.model import add_scores
 from riskloom.operators.running import HOT_ROWS
@@ -45,27 +45,27 @@ class ScoringPaths:
 def score_enriched(
     enriched: DataFrame,
     model: GBTClassificationModel,
-    trees: list[Leaves],
+    explainer: Explainer,
     settings: Settings = Settings(),
     explain_from: float = EXPLAIN_FROM,
 ) -> DataFrame:
     """Engineered rows -> risk_score, decision, contributions; all input columns kept."""
     scored = add_scores(enriched, model, keep_vector=True)
-    return add_contributions(add_decision(scored, settings), trees, explain_from).drop("features")
+    return add_contributions(add_decision(scored, settings), explainer, explain_from).drop("features")
 
 
 def score_batch(
     rows: DataFrame,
     state: StreamState,
     model: GBTClassificationModel,
-    trees: list[Leaves],
+    explainer: Explainer,
     settings: Settings = Settings(),
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One micro-batch of valid, stored transactions to decision records (lazy)."""
     velocity = add_stream_velocity(rows, state, hot_rows)
     features = velocity.transform(add_balance_errors).transform(add_type_dummies)
-    scored = score_enriched(features, model, trees, settings)
+    scored = score_enriched(features, model, explainer, settings)
     if "arrived_at" in rows.columns:
         now = F.unix_micros(F.current_timestamp())
         scored = scored.withColumn("latency_ms", (now - F.unix_micros("arrived_at")) / 1000.0)
@@ -75,7 +75,7 @@ def score_batch(
 def start_scoring(
     messages: DataFrame,
     model: GBTClassificationModel,
-    trees: list[Leaves],
+    explainer: Explainer,
     paths: ScoringPaths,
     settings: Settings = Settings(),
     to_topic: bool = False,
@@ -95,7 +95,7 @@ def start_scoring(
         try:
             accepted = valid_rows(stored)
             state = open_state(accepted, paths.state, batch_id, settings.velocity_ttl_steps)
-            records = score_batch(accepted, state, model, trees, settings, hot_rows)
+            records = score_batch(accepted, state, model, explainer, settings, hot_rows)
             target = f"{paths.decisions}/batch={batch_id}"
             records.write.mode("overwrite").parquet(target)
             quarantined_rows(stored).write.mode("overwrite").parquet(

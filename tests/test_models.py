@@ -43,14 +43,16 @@ def margins(model, df):
 
 
 def test_contributions_add_up_to_the_margin(fitted, test_features):
-    model, _, trees = fitted
+    model, _, explainer = fitted
+    trees = explainer.trees
     x, raw = margins(model, test_features)
     phi = xp.shapley(x, trees, [xp.contribution_tables(g) for g in trees])
     assert np.abs(phi.sum(axis=1) + xp.base_value(trees) - 2 * raw).max() < 1e-9
 
 
 def test_prefix_scores_end_at_the_model(fitted, test_features):
-    model, _, trees = fitted
+    model, _, explainer = fitted
+    trees = explainer.trees
     x, raw = margins(model, test_features)
     found = xp.prefix_margins(x, trees, [1, 7, 20])
     assert np.abs(found[:, -1] - 2 * raw).max() < 1e-9
@@ -102,9 +104,9 @@ def test_contributions_equal_brute_force(spark, sf_dir, test_features):
 
 
 def test_explanation_gate(fitted, test_features):
-    model, _, trees = fitted
+    model, _, explainer = fitted
     scored = mo.add_scores(test_features, model, keep_vector=True)
-    out = xp.add_contributions(scored, trees, explain_from=0.3)
+    out = xp.add_contributions(scored, explainer, explain_from=0.3)
     sizes = {
         (r["above"], r["n"])
         for r in out.select(
@@ -170,9 +172,9 @@ def test_training_job_then_batch_scoring(spark, sf_dir):
     assert [r["version"] for r in mo.list_versions(spark, root).collect()] == ["v1"]
     assert [r["version"] for r in reg.read_runs(spark, f"{root}/_runs").collect()] == ["v1"]
 
-    trees = xp.read_trees(spark, f"{root}/v1")
+    explainer = xp.Explainer.load(spark, f"{root}/v1")
     records = score.score_transactions(
-        q.test_rows(spark, sf_dir), model, trees, explain_k=5, explain_from=0.2
+        q.test_rows(spark, sf_dir), model, explainer, explain_k=5, explain_from=0.2
     )
     assert {f.name: f.dataType for f in records.schema} == {
         f.name: f.dataType for f in DECISION_SCHEMA
@@ -225,7 +227,7 @@ def test_demo_runs_end_to_end(spark, sf_dir):
 def test_settings_bands_are_used_when_scoring(spark, fitted, test_features):
     from riskloom.streaming.scoring import score_enriched
 
-    model, _, trees = fitted
+    model, _, explainer = fitted
     strict = Settings(review_threshold=0.0, block_threshold=0.0)
-    out = score_enriched(test_features, model, trees, strict, explain_from=2.0)
+    out = score_enriched(test_features, model, explainer, strict, explain_from=2.0)
     assert [r[0] for r in out.select("decision").distinct().collect()] == ["BLOCK"]

@@ -105,7 +105,7 @@ def test_stream_scoring_equals_batch(spark, sf_dir):
 
 
 def test_scoring_keeps_rejects_and_gates_explanations(spark, sf_dir):
-    model, _, trees = q.fitted_model(spark, sf_dir)
+    model, _, explainer = q.fitted_model(spark, sf_dir)
     root = fresh_path(spark, "t-scoring")
     good = topics.encode(txns(spark, [txn_row(0, oldbalanceOrg=5.0)])).first()["value"]
     messages = spark.createDataFrame(
@@ -115,7 +115,7 @@ def test_scoring_keeps_rejects_and_gates_explanations(spark, sf_dir):
     messages.coalesce(1).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(messages.schema).parquet(f"{root}/in")
     paths = ScoringPaths.below(root)
-    start_scoring(stream, model, trees, paths).awaitTermination()
+    start_scoring(stream, model, explainer, paths).awaitTermination()
     decided = spark.read.parquet(paths.decisions).collect()
     rejected = {
         r["event_id"]: r["violations"] for r in spark.read.parquet(paths.rejects).collect()
