@@ -184,7 +184,10 @@ def add_velocity(df: DataFrame, mode: str = "by_role", **options) -> DataFrame:
 
 
 def engineer_features(df: DataFrame, velocity_mode: str = "by_role", **options) -> DataFrame:
-    """All input columns plus the nine derived ones."""
+    """All input columns plus the nine derived ones.
+
+    Accounts must not be null (the contract rejects such rows): they would all be one account.
+    """
     return (
         df.transform(add_velocity, velocity_mode, **options)
         .transform(add_balance_errors)

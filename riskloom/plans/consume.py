@@ -20,14 +20,14 @@ def main() -> None:
     parser.add_argument("--models", required=True)
     parser.add_argument("--model-version", default=settings.model_version)
     parser.add_argument("--root", required=True, help="shared folder of decisions and state")
-    parser.add_argument("--max-messages", type=int, help="bound of one micro-batch")
+    parser.add_argument("--max-per-batch", type=int, help="bound of one micro-batch")
     parser.add_argument("--once", action="store_true", help="stop when the topic is drained")
     args = parser.parse_args()
 
     spark = session("consume")
     settings = replace(settings, kafka_bootstrap_servers=args.bootstrap)
     query = start_scoring(
-        read_topic(spark, settings, args.max_messages),
+        read_topic(spark, settings, args.max_per_batch),
         load_model(spark, args.models, args.model_version),
         Explainer.load(spark, f"{args.models}/{args.model_version}"),
         ScoringPaths.below(args.root),

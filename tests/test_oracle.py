@@ -5,6 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as spark_entry
+from tests.conftest import SF_DIR
 
 QUERIES = spark_entry.queries()
 ORACLE = spark_entry.oracle_sql()
@@ -47,3 +48,25 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not SF_DIR.endswith("sf0.01"), reason="answers are for sf0.01")
+def test_known_answers(spark, sf_dir):
+    """Answers worked out beforehand: they tell a changed fixture from a changed operator."""
+    run = {
+        name: [tuple(r) for r in QUERIES[name](spark, sf_dir).collect()]
+        for name in (
+            "decision_mix", "average_precision", "best_f1", "semi_join_counts",
+            "nonzero_error_rows", "velocity_mode_diff",
+        )
+    }
+    assert {r[0]: r[1] for r in run["decision_mix"]} == {
+        "APPROVE": 4030, "REVIEW": 5708, "BLOCK": 262,
+    }
+    assert run["average_precision"] == [(0.34307384,)]
+    assert run["best_f1"][0][1] == 0.483516
+    assert [r[1] for r in run["semi_join_counts"]] == [7, 35, 374, 415, 390, 441, 412]
+    assert len(run["nonzero_error_rows"]) == 660
+    assert run["velocity_mode_diff"] == [(425, 434)]
+    ks = QUERIES["ks_by_feature"](spark, sf_dir).where("feature = 'amount'").first()
+    assert ks["ks_stat"] == 0.0179

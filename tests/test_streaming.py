@@ -112,6 +112,7 @@ def test_scoring_keeps_rejects_and_gates_explanations(spark, sf_dir):
         [(0, good), (1, "not json"), (2, good.replace("10.0", "-1")), (3, None)],
         "event_id long, value string",
     )
+    messages = messages.withColumn("arrived_at", F.current_timestamp())
     messages.coalesce(1).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(messages.schema).parquet(f"{root}/in")
     paths = ScoringPaths.below(root)
@@ -121,6 +122,10 @@ def test_scoring_keeps_rejects_and_gates_explanations(spark, sf_dir):
         r["event_id"]: r["violations"] for r in spark.read.parquet(paths.rejects).collect()
     }
     assert len(decided) == 1
+    assert decided[0]["latency_ms"] > 0
+    published = topics.decision_messages(spark.read.parquet(paths.decisions).drop("batch")).first()
+    assert published["key"] == "A"
+    assert json.loads(published["value"])["decision"] == decided[0]["decision"]
     assert len(decided[0]["top_features"]) == (3 if decided[0]["risk_score"] >= 0.1 else 0)
     assert set(rejected) == {1, 2, 3}
     assert rejected[2] == ["amount"]
