@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe
+from riskloom.llm import byte_bpe, chat_format, url_filters
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -18,6 +18,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame(
+        [(-1, 0, "user", text), (-1, 1, "assistant", text)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = chat_format.text_parts(given.unionByName(own))
+    return chat_format.digests(chat_format.format_turns(turns))
+
+
+#: Rules of the contract: allow or block, host, path.
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     made = byte_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
     return made.select(
@@ -33,7 +57,30 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_url_filters": op2_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_url_filters": r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+ruled AS (
+  SELECT *, '.' || host AS h,
+    CASE WHEN ends_with(h, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN ends_with(h, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN ends_with(h, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN ends_with(h, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+       WHEN rule IS NOT NULL OR host = '' OR contains(h, '.spam') OR contains(h, '.casino')
+       THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+""",
+}
