@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, chat_format, url_filters
+from riskloom.llm import byte_bpe, chat_format, license_scan, token_shards, url_filters
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -42,6 +43,16 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    folder = token_shards.store(docs, WORD_TOKENIZER, end_id=2)
+    return token_shards.read_digests(docs, folder).withColumnRenamed("doc_key", "doc_id")
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     made = byte_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
     return made.select(
@@ -59,6 +70,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filters": op2_url_filters,
+    "op4_license_scan": op4_license_scan,
+    "op5_token_shards": op5_token_shards,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
