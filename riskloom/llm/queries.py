@@ -9,7 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, chat_format, license_scan, token_shards, url_filters
+from riskloom.llm import (
+    byte_bpe,
+    chat_format,
+    license_scan,
+    lm_scoring,
+    token_shards,
+    url_filters,
+)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,12 +74,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(_table(spark, sf_dir, "documents"))
+    return scored.withColumnRenamed("doc_key", "doc_id")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filters": op2_url_filters,
     "op4_license_scan": op4_license_scan,
     "op5_token_shards": op5_token_shards,
     "op6_byte_bpe": op6_byte_bpe,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE: dict[str, str] = {
