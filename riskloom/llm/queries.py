@@ -15,6 +15,7 @@ from riskloom.llm import (
     license_scan,
     lm_scoring,
     token_shards,
+    toxicity,
     url_filters,
 )
 
@@ -74,6 +75,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumnRenamed("doc_key", "doc_id")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.score(_table(spark, sf_dir, "documents"))
     return scored.withColumnRenamed("doc_key", "doc_id")
@@ -85,6 +92,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_token_shards": op5_token_shards,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
