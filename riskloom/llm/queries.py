@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import (
     byte_bpe,
     chat_format,
+    jaccard_join,
     license_scan,
     lm_scoring,
     token_shards,
@@ -51,6 +52,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(_table(spark, sf_dir, "documents")).select(
+        F.col("doc_key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
+    )
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +96,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filters": op2_url_filters,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_license_scan": op4_license_scan,
     "op5_token_shards": op5_token_shards,
     "op6_byte_bpe": op6_byte_bpe,
