@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from riskloom.llm import (
     byte_bpe,
     chat_format,
+    decontaminate,
     jaccard_join,
     license_scan,
     lm_scoring,
+    simhash,
     token_shards,
     toxicity,
     url_filters,
@@ -82,6 +84,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    return found.withColumnsRenamed({"doc_key": "doc_id", "item_key": "item_id"})
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash.document_fingerprints(_table(spark, sf_dir, "documents"))
+    return made.withColumnRenamed("doc_key", "doc_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
@@ -100,6 +114,8 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_token_shards": op5_token_shards,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
 }
