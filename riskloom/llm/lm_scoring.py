@@ -54,7 +54,7 @@ class Settings:
     window: int = 32
     rows: int = 32
     rounds: int = 3
-    train_share: float = 1 / 32
+    train_share: float = 1 / 16
     rates: tuple = (0.01, 0.007, 0.004)
     workers: int = 8
     seed: int = 7
@@ -320,7 +320,9 @@ def fit(docs: DataFrame, found: Counts, key: str, text: str, settings: Settings)
     for r in range(settings.rounds):
         learn = _learner(model, vocabulary, settings, settings.rates[min(r, len(settings.rates) - 1)])
         mine = F.pmod(F.xxhash64(F.lit(settings.seed + 2), "key1"), F.lit(settings.rounds)) == r
-        learnt = train.where(mine).groupBy("worker").applyInPandas(
+        # By range: each worker is a task of its own, also where its share is small.
+        spread = train.where(mine).repartitionByRange(workers, "worker")
+        learnt = spread.groupBy("worker").applyInPandas(
             learn, "part int, flat binary, n bigint"
         )
         rows = learnt.groupBy("part").applyInPandas(
