@@ -278,7 +278,8 @@ class Vocabulary:
         self.logs = np.log10(self.counts + 0.5)
         self.logs[self.other] = 0.0
         inside = found.counts.sum() + found.ends + 0.5 * (len(found.counts) + 1)
-        self.log_rest = float(np.log10(found.total + 0.5 * (found.distinct + 1) - inside + 0.0))
+        rest = found.total + 0.5 * (found.distinct + 1) - inside
+        self.log_rest = float(np.log10(max(0.5, rest)))  # one unseen word at least
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
