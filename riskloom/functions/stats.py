@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 KS_TERMS = 100
-EXACT_KS_ROWS = 10_000
 
 
 def kolmogorov_p(d: Column, n: Column, m: Column) -> Column:
@@ -21,7 +20,7 @@ def kolmogorov_p(d: Column, n: Column, m: Column) -> Column:
 
 
 def exact_ks_p():
-    """Pandas UDF (d, n, m) -> exact two-sample p-value, for samples up to EXACT_KS_ROWS rows.
+    """Pandas UDF (d, n, m) -> exact two-sample p-value.
 
     All orderings of the pooled samples are equally likely under the null hypothesis. An ordering
     is a walk of n right and m up steps; the p-value is the chance that it somewhere leaves the

@@ -7,18 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.stats import (
-    EXACT_KS_ROWS,
-    chi2_one_dof_p,
-    exact_ks_p,
-    kolmogorov_p,
-)
-from riskloom.operators.evaluate import SCORE_WIDTH, average_precision
+from riskloom.functions.stats import chi2_one_dof_p, exact_ks_p, kolmogorov_p
+from riskloom.operators.evaluate import average_precision
 from riskloom.operators.running import VALUE_LEVELS, running_totals, value_buckets
 from riskloom.schemas import DUMMY_FEATURES, MODEL_FEATURES
 
 P_LIMIT = 0.05
-VALUE_WIDTH = 256.0
 
 
 def _require(df: DataFrame, columns: Sequence[str]) -> None:
@@ -66,15 +60,15 @@ def _long(samples: DataFrame, features: Sequence[str]) -> DataFrame:
 def ks_by_feature(
     samples: DataFrame,
     features: Sequence[str] = MODEL_FEATURES,
-    method: str = "auto",
+    method: str = "asymptotic",
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test per feature: statistic, p-value, sample sizes, flag.
 
     Equal values are counted before the shuffle, then both distribution functions are running
-    totals by value interval. `method`: "asymptotic", "exact", or "auto", which takes the exact
-    p-value while both samples have at most EXACT_KS_ROWS rows.
+    totals by value interval. `method` is "asymptotic" at any size; "exact" is for callers that ask
+    for it, since its work grows with the product of the sample sizes.
     """
-    if method not in ("auto", "exact", "asymptotic"):
+    if method not in ("exact", "asymptotic"):
         raise ValueError(f"unknown method {method!r}")
     counts = (
         _long(samples, features)
@@ -84,9 +78,8 @@ def ks_by_feature(
             F.count_if(~F.col("is_reference")).alias("cur"),
         )
     )
-    width = f"CASE WHEN feature = 'risk_score' THEN {SCORE_WIDTH}D ELSE {VALUE_WIDTH}D END"
     steps = running_totals(
-        value_buckets(counts, "value", width),
+        value_buckets(counts, "value", ["feature"]),
         ["ref", "cur"],
         ["value"],
         VALUE_LEVELS,
@@ -104,17 +97,7 @@ def ks_by_feature(
     )
     n, m = F.col("reference_rows"), F.col("current_rows")
     p = kolmogorov_p(F.col("d"), n, m)
-    if method != "asymptotic":
-        small = F.greatest(n, m) <= EXACT_KS_ROWS if method == "auto" else F.lit(True)
-        # A Python expression is evaluated for every row, so the large samples get a 1 x 1 stand-in.
-        exact = exact_ks_p()(
-            F.when(small, F.col("d")).otherwise(F.lit(1.0)),
-            F.when(small, n).otherwise(F.lit(1)),
-            F.when(small, m).otherwise(F.lit(1)),
-        )
-        tested = tested.withColumn("p", F.when(small, exact).otherwise(p))
-    else:
-        tested = tested.withColumn("p", p)
+    tested = tested.withColumn("p", exact_ks_p()(F.col("d"), n, m) if method == "exact" else p)
     return tested.select(
         "feature",
         F.round("d", 4).alias("ks_stat"),
@@ -152,7 +135,7 @@ def chi2_by_dummy(samples: DataFrame, features: Sequence[str] = DUMMY_FEATURES)
     )
 
 
-def drift_by_column(samples: DataFrame, method: str = "auto") -> DataFrame:
+def drift_by_column(samples: DataFrame, method: str = "asymptotic") -> DataFrame:
     """Preset per column: KS for numbers, chi-square for dummies, KS on the score if there is one."""
     numbers = [f for f in MODEL_FEATURES if f not in DUMMY_FEATURES]
     if "risk_score" in samples.columns:
@@ -193,14 +176,14 @@ def drift_summary(tests: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 
 def check_drift(
-    samples: DataFrame, threshold: float = 0.3, method: str = "auto"
+    samples: DataFrame, threshold: float = 0.3, method: str = "asymptotic"
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, tests): KS on all ten features, the share of drifted ones against `threshold`."""
     tests = ks_by_feature(samples, MODEL_FEATURES, method)
     return drift_summary(tests, threshold), tests
 
 
-def score_drift(samples: DataFrame, method: str = "auto") -> DataFrame:
+def score_drift(samples: DataFrame, method: str = "asymptotic") -> DataFrame:
     return ks_by_feature(samples, ["risk_score"], method)
 
 

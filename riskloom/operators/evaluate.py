@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import ratio
 from riskloom.operators.running import VALUE_LEVELS, running_totals, value_buckets
 
-# Scores lie in [0, 1]; one task scans the distinct scores of one such interval.
-SCORE_WIDTH = 2.0**-20
-SCORE_BITS = 10
-
 
 def class_ratio(df: DataFrame, label: str = "isFraud") -> DataFrame:
     """One row: negatives, positives, and the weight of a positive row."""
@@ -124,7 +120,7 @@ def _ranked_scores(df: DataFrame, groups: Sequence[str], label: str, score: str)
         .withColumn("__down", -F.col("threshold"))
     )
     ranked = running_totals(
-        value_buckets(counts, "__down", SCORE_WIDTH, SCORE_BITS),
+        value_buckets(counts, "__down"),
         ["pos", "n"],
         ["__down"],
         VALUE_LEVELS,

@@ -15,13 +15,12 @@ def exact_percentiles(
     value: str,
     probabilities: dict[str, float],
     groups: Sequence[str] = (),
-    width: float = 256.0,
 ) -> DataFrame:
     """One row per group with a column per entry of `probabilities`.
 
     Spark's own `percentile` merges all distinct values of a group in one task. Here equal values
     are first counted (map-side combine, so a value held by a third of the rows is one row per
-    task), then ranked by running totals over buckets `width` wide.
+    task), then ranked by running totals over buckets whose cut points come from the data.
     """
     number = F.col(value).cast("double")
     counts = (
@@ -30,7 +29,7 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     ranked = running_totals(
-        value_buckets(counts, "__v", width), ["__n"], ["__v"], VALUE_LEVELS, groups, overall=True
+        value_buckets(counts, "__v", groups), ["__n"], ["__v"], VALUE_LEVELS, groups, overall=True
     )
 
     def at(rank: Column) -> Column:
@@ -59,7 +58,7 @@ def exact_percentiles(
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def describe(df: DataFrame, value: str, groups: Sequence[str], width: float = 256.0) -> DataFrame:
+def describe(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, min, quartiles, max of a column per (small) report group."""
     number = F.col(value)
     basic = df.groupBy(*groups).agg(
@@ -69,7 +68,7 @@ def describe(df: DataFrame, value: str, groups: Sequence[str], width: float = 25
         F.min(number).alias("min"),
         F.max(number).alias("max"),
     )
-    quartiles = exact_percentiles(df, value, QUARTILES, groups, width)
+    quartiles = exact_percentiles(df, value, QUARTILES, groups)
     return basic.join(quartiles, list(groups), "left").select(
         *groups, "count", "mean", "std", "min", *QUARTILES, "max"
     )

@@ -21,6 +21,7 @@ HOT_ROWS = 1_000_000
 SLICE_BITS = 16
 HASH_COUNTERS = 4096
 NOT_SLICED = -(2**62)
+CUTS = 32
 
 
 def _list(names: Iterable[str]) -> str:
@@ -99,13 +100,18 @@ def running_totals(
     return _add_carried(within, carried, keys, totals, df.columns, overall)
 
 
+def _listed(groups: DataFrame, hot_rows: int) -> DataFrame:
+    return F.broadcast(groups) if hot_rows >= HOT_ROWS else groups
+
+
 def hot_groups(df: DataFrame, groups: Sequence[str], hot_rows: int) -> DataFrame:
     """Groups of more than `hot_rows` rows, with `__hot` = true.
 
     Rows are first counted per first group column and hash of the others: few counters, so next to
     nothing is shuffled. A counter is never below the size of a group in it, so only rows under a
     large counter, usually none, are counted by group. At most rows / hot_rows counters or groups
-    can be large (a million keys, tens of MB, for 10**12 rows): those lists get broadcast.
+    can be large (a million keys, tens of MB, for 10**12 rows): those lists get broadcast. Below
+    HOT_ROWS the lists have no such bound, and the optimizer chooses the join.
     """
     lead, rest = groups[0], groups[1:] or groups
     counter = f"pmod(xxhash64({_list(rest)}), {HASH_COUNTERS}) AS __counter"
@@ -117,11 +123,12 @@ def hot_groups(df: DataFrame, groups: Sequence[str], hot_rows: int) -> DataFrame
         .select(lead, "__counter")
     )
     return (
-        rows.join(F.broadcast(large), [lead, "__counter"])
+        rows.join(_listed(large, hot_rows), [lead, "__counter"])
         .groupBy(*groups)
         .agg(F.expr("count(1) AS __rows"))
         .where(f"__rows > {hot_rows}")
         .selectExpr(*[f"`{g}`" for g in groups], "true AS __hot")
+        .transform(_listed, hot_rows)
     )
 
 
@@ -149,7 +156,7 @@ def grouped_running_totals(
     keys = [*groups, "__slice"]
 
     within = (
-        df.join(F.broadcast(hot), groups, "left")
+        df.join(hot, groups, "left")
         .selectExpr(
             *[f"`{c}`" for c in df.columns],
             f"CASE WHEN __hot THEN {slice_of} ELSE {NOT_SLICED} END AS __slice",
@@ -157,7 +164,7 @@ def grouped_running_totals(
         .selectExpr("*", *[_before(t, keys, [order]) for t in totals])
     )
     slices = (
-        source.join(F.broadcast(hot), groups, "inner")
+        source.join(hot, groups, "inner")
         .selectExpr(*[f"`{c}`" for c in source.columns], f"{slice_of} AS __slice")
         .groupBy(*keys)
         .agg(*_sums(totals))
@@ -168,17 +175,33 @@ def grouped_running_totals(
     return _add_carried(within, carried, keys, totals, df.columns, False)
 
 
-def value_buckets(df: DataFrame, value: str, width: float | str, bits: int = 16) -> DataFrame:
-    """Two levels of buckets over a number: `__b1` is `width` wide, `__b2` joins 2**bits of them.
+def value_buckets(df: DataFrame, value: str, cut_by: Sequence[str] = ()) -> DataFrame:
+    """Two levels of buckets over a number: `__b1` is one of CUTS**2 buckets, `__b2` one of CUTS.
 
-    Rounding down a scaled number never reverses an order, so both are non-decreasing in `value`.
-    `width` is a number or a SQL expression. The buckets are declared non-null, which keeps the
-    optimizer from putting a null filter under one of two otherwise equal shuffles.
+    The cut points are a quantile sketch of the rows of `df`, which should have each value once, so
+    buckets hold about equally many rows however the values are spread. A bucket is the number of cut
+    points below the value, which never decreases along it: totals are exact wherever the cuts lie.
+    `cut_by` are columns with a few values (features, report groups) that get cut points each: they
+    reach the tasks as one row each of CUTS**2 numbers.
     """
-    width = f"{width!r}D" if isinstance(width, float) else width
-    fine = f"coalesce(CAST(floor(CAST(`{value}` AS DOUBLE) / ({width})) AS BIGINT), 0L)"
-    return df.selectExpr("*", f"{fine} AS __b1").selectExpr(
-        "*", f"shiftright(__b1, {bits}) AS __b2"
+    number = F.col(value).cast("double")
+    shares = [(i + 1) / (CUTS * CUTS) for i in range(CUTS * CUTS - 1)]
+    cuts = df.groupBy(*cut_by).agg(
+        F.percentile_approx(number, shares, 20 * CUTS * CUTS).alias("__cuts")
+    )
+    on = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in cut_by]
+    cuts = cuts.withColumnsRenamed({c: f"__of_{c}" for c in cut_by})
+    condition = on[0] if on else F.lit(True)
+    for part in on[1:]:
+        condition = condition & part
+    joined = df.join(F.broadcast(cuts), condition, "left")
+    coarse = f"size(filter(sequence(1, {CUTS - 1}), i -> __cuts[i * {CUTS} - 1] < __number))"
+    fine = f"size(filter(slice(__cuts, __b2 * {CUTS} + 1, {CUTS - 1}), c -> c < __number))"
+    kept = [f"`{c}`" for c in df.columns]
+    return (
+        joined.selectExpr(*kept, "__cuts", f"CAST(`{value}` AS DOUBLE) AS __number")
+        .selectExpr(*kept, "__cuts", "__number", f"coalesce({coarse}, 0) AS __b2")
+        .selectExpr(*kept, f"__b2 * {CUTS} + coalesce({fine}, 0) AS __b1", "__b2")
     )
 
 

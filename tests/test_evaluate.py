@@ -107,7 +107,7 @@ def test_exact_percentiles(spark, n):
     data = [(i % 2, round(pick.gauss(0, 500), 2)) for i in range(n)]
     df = spark.createDataFrame(data, "g int, v double")
     wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
-    for r in qu.exact_percentiles(df, "v", wanted, ["g"], width=3.0).collect():
+    for r in qu.exact_percentiles(df, "v", wanted, ["g"]).collect():
         values = [v for g, v in data if g == r["g"]]
         for name, p in wanted.items():
             assert r[name] == pytest.approx(np.percentile(values, 100 * p), abs=1e-9)

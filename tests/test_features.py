@@ -114,7 +114,7 @@ def test_by_role_velocity_equals_simulation(spark, hot_rows, bits):
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(-500, 500)), min_size=1, max_size=60))
 def test_running_totals_by_levels(spark, pairs):
     rows = [(g, v, i + 1) for i, (g, v) in enumerate(sorted(set(pairs)))]
-    df = ru.value_buckets(spark.createDataFrame(rows, "g int, v int, n long"), "v", 7.0, 2)
+    df = ru.value_buckets(spark.createDataFrame(rows, "g int, v int, n long"), "v", ["g"])
     out = ru.running_totals(df, ["n"], ["v"], ru.VALUE_LEVELS, ["g"], overall=True)
     got = {(r["g"], r["v"]): (r["n_before"], r["n_all"]) for r in out.collect()}
     for g, v, _ in rows:
