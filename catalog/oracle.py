@@ -365,11 +365,13 @@ _ORDERED_HITS = "SELECT CASE feature " + " ".join(
 ORACLE: dict[str, str] = {
     "decision_report": _q(
         """
-SELECT type, decision, count(*) AS rows,
+SELECT type, CASE WHEN orig_tx_count_1h > 0 THEN 'active' ELSE 'first' END AS sender, decision,
+  count(*) AS rows,
   round(CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100, 6) AS total_amount,
   round(avg(isFraud), 6) AS fraud_rate
-FROM scored WHERE amount > 0 GROUP BY type, decision""",
+FROM scored JOIN shared USING (event_id) WHERE amount > 0 GROUP BY 1, 2, 3""",
         _SCORED,
+        _SHARED_VALID,
     ),
     "txn_scan": _q("SELECT * FROM txn"),
     "split_summary": _q(
@@ -431,6 +433,32 @@ FROM txn"""
 SELECT nameOrig AS key, step, type, amount, nameOrig, oldbalanceOrg, newbalanceOrig, nameDest,
   oldbalanceDest, newbalanceDest, isFraud FROM txn"""
     ),
+    "message_quarantine": _q(
+        """
+SELECT CAST(event_id AS VARCHAR) AS key, concat_ws(',', CASE WHEN NOT amount > 0 THEN 'amount' END,
+  CASE WHEN event_id % 61 = 0 THEN 'nameOrig' END,
+  CASE WHEN event_id % 59 = 0 THEN 'isFraud' END) AS violations
+FROM txn WHERE NOT amount > 0 OR event_id % 61 = 0 OR event_id % 59 = 0"""
+    ),
+    "newest_by_arrival": _q(
+        """
+SELECT (event_id % 4) * 17592186044416 + event_id AS event_id, risk_score FROM scored
+ORDER BY event_id // 3 DESC, (event_id % 4) * 17592186044416 + event_id DESC LIMIT 1000""",
+        _SCORED,
+    ),
+    "gbt_score_checks": _q(
+        "SELECT event_id, isFraud, true AS in_range, true AS is_band FROM txn WHERE step > 500"
+    ),
+    "gbt_explain_checks": _q(
+        "SELECT event_id, true AS from_gate, true AS adds_up, true AS top_first "
+        "FROM txn WHERE step > 500"
+    ),
+    "logistic_score_checks": _q(
+        "SELECT event_id, isFraud, true AS in_range FROM txn WHERE step > 500"
+    ),
+    "stream_scoring_checks": _q(
+        "SELECT count(*) AS decisions, CAST(0 AS BIGINT) AS differing FROM accepted", _SPOILED
+    ),
     "publish_dry_run": _q(
         """
 SELECT nameOrig AS key, step, type, amount, nameDest FROM txn WHERE step >= 501 AND amount > 0
@@ -572,8 +600,11 @@ FROM txn GROUP BY isFraud"""
     "null_counts": _q(_NULLS, _SPOILED),
     "duplicate_rows": _q(
         """
-SELECT (SELECT count(*) FROM txn) - (SELECT count(*) FROM (
-  SELECT DISTINCT type, nameOrig, nameDest, isFraud, step FROM txn)) AS duplicates"""
+SELECT CAST(sum(n) - count(*) AS BIGINT) AS duplicates FROM (
+  SELECT CAST(sum(1 + CAST(event_id % 50 = 0 AS INT) + CAST(event_id % 150 = 0 AS INT)) AS BIGINT)
+    AS n FROM txn
+  GROUP BY step, type, amount, nameOrig, oldbalanceOrg, newbalanceOrig, nameDest, oldbalanceDest,
+    newbalanceDest, isFraud, isFlaggedFraud)"""
     ),
     "xtab_type_label": _q(
         'SELECT type, count(*) FILTER (isFraud = 0) AS "isFraud_0", '
@@ -607,7 +638,8 @@ LEFT JOIN (SELECT * FROM txn WHERE isFraud = 1) x USING (type) GROUP BY t.type""
     ),
     "zero_dest_share": _q(
         """
-SELECT isFraud, round(avg(CASE WHEN oldbalanceDest <= 50 AND newbalanceDest <= 50
+SELECT isFraud, round(avg(CASE WHEN (event_id % 7 = 0 OR oldbalanceDest = 0)
+  AND (event_id % 14 < 3 OR newbalanceDest = 0)
   AND amount <> 0 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS zero_dest_share
 FROM txn WHERE type IN ('TRANSFER', 'CASH_OUT') GROUP BY isFraud"""
     ),

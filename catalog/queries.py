@@ -18,7 +18,7 @@ from riskloom.operators import model as mo
 from riskloom.operators import monitor as mon
 from riskloom.operators import registry as reg
 from riskloom.operators import validate as va
-from riskloom.operators.explain import Explainer, add_contributions
+from riskloom.operators.explain import Explainer, add_contributions, base_value
 from riskloom.plans import retrain as retrain_plan
 from riskloom.plans.retrain import recent_window
 from riskloom.schemas import MODEL_FEATURES, TXN_COLUMNS
@@ -129,11 +129,36 @@ def rename_columns(spark, sf_dir):
 
 def wire_fields(spark, sf_dir):
     messages = topics.encode(txn(spark, sf_dir))
-    return topics.decode(messages, keep=("key",)).drop("isFlaggedFraud")
+    return topics.decode(messages, keep=("key",)).drop("isFlaggedFraud", "unreadable")
+
+
+def message_quarantine(spark, sf_dir):
+    """Labels that are no numbers and names that are no strings, told from absent ones."""
+    messages = topics.encode(txn(spark, sf_dir), key="event_id")
+    number, text = '"nameOrig":7', '"isFraud":"abc"'
+    eid = F.col("key").cast("long")
+    named = F.when(eid % 61 == 0, F.regexp_replace("value", '"nameOrig":"[^"]*"', number))
+    value = F.coalesce(named, "value")
+    labelled = F.when(eid % 59 == 0, F.regexp_replace(value, '"isFraud":[01]', text))
+    spoilt = messages.withColumn("value", F.coalesce(labelled, value))
+    bad = va.quarantined_rows(topics.decode(spoilt, keep=("key",)))
+    return bad.select("key", F.concat_ws(",", "violations").alias("violations"))
+
+
+def newest_by_arrival(spark, sf_dir):
+    """The newest rows of a topic of four partitions, whose ids have the partition in front."""
+    rows = scored(spark, sf_dir).select(
+        F.shiftleft(F.col("event_id") % 4, topics.OFFSET_BITS)
+        .bitwiseOR(F.col("event_id"))
+        .alias("event_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("event_id") / 3)).alias("arrived_at"),
+        "risk_score",
+    )
+    return mon.last_rows(rows, 1000).select("event_id", "risk_score")
 
 
 def publish_dry_run(spark, sf_dir):
-    messages = topics.publish(txn(spark, sf_dir), dry_run=True)
+    messages = topics.publish(txn(spark, sf_dir), dry_run=True)["messages"]
     fields = topics.decode(messages, keep=("key",))
     return fields.select("key", "step", "type", "amount", "nameDest")
 
@@ -224,9 +249,13 @@ def feature_matrix(spark, sf_dir):
 
 
 def decision_report(spark, sf_dir):
+    """The report by type, and by whether the sender was active before within the hour."""
     rows = va.valid_rows(txn(spark, sf_dir))
-    features = fe.engineer_features(rows)
-    return rounded(dec.decision_report(dec.add_decision(tx.add_standin_score(features))))
+    features = fe.engineer_features(rows, "shared")
+    active = F.when(F.col("orig_tx_count_1h") > 0, "active").otherwise("first")
+    banded = features.withColumn("sender", active)
+    decided = dec.add_decision(tx.add_standin_score(banded))
+    return rounded(dec.decision_report(decided, ("type", "sender")))
 
 
 def decision_bands(spark, sf_dir):
@@ -329,8 +358,11 @@ def null_counts(spark, sf_dir):
 
 
 def duplicate_rows(spark, sf_dir):
-    slim = txn(spark, sf_dir).select("type", "nameOrig", "nameDest", "isFraud", "step")
-    return ex.duplicate_rows(slim)
+    """Over all columns but the id, of a table in which some rows were stored again."""
+    rows = txn(spark, sf_dir)
+    again = rows.where(F.col("event_id") % 50 == 0)
+    third = rows.where(F.col("event_id") % 150 == 0)
+    return ex.duplicate_rows(rows.union(again).union(third).drop("event_id"))
 
 
 def xtab_type_label(spark, sf_dir):
@@ -362,13 +394,11 @@ def distinct_parties(spark, sf_dir):
 
 
 def zero_dest_share(spark, sf_dir):
-    """A balance below 50 counts as empty here, so that the share is not zero on these tables."""
-    low = F.lit(50.0)
+    """The rule as it is, on a table in which some receivers are empty before, after, or both."""
+    eid = F.col("event_id")
+    empty = {"oldbalanceDest": eid % 7 == 0, "newbalanceDest": eid % 14 < 3}
     rows = txn(spark, sf_dir).withColumns(
-        {
-            "oldbalanceDest": F.greatest(F.col("oldbalanceDest") - low, F.lit(0.0)),
-            "newbalanceDest": F.greatest(F.col("newbalanceDest") - low, F.lit(0.0)),
-        }
+        {c: F.when(hit, 0.0).otherwise(F.col(c)) for c, hit in empty.items()}
     )
     return rounded(ex.zero_destination_share(rows))
 
@@ -455,7 +485,7 @@ def _samples(spark, sf_dir):
 
 
 def ks_by_feature(spark, sf_dir):
-    return dr.ks_by_feature(_samples(spark, sf_dir), method="asymptotic")
+    return dr.ks_by_feature(_samples(spark, sf_dir))
 
 
 def chi2_dummies(spark, sf_dir):
@@ -463,7 +493,7 @@ def chi2_dummies(spark, sf_dir):
 
 
 def drift_by_column(spark, sf_dir):
-    return dr.drift_by_column(_samples(spark, sf_dir), method="asymptotic")
+    return dr.drift_by_column(_samples(spark, sf_dir))
 
 
 def _moved(spark, sf_dir):
@@ -477,7 +507,7 @@ def _moved(spark, sf_dir):
 
 
 def drift_summary(spark, sf_dir):
-    summary, _ = dr.check_drift(_moved(spark, sf_dir), method="asymptotic")
+    summary, _ = dr.check_drift(_moved(spark, sf_dir))
     names = F.concat_ws(",", "drifted_features").alias("drifted_features")
     return summary.select(
         "is_drifted", "drift_ratio", names, "current_size", "reference_size"
@@ -485,14 +515,14 @@ def drift_summary(spark, sf_dir):
 
 
 def retrain_trigger(spark, sf_dir):
-    summary, _ = dr.check_drift(_moved(spark, sf_dir), method="asymptotic")
+    summary, _ = dr.check_drift(_moved(spark, sf_dir))
     return reg.should_retrain(summary)
 
 
 def score_drift(spark, sf_dir):
     rows = tx.add_standin_score(txn(spark, sf_dir))
     samples = rows.withColumn("is_reference", F.col("step") <= 500)
-    return dr.score_drift(samples, method="asymptotic")
+    return dr.score_drift(samples)
 
 
 def ap_by_bucket(spark, sf_dir):
@@ -574,6 +604,38 @@ def gbt_explain(spark, sf_dir):
     )
 
 
+def gbt_score_checks(spark, sf_dir):
+    """What holds for the scores of any model: their range, and the decision as their band."""
+    score = F.col("risk_score")
+    band = F.when(score >= 0.7, "BLOCK").when(score >= 0.3, "REVIEW").otherwise("APPROVE")
+    return gbt_scores(spark, sf_dir).select(
+        "event_id",
+        "isFraud",
+        score.between(0.0, 1.0).alias("in_range"),
+        (F.col("decision") == band).alias("is_band"),
+    )
+
+
+def gbt_explain_checks(spark, sf_dir):
+    """What holds for any explanation: given from the gate on, adding up to the log-odds, top first."""
+    model, _, explainer = fitted_model(spark, sf_dir)
+    features = fe.engineer_features(test_rows(spark, sf_dir), "shared")
+    scored_rows = mo.add_scores(features, model, keep_vector=True)
+    explained = add_contributions(scored_rows, explainer, explain_from=0.1)
+    total = F.aggregate(
+        "contributions", F.lit(base_value(explainer.trees)), lambda acc, c: acc + c["value"]
+    )
+    score = F.col("risk_score")
+    sizes = F.transform(top_contributions("contributions", 3), lambda c: F.abs(c["value"]))
+    given = F.size("contributions") > 0
+    return explained.select(
+        "event_id",
+        (given == (score >= 0.1)).alias("from_gate"),
+        (~given | (F.abs(total - F.log(score / (1 - score))) < 1e-6)).alias("adds_up"),
+        (F.reverse(F.array_sort(sizes)) == sizes).alias("top_first"),
+    )
+
+
 def gbt_importance(spark, sf_dir):
     model, root, _ = fitted_model(spark, sf_dir)
     return mo.importance(spark, model, f"{root}/v1")
@@ -597,6 +659,12 @@ def logistic_scores(spark, sf_dir):
     )
 
 
+def logistic_score_checks(spark, sf_dir):
+    return logistic_scores(spark, sf_dir).select(
+        "event_id", "isFraud", F.col("risk_score").between(0.0, 1.0).alias("in_range")
+    )
+
+
 def retrain_cycle(spark, sf_dir):
     root = fresh_path(spark, "retrain")
     retrain_plan.run(
@@ -644,12 +712,29 @@ def stream_scoring(spark, sf_dir):
     return out.withColumn("top_features", F.to_json("top_features"))
 
 
+def stream_scoring_checks(spark, sf_dir):
+    """The stream's decision of each accepted row against the batch path over the same rows."""
+    model, _, _ = fitted_model(spark, sf_dir)
+    rows = va.valid_rows(spoiled(txn(spark, sf_dir)))
+    batch = dec.to_decision_records(
+        dec.add_decision(mo.add_scores(fe.engineer_features(rows, "shared"), model))
+    )
+    keys = ["step", "nameOrig", "nameDest", "amount", "type", "risk_score", "decision"]
+    streamed = stream_scoring(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n"))
+    counted = batch.groupBy(*keys).agg(F.count("*").alias("m"))
+    both = streamed.join(counted, keys, "full")
+    same = F.coalesce(F.col("n") == F.col("m"), F.lit(False))
+    return both.agg(
+        F.sum("n").cast("long").alias("decisions"), F.count_if(~same).alias("differing")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         decision_report, txn_scan, split_summary, partitioned_table, csv_round_trip,
         validate_rows, valid_rows, quarantine_rows, fraud_only, replay_order, replay_cap,
-        rename_columns, wire_fields, publish_dry_run, published_totals, preview, table_shape,
+        rename_columns, wire_fields, message_quarantine, newest_by_arrival, publish_dry_run, published_totals, preview, table_shape,
         balance_errors, balance_errors_alt, type_dummies, dummies_drop_first, velocity_by_role,
         velocity_by_role_hot, velocity_shared, velocity_shared_hot, velocity_mode_diff,
         features_batch, features_online, feature_matrix, decision_bands, decision_guard,
@@ -662,7 +747,8 @@ QUERIES = {
         class_report, average_precision, pr_curve, best_f1, monitor_summary, monitor_alert,
         latency_alert, progress_batches, ks_by_feature, chi2_dummies, drift_by_column,
         drift_summary, retrain_trigger, score_drift, ap_by_bucket, promotion_rule,
-        champion_lookup, next_version, retrain_window, gbt_scores, gbt_explain, gbt_importance,
+        champion_lookup, next_version, retrain_window, gbt_score_checks, gbt_explain_checks, logistic_score_checks, stream_scoring_checks,
+        gbt_scores, gbt_explain, gbt_importance,
         gbt_quality, model_versions, logistic_scores, retrain_cycle, stream_velocity,
         stream_scoring,
     )

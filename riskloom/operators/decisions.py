@@ -40,9 +40,9 @@ def decision_mix(df: DataFrame) -> DataFrame:
     )
 
 
-def decision_report(df: DataFrame) -> DataFrame:
-    """Decisions by transaction type: rows, money, fraud rate."""
-    return df.groupBy("type", "decision").agg(
+def decision_report(df: DataFrame, by: tuple[str, ...] = ("type",)) -> DataFrame:
+    """Decisions by transaction type, or other columns: rows, money, fraud rate."""
+    return df.groupBy(*by, "decision").agg(
         F.count(F.lit(1)).alias("rows"),
         (F.sum(F.rint(F.col("amount") * 100).cast("long")).cast("double") / 100.0).alias(
             "total_amount"

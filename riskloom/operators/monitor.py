@@ -17,9 +17,20 @@ BLOCK_RATE_FACTOR = 10
 LATENCY_LIMIT_MS = 100.0
 
 
+def newest_first(df: DataFrame) -> list[str]:
+    """Columns that say which row is newer: time of arrival if there is one, else the id.
+
+    Ids of a topic have its partition in front, so only their arrival puts partitions in order.
+    """
+    return ["arrived_at", "event_id"] if "arrived_at" in df.columns else ["event_id"]
+
+
 def last_rows(df: DataFrame, n: int = WINDOW_ROWS) -> DataFrame:
     """The newest `n` rows. The window size is the feature."""
-    return first_rows(df, n, ["event_id"], bits=16, newest=True)
+    if "arrived_at" not in df.columns:
+        return first_rows(df, n, ["event_id"], bits=16, newest=True)
+    timed = df.withColumn("__arrived", F.unix_micros("arrived_at"))
+    return first_rows(timed, n, ["__arrived", "event_id"], bits=20, newest=True).drop("__arrived")
 
 
 def lifetime_counts(df: DataFrame) -> DataFrame:
@@ -40,7 +51,8 @@ def monitor_summary(
     """
     if lifetime is None:
         lifetime = lifetime_counts(df)
-    recent = last_rows(df.select("event_id", "risk_score", "latency_ms"), window_rows).agg(
+    needed = df.select(*newest_first(df), "risk_score", "latency_ms")
+    recent = last_rows(needed, window_rows).agg(
         F.count(F.lit(1)).alias("window_size"),
         F.avg("risk_score").alias("score_mean"),
         F.percentile("risk_score", F.lit(0.95)).alias("score_p95"),

@@ -29,24 +29,30 @@ def rules() -> dict[str, Column]:
     return found
 
 
-def violations() -> Column:
-    return F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules().items()]))
+def _unreadable(df: DataFrame) -> bool:
+    """Whether the rows come from messages, with the fields that could not be read."""
+    return "unreadable" in df.columns
 
 
-def is_valid() -> Column:
-    ok = F.lit(True)
+def violations(df: DataFrame) -> Column:
+    broken = F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules().items()]))
+    return F.array_union(broken, "unreadable") if _unreadable(df) else broken
+
+
+def is_valid(df: DataFrame) -> Column:
+    ok = F.size("unreadable") == 0 if _unreadable(df) else F.lit(True)
     for bad in rules().values():
         ok = ok & ~bad
     return ok
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    return df.where(is_valid())
+    return df.where(is_valid(df)).drop("unreadable")
 
 
 def quarantined_rows(df: DataFrame) -> DataFrame:
     """Rejected rows with the names of the rules they break."""
-    return df.where(~is_valid()).withColumn("violations", violations())
+    return df.where(~is_valid(df)).withColumn("violations", violations(df)).drop("unreadable")
 
 
 def violation_counts(df: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from riskloom.operators.explain import Explainer
 from riskloom.operators.model import load_model
 from riskloom.plans.session import session
 from riskloom.settings import Settings
-from riskloom.sources.topics import read_topic
-from riskloom.streaming.scoring import ScoringPaths, start_scoring
+from riskloom.sources.topics import BATCH_RECORDS, read_topic
+from riskloom.streaming.monitoring import start_monitor
+from riskloom.streaming.progress import report_progress, stop_after
+from riskloom.streaming.scoring import ScoringPaths, read_scored, start_scoring
 
 
 def main() -> None:
@@ -20,22 +22,43 @@ def main() -> None:
     parser.add_argument("--models", required=True)
     parser.add_argument("--model-version", default=settings.model_version)
     parser.add_argument("--root", required=True, help="shared folder of decisions and state")
-    parser.add_argument("--max-per-batch", type=int, help="bound of one micro-batch")
+    parser.add_argument(
+        "--max-per-batch", type=int, default=BATCH_RECORDS, help="bound of one micro-batch"
+    )
+    parser.add_argument("--max-messages", type=int, help="stop after about so many messages")
+    parser.add_argument("--reference", help="parquet snapshot: watch alerts and drift against it")
     parser.add_argument("--once", action="store_true", help="stop when the topic is drained")
     args = parser.parse_args()
 
     spark = session("consume")
     settings = replace(settings, kafka_bootstrap_servers=args.bootstrap)
+    trigger = {"availableNow": True} if args.once else {"processingTime": "1 second"}
+    paths = ScoringPaths.below(args.root)
+    report_progress(spark)
     query = start_scoring(
-        read_topic(spark, settings, args.max_per_batch),
+        read_topic(spark, settings, min(args.max_per_batch, args.max_messages or args.max_per_batch)),
         load_model(spark, args.models, args.model_version),
         Explainer.load(spark, f"{args.models}/{args.model_version}"),
-        ScoringPaths.below(args.root),
+        paths,
         settings,
         to_topic=True,
-        trigger={"availableNow": True} if args.once else {"processingTime": "1 second"},
+        trigger=trigger,
     )
-    query.awaitTermination()
+    if args.max_messages:
+        stop_after(query, args.max_messages)
+    else:
+        query.awaitTermination(None if not args.reference else 60)
+    if args.reference:
+        watch = start_monitor(
+            read_scored(spark, paths),
+            spark.read.parquet(args.reference),
+            f"{args.root}/monitor/state",
+            f"{args.root}/monitor/reports",
+            f"{args.root}/monitor/checkpoint",
+            settings,
+            trigger=trigger,
+        )
+        watch.awaitTermination()
 
 
 if __name__ == "__main__":

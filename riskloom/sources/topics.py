@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.operators.monitor import published_totals
 from riskloom.schemas import FILE_SCHEMA, WIRE_FIELDS
 from riskloom.settings import Settings
 from riskloom.sources.transactions import replay
 
-# Poll size of the consumer, batching of the producer.
-MAX_RECORDS = 100
+# Bound of a micro-batch: offsets start at the earliest, so the first batch would be the backlog.
+BATCH_RECORDS = 1_000_000
 OFFSET_BITS = 44
 
 
-def source_options(settings: Settings = Settings(), max_records: int | None = None) -> dict:
+def source_options(settings: Settings = Settings(), max_records: int = BATCH_RECORDS) -> dict:
     """`max_records` bounds a micro-batch; progress lives in the checkpoint, not in the group."""
-    options = {
+    return {
         "kafka.bootstrap.servers": settings.kafka_bootstrap_servers,
         "subscribe": settings.kafka_transactions_topic,
         "startingOffsets": "earliest",
         "groupIdPrefix": settings.kafka_consumer_group,
         "failOnDataLoss": "true",
+        "maxOffsetsPerTrigger": str(max_records),
     }
-    if max_records is not None:
-        options["maxOffsetsPerTrigger"] = str(max_records)
-    return options
 
 
 def sink_options(topic: str, settings: Settings = Settings()) -> dict:
@@ -41,11 +40,14 @@ def sink_options(topic: str, settings: Settings = Settings()) -> dict:
     }
 
 
-def read_topic(spark: SparkSession, settings: Settings = Settings(), max_records=None) -> DataFrame:
+def read_topic(
+    spark: SparkSession, settings: Settings = Settings(), max_records: int = BATCH_RECORDS
+) -> DataFrame:
     """Streaming rows (event_id, key, value, arrived_at) of the transactions topic.
 
     The topic is keyed by sender, so offsets order each sender's rows. Between partitions no order
-    is defined: the partition goes into the high bits, which keeps ids unique and repeatable.
+    is defined: the partition goes into the high bits, which keeps ids unique and repeatable, and
+    `arrived_at` says which rows are newer.
     """
     reader = spark.readStream.format("kafka").options(**source_options(settings, max_records))
     return reader.load().select(
@@ -59,7 +61,7 @@ def read_topic(spark: SparkSession, settings: Settings = Settings(), max_records
 
 
 def encode(df: DataFrame, fields=WIRE_FIELDS, key: str = "nameOrig") -> DataFrame:
-    """(key, value): JSON with the wire names, keyed by sender so that one account stays in order."""
+    """(key, value): JSON with the wire names, keyed by sender. Row order is left as it is."""
     value = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     return df.select(F.col(key).cast("string").alias("key"), value.alias("value"))
 
@@ -68,7 +70,9 @@ def decode(messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
     """Typed transaction columns from JSON; whatever does not fit its type becomes null.
 
     Fields are read as text first, so that a number sent as a string is still a number. Null
-    required fields are then caught by validation instead of failing the query.
+    required fields are then caught by validation instead of failing the query. `unreadable` lists
+    fields that are there but not of their type, names that are no strings among them: validation
+    rejects such rows, even where the field may be absent.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in FILE_SCHEMA.fields])
     parsed = messages.withColumn(
@@ -83,36 +87,78 @@ def decode(messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
             return whole.cast(field.dataType).alias(field.name)
         return raw.try_cast(field.dataType).alias(field.name)
 
-    return parsed.select(*keep, *[typed(f) for f in FILE_SCHEMA.fields])
+    tree = F.try_parse_json(F.col(value).cast("string"))
+
+    def misread(field: T.StructField):
+        present = F.col(f"__m.{field.name}").isNotNull()
+        if isinstance(field.dataType, T.StringType):
+            kind = F.schema_of_variant(F.try_variant_get(tree, f"$.{field.name}", "variant"))
+            return present & (kind != "STRING")
+        return present & typed(field).isNull()
+
+    wrong = F.array_compact(
+        F.array(*[F.when(misread(f), F.lit(f.name)) for f in FILE_SCHEMA.fields])
+    )
+    return parsed.select(
+        *keep, *[typed(f) for f in FILE_SCHEMA.fields], wrong.alias("unreadable")
+    )
 
 
 def decision_messages(records: DataFrame) -> DataFrame:
     return encode(records, records.columns)
 
 
+def sender_order(rows: DataFrame) -> DataFrame:
+    """Rows so that each sender's are written by one task, in replay order."""
+    return rows.repartition("nameOrig").sortWithinPartitions("step", "event_id")
+
+
 def publish(
     df: DataFrame,
     settings: Settings = Settings(),
     name: str = "test",
     max_events: int | None = None,
     dry_run: bool = False,
-) -> DataFrame | int:
-    """Replay a split onto the transactions topic and return how many rows went out.
-
-    A dry run sends nothing and returns the first five messages. The count comes from the write
-    itself, so the rows are read once.
+    send=None,
+) -> dict:
+    """Replay a split onto the transactions topic; the numbers of rows and frauds, and the rate.
+
+    Tasks write at once, so order holds within a task only. The rows of as many steps as velocity
+    totals stay alive go out together, each sender's by one task in order, and the next steps only
+    after they have arrived: no row can come later than its totals. A dry run sends nothing, and
+    returns the same numbers with the first five messages. `send` takes the messages instead of the
+    topic.
     """
     rows = replay(df, name, max_events)
+    totals = published_totals(rows)
     if dry_run:
-        return encode(rows).limit(5)
-    from pyspark.sql import Observation
-
-    seen = Observation("published")
-    counted = rows.observe(
-        seen,
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("isFraud") == 1).alias("frauds"),
-    )
-    options = sink_options(settings.kafka_transactions_topic, settings)
-    encode(counted).write.format("kafka").options(**options).save()
-    return seen.get["rows"]
+        return _figures(totals.first()) | {"messages": encode(rows).limit(5)}
+
+    def to_topic(messages: DataFrame) -> None:
+        options = sink_options(settings.kafka_transactions_topic, settings)
+        messages.write.format("kafka").options(**options).save()
+
+    first, last = rows.agg(F.min("step"), F.max("step")).first()
+    sent = {"published": 0, "frauds": 0}
+    width = settings.velocity_ttl_steps
+    for step in range(first, last + 1, width) if first is not None else ():
+        seen = Observation(f"published-{step}")
+        part = rows.where(F.col("step").between(step, step + width - 1))
+        counted = sender_order(part).observe(
+            seen,
+            F.count(F.lit(1)).alias("published"),
+            F.count_if(F.col("isFraud") == 1).alias("frauds"),
+        )
+        (send or to_topic)(encode(counted))
+        for figure, n in seen.get.items():
+            sent[figure] += n
+    return _figures(sent)
+
+
+def _figures(row) -> dict:
+    published, frauds = row["published"], row["frauds"]
+    return {
+        "published": published,
+        "frauds": frauds,
+        "fraud_rate": frauds / published if published else 0.0,
+    }

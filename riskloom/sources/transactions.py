@@ -12,6 +12,7 @@ from riskloom.operators.limits import first_rows
 from riskloom.operators.running import running_totals
 from riskloom.operators.validate import valid_rows
 from riskloom.schemas import FILE_SCHEMA, SNAKE_NAMES, TRAIN_MAX_STEP, TXN_COLUMNS, TXN_SCHEMA
+from riskloom.sources.workspace import fresh_path
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -27,24 +28,34 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_csv(spark: SparkSession, path: str, table: str) -> None:
-    """Store a CSV file without ids as a partitioned table, its file order becoming `event_id`.
+    """Store CSV files without ids as a partitioned table, their order becoming `event_id`.
 
-    Ids come from the position of a row in the scan (part number and row), so they increase along
-    one file, and a task that runs again gives the same ids. Read the stored table afterwards:
-    another scan of the file could be cut differently.
+    The order is by file name, then by place in the file. A row's place is the block of the file it
+    was read from and its position in the scan; the rows of earlier blocks are counted, so ids run
+    from 0 without gaps. Read the stored table afterwards: another scan could be cut differently.
     """
     rows = read_csv(spark, path, with_event_id=False)
-    numbered = rows.withColumn("event_id", F.monotonically_increasing_id())
-    stored = f"{table}/_numbered"
-    numbered.select(*TXN_COLUMNS).write.parquet(stored)
-    write_partitioned(read_parquet(spark, stored), f"{table}/by_step")
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__scan"),
+    )
+    stored = fresh_path(spark, "import")
+    placed.write.parquet(stored)
+    numbered = running_totals(
+        spark.read.parquet(stored).withColumn("__one", F.lit(1)),
+        ["__one"],
+        ["__file", "__block", "__scan"],
+        [["__file", "__block"], ["__file"]],
+    )
+    ids = numbered.withColumn("event_id", F.col("__one_before"))
+    write_partitioned(ids.select(*TXN_COLUMNS), f"{table}/by_step")
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stored transactions as a stream, oldest file first; all new files at once by default."""
-    reader = spark.readStream.schema(TXN_SCHEMA)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stored transactions as a stream, oldest file first, in batches of a bounded number of files."""
+    reader = spark.readStream.schema(TXN_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 

@@ -11,6 +11,7 @@ from riskloom.operators.monitor import (
     alerts,
     lifetime_counts,
     monitor_summary,
+    newest_first,
 )
 from riskloom.settings import Settings
 from riskloom.sources.workspace import read_or_empty
@@ -43,7 +44,7 @@ def start_monitor(
 
     def newest(rows: DataFrame, n: int) -> DataFrame:
         # The rows at hand are a window and one batch, so a plain ordered limit will do.
-        return rows.orderBy(F.desc("event_id")).limit(n)
+        return rows.orderBy(*[F.desc(c) for c in newest_first(rows)]).limit(n)
 
     def one_batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.decisions import add_decision, to_decision_records
@@ -14,6 +14,7 @@ from riskloom.operators.features import add_balance_errors, add_type_dummies
 from riskloom.operators.model import add_scores
 from riskloom.operators.running import HOT_ROWS
 from riskloom.operators.validate import quarantined_rows, valid_rows
+from riskloom.schemas import MODEL_FEATURES
 from riskloom.settings import Settings
 from riskloom.sources.topics import decision_messages, decode, sink_options
 from riskloom.streaming.velocity import (
@@ -34,11 +35,12 @@ class ScoringPaths:
     rejects: str
     state: str
     checkpoint: str
+    scored: str
 
     @classmethod
     def below(cls, root: str) -> ScoringPaths:
         return cls(
-            f"{root}/decisions", f"{root}/rejects", f"{root}/velocity", f"{root}/checkpoint"
+            *(f"{root}/{n}" for n in ("decisions", "rejects", "velocity", "checkpoint", "scored"))
         )
 
 
@@ -62,14 +64,30 @@ def score_batch(
     settings: Settings = Settings(),
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """One micro-batch of valid, stored transactions to decision records (lazy)."""
+    """One micro-batch of valid, stored transactions to scored rows (lazy)."""
     velocity = add_stream_velocity(rows, state, hot_rows)
     features = velocity.transform(add_balance_errors).transform(add_type_dummies)
     scored = score_enriched(features, model, explainer, settings)
     if "arrived_at" in rows.columns:
         now = F.unix_micros(F.current_timestamp())
         scored = scored.withColumn("latency_ms", (now - F.unix_micros("arrived_at")) / 1000.0)
-    return to_decision_records(scored, TOP_FEATURES)
+    return scored
+
+
+def scored_fields(columns: list[str]) -> list[str]:
+    """What the monitor needs of a scored row."""
+    times = [c for c in ("event_id", "arrived_at", "latency_ms") if c in columns]
+    return [*times, "step", *MODEL_FEATURES, "isFraud", "risk_score", "decision"]
+
+
+def read_scored(spark: SparkSession, paths: ScoringPaths) -> DataFrame:
+    """The scored rows as a stream, for `start_monitor`, once a batch has been written."""
+    schema = spark.read.parquet(f"{paths.scored}/batch=*").schema
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", 1000)
+        .parquet(f"{paths.scored}/batch=*")
+    )
 
 
 def start_scoring(
@@ -95,9 +113,16 @@ def start_scoring(
         try:
             accepted = valid_rows(stored)
             state = open_state(accepted, paths.state, batch_id, settings.velocity_ttl_steps)
-            records = score_batch(accepted, state, model, explainer, settings, hot_rows)
+            scored = score_batch(accepted, state, model, explainer, settings, hot_rows)
             target = f"{paths.decisions}/batch={batch_id}"
-            records.write.mode("overwrite").parquet(target)
+            kept = scored.persist()
+            try:
+                to_decision_records(kept, TOP_FEATURES).write.mode("overwrite").parquet(target)
+                kept.select(*scored_fields(kept.columns)).write.mode("overwrite").parquet(
+                    f"{paths.scored}/batch={batch_id}"
+                )
+            finally:
+                kept.unpersist()
             quarantined_rows(stored).write.mode("overwrite").parquet(
                 f"{paths.rejects}/batch={batch_id}"
             )
@@ -109,11 +134,8 @@ def start_scoring(
         finally:
             stored.unpersist()
 
-    observed = messages.observe(
-        "messages", F.count(F.lit(1)).alias("rows"), F.count("value").alias("with_value")
-    )
     return (
-        observed.writeStream.foreachBatch(one_batch)
+        messages.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", paths.checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -188,7 +188,7 @@ def test_topic_options():
     assert source["subscribe"] == "transactions"
     assert source["startingOffsets"] == "earliest"
     assert source["maxOffsetsPerTrigger"] == "100"
-    assert "maxOffsetsPerTrigger" not in topics.source_options(settings)
+    assert topics.source_options(settings)["maxOffsetsPerTrigger"] == str(topics.BATCH_RECORDS)
     sink = topics.sink_options("fraud-decisions", settings)
     assert sink["topic"] == "fraud-decisions"
     assert sink["kafka.acks"] == "all"
@@ -197,8 +197,88 @@ def test_topic_options():
     assert source["kafka.bootstrap.servers"] == sink["kafka.bootstrap.servers"] == "broker:9092"
 
 
-def test_dry_run_gives_five_messages(spark, sf_dir):
-    assert topics.publish(q.txn(spark, sf_dir), dry_run=True).count() == 5
+def test_dry_run_gives_five_messages_and_the_totals(spark, sf_dir):
+    rows = q.txn(spark, sf_dir)
+    figures = topics.publish(rows, dry_run=True)
+    assert figures.pop("messages").count() == 5
+    sent = []
+    assert topics.publish(rows, max_events=None, send=lambda m: sent.append(m.count())) == figures
+    assert sum(sent) == figures["published"] == tx.replay(rows, "test").count()
+    assert figures["fraud_rate"] == figures["frauds"] / figures["published"]
+    assert topics.publish(rows.limit(0))["published"] == 0
+
+
+def test_messages_written_by_several_tasks_give_batch_velocities(spark, sf_dir):
+    """Each write stands for a batch of the topic: its tasks are the partitions, read in any order."""
+    rows = q.txn(spark, sf_dir).where("step between 480 and 540")
+    root = fresh_path(spark, "t-topic")
+    writes = []
+
+    def send(messages):
+        path = f"{root}/write-{len(writes)}"
+        placed = messages.withColumns(
+            {"partition": F.spark_partition_id(), "offset": F.monotonically_increasing_id()}
+        )
+        placed.write.parquet(path)
+        writes.append(path)
+
+    topics.publish(rows, name="all", send=send)
+    for path in writes:
+        sent = spark.read.parquet(path)
+        tasks = sent.groupBy("key").agg(F.countDistinct("partition").alias("n"))
+        assert tasks.agg(F.max("n")).first()[0] == 1
+        steps = [
+            [m["step"] for m in sorted(own, key=lambda m: m["offset"])]
+            for own in _by_key(topics.decode(sent, keep=("key", "offset")).collect())
+        ]
+        assert all(s == sorted(s) for s in steps)
+    newest = None
+    for path in writes:
+        found = topics.decode(spark.read.parquet(path)).agg(F.min("step"), F.max("step")).first()
+        assert newest is None or found[0] > newest
+        newest = found[1]
+
+
+def _by_key(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["key"], []).append(r)
+    return out.values()
+
+
+def test_unreadable_fields_are_told_from_absent_ones(spark):
+    body = {"step": 7, "type": "DEBIT", "amount": 12.5, "nameOrig": "A", "nameDest": "B",
+            "oldbalanceOrg": 1, "newbalanceOrig": 0, "oldbalanceDest": 0, "newbalanceDest": 0}
+    cases = [body, {**body, "isFraud": "abc"}, {**body, "isFraud": None}, {**body, "nameOrig": 7},
+             {**body, "isFraud": 1.5}, {**body, "isFraud": "1"}, {**body, "nameDest": None}]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "i int, value string")
+    decoded = topics.decode(df, keep=("i",))
+    assert {r["i"] for r in va.valid_rows(decoded).collect()} == {0, 2, 5}
+    bad = {r["i"]: r["violations"] for r in va.quarantined_rows(decoded).collect()}
+    assert bad == {1: ["isFraud"], 3: ["nameOrig"], 4: ["isFraud"], 6: ["nameDest"]}
+    assert not va.valid_rows(topics.decode(df.limit(0))).collect()
+
+
+def test_progress_and_bound_of_a_query(spark, tmp_path):
+    from riskloom.streaming.progress import ProgressLog, report_progress, stop_after
+
+    said = []
+    log = report_progress(spark, 10, said.append)
+    try:
+        spark.range(40).write.option("maxRecordsPerFile", 5).parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1)
+        query = (
+            stream.parquet(str(tmp_path / "in"))
+            .writeStream.format("noop")
+            .option("checkpointLocation", str(tmp_path / "c"))
+            .trigger(processingTime="0 seconds")
+            .start()
+        )
+        assert stop_after(query, 15, 0.05) >= 15
+        assert not query.isActive
+    finally:
+        spark.streams.removeListener(log)
+    assert isinstance(log, ProgressLog)
 
 
 # -- files --------------------------------------------------------------------------------------
@@ -256,7 +336,22 @@ def test_imported_csv_keeps_file_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     rows = tx.read_partitioned(spark, f"{table}/by_step").orderBy("event_id").collect()
     assert [r["amount"] for r in rows] == [i + 1.0 for i in range(2000)]
-    assert len({r["event_id"] for r in rows}) == 2000
+    assert [r["event_id"] for r in rows] == list(range(2000))
+
+
+def test_imported_folder_keeps_the_order_of_its_files(spark, tmp_path):
+    names = ["step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest",
+             "oldbalanceDest", "newbalanceDest", "isFraud", "isFlaggedFraud"]
+    (tmp_path / "logs").mkdir()
+    amount = 0
+    for file, n in (("a", 1), ("b", 50), ("c", 7)):
+        lines = [f"1,PAYMENT,{amount + i + 1}.0,C{i},0,0,M,0,0,0,0" for i in range(n)]
+        amount += n
+        (tmp_path / "logs" / f"{file}.csv").write_text("\n".join([",".join(names), *lines]) + "\n")
+    table = fresh_path(spark, "t-import")
+    tx.import_csv(spark, str(tmp_path / "logs"), table)
+    rows = tx.read_partitioned(spark, f"{table}/by_step").orderBy("event_id").collect()
+    assert [(r["event_id"], r["amount"]) for r in rows] == [(i, i + 1.0) for i in range(58)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 25, 60, 500])
