@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -97,8 +98,8 @@ def train_boosted(
     """Class-weighted boosted trees over engineered features.
 
     With `validation`, the number of rounds is the one with the best average precision there:
-    the full model is scored after every `probe_every` trees in one pass, and the shorter model is
-    fitted again, which with the same seed gives the same first trees.
+    the full model is scored after every `probe_every` trees in one pass, and its first trees are
+    the shorter model. They are those that a fit of so many rounds with the same seed would give.
     """
     weight = positive_weight(train)
     rows = add_class_weight(assemble(train), weight).select("features", "isFraud", "weight")
@@ -120,7 +121,21 @@ def train_boosted(
         for row in average_precision(scored, ["rounds"]).collect()  # one row per probe
     ]
     best = choose_rounds(by_round, params.patience)
-    return model if best >= params.rounds else _fit(rows, replace(params, rounds=best))
+    return model if best >= params.rounds else first_trees(spark, path, best)
+
+
+def first_trees(spark: SparkSession, path: str, rounds: int) -> GBTClassificationModel:
+    """The model of the first trees of a saved one: its node table, cut, under its own metadata."""
+    target = fresh_path(spark, "first-trees")
+    for part in ("data", "treesMetadata"):
+        saved = spark.read.parquet(f"{path}/{part}")
+        saved.where(F.col(saved.columns[0]) < rounds).write.parquet(f"{target}/{part}")
+    metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    metadata["numTrees"] = metadata["paramMap"]["maxIter"] = rounds
+    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.text(
+        f"{target}/metadata"
+    )
+    return GBTClassificationModel.load(target)
 
 
 def add_scores(
@@ -221,6 +236,3 @@ def load_model(spark: SparkSession, root: str, version: str) -> GBTClassificatio
         raise ValueError(f"model {version!r} was trained on other features: {found['features']}")
     return GBTClassificationModel.load(f"{root}/{version}")
 
-
-def params_as_dict(params: BoostingParams) -> dict:
-    return asdict(params)

@@ -231,3 +231,15 @@ def test_settings_bands_are_used_when_scoring(spark, fitted, test_features):
     strict = Settings(review_threshold=0.0, block_threshold=0.0)
     out = score_enriched(test_features, model, explainer, strict, explain_from=2.0)
     assert [r[0] for r in out.select("decision").distinct().collect()] == ["BLOCK"]
+
+
+def test_first_trees_equal_a_shorter_fit(spark, sf_dir):
+    rows = fe.engineer_features(q.train_rows(spark, sf_dir), "shared").select(*MODEL_FEATURES, "isFraud")
+    stored = fresh_path(spark, "t-first-trees")
+    rows.write.parquet(f"{stored}/rows")
+    rows = spark.read.parquet(f"{stored}/rows")
+    mo.train_boosted(rows, params=TINY).write().save(f"{stored}/model")
+    cut = mo.first_trees(spark, f"{stored}/model", 3)
+    fitted_again = mo.train_boosted(rows, params=replace(TINY, rounds=3))
+    assert cut.getNumTrees == fitted_again.getNumTrees == 3
+    assert cut.toDebugString.split("\n")[1:] == fitted_again.toDebugString.split("\n")[1:]
