@@ -734,7 +734,8 @@ QUERIES = {
     for f in (
         decision_report, txn_scan, split_summary, partitioned_table, csv_round_trip,
         validate_rows, valid_rows, quarantine_rows, fraud_only, replay_order, replay_cap,
-        rename_columns, wire_fields, message_quarantine, newest_by_arrival, publish_dry_run, published_totals, preview, table_shape,
+        rename_columns, wire_fields, message_quarantine, newest_by_arrival, publish_dry_run,
+        published_totals, preview, table_shape,
         balance_errors, balance_errors_alt, type_dummies, dummies_drop_first, velocity_by_role,
         velocity_by_role_hot, velocity_shared, velocity_shared_hot, velocity_mode_diff,
         features_batch, features_online, feature_matrix, decision_bands, decision_guard,
@@ -747,8 +748,8 @@ QUERIES = {
         class_report, average_precision, pr_curve, best_f1, monitor_summary, monitor_alert,
         latency_alert, progress_batches, ks_by_feature, chi2_dummies, drift_by_column,
         drift_summary, retrain_trigger, score_drift, ap_by_bucket, promotion_rule,
-        champion_lookup, next_version, retrain_window, gbt_score_checks, gbt_explain_checks, logistic_score_checks, stream_scoring_checks,
-        gbt_scores, gbt_explain, gbt_importance,
+        champion_lookup, next_version, retrain_window, gbt_score_checks, gbt_explain_checks,
+        logistic_score_checks, stream_scoring_checks, gbt_scores, gbt_explain, gbt_importance,
         gbt_quality, model_versions, logistic_scores, retrain_cycle, stream_velocity,
         stream_scoring,
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,7 +239,3 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn(
         "columns", F.lit(len(df.columns)).cast("long")
     )
-
-
-def column_list(df: DataFrame) -> Sequence[str]:
-    return list(df.columns)

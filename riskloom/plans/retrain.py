@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.evaluate import average_precision
@@ -76,39 +76,63 @@ def run(
     train = store(engineer_features(window, velocity_mode), "retrain-features")
     test = store(engineer_features(test_rows, velocity_mode), "retrain-test")
     fit_on, validation = held_out_steps(train) if early_stopping else (train, None)
-    model = train_boosted(fit_on, validation, params)
-    new_score = average_precision(add_scores(test, model)).first()["pr_auc"]
-
-    current, champion_score = champion(runs).first(), 0.0
+    contenders = {"challenger": train_boosted(fit_on, validation, params)}
+    current = champion(runs).first()
     if current is not None:
-        try:
-            old = load_model(spark, model_root, current["version"])
-            champion_score = average_precision(add_scores(test, old)).first()["pr_auc"]
-        except Exception:
-            if not force_promote:
-                raise
+        old = _champion_model(spark, model_root, current["version"], force_promote)
+        contenders |= {"champion": old} if old is not None else {}
+    scores = score_contenders(test, contenders)
+    new_score, champion_score = scores["challenger"], scores.get("champion", 0.0)
 
     improvement = new_score - champion_score
     promoted = is_promotion(
         new_score, champion_score, settings.min_pr_auc_improvement, force_promote
     )
     if promoted:
-        save_model(spark, model, model_root, version)
+        save_model(spark, contenders["challenger"], model_root, version)
     append_run(
         spark, runs_path, version, new_score, improvement, trigger, drift_score, promoted
     )
     return RetrainResult(version, new_score, champion_score, improvement, promoted, trigger)
 
 
+def _champion_model(spark: SparkSession, root: str, version: str, forced: bool):
+    """The champion's model; none if it cannot be loaded and promotion is forced anyway."""
+    try:
+        return load_model(spark, root, version)
+    except Exception:
+        if forced:
+            return None
+        raise
+
+
+def score_contenders(test: DataFrame, contenders: dict) -> dict[str, float]:
+    """Average precision of each model over the same rows, read once for all of them."""
+    rows, pairs = test, []
+    for name, model in contenders.items():
+        rows = add_scores(rows, model, f"score_{name}")
+        pairs.append(
+            F.struct(F.lit(name).alias("contender"), F.col(f"score_{name}").alias("risk_score"))
+        )
+    scored = rows.select("isFraud", F.inline(F.array(*pairs)))
+    found = average_precision(scored, ["contender"]).collect()  # a row for each model
+    return {row["contender"]: row["pr_auc"] for row in found}
+
+
 def main() -> None:
-    settings = Settings.from_env()
     parser = add_input_arguments(argparse.ArgumentParser(description=__doc__))
-    parser.add_argument("--models", required=True)
-    parser.add_argument("--trigger", default="manual", choices=TRIGGERS)
-    parser.add_argument("--drift-score", type=float)
-    parser.add_argument("--force-promote", action="store_true")
-    parser.add_argument("--window", type=int, default=settings.training_window_steps)
-    parser.add_argument("--rounds", type=int, default=BoostingParams.rounds)
+    settings = Settings.from_env()
+    # The job's published flags.
+    flags = {
+        "--models": {"required": True},
+        "--trigger": {"default": "manual", "choices": TRIGGERS},
+        "--drift-score": {"type": float},
+        "--force-promote": {"action": "store_true"},
+        "--window": {"type": int, "default": settings.training_window_steps},
+        "--rounds": {"type": int, "default": BoostingParams.rounds},
+    }
+    for flag, options in flags.items():
+        parser.add_argument(flag, **options)
     args = parser.parse_args()
 
     spark = session("retrain")

@@ -45,21 +45,6 @@ TXN_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), *FILE_SCHEMA
 TXN_COLUMNS = tuple(TXN_SCHEMA.names)
 WIRE_FIELDS = tuple(n for n in FILE_SCHEMA.names if n != "isFlaggedFraud")
 
-ENRICHED_SCHEMA = T.StructType(
-    TXN_SCHEMA.fields
-    + [
-        T.StructField("error_balance_orig", T.DoubleType()),
-        T.StructField("error_balance_dest", T.DoubleType()),
-        T.StructField("type_TRANSFER", T.IntegerType()),
-        T.StructField("type_CASH_OUT", T.IntegerType()),
-        T.StructField("type_CASH_IN", T.IntegerType()),
-        T.StructField("type_DEBIT", T.IntegerType()),
-        T.StructField("orig_tx_count_1h", T.LongType()),
-        T.StructField("orig_amount_sum_1h", T.DoubleType()),
-        T.StructField("dest_tx_count_1h", T.LongType()),
-    ]
-)
-
 CONTRIBUTIONS = T.ArrayType(
     T.StructType(
         [T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())]
@@ -104,10 +89,3 @@ SNAKE_NAMES = {
     "isFraud": "is_fraud",
     "isFlaggedFraud": "is_flagged_fraud",
 }
-# Names used by the exploratory reports.
-REPORT_NAMES = {
-    "oldbalanceOrg": "oldBalanceOrig",
-    "newbalanceOrig": "newBalanceOrig",
-    "oldbalanceDest": "oldBalanceDest",
-    "newbalanceDest": "newBalanceDest",
-}

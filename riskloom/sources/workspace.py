@@ -15,14 +15,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    Only a local session without that setting falls back to a temporary folder: on a cluster a
-    machine-local folder would be invisible to the other executors.
+    Only a local session without that setting falls back to a temporary folder: on a cluster, also
+    one of local processes, a machine-local folder would be invisible to the other executors.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors can reach")
     folder = getattr(spark, "_riskloom_folder", None)
     if folder is None:
