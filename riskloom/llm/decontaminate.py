@@ -38,7 +38,7 @@ from riskloom.llm.word_hashes import PLAIN, portions, word_hashes
 
 BLOCK_BYTES = 4_000_000
 #: Words of a portion whose votes are summed at a time.
-VOTES_AT_ONCE = 4_096
+VOTES_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ class Items:
             sizes[len(own)].append(i)
         for size, rows in sizes.items():
             prints = np.concatenate(
-                [self.prints(self.words[i], np.zeros(1, np.int64), size) for i in rows]
+                [window_prints(self.running_votes(self.words[i]), np.zeros(1, np.int64), size) for i in rows]
             )
             self.by_size[size] = Tables(np.array(rows), prints, settings.radius)
         self.sizes = sorted(self.by_size)
@@ -96,16 +96,15 @@ class Items:
         least = self.settings.least
         return m - math.ceil(2 * m * least / (1 + least) - 1e-9)
 
-    def prints(self, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprints of the windows of a size that begin at `starts`, one portion at a time."""
+    def running_votes(self, words: np.ndarray) -> np.ndarray:
+        """The votes on each bit of all words before each place."""
         place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         known = self.vocabulary[place] == words
         weight = self.votes[np.where(known, place, len(self.vocabulary))]
         bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
         total = np.zeros((len(words) + 1, 64), np.int32)
-        np.cumsum((bits.astype(np.int32) * 2 - 1) * weight[:, None], 0, out=total[1:])
-        positive = total[starts + size] - total[starts] > 0
-        return np.packbits(positive, axis=1).view("<u8").ravel()
+        np.multiply(bits.view(np.int8) * np.int8(2) - np.int8(1), weight[:, None], out=total[1:])
+        return np.cumsum(total, 0, out=total)
 
     def similarity(self, words: np.ndarray, item: int) -> float:
         window, own = Counter(self._shingles(words.tolist())), self.sets[item]
@@ -118,6 +117,12 @@ class Items:
         return both / union if union else 1.0
 
 
+def window_prints(votes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of a size that begin at `starts`."""
+    positive = votes[starts + size] - votes[starts] > 0
+    return np.packbits(positive, axis=1).view("<u8").ravel()
+
+
 class Tables:
     """Items of one length by each block of their fingerprints."""
 
@@ -172,26 +177,35 @@ def matches(items: Items, texts: list[bytes]) -> list[tuple[int, int, float, int
     strange = items.vocabulary[place] != words
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
     counts = np.concatenate([[0], np.cumsum(strange)])
+    windows = {}
+    edges = np.zeros(len(words) + 1, np.int64)
     for size in items.sizes:
         n = len(words) - size + 1
-        if n <= 0:
-            continue
-        fits = (counts[size:] - counts[:n] <= items.allowed(size)) & (doc[size - 1 :] == doc[:n])
-        starts = np.flatnonzero(fits)
-        begin = 0
-        while begin < len(starts):
-            end = int(np.searchsorted(starts, starts[begin] + VOTES_AT_ONCE))
-            own, origin = starts[begin:end], starts[begin]
-            part = words[origin : own[-1] + size]
-            prints = items.prints(part, own - origin, size)
-            for window, item in items.by_size[size].near(prints):
+        if n > 0:
+            few = counts[size:] - counts[:n] <= items.allowed(size)
+            windows[size] = np.flatnonzero(few & (doc[size - 1 :] == doc[:n]))
+            edges[windows[size]] += 1
+            edges[windows[size] + size] -= 1
+    # Votes are summed once for the words in any window, which stay neighbours.
+    covered = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    longest = items.sizes[-1]
+    for begin in range(0, len(covered), VOTES_AT_ONCE):
+        part = covered[begin : begin + VOTES_AT_ONCE + longest]
+        last = part[min(len(part), VOTES_AT_ONCE) - 1]
+        votes = items.running_votes(words[part])
+        for size, starts in windows.items():
+            low, high = np.searchsorted(starts, [part[0], last + 1])
+            if low == high:
+                continue
+            own = starts[low:high]
+            found = window_prints(votes, np.searchsorted(part, own), size)
+            for window, item in items.by_size[size].near(found):
                 at = int(own[window])
                 value = items.similarity(words[at : at + size], item)
                 if value >= items.settings.least:
                     key = (int(doc[at]), item)
                     if key not in best or value > best[key][0]:
                         best[key] = (value, at - int(offsets[doc[at]]), size)
-            begin = end
     return [(d, i, *x) for (d, i), x in sorted(best.items())]
 
 
