@@ -24,7 +24,6 @@ with no training documents N and V are 0 and all words are unknown; other column
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
