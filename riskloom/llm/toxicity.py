@@ -44,6 +44,7 @@ REPORTING = frozenset(
     "said says wrote writes quoted quote called citation dit écrit sagte schrieb dijo escribió".split()
 )
 ADDRESS = frozenset("you your du dich dein tu ton toi usted tú vous".split())
+_QUOTATION = re.compile("|".join(f"{a}[^{b}\n]*{b}" for a, b in QUOTES.items()))
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
 
@@ -96,15 +97,22 @@ class Trie:
             return ((own, 0),)
         if self.edits == 0 or not self.root:
             return ()
-        if self.edits == 1 and not (
-            any(word[:n] in self.fronts for n in self.front_sizes)
-            or any(word[-n:] in self.backs for n in self.back_sizes)
-        ):
+        if self.edits == 1 and not self._may_match(word):
             return ()
         out: list[tuple[int, int]] = []
         self._walk(self.root, word, tuple(range(len(word) + 1)), out)
         return tuple(sorted(out))
 
+    def _may_match(self, word: str) -> bool:
+        """One edit leaves the first or the second half of a term as it is."""
+        for n in self.front_sizes:
+            if word[:n] in self.fronts:
+                return True
+        for n in self.back_sizes:
+            if word[-n:] in self.backs:
+                return True
+        return False
+
     def _walk(self, node: dict, word: str, row: tuple[int, ...], out: list) -> None:
         for letter, below in node.items():
             if letter == "":
@@ -174,18 +182,7 @@ def lower_words(text: bytes) -> list[bytes]:
 
 def _quotations(text: str) -> list[tuple[int, int]]:
     """Places in quotation marks, each within a line."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        i = 0
-        while i < len(line):
-            close = QUOTES.get(line[i])
-            end = line.find(close, i + 1) if close else -1
-            if end > i:
-                out.append((at + i, at + end))
-                i = end
-            i += 1
-        at += len(line) + 1
-    return out
+    return [m.span() for m in _QUOTATION.finditer(text)]
 
 
 def context_factors(text: bytes, hits: list, settings: Settings) -> list[float]:
@@ -302,12 +299,32 @@ def _ratio(toxic, clean, n_toxic, n_clean):
     return np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
 
 
+def _surprise(toxic, clean, n_toxic, n_clean) -> float:
+    """Twice the log-likelihood that the two shares differ, against that they are one."""
+    both, n = toxic + clean, n_toxic + n_clean
+    out = 0.0
+    for hits, size in ((toxic, n_toxic), (clean, n_clean)):
+        for seen, expected in ((hits, size * both / n), (size - hits, size * (n - both) / n)):
+            if seen > 0:
+                out += 2 * seen * math.log(seen / expected)
+    return out
+
+
 def _lexicon(counts: dict[str, np.ndarray], sizes: np.ndarray, settings: Settings):
-    """Terms and their weights, from counts (clean, toxic)."""
+    """Terms and their weights, from counts (clean, toxic).
+
+    Of many words tried, a few stand in toxic texts only by chance. A term has to be so surprising
+    that less than one such word is expected among all of them.
+    """
     rated = []
+    least = 2 * math.log(max(10, len(counts)))
     for word, (clean, toxic) in counts.items():
         weight = _ratio(toxic, clean, sizes[1], sizes[0])
-        if toxic >= settings.least_texts and weight >= settings.least_weight:
+        if (
+            toxic >= settings.least_texts
+            and weight >= settings.least_weight
+            and _surprise(toxic, clean, sizes[1], sizes[0]) >= least
+        ):
             rated.append((toxic * weight, word, weight))
     rated.sort(key=lambda x: (-x[0], x[1]))
     rated = rated[: settings.terms]
