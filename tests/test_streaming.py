@@ -18,7 +18,7 @@ from riskloom.sources import transactions as tx
 from riskloom.sources.workspace import fresh_path
 from riskloom.streaming import velocity as sv
 from riskloom.streaming.monitoring import start_monitor
-from riskloom.streaming.scoring import ScoringPaths, start_scoring
+from riskloom.streaming.scoring import ScoringPaths, read_scored, start_scoring
 from tests.helpers import by_event, txn_row, txns
 from tests.test_features import VELOCITY, random_events
 
@@ -159,6 +159,36 @@ def test_monitor_stream(spark, sf_dir):
     assert counts["__all"] == 10_000
 
 
+def test_monitor_reads_what_scoring_writes(spark, sf_dir):
+    model, _, explainer = q.fitted_model(spark, sf_dir)
+    root = fresh_path(spark, "t-watched")
+    rows = q.txn(spark, sf_dir).where("step > 500").limit(1500)
+    fields = [c for c in rows.columns if c != "event_id"]
+    messages = rows.select(
+        "event_id",
+        F.to_json(F.struct(*fields)).alias("value"),
+        F.current_timestamp().alias("arrived_at"),
+    )
+    messages.coalesce(1).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(messages.schema).parquet(f"{root}/in")
+    paths = ScoringPaths.below(root)
+    start_scoring(stream, model, explainer, paths).awaitTermination()
+    snapshot = dr.reference_snapshot(
+        fe.engineer_features(q.train_rows(spark, sf_dir), "shared")
+    )
+    settings = Settings(drift_window_size=1000)
+    start_monitor(
+        read_scored(spark, paths), snapshot, f"{root}/state", f"{root}/report", f"{root}/watch",
+        settings, alert_every=500,
+    ).awaitTermination()
+    scored = spark.read.parquet(paths.scored).count()
+    assert scored == spark.read.parquet(paths.decisions).count() > 1000
+    assert spark.read.parquet(f"{root}/state/counts").first()["__all"] == scored
+    summary = spark.read.parquet(f"{root}/report/drift_summary").first()
+    assert summary["current_size"] == 1000
+    assert "alert" in spark.read.parquet(f"{root}/report/alerts").columns
+
+
 # -- messages -----------------------------------------------------------------------------------
 
 
