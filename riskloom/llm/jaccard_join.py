@@ -10,8 +10,9 @@ apart by 64-bit hashes, and documents with equal sets by a 64-bit sum, so equal
    within its first n-k+1 (prefix filter). The shingles of one class alone come first and meet
    nobody; a class whose prefix is made of them is done.
 3. The rest is joined on prefix shingles. Pairs must fit in size (length filter), have enough left
-   from the shared shingle on (positional filter), and their bit vectors, of the parities of hashed
-   shingles, must not differ in more places than the sets may (suffix filter).
+   from the shared shingle on (positional filter). The sets must not differ in more shingles than
+   the threshold lets them: at least in those that one class alone has, and in as many more as their
+   bit vectors, of the parities of hashed shingles, differ in (suffix filter).
 4. What passes is made distinct, and each pair is verified once, on the shingles themselves.
 
 Of a group of alike classes not all pairs are made. In a first round, each class takes from a shared
@@ -246,7 +247,7 @@ def _postings(classes: DataFrame) -> DataFrame:
                 k = np.array([len(x) for x in own])
                 at = np.concatenate([alone[i] + np.arange(m) for i, m in zip(rows, k)])
                 rep = np.repeat(np.arange(rows.start, rows.stop), k)
-                take = [pa.array(x).take(pa.array(rep)) for x in (label, sig, n)]
+                take = [pa.array(x).take(pa.array(rep)) for x in (label, sig, n, alone)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(own)),
@@ -254,12 +255,13 @@ def _postings(classes: DataFrame) -> DataFrame:
                         pa.array(at.astype(np.int64)),
                         pa.array(vector, pa.binary()).take(pa.array(rep)),
                     ],
-                    ["token", "label", "sig", "n", "at", "vector"],
+                    ["token", "label", "sig", "n", "alone", "at", "vector"],
                 )
 
     columns = ["label", "sig", "n", "alone", "prefix", "tokens", "vector"]
     return classes.select(*columns).mapInArrow(
-        run, "token bigint, label bigint, sig bigint, n bigint, at bigint, vector binary"
+        run,
+        "token bigint, label bigint, sig bigint, n bigint, alone bigint, at bigint, vector binary",
     )
 
 
@@ -280,26 +282,28 @@ def _pairs(share: tuple[int, int], every: bool):
     """Pairs of each list that pass the filters; `every` one, or one for each bunch."""
     up, down = share
 
-    def fitting(n1, at1, v1, n2, at2, v2):
-        """Whether a pair passes, and by how much its vectors differ, as a share of the limit."""
+    def fitting(n1, alone1, at1, v1, n2, alone2, at2, v2):
+        """Whether a pair passes, and in how many shingles the sets differ at least."""
         small, large = np.minimum(n1, n2), np.maximum(n1, n2)
         both = n1 + n2
         need = -(-up * both // (up + down))
         left = np.minimum(n1 - at1, n2 - at2)
         ok = (down * small >= up * large) & (left >= need)
-        apart = np.bitwise_count(v1 ^ v2).sum(-1).astype(np.int64)
+        apart = np.bitwise_count(v1 ^ v2).sum(-1).astype(np.int64) + alone1 + alone2
         limit = both - 2 * need
         return ok & (apart <= limit), apart
 
-    def of_list(sig, label, n, at, v):
+    def of_list(sig, label, n, alone, at, v):
         out = []
         order = np.lexsort((sig, n))
-        sig, label, n, at, v = (x[order] for x in (sig, label, n, at, v))
+        sig, label, n, alone, at, v = (x[order] for x in (sig, label, n, alone, at, v))
         bunch = np.arange(len(sig))
         for i in range(1, len(sig)):
             lo = int(np.searchsorted(n[:i], -(-up * n[i] // down)))
             rows = np.arange(lo, i)
-            ok, apart = fitting(n[rows], at[rows], v[rows], n[i], at[i], v[i])
+            ok, apart = fitting(
+                n[rows], alone[rows], at[rows], v[rows], n[i], alone[i], at[i], v[i]
+            )
             rows, apart = rows[ok], apart[ok]
             if every:
                 rows = rows[label[rows] != label[i]]
@@ -336,13 +340,14 @@ def _pairs(share: tuple[int, int], every: bool):
         out = []
         if table.num_rows < 2:
             return out
-        sig, label, n, at = (table[c].to_numpy() for c in ("sig", "label", "n", "at"))
+        columns = [table[c].to_numpy() for c in ("sig", "label", "n", "alone", "at")]
+        sig, label = columns[:2]
         v = np.frombuffer(b"".join(table["vector"].to_pylist()), "<u8").reshape(len(sig), -1)
         bounds = [0, *change[change < len(sig)], len(sig)]
         for a, b in zip(bounds, bounds[1:]):
             if b - a > 1 and (label[a:b] != label[a]).any():
                 own = slice(a, b)
-                for pair in of_list(sig[own], label[own], n[own], at[own], v[own]):
+                for pair in of_list(*(c[own] for c in columns), v[own]):
                     if pair not in seen:
                         seen.add(pair)
                         out.append(pair)
@@ -363,7 +368,7 @@ def candidates(
     """Distinct pairs `a`, `b` of classes that share a prefix shingle and pass the filters."""
     lists = _listed(_postings(classes), list_rows)
     in_order = lists.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
-    columns = ["token", "one", "two", "label", "sig", "n", "at", "vector"]
+    columns = ["token", "one", "two", "label", "sig", "n", "alone", "at", "vector"]
     found = in_order.select(*columns).mapInArrow(_pairs(share, every), "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
