@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.rows import to_bytes, to_str, utf8
+from riskloom.llm.worker import kept
 
 CACHE_ENTRIES = 800_000
 LONG_PIECE = 300
@@ -302,16 +303,10 @@ class Coder:
         return {ids: text.encode("latin-1") for ids, (_, text) in zip(runs, rows)}
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder(rank_file: bytes, pattern: str) -> Coder:
     """The coder of this worker; it lives on for later tasks."""
-    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(rank_file, pattern)
-    return _coders[key]
+    key = ("byte_bpe", hashlib.sha256(rank_file + pattern.encode()).hexdigest())
+    return kept(key, lambda: Coder(rank_file, pattern))
 
 
 def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -330,7 +325,7 @@ def _mapped(df: DataFrame, keep, column, rank_path, pattern, work, kinds: str) -
     """`work(coder, values)` gives a list of columns; `kinds` are their names and types."""
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_path))
-    kept = df.select(*keep).schema
+    fields = df.select(*keep).schema
     names = [part.split()[0] for part in kinds.split(", ")]
 
     def run(batches):
@@ -342,7 +337,7 @@ def _mapped(df: DataFrame, keep, column, rank_path, pattern, work, kinds: str) -
                 left = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*left, *made], [*keep, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), kinds])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), kinds])
     return df.select(*keep, column).mapInArrow(run, schema)
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.rows import to_str, utf8
+from riskloom.llm.worker import kept
 from riskloom.sources.workspace import fresh_path
 
 CACHE_ENTRIES = 800_000
@@ -114,16 +115,10 @@ def _letters(word: str) -> bool:
     return word.isalpha() and word.lower().isalpha()
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
 def _encoder(tokenizer_json: str) -> WordEncoder:
     """The encoder of this worker; it lives on for later tasks."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(tokenizer_json)
-    return _encoders[key]
+    key = ("token_shards", zlib.crc32(tokenizer_json.encode()))
+    return kept(key, lambda: WordEncoder(tokenizer_json))
 
 
 # -- shards ---------------------------------------------------------------------------------------

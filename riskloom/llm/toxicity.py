@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm import worker
 from riskloom.llm.rows import plain_words, to_str, utf8
 from riskloom.llm.word_hashes import PLAIN, mixed, word_hashes
 from riskloom.sources.workspace import fresh_path
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 #: Marks that open and close a quotation, words of reporting, words of address.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
 REPORTING = frozenset(
@@ -451,15 +452,10 @@ def _scores(matcher: Matcher, model: Model, texts: list[bytes]) -> list[float]:
     return out
 
 
-_matchers: dict[int, Matcher] = {}
-
-
 def _matcher(model: Model) -> Matcher:
-    key = hash((tuple(model.terms), model.settings))
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(model.terms, model.settings)
-    return _matchers[key]
+    """The matcher of this worker; it lives on for later tasks."""
+    key = ("toxicity", tuple(model.terms), model.settings)
+    return worker.kept(key, lambda: Matcher(model.terms, model.settings))
 
 
 def score(
