@@ -1,7 +1,9 @@
-"""A small gated recurrent language model in NumPy, with a class-factored output softmax.
+"""A small gated recurrent language model in NumPy, with a class-factored output.
 
-Tokens 0 to n-1 are ordered by class; the output probability of a token is that of its class times
-that of the token within its class. Weights of the output start at the logarithms of the counts, so
+Tokens 0 to n-1 are ordered by class; the output probability of a token is that of its class, by
+softmax, times that of the token within its class. The latter comes from a binary tree over the
+tokens of the class, with halves of about equal counts: a token costs about as many steps as its
+information has bits, so the vocabulary can be large. Weights of the output start at the logarithms of the counts, so
 an untrained model is the count model. Training is truncated backpropagation: the state is carried
 from one window to the next, the gradient is not.
 """
@@ -11,16 +13,66 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Rows that are held against all classes at a time.
+ROWS_AT_ONCE = 8192
+
+
+class Tree:
+    """Binary trees over the tokens of each class. A node cuts a range of tokens; its number is the
+    first token behind the cut, so no two nodes have the same."""
+
+    def __init__(self, weights: np.ndarray, class_of: np.ndarray):
+        n = len(weights)
+        total = np.concatenate([[0.0], np.cumsum(weights)])
+        #: Logarithm of the weight behind a cut over the one before it.
+        self.odds = np.zeros(n)
+        edges = [0, *(np.flatnonzero(np.diff(class_of)) + 1).tolist(), n]
+        ranges = [(a, b) for a, b in zip(edges, edges[1:]) if b - a > 1]
+        nodes, owners, sides = [], [], []
+        while ranges:
+            low, high = np.array(ranges).T
+            middle = (total[low] + total[high]) / 2
+            at = np.searchsorted(total, middle)
+            at -= middle - total[at - 1] < total[at] - middle
+            at = np.clip(at, low + 1, high - 1)
+            self.odds[at] = np.log((total[high] - total[at]) / (total[at] - total[low]))
+            sizes = high - low
+            first = np.cumsum(sizes) - sizes
+            own = np.arange(sizes.sum()) + np.repeat(low - first, sizes)
+            owners.append(own)
+            nodes.append(np.repeat(at, sizes))
+            sides.append(own >= nodes[-1])
+            both = np.stack([low, at, high], 1).tolist()
+            ranges = [x for a, m, b in both for x in ((a, m), (m, b)) if x[1] - x[0] > 1]
+        owner = np.concatenate([*owners, np.zeros(0, np.int64)])
+        order = np.argsort(owner, kind="stable")
+        #: Nodes on the way to a token, from `first[token]` on, and whether it is behind the cut.
+        self.nodes = np.concatenate([*nodes, np.zeros(0, np.int64)])[order]
+        self.behind = np.concatenate([*sides, np.zeros(0, bool)])[order]
+        self.steps = np.bincount(owner, minlength=n)
+        self.first = np.cumsum(self.steps) - self.steps
+
+    def ways(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place of a token in `tokens`, the node and the side, for each step to each token."""
+        steps = self.steps[tokens]
+        places = np.repeat(np.arange(len(tokens)), steps)
+        at = np.arange(len(places)) + np.repeat(
+            self.first[tokens] - (np.cumsum(steps) - steps), steps
+        )
+        return places, self.nodes[at], self.behind[at]
+
+
 class Gru:
-    """Parameters: `W` token to gates, `U` state to gates, `b`, classes `C`, `c`, tokens `O`, `o`."""
+    """Parameters: `W` token to gates, `U` state to gates, `b`, classes `C`, `c`, tree `O`, `o`."""
 
     NAMES = ("W", "U", "b", "C", "c", "O", "o")
+    #: Of these, a window moves the rows of its own tokens.
+    SPARSE = ("W", "O", "o")
 
-    def __init__(self, class_of: np.ndarray, params: dict[str, np.ndarray]):
-        self.class_of = class_of
+    def __init__(self, class_of: np.ndarray, params: dict[str, np.ndarray], tree: Tree):
+        self.class_of, self.tree = class_of, tree
         self.__dict__.update(params)
         self.hidden = self.U.shape[0]
-        self.first = np.searchsorted(class_of, np.arange(class_of[-1] + 2))
 
     @classmethod
     def fresh(cls, counts: np.ndarray, class_of: np.ndarray, hidden: int, seed: int) -> Gru:
@@ -28,6 +80,7 @@ class Gru:
         n, classes = len(counts), class_of[-1] + 1
         shares = np.log((counts + 0.5) / (counts.sum() + 0.5 * n))
         per_class = np.bincount(class_of, np.exp(shares), classes)
+        tree = Tree(np.exp(shares), class_of)
         params = {
             "W": rng.normal(0, 0.3, (n, 3 * hidden)),
             "U": rng.normal(0, 0.5 / np.sqrt(hidden), (hidden, 3 * hidden)),
@@ -35,9 +88,9 @@ class Gru:
             "C": np.zeros((hidden, classes)),
             "c": np.log(per_class),
             "O": np.zeros((n, hidden)),
-            "o": shares - np.log(per_class)[class_of],
+            "o": tree.odds,
         }
-        return cls(class_of, {k: v.astype(np.float32) for k, v in params.items()})
+        return cls(class_of, {k: v.astype(np.float32) for k, v in params.items()}, tree)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -48,7 +101,7 @@ class Gru:
             old = getattr(self, k)
             params[k] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
             at += old.size
-        return Gru(self.class_of, params)
+        return Gru(self.class_of, params, self.tree)
 
     # -- forward ----------------------------------------------------------------------------------
 
@@ -57,30 +110,35 @@ class Gru:
         h, rows, steps = self.hidden, *inputs.shape
         gates = self.W[inputs.T] + self.b
         before = np.empty((steps, rows, h), np.float32)
-        saved = []
+        if keep:
+            gate, new, inner = (np.empty((steps, rows, k * h), np.float32) for k in (2, 1, 1))
         for t in range(steps):
             before[t] = state
             x, u = gates[t], state @ self.U
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * h] + u[:, : 2 * h]))
-            z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
-            state = new + z * (state - new)
+            zr = x[:, : 2 * h] + u[:, : 2 * h]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            own = zr[:, h:] * u[:, 2 * h :]
+            own += x[:, 2 * h :]
+            np.tanh(own, out=own)
             if keep:
-                saved.append((z, r, new, u[:, 2 * h :]))
-        return before, state, saved
+                gate[t], new[t], inner[t] = zr, own, u[:, 2 * h :]
+            state = own + zr[:, :h] * (state - own)
+        return before, state, (gate, new, inner) if keep else None
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each target after its state."""
-        logits = states @ self.C + self.c
-        out = logits[np.arange(len(targets)), self.class_of[targets]] - _log_sum(logits)
-        order = np.argsort(targets, kind="stable")
-        bounds = np.searchsorted(targets[order], self.first)
-        for k in range(len(self.first) - 1):
-            lo, hi = self.first[k], self.first[k + 1]
-            rows = order[bounds[k] : bounds[k + 1]]
-            if len(rows) and hi - lo > 1:
-                inner = states[rows] @ self.O[lo:hi].T + self.o[lo:hi]
-                out[rows] += inner[np.arange(len(rows)), targets[rows] - lo] - _log_sum(inner)
+        out = np.empty(len(targets))
+        for a in range(0, len(targets), ROWS_AT_ONCE):
+            own, wanted = states[a : a + ROWS_AT_ONCE], targets[a : a + ROWS_AT_ONCE]
+            logits = own @ self.C + self.c
+            found = logits[np.arange(len(wanted)), self.class_of[wanted]] - _log_sum(logits)
+            places, nodes, behind = self.tree.ways(wanted)
+            odds = np.einsum("ij,ij->i", own[places], self.O[nodes]) + self.o[nodes]
+            steps = _log_sigmoid(np.where(behind, odds, -odds))
+            out[a : a + ROWS_AT_ONCE] = found + np.bincount(places, steps, len(wanted))
         return out
 
     def score(self, texts: list[np.ndarray], start: int, window: int) -> np.ndarray:
@@ -115,14 +173,23 @@ class Gru:
 
     def gradient(self, inputs, targets, valid, state):
         """Gradients of the mean loss of a window, the last state, and the loss."""
+        grads, last, loss = self._gradient(inputs, targets, valid, state)
+        for k in self.SPARSE:
+            at, rows = grads[k]
+            grads[k] = np.zeros_like(getattr(self, k))
+            grads[k][at] = rows
+        return grads, last, loss
+
+    def _gradient(self, inputs, targets, valid, state):
+        """The same, with gradients of `SPARSE` parameters as the rows that are not 0."""
         h, (rows, steps) = self.hidden, inputs.shape
         before, last, saved = self.states(inputs, state, keep=True)
         fits = valid.T.ravel()
         flat = before.reshape(-1, h)[fits]
         wanted = targets.T.ravel()[fits]
         n = max(1, len(wanted))
-        grads = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        # Output: classes, then tokens of a class.
+        grads = {}
+        # Output: classes, then the ways to the tokens in their trees.
         logits = flat @ self.C + self.c
         probs = np.exp(logits - _log_sum(logits)[:, None])
         at = np.arange(len(wanted))
@@ -130,38 +197,48 @@ class Gru:
         probs[at, self.class_of[wanted]] -= 1
         grads["C"], grads["c"] = flat.T @ probs / n, probs.sum(0) / n
         back = probs @ self.C.T
-        order = np.argsort(wanted, kind="stable")
-        bounds = np.searchsorted(wanted[order], self.first)
-        for k in range(len(self.first) - 1):
-            lo, hi = self.first[k], self.first[k + 1]
-            mine = order[bounds[k] : bounds[k + 1]]
-            if len(mine) and hi - lo > 1:
-                inner = flat[mine] @ self.O[lo:hi].T + self.o[lo:hi]
-                inner = np.exp(inner - _log_sum(inner)[:, None])
-                pick = (np.arange(len(mine)), wanted[mine] - lo)
-                loss -= np.log(inner[pick] + 1e-30).sum()
-                inner[pick] -= 1
-                grads["O"][lo:hi] = inner.T @ flat[mine] / n
-                grads["o"][lo:hi] = inner.sum(0) / n
-                back[mine] += inner @ self.O[lo:hi]
-        to_before = np.zeros((steps * rows, h), np.float32)
+        places, nodes, behind = self.tree.ways(wanted)
+        if len(places):
+            own, weights = flat[places], self.O[nodes]
+            odds = np.einsum("ij,ij->i", own, weights) + self.o[nodes]
+            loss -= _log_sigmoid(np.where(behind, odds, -odds)).sum()
+            off = 0.5 + 0.5 * np.tanh(0.5 * odds) - behind
+            weights *= off[:, None]
+            first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+            back[places[first]] += np.add.reduceat(weights, first)
+            off /= n
+            own *= off[:, None]
+            cut, rows_of = _by_key(nodes, own)
+            grads["O"], grads["o"] = (cut, rows_of), (cut, _by_key(nodes, off)[1])
+        else:
+            none = np.zeros(0, np.int64)
+            grads["O"], grads["o"] = (none, self.O[none]), (none, self.o[none])
+        to_before = np.zeros((steps * rows, h), back.dtype)
         to_before[fits] = back / n
         to_before = to_before.reshape(steps, rows, h)
-        # States, last step first.
-        gate_grads = np.zeros((steps, rows, 3 * h), np.float32)
-        d_state = np.zeros((rows, h), np.float32)
+        # States, last step first: what a gradient on the state gives to new, z, r and u.
+        gate, new, inner = saved
+        z, r = gate[..., :h], gate[..., h:]
+        to_new = (1 - z) * (1 - new * new)
+        to_z = (before - new) * z * (1 - z)
+        to_r = inner * r * (1 - r)
+        gate_grads = np.empty((steps, rows, 3 * h), back.dtype)
+        u_grads = np.empty((steps, rows, 3 * h), back.dtype)
+        d_state = np.zeros((rows, h), back.dtype)
+        across = np.ascontiguousarray(self.U.T)
         for t in range(steps - 1, -1, -1):
-            z, r, new, un = saved[t]
-            old = before[t]
-            d_new = d_state * (1 - z) * (1 - new * new)
-            d_z = d_state * (old - new) * z * (1 - z)
-            d_r = d_new * un * r * (1 - r)
-            gate_grads[t] = np.concatenate([d_z, d_r, d_new], 1)
-            d_u = np.concatenate([d_z, d_r, d_new * r], 1)
-            grads["U"] += old.T @ d_u
-            d_state = d_state * z + d_u @ self.U.T + to_before[t]
+            d, du = gate_grads[t], u_grads[t]
+            d_new = np.multiply(d_state, to_new[t], out=d[:, 2 * h :])
+            np.multiply(d_state, to_z[t], out=d[:, :h])
+            np.multiply(d_new, to_r[t], out=d[:, h : 2 * h])
+            du[:, : 2 * h] = d[:, : 2 * h]
+            np.multiply(d_new, r[t], out=du[:, 2 * h :])
+            d_state = d_state * z[t]
+            d_state += du @ across
+            d_state += to_before[t]
         flat_grads = gate_grads.reshape(-1, 3 * h)
-        np.add.at(grads["W"], inputs.T.ravel(), flat_grads)
+        grads["U"] = before.reshape(-1, h).T @ u_grads.reshape(-1, 3 * h)
+        grads["W"] = _by_key(inputs.T.ravel(), flat_grads)
         grads["b"] = flat_grads.sum(0)
         return grads, last, loss / n
 
@@ -169,35 +246,66 @@ class Gru:
         self, texts: list[np.ndarray], start: int, window: int, rows: int, rate: float
     ) -> Gru:
         """One pass over the texts, `rows` at a time, by Adam."""
-        first = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        second = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        step = 0
+        Adam(self, rate).train(texts, start, window, rows)
+        return self
+
+
+class Adam:
+    """Steps of a model; a row of a sparse parameter moves when it has a gradient. Averages go on
+    from one call of `train` to the next, so texts can come in blocks."""
+
+    def __init__(self, model: Gru, rate: float):
+        self.model, self.rate, self.step = model, rate, 0
+        self.first = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
+        self.second = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
+
+    def train(self, texts: list[np.ndarray], start: int, window: int, rows: int) -> None:
         texts = sorted(texts, key=len)
         groups = [texts[i : i + rows] for i in range(0, len(texts), rows)]
         for i in np.random.default_rng(len(texts)).permutation(len(groups)):
             group = groups[i]
             lens = np.array([len(t) for t in group])
-            state = np.zeros((len(group), self.hidden), np.float32)
+            state = np.zeros((len(group), self.model.hidden), np.float32)
             longest = int(lens.max(initial=0))
-            padded = np.zeros((len(group), longest), np.int64)
+            padded = np.zeros((len(group), longest), np.int32)
             for row, text in zip(padded, group):
                 row[: len(text)] = text
             for at in range(0, longest, window):
-                targets = padded[:, at : at + window]
-                valid = at + np.arange(targets.shape[1]) < lens[:, None]
+                # Sorted by length: texts that have ended are the first ones.
+                on = int(np.searchsorted(lens, at, "right"))
+                targets = padded[on:, at : at + window]
+                valid = at + np.arange(targets.shape[1]) < lens[on:, None]
                 inputs = np.empty_like(targets)
                 inputs[:, 1:] = targets[:, :-1]
-                inputs[:, 0] = start if at == 0 else padded[:, at - 1]
-                grads, state, _ = self.gradient(inputs, targets, valid, state)
-                step += 1
-                for k, g in grads.items():
-                    g = np.clip(g, -1, 1)
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.01 * (g * g - second[k])
-                    change = first[k] / (1 - 0.9**step)
-                    change /= np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6
-                    getattr(self, k)[...] -= rate * change
-        return self
+                inputs[:, 0] = start if at == 0 else padded[on:, at - 1]
+                state = state[len(state) - len(targets) :]
+                grads, state, _ = self.model._gradient(inputs, targets, valid, state)
+                self.move(grads)
+
+    def move(self, grads: dict) -> None:
+        self.step += 1
+        size = self.rate / (1 - 0.9**self.step)
+        scale = 1 / (1 - 0.99**self.step)
+        for k, g in grads.items():
+            at = ...
+            if k in self.model.SPARSE:
+                at, g = g
+            g = np.clip(g, -1, 1, out=g)
+            first, second = self.first[k][at], self.second[k][at]
+            first *= 0.9
+            first += 0.1 * g
+            second *= 0.99
+            g *= g
+            g *= 0.01
+            second += g
+            np.multiply(second, scale, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-6
+            np.divide(first, g, out=g)
+            g *= size
+            getattr(self.model, k)[at] -= g
+            if k in self.model.SPARSE:
+                self.first[k][at], self.second[k][at] = first, second
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
@@ -205,6 +313,18 @@ def _log_sum(logits: np.ndarray) -> np.ndarray:
     return most + np.log(np.exp(logits - most[:, None]).sum(1))
 
 
+def _log_sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x)))
+
+
+def _by_key(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sum of the rows of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(rows[order], first)
+
+
 def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
     """Classes of neighbours in the order given, of about equal counts; none is empty."""
     share = np.cumsum(counts) - counts / 2

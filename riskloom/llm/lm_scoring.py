@@ -4,10 +4,10 @@
    are packed and sent to ranges of the word hash. A range counts its words over all training
    documents, and answers each block with sums for its documents; no word is sent back, and a
    frequent word is one entry for each block. N, V and the most frequent words come from the ranges.
-2. `fit`: the vocabulary is the `vocabulary` most frequent words, the end, and one token for all
-   other words. A share `train_share` of the training documents, chosen by hash, trains the model:
-   it grows with the corpus. Workers train side by side and their parameters are averaged, which is
-   done `rounds` times.
+2. `fit`: the vocabulary is the most frequent words, `growth` times the square root of V but
+   `vocabulary` at least, the end, and one token for all other words. Every training document trains
+   the model, once. Workers, more of them for more tokens, train side by side on blocks of texts
+   that stream by in a fixed order; their parameters are averaged, which is done `rounds` times.
 3. `score`: the model goes over every document as a whole, carrying its state from window to window.
 
 A word outside the vocabulary has the probability of the token for other words times its share of
@@ -24,6 +24,7 @@ with no training documents N and V are 0 and all words are unknown; other column
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.gru import Gru, classes_of
+from riskloom.llm.gru import Adam, Gru, classes_of
 from riskloom.llm.rows import utf8
 from riskloom.llm.word_hashes import portions, word_hashes
 from riskloom.sources.workspace import fresh_path
@@ -41,6 +42,11 @@ from riskloom.sources.workspace import fresh_path
 #: The end of a text, as a word hash; words have other hashes but for one in 2**64.
 END = np.uint64(0x1D1E5C0FFEE1D0C5)
 BLOCK_BYTES = 4_000_000
+#: Tokens that a worker takes at a time, and has in all at least if there are as many workers as may be.
+BLOCK_TOKENS = 500_000
+WORKER_TOKENS = 6_000_000
+#: Parameters that are averaged in one group.
+SLICE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -48,16 +54,21 @@ class Settings:
     folds: int = 5
     held_out_fold: int = 1
     vocabulary: int = 510
+    growth: float = 8.0
     classes: int = 24
     hidden: int = 16
     window: int = 32
     rows: int = 32
     rounds: int = 3
-    train_share: float = 1 / 16
+    train_share: float = 1.0
     rates: tuple = (0.01, 0.007, 0.004)
     workers: int = 8
     seed: int = 7
 
+    def words(self, distinct: float) -> int:
+        """How many words the vocabulary has, of so many distinct ones."""
+        return max(self.vocabulary, math.ceil(self.growth * math.sqrt(distinct)))
+
 
 def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
@@ -139,7 +150,7 @@ _BLOCK = pa.schema(
 _SUMS = "kind string, block bigint, range int, first binary, second binary, word bigint, n bigint"
 
 
-def _sums(top: int):
+def _sums(settings: Settings, ranges: int):
     """The counts of a range, and what they make of each block's documents."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +167,10 @@ def _sums(top: int):
             counts = np.bincount(inverse, train, len(words))
             out.append(("N", None, own, None, None, None, int(counts.sum())))
             out.append(("V", None, own, None, None, None, int((counts > 0).sum())))
-            for i in np.lexsort((words, -counts))[: top + 1]:
+            # Words fall evenly into ranges: this is sure to hold the range's part of the vocabulary.
+            top = settings.words(1.5 * ranges * int((counts > 0).sum()) + 10_000) + 1
+            top = min(top, 4 * top // ranges + 64)
+            for i in np.lexsort((words, -counts))[:top]:
                 if counts[i] > 0:
                     word = int(words[i].astype(np.int64))
                     out.append(("word", None, own, None, None, word, int(counts[i])))
@@ -172,8 +186,9 @@ def _sums(top: int):
                 sums = np.bincount(docs, tf * logs[mine])
                 hits = np.bincount(docs, tf * known[mine]).astype("<u4")
                 out.append(("sums", block, own, sums.tobytes(), hits.tobytes(), None, None))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SUMS.split(", ")])
-        return frame.astype({"block": "Int64", "word": "Int64", "n": "Int64"})
+        names = [c.split()[0] for c in _SUMS.split(", ")]
+        frame = pd.DataFrame(out, columns=names, dtype=object)  # no hash goes through a float
+        return frame.astype({"block": "Int64", "range": "int32", "word": "Int64", "n": "Int64"})
 
     return run
 
@@ -226,7 +241,7 @@ def counts(docs: DataFrame, key: str, text: str, settings: Settings) -> Counts:
         "tf binary",
     )
     path = fresh_path(spark, "lm-counts")
-    blocks.groupBy("range").applyInPandas(_sums(settings.vocabulary), _SUMS).write.parquet(path)
+    blocks.groupBy("range").applyInPandas(_sums(settings, ranges), _SUMS).write.parquet(path)
     made = spark.read.parquet(path)
     totals = {r["kind"]: r["n"] for r in made.where("kind in ('N', 'V')").groupBy("kind").agg(
         F.sum("n").alias("n")).collect()}
@@ -236,7 +251,7 @@ def counts(docs: DataFrame, key: str, text: str, settings: Settings) -> Counts:
     most = (
         words.where(F.col("word") != end)
         .orderBy(F.desc("n"), "word")
-        .limit(settings.vocabulary)
+        .limit(settings.words(totals.get("V") or 0))
         .collect()
     )
     texts = (
@@ -273,6 +288,7 @@ class Vocabulary:
         known = np.concatenate([[END], found.words])
         by_hash = np.argsort(known)
         self.hashes, self.ids = known[by_hash], ids[1:][by_hash]
+        self.kind = "<u2" if len(counts) <= 1 << 16 else "<u4"
         #: Base logarithms of the words, 0 for the token of the others.
         self.logs = np.log10(self.counts + 0.5)
         self.logs[self.other] = 0.0
@@ -285,75 +301,115 @@ class Vocabulary:
         return np.where(self.hashes[at] == tokens, self.ids[at], self.other)
 
 
-def fit(docs: DataFrame, found: Counts, key: str, text: str, settings: Settings) -> Gru:
-    """The model after `rounds` rounds of averaging over workers."""
-    spark = docs.sparkSession
-    vocabulary = Vocabulary(found)
-    class_of = classes_of(vocabulary.counts + 0.5, settings.classes)
-    model = Gru.fresh(vocabulary.counts, class_of, settings.hidden, settings.seed)
-    workers = max(settings.workers, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+def training(
+    docs: DataFrame, found: Counts, key: str, text: str, settings: Settings, workers: int
+) -> DataFrame:
+    """`worker`, `round`, `place` and token `ids` of each training document."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(found))
     keyed = _keyed(docs, key, text, settings).where(~F.col("held_out"))
-    draw = F.pmod(F.xxhash64(F.lit(settings.seed), "key1"), F.lit(1 << 20))
-    chosen = keyed.where(draw < int(settings.train_share * (1 << 20)))
-    worker = F.pmod(F.xxhash64(F.lit(settings.seed + 1), "key1"), F.lit(workers)).cast("int")
+    row = [F.col("key1")]
+
+    def draw(n: int, among: int):
+        return F.pmod(F.xxhash64(F.lit(settings.seed + n), *row), F.lit(among)).cast("int")
+
+    chosen = keyed.where(draw(0, 1 << 20) < int(settings.train_share * (1 << 20)))
 
     def ids(batches):
+        words = vocabulary.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             out = []
             for a, b in portions([len(t) for t in texts], BLOCK_BYTES):
                 tokens, offsets = _tokens(texts[a:b])
-                made = vocabulary.of(tokens).astype("<u2")
+                made = words.of(tokens).astype(words.kind)
                 out += [made[x:y].tobytes() for x, y in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())],
-                ["worker", "key1", "ids"],
+                [*batch.columns[:3], pa.array(out, pa.binary())],
+                ["worker", "round", "place", "ids"],
             )
 
+    return chosen.select(
+        draw(1, workers).alias("worker"),
+        draw(2, settings.rounds).alias("round"),
+        F.xxhash64(F.lit(settings.seed + 3), *row).alias("place"),
+        "text",
+    ).mapInArrow(ids, "worker int, round int, place bigint, ids binary")
+
+
+def fit(docs: DataFrame, found: Counts, key: str, text: str, settings: Settings) -> Gru:
+    """The model after `rounds` rounds of averaging over workers."""
+    spark = docs.sparkSession
+    vocabulary = Vocabulary(found)
+    class_of = classes_of(vocabulary.counts + 0.5, settings.classes)
+    model = Gru.fresh(vocabulary.counts, class_of, settings.hidden, settings.seed)
+    # A model is moved for each worker: the larger it is, the more a worker has to learn.
+    each = max(WORKER_TOKENS, 4 * model.flat().size)
+    workers = max(settings.workers, -(-found.total // each))
     path = fresh_path(spark, "lm-train")
-    chosen.select(worker.alias("worker"), "key1", "text").mapInArrow(
-        ids, "worker int, key1 bigint, ids binary"
-    ).write.parquet(path)
+    training(docs, found, key, text, settings, workers).write.parquet(path)
     train = spark.read.parquet(path)
     if found.total == 0 or train.isEmpty():
         return model
     for r in range(settings.rounds):
-        learn = _learner(model, vocabulary, settings, settings.rates[min(r, len(settings.rates) - 1)])
-        mine = F.pmod(F.xxhash64(F.lit(settings.seed + 2), "key1"), F.lit(settings.rounds)) == r
+        rate = settings.rates[min(r, len(settings.rates) - 1)]
+        shared = spark.sparkContext.broadcast(model)
         # By range: each worker is a task of its own, also where its share is small.
-        spread = train.where(mine).repartitionByRange(workers, "worker")
-        learnt = spread.groupBy("worker").applyInPandas(
-            learn, "part int, flat binary, n bigint"
+        spread = train.where(F.col("round") == r).repartitionByRange(workers, "worker")
+        learnt = (
+            spread.sortWithinPartitions("worker", "place", "ids")
+            .select("worker", "ids")
+            .mapInArrow(_learner(shared, vocabulary, settings, rate), _LEARNT)
         )
-        rows = learnt.groupBy("part").applyInPandas(
-            _average, "part int, flat binary, n bigint"
-        ).collect()  # eight at most, each of the size of the model
+        rows = learnt.groupBy("part").applyInPandas(_average, _LEARNT).collect()  # one model
         if rows:
-            rows = sorted(rows)
-            flats = [np.frombuffer(row["flat"], np.float32) for row in rows]
-            weights = [row["n"] for row in rows]
-            model = model.with_flat(np.average(flats, axis=0, weights=weights))
+            flats = [np.frombuffer(row["flat"], np.float32) for row in sorted(rows)]
+            model = model.with_flat(np.concatenate(flats))
     return model
 
 
-def _learner(model: Gru, vocabulary: Vocabulary, settings: Settings, rate: float):
-    """One round of a worker, over its texts."""
-    class_of, flat = model.class_of, model.flat()
+_LEARNT = "part int, flat binary, n bigint"
 
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key1", "ids"])
-        texts = [np.frombuffer(b, "<u2").astype(np.int64) for b in frame["ids"]]
-        own = model_of(class_of, flat, settings, vocabulary.counts)
-        own.train(texts, vocabulary.end, settings.window, settings.rows, rate)
-        n = sum(map(len, texts))
-        part = int(frame["worker"].iloc[0]) % 8
-        return pd.DataFrame({"part": [part], "flat": [own.flat().tobytes()], "n": [n]})
 
-    return learn
+def _learner(shared, vocabulary: Vocabulary, settings: Settings, rate: float):
+    """One round of the workers of a task, over their texts, a block of them at a time."""
+    end, kind = vocabulary.end, vocabulary.kind
 
+    def run(batches):
+        now, adam, n, texts, waiting = None, None, 0, [], 0
+
+        def learn():
+            nonlocal texts, n, waiting
+            adam.train(texts, end, settings.window, settings.rows)
+            n, texts, waiting = n + waiting, [], 0
+
+        def answer() -> pa.RecordBatch:
+            learn()
+            flat = adam.model.flat()
+            slices = [flat[a : a + SLICE].tobytes() for a in range(0, len(flat), SLICE)]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(len(slices)), pa.int32()),
+                    pa.array(slices, pa.binary()),
+                    pa.array([n] * len(slices), pa.int64()),
+                ],
+                ["part", "flat", "n"],
+            )
+
+        for batch in batches:
+            for worker, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if worker != now:
+                    if adam:
+                        yield answer()
+                    now, n = worker, 0
+                    adam = Adam(shared.value.with_flat(shared.value.flat()), rate)
+                texts.append(np.frombuffer(ids.as_buffer(), kind))
+                waiting += len(texts[-1])
+                if waiting >= BLOCK_TOKENS:
+                    learn()
+        if adam:
+            yield answer()
 
-def model_of(class_of, flat: np.ndarray, settings: Settings, counts: np.ndarray) -> Gru:
-    return Gru.fresh(counts, class_of, settings.hidden, settings.seed).with_flat(flat)
+    return run
 
 
 def _average(frame: pd.DataFrame) -> pd.DataFrame:
@@ -373,30 +429,31 @@ def score(
     """`doc_key`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`."""
     found = counts(docs, key, text, settings)
     model = fit(docs, found, key, text, settings)
-    vocabulary, flat, class_of = Vocabulary(found), model.flat(), model.class_of
+    vocabulary = Vocabulary(found)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
     keyed = _keyed(docs, key, text, settings)
 
     def run(batches):
-        own = model_of(class_of, flat, settings, vocabulary.counts)
+        vocabulary, own = shared.value
         held: list[pa.RecordBatch] = []
         texts: list[np.ndarray] = []
         for batch in batches:
             data = batch.column(4).to_pylist()
             for a, b in portions([len(t) for t in data], BLOCK_BYTES):
                 tokens, offsets = _tokens(data[a:b])
-                ids = vocabulary.of(tokens).astype(np.int16)
+                ids = vocabulary.of(tokens).astype(np.int32)
                 texts += [ids[x:y] for x, y in zip(offsets, offsets[1:])]
                 held.append(batch.select(range(4)).slice(a, b - a))
                 if sum(map(len, texts)) > 2_000_000:
-                    yield answered(own, held, texts)
+                    yield answered(vocabulary, own, held, texts)
                     held, texts = [], []
         if held:
-            yield answered(own, held, texts)
+            yield answered(vocabulary, own, held, texts)
 
-    def answered(own: Gru, held, texts) -> pa.RecordBatch:
+    def answered(vocabulary: Vocabulary, own: Gru, held, texts) -> pa.RecordBatch:
         found = own.score(texts, vocabulary.end, settings.window) / np.log(10)
         n = np.array([len(t) for t in texts], np.int64)
-        flat_ids = np.concatenate(texts).astype(np.int64)
+        flat_ids = np.concatenate(texts)
         row = np.repeat(np.arange(len(texts)), n)
         logs = np.bincount(row, vocabulary.logs[flat_ids], len(texts))
         others = np.bincount(row, flat_ids == vocabulary.other, len(texts)).astype(np.int64)

@@ -419,6 +419,20 @@ def test_base_scores_against_brute_force(spark):
     assert all(r["score"] < 0 for r in made.collect())
 
 
+def test_every_training_document_trains_a_growing_vocabulary(spark):
+    rows = [(i, f"{prose(50, i)} " + " ".join(f"w{i}x{j}" for j in range(i % 60))) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    settings = lm_scoring.Settings()
+    found = lm_scoring.counts(docs, "doc_id", "text", settings)
+    used = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in spaced_words(t.encode()))
+    size = math.ceil(8 * math.sqrt(len(used) + 1))
+    assert len(found.counts) == size > settings.vocabulary
+    assert sorted(found.counts.tolist(), reverse=True) == sorted(used.values(), reverse=True)[:size]
+    train = lm_scoring.training(docs, found, "doc_id", "text", settings, 8).collect()
+    assert sum(len(r["ids"]) for r in train) == 2 * found.total
+    assert {r["round"] for r in train} == {0, 1, 2} and {r["worker"] for r in train} == set(range(8))
+
+
 def test_scores_of_none_and_of_held_out_only(spark):
     assert lm_scoring.score(empty(spark)).count() == 0
     held = [(i, "some words") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
