@@ -8,6 +8,7 @@
    `vocabulary` at least, the end, and one token for all other words. Every training document trains
    the model, once. Workers, more of them for more tokens, train side by side on blocks of texts
    that stream by in a fixed order; their parameters are averaged, which is done `rounds` times.
+   Documents are dealt out by text and id, so copies of one text go to all workers and rounds.
 3. `score`: the model goes over every document as a whole, carrying its state from window to window.
 
 A word outside the vocabulary has the probability of the token for other words times its share of
@@ -307,7 +308,7 @@ def training(
     """`worker`, `round`, `place` and token `ids` of each training document."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(found))
     keyed = _keyed(docs, key, text, settings).where(~F.col("held_out"))
-    row = [F.col("key1")]
+    row = [F.col("key1"), F.col("doc_key").cast("string")]  # copies of a text are dealt out too
 
     def draw(n: int, among: int):
         return F.pmod(F.xxhash64(F.lit(settings.seed + n), *row), F.lit(among)).cast("int")

@@ -433,6 +433,16 @@ def test_every_training_document_trains_a_growing_vocabulary(spark):
     assert {r["round"] for r in train} == {0, 1, 2} and {r["worker"] for r in train} == set(range(8))
 
 
+def test_copies_of_a_text_train_in_all_workers_and_rounds(spark):
+    rows = [(i, "the same words again") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    settings = lm_scoring.Settings()
+    found = lm_scoring.counts(docs, "doc_id", "text", settings)
+    train = lm_scoring.training(docs, found, "doc_id", "text", settings, 8)
+    sizes = [r["count"] for r in train.groupBy("worker", "round").count().collect()]
+    assert len(sizes) == 24 and max(sizes) < 2 * sum(sizes) / 24
+
+
 def test_scores_of_none_and_of_held_out_only(spark):
     assert lm_scoring.score(empty(spark)).count() == 0
     held = [(i, "some words") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
