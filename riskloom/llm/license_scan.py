@@ -7,8 +7,10 @@ block holds one of the first n-k+1 (prefix filter), has k words at least (length
 from the first word in common on, both sides must have enough words left (positional filter). What
 passes is counted once for each block and notice.
 
-Blocks are lines; a longer line is taken in windows of `window` words, each beginning half a window
-after the one before. The notices and their word counts are the only thing that is collected and
+Blocks are windows over the words of the whole text, where a line break only separates words, and
+lines besides; a line of more words than a window is taken in windows too. A window begins half a
+window after the one before, and has room in each half for the longest notice with as many other
+words between its own as the threshold lets be missing; it has `window` words at least. The notices and their word counts are the only thing that is collected and
 sent to executors: their size is that of the notices, not of the corpus. There is one small shuffle,
 of word counts already summed in each task.
 
@@ -68,6 +70,12 @@ class Notice:
     label: str
     words: tuple[bytes, ...]  # distinct, rarest first
     needed: int
+    length: int = 0  # in words, repeated ones too
+
+    @property
+    def room(self) -> int:
+        """Words of a passage with the notice and others between, by its share."""
+        return -(-max(self.length, len(self.words)) * len(self.words) // self.needed)
 
     @property
     def prefix(self) -> int:
@@ -107,9 +115,10 @@ def prepared(
     out = []
     for label, texts in notices.items():
         for text in texts:
-            words = sorted(set(plain_words(text.encode())), key=lambda w: (counts.get(w, 0), w))
+            all_words = plain_words(text.encode())
+            words = sorted(set(all_words), key=lambda w: (counts.get(w, 0), w))
             needed = int(np.ceil(threshold * len(words) - 1e-9))
-            out.append(Notice(label, tuple(words), max(1, needed)))
+            out.append(Notice(label, tuple(words), max(1, needed), len(all_words)))
     return out
 
 
@@ -117,7 +126,8 @@ class Scanner:
     """Notices against the blocks of a text."""
 
     def __init__(self, notices: list[Notice], counts: dict[bytes, int], window: int):
-        self.notices, self.window = notices, window
+        self.notices = notices
+        self.window = max([window, *(2 * n.room for n in notices)])
         words = {w for n in notices for w in n.words}
         order = sorted(words, key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
@@ -129,14 +139,19 @@ class Scanner:
         self.prefixes = frozenset(self.by_word)
 
     def blocks(self, text: bytes):
-        for line in text.splitlines():
-            words = plain_words(line)
-            step = self.window // 2
-            if len(words) <= self.window:
-                yield words
-            else:
-                for begin in range(0, len(words) - step, step):
-                    yield words[begin : begin + self.window]
+        yield from self.windows(plain_words(text))
+        lines = text.splitlines()
+        if len(lines) > 1:
+            for line in lines:
+                yield from self.windows(plain_words(line))
+
+    def windows(self, words: list[bytes]):
+        step = self.window // 2
+        if len(words) <= self.window:
+            yield words
+        else:
+            for begin in range(0, len(words) - step, step):
+                yield words[begin : begin + self.window]
 
     def scan(self, text: bytes) -> dict[int, float]:
         """The greatest share of each notice that a fitting block holds."""

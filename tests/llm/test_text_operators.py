@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -186,6 +187,22 @@ def test_licences_against_plain_rules(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_notices_over_several_lines_and_long_ones(spark):
+    long = {"long": [" ".join(f"term{i}" for i in range(150))]}
+    notices = license_scan.NOTICES | long
+    rows, expected = [], {}
+    for i, (label, text) in enumerate((k, t) for k, texts in notices.items() for t in texts):
+        for width in (30, 72, 10_000):
+            lines = "\n * ".join(textwrap.wrap(text, width, break_long_words=False))
+            for before in (0, 7, 40, 61):
+                key = len(rows)
+                rows.append((key, f"{prose(before, i) if before else ''}\n * {lines}\n{prose(30, i + 9)}"))
+                expected[key] = label
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in license_scan.scan(docs, notices=notices).collect():
+        assert expected[r["doc_id"]] in r["labels"].split(",") and r["score"] == 1.0
+
+
 def test_licence_join_finds_what_comparing_all_finds():
     rng = random.Random(3)
     notices = {"a": [" ".join(f"w{i}" for i in range(12))], "b": ["w1 w5 w20 w21 w22"], "c": ["w7"]}
