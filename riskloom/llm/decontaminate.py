@@ -8,12 +8,15 @@ Each window of a text that is as long as an item is held against the items of th
    running sum of votes.
 3. Items stand in `radius + 1` tables, one for each block of bits. Two fingerprints within the radius
    agree in one block at least, so a window meets all items within the radius in these tables.
-4. Candidates are verified by the exact weighted similarity of their shingles of `n_words` words:
-   the weight in common over the weight of both, `least` or more. A shingle weighs the more the
-   fewer items hold it.
+4. Candidates are verified by the exact similarity of their shingles of `n_words` words: what is in
+   common over all of both has to be `least` or more, plain or weighted; the weighted one is given.
+   A shingle weighs the more the fewer items hold it.
+
+Items of the same words count once. Counts are over the whole benchmark: those of two or more, which
+are what weights differ by, are shared by all blocks of it, so results don't depend on the blocks.
 
 Words are runs of letters and digits in lower case, so marks around words hide no copy. The benchmark
-goes to the executors `items_at_once` items at a time, whatever its size; documents are only read
+goes to the executors `items_at_once` items or `BLOCK_BYTES` at a time, whatever its size; documents are only read
 row by row, there is no shuffle of them. Long texts go by in parts that overlap by the longest item.
 
 Defined results: null and empty texts match nothing, items without words match nothing; repeated
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,24 +56,37 @@ class Settings:
 class Items:
     """A block of items: word weights, fingerprints, tables and shingles."""
 
-    def __init__(self, ids: list, texts: list[bytes], settings: Settings):
+    def __init__(
+        self, ids: list, texts: list[bytes], settings: Settings, counted: tuple | None = None
+    ):
+        """`counted`: how many distinct items there are, and how many hold a word or a shingle, for
+        those that two or more hold; counted here if not given."""
         self.settings = settings
         words, offsets = word_hashes(texts, PLAIN)
         each = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        keep = [i for i, w in enumerate(each) if len(w)]
-        self.ids, self.words = [ids[i] for i in keep], [each[i] for i in keep]
-        held, shingles = Counter(), Counter()
-        for own in self.words:
-            held.update(set(own.tolist()))
-            shingles.update(set(self._shingles(own.tolist())))
-        n = len(self.words)
-        self.vocabulary = np.array(sorted(held), np.uint64)
-        rarity = [math.log((1 + n) / held[w]) for w in self.vocabulary.tolist()]
+        same = defaultdict(list)
+        for key, own in zip(ids, each):
+            if len(own):
+                same[own.tobytes()].append(key)
+        #: Distinct items, and the ids of each.
+        self.ids, self.words = list(same.values()), [np.frombuffer(w, np.uint64) for w in same]
+        if counted is None:
+            held, shingles = Counter(), Counter()
+            for own in self.words:
+                held.update(set(own.tolist()))
+                shingles.update(set(shingles_of(own.tolist(), settings.n_words)))
+            counted = len(self.words), held, shingles
+        n, held, shingles = counted
+        known = set(held).union(*(w.tolist() for w in self.words))
+        self.vocabulary = np.array(sorted(known), np.uint64)
+        rarity = [math.log((1 + n) / held.get(w, 1)) for w in self.vocabulary.tolist()]
         self.most = math.log(1 + n) if n else 1.0
         #: Votes are whole numbers, so a running sum is exact.
         self.votes = np.array([*rarity, self.most]) / self.most * 64
         self.votes = np.maximum(1, self.votes.round()).astype(np.int32)
         self.weight = {s: math.log((1 + n) / c) for s, c in shingles.items()}
+        #: The least weight of a shingle, as a share of the greatest.
+        self.least_share = min(self.weight.values(), default=self.most) / self.most
         self.sets = [Counter(self._shingles(w.tolist())) for w in self.words]
         self.by_size: dict[int, Tables] = {}
         sizes = defaultdict(list)
@@ -83,18 +100,18 @@ class Items:
         self.sizes = sorted(self.by_size)
 
     def _shingles(self, words: list[int]) -> list[tuple]:
-        n = self.settings.n_words
-        return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+        return shingles_of(words, self.settings.n_words)
 
     def allowed(self, size: int) -> int:
-        """How many words of a window of this size may not be words of the benchmark.
+        """How many words of a window of this size may be out of the vocabulary.
 
-        With k of m shingles in common the similarity is k / (2m - k) at most, as others weigh at
-        least as much. So k is at least 2m * least / (1 + least), and each such word spoils a shingle.
+        Each such word spoils a shingle. With s of m spoiled, m - s are in common at most, and weigh 1
+        at most; the spoiled ones weigh 1, as one item at most holds them, and as many of the item
+        weigh `least_share` or more. A plain similarity is bound more closely.
         """
         m = max(1, size - self.settings.n_words + 1)
         least = self.settings.least
-        return m - math.ceil(2 * m * least / (1 + least) - 1e-9)
+        return math.floor(m * (1 - least) / (1 + least * self.least_share) + 1e-9)
 
     def running_votes(self, words: np.ndarray) -> np.ndarray:
         """The votes on each bit of all words before each place."""
@@ -106,15 +123,23 @@ class Items:
         np.multiply(bits.view(np.int8) * np.int8(2) - np.int8(1), weight[:, None], out=total[1:])
         return np.cumsum(total, 0, out=total)
 
-    def similarity(self, words: np.ndarray, item: int) -> float:
+    def similarity(self, words: np.ndarray, item: int) -> tuple[float, float]:
+        """Weighted and plain."""
         window, own = Counter(self._shingles(words.tolist())), self.sets[item]
         both = union = 0.0
+        plain_both = plain_union = 0
         for shingle in window.keys() | own.keys():
             weight = self.weight.get(shingle, self.most)
             a, b = window[shingle], own[shingle]
             both += weight * min(a, b)
             union += weight * max(a, b)
-        return both / union if union else 1.0
+            plain_both += min(a, b)
+            plain_union += max(a, b)
+        return both / union if union else 1.0, plain_both / plain_union
+
+
+def shingles_of(words: list[int], n: int) -> list[tuple]:
+    return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
 
 
 def window_prints(votes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -154,17 +179,59 @@ class Tables:
         return sorted(found)
 
 
-def _load(items: DataFrame, key: str, text: str, settings: Settings) -> list[tuple[list, list]]:
-    """The benchmark in blocks of `items_at_once` items; each is broadcast on its own."""
+def counted(items: DataFrame, text: str, settings: Settings) -> tuple[int, dict, dict]:
+    """How many distinct items have words, and how many hold each word and each shingle, for those
+    that two or more hold."""
+
+    def plain(batches):
+        for batch in batches:
+            out = [b" ".join(plain_words(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+
+    def held(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in portions([len(t) for t in texts], BLOCK_BYTES // 8):
+                hashes, offsets = word_hashes(texts[a:b], PLAIN)
+                kinds, keys = [], []
+                for x, y in zip(offsets[:-1], offsets[1:]):
+                    own = hashes[x:y].tolist()
+                    parts = {(0, (w,)) for w in own}
+                    parts |= {(1, s) for s in shingles_of(own, settings.n_words)}
+                    kinds += [-1, *(k for k, _ in parts)]
+                    keys += [b"", *(np.array(s, "<u8").tobytes() for _, s in parts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kinds, pa.int32()), pa.array(keys, pa.binary())], ["kind", "key"]
+                )
+
+    distinct = items.select(utf8(text)).mapInArrow(plain, "words binary").distinct()
+    rows = distinct.where(F.length("words") > 0).mapInArrow(held, "kind int, key binary")
+    n, words, shingles = 0, {}, {}
+    often = rows.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1 or kind = -1")
+    for row in often.toLocalIterator():
+        key = tuple(np.frombuffer(row["key"], "<u8").tolist())
+        if row["kind"] == 1:
+            shingles[key] = row["n"]
+        elif row["kind"] == 0:
+            words[key[0]] = row["n"]
+        else:
+            n = row["n"]
+    return n, words, shingles
+
+
+def _load(items: DataFrame, key: str, text: str, settings: Settings) -> Iterator[tuple[list, list]]:
+    """The benchmark in blocks; each is broadcast on its own, and the driver holds one at a time."""
     rows = items.select(F.col(key).alias("id"), utf8(text).alias("text")).orderBy("id", "text")
-    blocks, current = [], ([], [])
+    current, size = ([], []), 0
     for row in rows.toLocalIterator():
         current[0].append(row["id"])
         current[1].append(bytes(row["text"]))
-        if len(current[0]) == settings.items_at_once:
-            blocks.append(current)
-            current = ([], [])
-    return [*blocks, current] if current[0] else blocks
+        size += len(current[1][-1])
+        if len(current[0]) == settings.items_at_once or size >= BLOCK_BYTES:
+            yield current
+            current, size = ([], []), 0
+    if current[0]:
+        yield current
 
 
 def matches(items: Items, texts: list[bytes]) -> list[tuple[int, int, float, int, int]]:
@@ -201,8 +268,8 @@ def matches(items: Items, texts: list[bytes]) -> list[tuple[int, int, float, int
             found = window_prints(votes, np.searchsorted(part, own), size)
             for window, item in items.by_size[size].near(found):
                 at = int(own[window])
-                value = items.similarity(words[at : at + size], item)
-                if value >= items.settings.least:
+                value, plain = items.similarity(words[at : at + size], item)
+                if max(value, plain) >= items.settings.least:
                     key = (int(doc[at]), item)
                     if key not in best or value > best[key][0]:
                         best[key] = (value, at - int(offsets[doc[at]]), size)
@@ -251,21 +318,24 @@ def find(
     )
     out = spark.createDataFrame([], schema)
     rows = docs.select(F.col(key).alias("doc_key"), utf8(text).alias("text"))
+    counts = spark.sparkContext.broadcast(counted(items, item_text, settings))
     for block in _load(items, item_key, item_text, settings):
-        out = out.union(rows.mapInArrow(_finder(spark.sparkContext.broadcast(block), settings), schema))
+        shared = spark.sparkContext.broadcast(block)
+        out = out.union(rows.mapInArrow(_finder(shared, counts, settings), schema))
     return out
 
 
-def _finder(shared, settings: Settings):
+def _finder(shared, counts, settings: Settings):
     def run(batches):
-        items = Items(*shared.value, settings)
+        items = Items(*shared.value, settings, counts.value)
         for batch in batches:
             found = _found(items, batch.column(1).to_pylist())
+            found = [(d, key, *x) for d, i, *x in found for key in items.ids[i]]
             doc, item, value, first, size = zip(*found) if found else ([],) * 5
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(doc, pa.int64())),
-                    pa.array([items.ids[i] for i in item]) if found else pa.array([], pa.int64()),
+                    pa.array(item) if found else pa.array([], pa.int64()),
                     pa.array(value, pa.float64()),
                     pa.array(first, pa.int64()),
                     pa.array(size, pa.int64()),
@@ -286,17 +356,18 @@ def clean(
 ) -> DataFrame:
     """The rows that hold no copy or near copy of an item, as they are."""
     spark = docs.sparkSession
+    counts = spark.sparkContext.broadcast(counted(items, item_text, settings))
     for block in _load(items, item_key, item_text, settings):
         names, width = docs.columns, len(docs.columns)
         data = docs.select(*(F.col(f"`{n}`") for n in names), utf8(text).alias("__utf8"))
-        kept = _keeper(spark.sparkContext.broadcast(block), settings, names, width)
+        kept = _keeper(spark.sparkContext.broadcast(block), counts, settings, names, width)
         docs = data.mapInArrow(kept, docs.schema)
     return docs
 
 
-def _keeper(shared, settings: Settings, names: list[str], width: int):
+def _keeper(shared, counts, settings: Settings, names: list[str], width: int):
     def run(batches):
-        items = Items(*shared.value, settings)
+        items = Items(*shared.value, settings, counts.value)
         for batch in batches:
             texts = batch.column(width).to_pylist()
             hit = {row[0] for row in _found(items, texts)}

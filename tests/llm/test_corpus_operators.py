@@ -173,6 +173,23 @@ def test_passages_against_brute_force(spark):
     assert decontaminate.clean(docs, items.limit(0)).count() == len(rows)
 
 
+def test_copies_and_blocks_of_items_change_no_match(spark):
+    often = prose(50, 321).split()
+    items = [(i, " ".join(often)) for i in range(20)]
+    items += [(100 + i, f"{prose(30, 400 + i)} {' '.join(often[:12])}") for i in range(40)]
+    changed = [*often[:25], "changed", *often[26:]]
+    rows = [(1, f"{prose(20, 1)} {' '.join(changed)} {prose(20, 2)}"), (2, items[30][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    found = [
+        pairs(decontaminate.find(docs, table, settings=decontaminate.Settings(items_at_once=n)),
+              "doc_key", "item_key", "similarity", "first_word", "n_words")
+        for n in (20_000, 7)
+    ]
+    assert found[0] == found[1]
+    assert {x[:2] for x in found[0]} == {(1, i) for i in range(20)} | {(2, 110)}
+
+
 def test_tables_find_all_within_the_radius():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 1 << 63, 40).astype(np.uint64)
