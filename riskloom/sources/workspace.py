@@ -36,6 +36,20 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/riskloom/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """The table from the shared folder, and its path: later plans start there, and lost executors
+    do no harm."""
+    path = fresh_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, by whatever file system it is on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let `DataFrame.checkpoint` and MLlib cut lineage in the shared folder."""
     context = spark.sparkContext
