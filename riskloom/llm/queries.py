@@ -16,6 +16,7 @@ from riskloom.llm import (
     jaccard_join,
     license_scan,
     lm_scoring,
+    near_simhash,
     simhash,
     token_shards,
     toxicity,
@@ -107,6 +108,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("doc_key", "doc_id")
 
 
+def op13_near_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = near_simhash.groups(_table(spark, sf_dir, "documents"))
+    return made.select(
+        F.col("doc_key").alias("doc_id"),
+        simhash.as_hex(F.col("fingerprint")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+        "copies",
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filters": op2_url_filters,
@@ -118,6 +129,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_near_simhash": op13_near_simhash,
 }
 
 ORACLE: dict[str, str] = {
