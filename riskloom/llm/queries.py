@@ -13,17 +13,21 @@ from riskloom.llm import (
     byte_bpe,
     chat_format,
     decontaminate,
+    hard_negatives,
     jaccard_join,
     license_scan,
     lm_scoring,
     near_simhash,
     simhash,
+    token_alignment,
     token_shards,
     toxicity,
     url_filters,
 )
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -108,6 +112,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("doc_key", "doc_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    made = token_alignment.measures(docs, BYTE_TOKENIZER, PIECE_MODEL)
+    return made.withColumnRenamed("doc_key", "doc_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"),
+        "embedding",
+    )
+    return hard_negatives.mine(rows, anchor=F.col("vec_id") % 50 == 0)
+
+
 def op13_near_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = near_simhash.groups(_table(spark, sf_dir, "documents"))
     return made.select(
@@ -129,6 +148,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_near_simhash": op13_near_simhash,
 }
 
@@ -152,5 +173,27 @@ SELECT page_id, host, path, rule,
        WHEN rule IS NOT NULL OR host = '' OR contains(h, '.spam') OR contains(h, '.casino')
        THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+       AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
 """,
 }
