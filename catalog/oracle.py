@@ -123,6 +123,43 @@ shared AS (
   FROM seen GROUP BY event_id
 )"""
 
+_MIXED = """
+wide AS (SELECT max(event_id) // 4 + 1 AS width FROM txn),
+mixed AS (
+  SELECT event_id, step, CASE WHEN event_id % 3 = 0 THEN 'HOT' ELSE nameOrig END AS nameOrig,
+    nameDest, CAST(round(amount * 100) AS BIGINT) AS c,
+    least(3, greatest(event_id + ((event_id * 7919) % 5 - 2) * 20, 0) // width
+      + (event_id % 20 = 7)::INTEGER) AS portion
+  FROM txn, wide
+),
+newest AS (
+  SELECT portion, max(max(step)) OVER (ORDER BY portion ROWS BETWEEN UNBOUNDED PRECEDING
+    AND 1 PRECEDING) AS newest FROM mixed GROUP BY portion
+),
+timed AS (
+  SELECT mixed.*, coalesce(step < newest - 2, false) AS late
+  FROM mixed JOIN newest USING (portion)
+),
+sides AS (
+  SELECT event_id, step, portion, late, c, 'o' AS side, nameOrig AS account FROM timed
+  UNION ALL
+  SELECT event_id, step, portion, late, c, 'd', nameDest FROM timed
+),
+counted AS (
+  SELECT event_id, side, late, count(*) OVER w AS n, coalesce(sum(c) OVER w, 0) AS c
+  FROM sides
+  WINDOW w AS (PARTITION BY step, account, CASE WHEN late THEN portion ELSE -1 END
+    ORDER BY portion * 1000000000000 + event_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+stream_mixed AS (
+  SELECT event_id,
+    CAST(max(CASE WHEN side = 'o' THEN n END) AS BIGINT) AS orig_tx_count_1h,
+    CAST(max(CASE WHEN side = 'o' THEN c END) AS DOUBLE) / 100 AS orig_amount_sum_1h,
+    CAST(max(CASE WHEN side = 'd' THEN n END) AS BIGINT) AS dest_tx_count_1h,
+    bool_or(late) AS late
+  FROM counted GROUP BY event_id
+)"""
+
 _DERIVED = """
   (oldbalanceOrg - newbalanceOrig) - amount AS error_balance_orig,
   (newbalanceDest - oldbalanceDest) - amount AS error_balance_dest,
@@ -269,6 +306,129 @@ life AS (
   FROM scored
 )"""
 
+_POINTS = """
+placed AS (SELECT *, row_number() OVER (ORDER BY event_id) AS number FROM scored),
+points AS (
+  SELECT number AS rows_seen, a, r, b FROM (
+    SELECT number, count(*) FILTER (decision = 'APPROVE') OVER w AS a,
+      count(*) FILTER (decision = 'REVIEW') OVER w AS r,
+      count(*) FILTER (decision = 'BLOCK') OVER w AS b
+    FROM placed WINDOW w AS (ORDER BY number))
+  WHERE number % 1000 = 0
+),
+looks AS (
+  SELECT rows_seen, any_value(a) AS a, any_value(r) AS r, any_value(b) AS b,
+    count(*) AS window_size, avg(risk_score) AS score_mean,
+    quantile_cont(risk_score, 0.95) AS score_p95, quantile_cont(risk_score, 0.99) AS score_p99,
+    quantile_cont(latency_ms, 0.5) AS latency_p50_ms,
+    quantile_cont(latency_ms, 0.99) AS latency_p99_ms
+  FROM points JOIN placed ON number > rows_seen - 10000 AND number <= rows_seen
+  GROUP BY rows_seen
+)"""
+
+_WINDOWED = """
+shifted AS (
+  SELECT * REPLACE (
+    CASE WHEN event_id % 10000 >= 5000 THEN amount * 1.5 + 1 ELSE amount END AS amount),
+    (row_number() OVER (ORDER BY event_id) - 1) // 2500 AS win
+  FROM feat
+),
+wins AS (SELECT win FROM shifted GROUP BY win HAVING count(*) = 2500),
+flat AS (
+{parts}
+),
+tallies AS (
+  SELECT win, feature, v, 0 AS r, count(*) AS c FROM flat SEMI JOIN wins USING (win)
+    GROUP BY ALL
+  UNION ALL
+  SELECT wins.win, feature, v, count(*) AS r, 0 AS c FROM flat, wins WHERE is_ref GROUP BY ALL
+),
+counts AS (
+  SELECT win || ' ' || feature AS feature, v, sum(r) AS r, sum(c) AS c FROM tallies
+  GROUP BY ALL
+)""".format(
+    parts="\n  UNION ALL\n".join(
+        f"  SELECT win, '{f}' AS feature, CAST({f} AS DOUBLE) AS v, step <= 100 AS is_ref FROM shifted"
+        for f in FEATURES
+    )
+)
+_WINDOWED_KS = _KS[_KS.index("cdf AS") :]
+
+_RINGS = """
+pay AS (
+  SELECT (step - 1) // 24 AS period, nameOrig AS x, nameDest AS y,
+    CAST(round(amount * 100) AS BIGINT) AS c
+  FROM txn WHERE type IN ('TRANSFER', 'CASH_OUT') AND isFraud = 1 AND nameOrig <> nameDest
+),
+links AS (
+  SELECT period, x AS a, y AS b FROM pay UNION SELECT period, y, x FROM pay
+),
+reach AS (
+  SELECT DISTINCT period, a AS node, a AS label FROM links
+  UNION
+  SELECT reach.period, links.b, reach.label
+  FROM reach JOIN links ON links.period = reach.period AND links.a = reach.node
+),
+labelled AS (SELECT period, node, min(label) AS ring FROM reach GROUP BY ALL),
+rings AS (
+  SELECT period, ring, count(*) AS frauds, CAST(sum(c) AS DOUBLE) / 100 AS amount
+  FROM pay JOIN labelled USING (period) WHERE node = x
+  GROUP BY ALL HAVING count(*) >= 2
+)"""
+
+_CHAINS = """
+SELECT event_id, account, step, amount, isFraud, out_id, out_step, out_amount, out_fraud,
+  out_step - step AS lag_steps
+FROM (
+  SELECT t.event_id, t.nameDest AS account, t.step, t.amount, t.isFraud, o.event_id AS out_id,
+    o.step AS out_step, o.amount AS out_amount, o.isFraud AS out_fraud
+  FROM (SELECT * FROM txn WHERE type = 'TRANSFER') AS t
+  ASOF JOIN (SELECT * FROM txn WHERE type = 'CASH_OUT') AS o
+    ON t.nameDest = o.nameOrig AND t.event_id < o.event_id)
+WHERE out_step - step <= 24"""
+
+_LAST_RECEIVED = """
+SELECT a.event_id, b.event_id AS received_id, b.amount AS received_amount
+FROM txn AS a ASOF LEFT JOIN txn AS b ON a.nameOrig = b.nameDest AND a.event_id > b.event_id"""
+
+
+def _rolling(hours: int) -> str:
+    return f"""
+SELECT a.event_id, count(b.event_id) AS sent_count,
+  CAST(coalesce(sum(CAST(round(b.amount * 100) AS BIGINT)), 0) AS DOUBLE) / 100 AS sent_sum
+FROM timed AS a LEFT JOIN timed AS b ON a.nameOrig = b.nameOrig
+  AND b.us >= a.us - {hours} * 3600000000
+  AND (b.us < a.us OR (b.us = a.us AND b.event_id < a.event_id))
+GROUP BY a.event_id"""
+
+
+_TIMED = """
+timed AS (
+  SELECT txn.*, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) AS us
+  FROM txn JOIN events USING (event_id)
+)"""
+
+_MEDIANS = ("amount", "oldbalanceOrg", "newbalanceDest")
+_MEDIAN_SCORES = (
+    "SELECT event_id, "
+    + ", ".join(f"round({v}_z, 4) AS {v}_score" for v in _MEDIANS)
+    + ", round(greatest("
+    + ", ".join(f"abs({v}_z)" for v in _MEDIANS)
+    + "), 4) AS anomaly_score FROM (SELECT event_id, "
+    + ", ".join(
+        f"CASE WHEN {v}_s > 0 THEN 0.6745::DOUBLE * ({v} - {v}_m) / {v}_s END AS {v}_z"
+        for v in _MEDIANS
+    )
+    + " FROM txn JOIN centres USING (type) JOIN spreads USING (type))"
+)
+_CENTRES = (
+    "\ncentres AS (SELECT type, "
+    + ", ".join(f"quantile_cont({v}, 0.5) AS {v}_m" for v in _MEDIANS)
+    + " FROM txn GROUP BY type),\nspreads AS (SELECT type, "
+    + ", ".join(f"quantile_cont(abs({v} - {v}_m), 0.5) AS {v}_s" for v in _MEDIANS)
+    + " FROM txn JOIN centres USING (type) GROUP BY type)"
+)
+
 _COUNTS4 = """
 cm AS (
   SELECT CAST(count(*) FILTER (isFraud = 1 AND risk_score >= 0.5) AS BIGINT) AS tp,
@@ -499,6 +659,7 @@ SELECT event_id, step, amount, oldbalanceOrg, newbalanceOrig, oldbalanceDest, ne
     "velocity_by_role_hot": _q(_VELOCITY + "by_role", _BY_ROLE),
     "velocity_shared": _q(_VELOCITY + "shared", _SHARED_ALL),
     "velocity_shared_hot": _q(_VELOCITY + "shared", _SHARED_ALL),
+    "stream_velocity_mixed": _q("SELECT * FROM stream_mixed", _MIXED),
     "stream_velocity": _q(_VELOCITY + "shared", _SHARED_ALL),
     "velocity_mode_diff": _q(
         """
@@ -717,6 +878,93 @@ FROM summary, life""",
         _SCORED,
         _SUMMARY.format(window=5000),
     ),
+    "distinct_parties_by_day": _q(
+        """
+SELECT CAST((step - 1) // 24 AS BIGINT) AS period, count(*) AS rows,
+  count(DISTINCT nameOrig) AS exact_senders, count(DISTINCT nameDest) AS exact_receivers,
+  true AS within
+FROM txn GROUP BY 1"""
+    ),
+    "percentiles_by_day": _q(
+        "SELECT CAST((step - 1) // 24 AS BIGINT) AS period, count(*) AS rows, "
+        + ", ".join(
+            f"true AS {v}_{p}_within" for v in ("risk_score", "latency_ms") for p in ("p50", "p95", "p99")
+        )
+        + " FROM scored GROUP BY 1",
+        _SCORED,
+    ),
+    "fraud_rings": _q(
+        """
+SELECT CAST(period AS BIGINT) AS period, ring, count(*) AS accounts, any_value(frauds) AS frauds,
+  any_value(amount) AS amount
+FROM rings JOIN labelled USING (period, ring) GROUP BY ALL""",
+        _RINGS,
+    ).replace("WITH", "WITH RECURSIVE", 1),
+    "ring_members": _q(
+        """
+SELECT CAST(period AS BIGINT) AS period, ring, node AS account
+FROM rings JOIN labelled USING (period, ring)""",
+        _RINGS,
+    ).replace("WITH", "WITH RECURSIVE", 1),
+    "payment_degrees": _q(
+        """
+SELECT account, count(*) FILTER (sent) AS sent_to, count(*) FILTER (NOT sent) AS received_from
+FROM (SELECT DISTINCT nameOrig AS account, nameDest AS other, true AS sent FROM txn
+    WHERE type IN ('TRANSFER', 'CASH_OUT') AND nameOrig <> nameDest
+  UNION SELECT DISTINCT nameDest, nameOrig, false FROM txn
+    WHERE type IN ('TRANSFER', 'CASH_OUT') AND nameOrig <> nameDest)
+GROUP BY account"""
+    ),
+    "cash_out_chains": _q(_CHAINS),
+    "cash_out_chains_hot": _q(_CHAINS),
+    "asof_last_received": _q(_LAST_RECEIVED),
+    "asof_last_received_hot": _q(_LAST_RECEIVED),
+    "asof_step_profile": _q(
+        """
+SELECT event_id, sent_count, CAST(sent_cents AS BIGINT) AS sent_cents
+FROM txn AS a ASOF LEFT JOIN (
+  SELECT nameOrig, step, count(*) AS sent_count, sum(CAST(round(amount * 100) AS BIGINT))
+    AS sent_cents FROM txn GROUP BY nameOrig, step) AS p
+  ON a.nameOrig = p.nameOrig AND a.step > p.step"""
+    ),
+    "rolling_hour": _q(_rolling(1), _TIMED),
+    "rolling_day_hot": _q(_rolling(24), _TIMED),
+    "median_scores": _q(_MEDIAN_SCORES, _CENTRES),
+    "monitor_points": _q(
+        """
+SELECT rows_seen, 'ok' AS status, window_size, round(score_mean, 6) AS score_mean,
+  round(score_p95, 6) AS score_p95, round(score_p99, 6) AS score_p99,
+  round(CAST(b AS DOUBLE) / rows_seen, 6) AS block_rate,
+  round(CAST(r AS DOUBLE) / rows_seen, 6) AS review_rate,
+  round(CAST(a AS DOUBLE) / rows_seen, 6) AS approve_rate,
+  round(latency_p50_ms, 6) AS latency_p50_ms, round(latency_p99_ms, 6) AS latency_p99_ms,
+  a AS approve_count, r AS review_count, b AS block_count
+FROM looks""",
+        _SCORED, _POINTS,
+    ),
+    "stream_alerts": _q(
+        """
+SELECT rows_seen, 'block_rate' AS alert, round(CAST(b AS DOUBLE) / rows_seen, 6) AS value,
+  CAST(0.01 AS DOUBLE) AS "limit"
+FROM looks WHERE CAST(b AS DOUBLE) / rows_seen > 0.001::DOUBLE * 10
+UNION ALL
+SELECT rows_seen, 'latency', round(latency_p99_ms, 6), CAST(100 AS DOUBLE)
+FROM looks WHERE CAST(b AS DOUBLE) / rows_seen <= 0.001::DOUBLE * 10 AND latency_p99_ms > 100""",
+        _SCORED, _POINTS,
+    ),
+    "stream_drift": _q(
+        """
+SELECT CAST(split_part(feature, ' ', 1) AS BIGINT) AS "window",
+  count(*) FILTER (p < 0.05) / 10.0::DOUBLE > 0.05 AS is_drifted,
+  count(*) FILTER (p < 0.05) / 10.0::DOUBLE AS drift_ratio,
+  coalesce(string_agg(f, ',' ORDER BY i) FILTER (p < 0.05), '') AS drifted_features,
+  max(m) AS current_size, max(n) AS reference_size
+FROM ks JOIN (VALUES """
+        + ", ".join(f"({i}, '{f}')" for i, f in enumerate(FEATURES))
+        + """) AS t(i, f) ON split_part(feature, ' ', 2) = f
+GROUP BY 1""",
+        _SCORED, _BY_ROLE, _FEAT, _WINDOWED, _WINDOWED_KS,
+    ),
     "monitor_alert": _q(
         """
 SELECT 'block_rate' AS alert, round(CAST(b AS DOUBLE) / n, 6) AS value,

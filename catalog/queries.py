@@ -9,22 +9,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import top_contributions
+from riskloom.operators import anomaly as an
+from riskloom.operators import asof
 from riskloom.operators import decisions as dec
 from riskloom.operators import drift as dr
 from riskloom.operators import evaluate as ev
 from riskloom.operators import explore as ex
 from riskloom.operators import features as fe
+from riskloom.operators import graph as gr
 from riskloom.operators import model as mo
 from riskloom.operators import monitor as mon
 from riskloom.operators import registry as reg
+from riskloom.operators import sketches as sk
 from riskloom.operators import validate as va
 from riskloom.operators.explain import Explainer, add_contributions, base_value
+from riskloom.operators.running import hot_groups
 from riskloom.plans import retrain as retrain_plan
 from riskloom.plans.retrain import recent_window
 from riskloom.schemas import MODEL_FEATURES, TXN_COLUMNS
+from riskloom.settings import Settings
 from riskloom.sources import topics
 from riskloom.sources import transactions as tx
-from riskloom.sources.workspace import fresh_path
+from riskloom.sources.workspace import fresh_path, written
+from riskloom.streaming.monitoring import start_monitor
 from riskloom.streaming.scoring import ScoringPaths, start_scoring
 from riskloom.streaming.velocity import start_velocity
 
@@ -393,6 +400,51 @@ def distinct_parties(spark, sf_dir):
     return ex.distinct_parties(txn(spark, sf_dir))
 
 
+def distinct_parties_by_day(spark, sf_dir):
+    """Sketches of each step, stored, merged by day; next to the exact numbers, which they must meet
+    within two in a hundred."""
+    rows = txn(spark, sf_dir)
+    stored, _ = written(sk.party_sketches(rows), "party-sketches")
+    day = F.floor((F.col("period") - 1) / 24).cast("long")
+    near = sk.merged_parties(stored, day)
+    exact = rows.groupBy(F.floor((F.col("step") - 1) / 24).cast("long").alias("period")).agg(
+        F.countDistinct("nameOrig").alias("exact_senders"),
+        F.countDistinct("nameDest").alias("exact_receivers"),
+    )
+
+    def close(kind: str):
+        return F.abs(F.col(kind) - F.col(f"exact_{kind}")) <= 0.02 * F.col(f"exact_{kind}")
+
+    return near.join(exact, "period").select(
+        "period", "rows", "exact_senders", "exact_receivers",
+        (close("senders") & close("receivers")).alias("within"),
+    )
+
+
+def percentiles_by_day(spark, sf_dir):
+    """Percentiles of score and latency from sketches of each step: the share of the day's rows up to
+    each is within two in a hundred of what was asked."""
+    rows = scored(spark, sf_dir)
+    values = ["risk_score", "latency_ms"]
+    stored, _ = written(sk.value_sketches(rows, values, ["step"]), "value-sketches")
+    day = F.floor((F.col("step") - 1) / 24).cast("long")
+    merged = sk.merged_values(stored, values, day)
+    asked = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    cuts = merged.select(
+        "period", *[sk.percentile(v, s).alias(f"{v}_{p}") for v in values for p, s in asked.items()]
+    )
+    joined = rows.withColumn("period", day).join(F.broadcast(cuts), "period")  # a row a day
+    below = {
+        f"{v}_{p}": (F.avg((F.col(v) < F.col(f"{v}_{p}")).cast("int")) <= s + 0.02)
+        & (F.avg((F.col(v) <= F.col(f"{v}_{p}")).cast("int")) >= s - 0.02)
+        for v in values
+        for p, s in asked.items()
+    }
+    return joined.groupBy("period").agg(
+        F.count(F.lit(1)).alias("rows"), *[c.alias(f"{name}_within") for name, c in below.items()]
+    )
+
+
 def zero_dest_share(spark, sf_dir):
     """The rule as it is, on a table in which some receivers are empty before, after, or both."""
     eid = F.col("event_id")
@@ -423,6 +475,107 @@ def member_rows(spark, sf_dir):
     return ex.members(transfers, "nameDest", cash_outs, "nameOrig").select("event_id", "nameDest")
 
 
+# -- graphs, lookups, anomalies -------------------------------------------------------------------
+
+
+def fraud_rings(spark, sf_dir):
+    """Rings of each day with two fraudulent payments or more."""
+    rings, _ = gr.fraud_rings(txn(spark, sf_dir), min_frauds=2, period_steps=24)
+    return rings
+
+
+def ring_members(spark, sf_dir):
+    """The same with every account of two payments or more taken for a hub."""
+    _, members = gr.fraud_rings(txn(spark, sf_dir), min_frauds=2, period_steps=24, hub_rows=1)
+    return members
+
+
+def payment_degrees(spark, sf_dir):
+    return gr.payment_degrees(txn(spark, sf_dir))
+
+
+def cash_out_chains(spark, sf_dir):
+    return gr.cash_out_chains(txn(spark, sf_dir))
+
+
+def cash_out_chains_hot(spark, sf_dir):
+    return gr.cash_out_chains(txn(spark, sf_dir), hot_rows=2, slice_bits=4)
+
+
+def _last_received(spark, sf_dir, hot_rows=None, slice_bits=16):
+    """Each event with what its sender had received last before it."""
+    rows = txn(spark, sf_dir)
+    asked = rows.select(F.col("nameOrig").alias("account"), F.col("event_id").alias("place"), "event_id")
+    given = rows.select(
+        F.col("nameDest").alias("account"),
+        (F.col("event_id") + 1).alias("place"),
+        F.col("event_id").alias("received_id"),
+        F.col("amount").alias("received_amount"),
+    )
+    hot = None
+    if hot_rows is not None:
+        hot = hot_groups(asked.select("account").union(given.select("account")), ["account"], hot_rows)
+    found = asof.as_of(asked, given, ["account"], "place", hot, slice_bits)
+    return found.select("event_id", "received_id", "received_amount")
+
+
+def asof_last_received(spark, sf_dir):
+    return _last_received(spark, sf_dir)
+
+
+def asof_last_received_hot(spark, sf_dir):
+    return _last_received(spark, sf_dir, hot_rows=2, slice_bits=6)
+
+
+def asof_step_profile(spark, sf_dir):
+    """Each event with its sender's newest totals of a finished step: a point-in-time feature join."""
+    rows = txn(spark, sf_dir)
+    profile = rows.groupBy(F.col("nameOrig").alias("account"), F.col("step") + 1).agg(
+        F.count(F.lit(1)).alias("sent_count"), F.sum(fe.cents("amount")).alias("sent_cents")
+    )
+    profile = profile.toDF("account", "place", "sent_count", "sent_cents")
+    asked = rows.select(F.col("nameOrig").alias("account"), F.col("step").alias("place"), "event_id")
+    found = asof.as_of(asked, profile, ["account"], "place")
+    return found.select("event_id", "sent_count", "sent_cents")
+
+
+def _rolling(spark, sf_dir, hours, hot_rows=None):
+    """How much an account has sent in the hours before an event, to the microsecond."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', cast(ts AS timestamp_ntz))")
+    rows = txn(spark, sf_dir).join(events.select("event_id", micros.alias("micros")), "event_id")
+    rows = rows.withColumns({"sent": F.lit(1), "c": fe.cents("amount")})
+    hot = None if hot_rows is None else hot_groups(rows, ["nameOrig"], hot_rows)
+    sums = asof.sliding_totals(
+        rows, ["nameOrig"], "micros", hours * 3_600_000_000, ["sent", "c"], hot=hot, slice_bits=34
+    )
+    return sums.select(
+        "event_id", F.col("sent_in_window").alias("sent_count"), fe.money("c_in_window").alias("sent_sum")
+    )
+
+
+def rolling_hour(spark, sf_dir):
+    return _rolling(spark, sf_dir, 1)
+
+
+def rolling_day_hot(spark, sf_dir):
+    return _rolling(spark, sf_dir, 24, hot_rows=2)
+
+
+def median_scores(spark, sf_dir):
+    values = ["amount", "oldbalanceOrg", "newbalanceDest"]
+    out = an.median_scores(txn(spark, sf_dir), values)
+    names = [*[f"{v}_score" for v in values], "anomaly_score"]
+    return rounded(out.select("event_id", *names), 4)
+
+
+def isolation_scores(spark, sf_dir):
+    rows = fe.add_balance_errors(txn(spark, sf_dir))
+    features = ["amount", "error_balance_orig", "error_balance_dest", "oldbalanceOrg"]
+    forest = an.grow_forest(rows, features)
+    return an.add_isolation_scores(rows, forest, features).select("event_id", "isolation_score")
+
+
 # -- evaluation ---------------------------------------------------------------------------------
 
 
@@ -465,6 +618,13 @@ def monitor_summary(spark, sf_dir):
     return rounded(mon.monitor_summary(scored(spark, sf_dir), 5000))
 
 
+def monitor_points(spark, sf_dir):
+    """The summary after each thousand rows, of the newest ten thousand at that point."""
+    rows = mon.numbered(scored(spark, sf_dir))
+    last = rows.agg(F.max("number")).first()[0]
+    return rounded(mon.summary_by_point(rows, last // 1000 * 1000))
+
+
 def monitor_alert(spark, sf_dir):
     return rounded(mon.alerts(mon.monitor_summary(scored(spark, sf_dir))))
 
@@ -693,12 +853,84 @@ def stream_velocity(spark, sf_dir):
     root = fresh_path(spark, "stream")
     for _ in _arrivals(txn(spark, sf_dir), f"{root}/in"):
         start_velocity(
-            tx.read_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/state",
-            f"{root}/checkpoint",
+            tx.read_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint"
         ).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", *VELOCITY)
 
 
+def mixed_arrivals(df: DataFrame) -> DataFrame:
+    """Rows with the number of the portion they arrive in, and one sender in a third of them.
+
+    Rows near the end of a portion are dealt to both sides of it, and every 20th row comes a portion
+    later than its neighbours, when most of their totals have expired.
+    """
+    eid = F.col("event_id")
+    width = df.agg(F.max("event_id")).first()[0] // ARRIVALS + 1
+    jitter = ((eid * 7919) % 5 - 2) * 20
+    portion = F.floor(F.greatest(eid + jitter, F.lit(0)) / width) + F.when(eid % 20 == 7, 1).otherwise(0)
+    return df.withColumns(
+        {
+            "nameOrig": F.when(eid % 3 == 0, "HOT").otherwise(F.col("nameOrig")),
+            "portion": F.least(portion, F.lit(ARRIVALS - 1)).cast("int"),
+        }
+    )
+
+
+def stream_velocity_mixed(spark, sf_dir):
+    """Interleaved and late arrivals, stopped and resumed after each portion."""
+    root = fresh_path(spark, "stream")
+    rows = mixed_arrivals(txn(spark, sf_dir))
+    for portion in range(ARRIVALS):
+        rows.where(F.col("portion") == portion).drop("portion").write.mode("append").parquet(
+            f"{root}/in"
+        )
+        start_velocity(
+            tx.read_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint",
+            late_path=f"{root}/late",
+        ).awaitTermination()
+    late = spark.read.parquet(f"{root}/late").select("event_id", F.lit(True).alias("late"))
+    out = spark.read.parquet(f"{root}/out").select("event_id", *VELOCITY)
+    return out.join(late, "event_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+
+
+def _monitored(spark, sf_dir) -> str:
+    """Reports of a stream of scored rows in uneven portions, stopped and resumed after each."""
+    root = fresh_path(spark, "monitored")
+    path = fresh_path(spark, "scored")
+    moved = F.when(F.col("event_id") % 10000 >= 5000, F.col("amount") * 1.5 + 1)
+    features = fe.engineer_features(txn(spark, sf_dir)).withColumn(
+        "amount", F.coalesce(moved, "amount")
+    )
+    dec.add_decision(tx.add_standin_score(features)).write.parquet(path)
+    rows = spark.read.parquet(path)
+    reference = dr.reference_snapshot(rows.where("step <= 100"))
+    end = rows.agg(F.max("event_id")).first()[0] + 1
+    settings = Settings(drift_window_size=2500, drift_threshold=0.05)
+    for low, high in ((0.0, 0.21), (0.21, 0.22), (0.22, 0.8), (0.8, 1.0)):
+        part = rows.where(F.col("event_id").between(int(low * end), int(high * end) - 1))
+        part.write.mode("append").parquet(f"{root}/in")
+        start_monitor(
+            spark.readStream.schema(rows.schema).parquet(f"{root}/in"), reference,
+            f"{root}/state", f"{root}/report", f"{root}/checkpoint", settings,
+        ).awaitTermination()
+    return f"{root}/report"
+
+
+def stream_alerts(spark, sf_dir):
+    """Without the message: engines round halves in text differently."""
+    found = spark.read.parquet(f"{_monitored(spark, sf_dir)}/alerts").drop("batch", "message")
+    return rounded(found)
+
+
+def stream_drift(spark, sf_dir):
+    """Drift of each window of 2,500 rows, whatever the portions."""
+    summary = spark.read.parquet(f"{_monitored(spark, sf_dir)}/drift_summary")
+    names = F.concat_ws(",", "drifted_features").alias("drifted_features")
+    return summary.select(
+        "window", "is_drifted", "drift_ratio", names, "current_size", "reference_size"
+    )
+
+
 def stream_scoring(spark, sf_dir):
     model, _, explainer = fitted_model(spark, sf_dir)
     root = fresh_path(spark, "scoring")
@@ -743,14 +975,17 @@ QUERIES = {
         first_frauds, compare_scores, top_k_features, label_share, type_counts, step_range,
         amount_range_by_label, label_counts, null_counts, duplicate_rows, xtab_type_label,
         xtab_flag_label, fraud_rate_by_type, describe_amount, describe_errors, fraud_types,
-        distinct_parties, zero_dest_share, nonzero_error_share, nonzero_error_rows,
-        semi_join_counts, member_rows, class_ratio, threshold_sweep, predictions, confusion,
-        class_report, average_precision, pr_curve, best_f1, monitor_summary, monitor_alert,
+        distinct_parties, distinct_parties_by_day, percentiles_by_day, zero_dest_share, nonzero_error_share, nonzero_error_rows,
+        semi_join_counts, member_rows, fraud_rings, ring_members, payment_degrees,
+        cash_out_chains, cash_out_chains_hot, asof_last_received, asof_last_received_hot,
+        asof_step_profile, rolling_hour, rolling_day_hot, median_scores, isolation_scores,
+        class_ratio, threshold_sweep, predictions, confusion,
+        class_report, average_precision, pr_curve, best_f1, monitor_summary, monitor_points, monitor_alert,
         latency_alert, progress_batches, ks_by_feature, chi2_dummies, drift_by_column,
         drift_summary, retrain_trigger, score_drift, ap_by_bucket, promotion_rule,
         champion_lookup, next_version, retrain_window, gbt_score_checks, gbt_explain_checks,
         logistic_score_checks, stream_scoring_checks, gbt_scores, gbt_explain, gbt_importance,
         gbt_quality, model_versions, logistic_scores, retrain_cycle, stream_velocity,
-        stream_scoring,
+        stream_velocity_mixed, stream_alerts, stream_drift, stream_scoring,
     )
 }

@@ -42,8 +42,8 @@ def two_samples(reference: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def _long(samples: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(is_reference, feature, value): one row per sample row and feature, nulls left out."""
+def _long(samples: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, is_reference, feature, value): one row per sample row and feature, nulls left out."""
     _require(samples, [*features, "is_reference"])
     # Not `unpivot`: two copies of an Expand are never recognised as one shuffle.
     pairs = F.array(
@@ -52,7 +52,7 @@ def _long(samples: DataFrame, features: Sequence[str]) -> DataFrame:
             for f in features
         ]
     )
-    return samples.select("is_reference", F.inline(pairs)).where(
+    return samples.select(*by, "is_reference", F.inline(pairs)).where(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
 
@@ -61,9 +61,12 @@ def ks_by_feature(
     samples: DataFrame,
     features: Sequence[str] = MODEL_FEATURES,
     method: str = "asymptotic",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test per feature: statistic, p-value, sample sizes, flag.
 
+    `by` are columns with a few values, such as the number of a window: each is tested on its own.
+
     Equal values are counted before the shuffle, then both distribution functions are running
     totals by value interval. `method` is "asymptotic" at any size; "exact" is for callers that ask
     for it, since its work grows with the product of the sample sizes.
@@ -71,26 +74,26 @@ def ks_by_feature(
     if method not in ("exact", "asymptotic"):
         raise ValueError(f"unknown method {method!r}")
     counts = (
-        _long(samples, features)
-        .groupBy("feature", "value")
+        _long(samples, features, by)
+        .groupBy(*by, "feature", "value")
         .agg(
             F.count_if(F.col("is_reference")).alias("ref"),
             F.count_if(~F.col("is_reference")).alias("cur"),
         )
     )
     steps = running_totals(
-        value_buckets(counts, "value", ["feature"]),
+        value_buckets(counts, "value", [*by, "feature"]),
         ["ref", "cur"],
         ["value"],
         VALUE_LEVELS,
-        ["feature"],
+        [*by, "feature"],
         overall=True,
     )
     gap = F.abs(
         (F.col("ref_before") + F.col("ref")) / F.col("ref_all")
         - (F.col("cur_before") + F.col("cur")) / F.col("cur_all")
     )
-    tested = steps.groupBy("feature").agg(
+    tested = steps.groupBy(*by, "feature").agg(
         F.max(F.when((F.col("ref_all") > 0) & (F.col("cur_all") > 0), gap)).alias("d"),
         F.max("ref_all").alias("reference_rows"),
         F.max("cur_all").alias("current_rows"),
@@ -99,6 +102,7 @@ def ks_by_feature(
     p = kolmogorov_p(F.col("d"), n, m)
     tested = tested.withColumn("p", exact_ks_p()(F.col("d"), n, m) if method == "exact" else p)
     return tested.select(
+        *by,
         "feature",
         F.round("d", 4).alias("ks_stat"),
         F.round("p", 6).alias("p_value"),
@@ -151,14 +155,17 @@ def drift_by_column(samples: DataFrame, method: str = "asymptotic") -> DataFrame
     return ks.unionByName(chi2)
 
 
-def drift_summary(tests: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """One row: flag, ratio over the model features, drifted features, sizes, time.
+def drift_summary(
+    tests: DataFrame, threshold: float = 0.3, by: Sequence[str] = ()
+) -> DataFrame:
+    """One row (for each value of `by`): flag, ratio over the model features, drifted features,
+    sizes, time.
 
     Score drift is not counted in the ratio. The sizes are the largest ones tested: amounts are
     never null, so that is the number of rows. Ten rows come in, bounded by the model.
     """
     names = F.array(*[F.lit(f) for f in MODEL_FEATURES])
-    row = tests.where(F.col("feature").isin(*MODEL_FEATURES)).agg(
+    row = tests.where(F.col("feature").isin(*MODEL_FEATURES)).groupBy(*by).agg(
         F.collect_set(F.when(F.col("drifted"), F.col("feature"))).alias("hits"),
         F.coalesce(F.max("current_rows"), F.lit(0)).alias("current_size"),
         F.coalesce(F.max("reference_rows"), F.lit(0)).alias("reference_size"),
@@ -166,6 +173,7 @@ def drift_summary(tests: DataFrame, threshold: float = 0.3) -> DataFrame:
     drifted = F.filter(names, lambda f: F.array_contains("hits", f))
     share = F.size("drifted_features") / F.lit(float(len(MODEL_FEATURES)))
     return row.withColumn("drifted_features", drifted).select(
+        *by,
         (share > threshold).alias("is_drifted"),
         share.alias("drift_ratio"),
         "drifted_features",
@@ -176,11 +184,29 @@ def drift_summary(tests: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 
 def check_drift(
-    samples: DataFrame, threshold: float = 0.3, method: str = "asymptotic"
+    samples: DataFrame,
+    threshold: float = 0.3,
+    method: str = "asymptotic",
+    by: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, tests): KS on all ten features, the share of drifted ones against `threshold`."""
-    tests = ks_by_feature(samples, MODEL_FEATURES, method)
-    return drift_summary(tests, threshold), tests
+    tests = ks_by_feature(samples, MODEL_FEATURES, method, by)
+    return drift_summary(tests, threshold, by), tests
+
+
+def window_samples(
+    reference: DataFrame, current: DataFrame, first: int, last: int
+) -> DataFrame:
+    """Both samples for tests by `window`: the reference once for each window from `first` to `last`,
+    and the rows of `current`, which has that column."""
+    columns = [c for c in reference.columns if c in current.columns]
+    numbers = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))
+    windows = F.explode(numbers).alias("window")
+    return (
+        reference.select(*columns, windows)
+        .withColumn("is_reference", F.lit(True))
+        .unionByName(current.select(*columns, "window").withColumn("is_reference", F.lit(False)))
+    )
 
 
 def score_drift(samples: DataFrame, method: str = "asymptotic") -> DataFrame:

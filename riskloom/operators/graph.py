@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.running import HOT_ROWS
+from riskloom.functions.columns import cents, money
+from riskloom.operators.asof import as_of
+from riskloom.operators.running import HOT_ROWS, hot_groups
 from riskloom.sources.workspace import remove_path, written
 
 
@@ -97,3 +99,105 @@ def components(links: DataFrame, hub_rows: int = HOT_ROWS) -> DataFrame:
         before = after
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+# -- payments -------------------------------------------------------------------------------------
+
+#: Payments that move money on, and out.
+PASSING = ("TRANSFER", "CASH_OUT")
+
+
+def fraud_rings(
+    rows: DataFrame,
+    min_frauds: int = 3,
+    period_steps: int | None = None,
+    hub_rows: int = HOT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """(rings, members): accounts that fraudulent payments link, directly or over others.
+
+    A ring is a connected component of the graph of fraudulent transfers and cash-outs with at least
+    `min_frauds` of them, within a period of `period_steps` steps if that is given. `rings` has
+    `period`, `ring` (the least account in it), `accounts`, `frauds`, `amount`; `members` has `period`,
+    `ring`, `account`. A payment to oneself links nothing and isn't counted.
+    """
+    period = F.floor((F.col("step") - 1) / period_steps) if period_steps else F.lit(0)
+
+    def node(account: str):
+        return F.struct(period.cast("long").alias("period"), F.col(account).alias("account"))
+
+    payments, _ = written(
+        rows.where(F.col("type").isin(*PASSING) & (F.col("isFraud") == 1))
+        .where("nameOrig <> nameDest")
+        .select(node("nameOrig").alias("a"), node("nameDest").alias("b"), cents("amount").alias("c")),
+        "fraud-payments",
+    )
+    labels, _ = written(components(payments.select("a", "b"), hub_rows), "fraud-labels")
+    # Both ends of a payment are in one ring, so one of them tells which.
+    senders, _ = written(
+        payments.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("c").cast("long").alias("c")),
+        "fraud-senders",
+    )
+    accounts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("accounts"))
+    rings = (
+        senders.join(labels.withColumnRenamed("node", "a"), "a")
+        .groupBy("label")
+        .agg(F.sum("n").cast("long").alias("frauds"), F.sum("c").cast("long").alias("c"))
+        .where(F.col("frauds") >= min_frauds)
+        .join(accounts, "label")
+    )
+    stored, _ = written(rings, "fraud-rings")
+    named = [F.col("a.period").alias("period"), F.col("a.account").alias("ring")]
+    members = join_by_node(
+        labels.withColumnRenamed("label", "a"),
+        stored.select(F.col("label").alias("a"), F.col("accounts").alias("n")),
+        hub_rows,
+    )
+    report = stored.withColumnRenamed("label", "a")
+    return (
+        report.select(*named, "accounts", "frauds", money("c").alias("amount")),
+        members.select(*named, F.col("node.account").alias("account")),
+    )
+
+
+def payment_degrees(rows: DataFrame) -> DataFrame:
+    """`account`, `sent_to`, `received_from`: different partners of transfers and cash-outs."""
+    pairs = rows.where(F.col("type").isin(*PASSING) & (F.col("nameOrig") != F.col("nameDest")))
+    pairs = pairs.select("nameOrig", "nameDest").distinct()
+
+    def side(account: str, sent: int):
+        return F.struct(F.col(account).alias("account"), F.lit(sent).alias("sent"))
+
+    ends = pairs.select(F.inline(F.array(side("nameOrig", 1), side("nameDest", 0))))
+    return ends.groupBy("account").agg(
+        F.sum("sent").cast("long").alias("sent_to"),
+        F.sum(1 - F.col("sent")).cast("long").alias("received_from"),
+    )
+
+
+def cash_out_chains(
+    rows: DataFrame, max_steps: int = 24, hot_rows: int | None = HOT_ROWS, slice_bits: int = 16
+) -> DataFrame:
+    """Each transfer with the next cash-out by the account that received it, within `max_steps`.
+
+    `event_id`, `account`, `step`, `amount`, `isFraud` of the transfer; `out_id`, `out_step`,
+    `out_amount`, `out_fraud` of the cash-out; `lag_steps`. A lookup along the order of events, ahead
+    instead of back, so a transfer gives one row at most, however many cash-outs follow.
+    """
+    eid = F.col("event_id")
+    transfers = rows.where("type = 'TRANSFER'").select(
+        F.col("nameDest").alias("account"), (-eid - 1).alias("place"), "event_id", "step", "amount", "isFraud"
+    )
+    outs = rows.where("type = 'CASH_OUT'").select(
+        F.col("nameOrig").alias("account"),
+        (-eid).alias("place"),
+        eid.alias("out_id"),
+        F.col("step").alias("out_step"),
+        F.col("amount").alias("out_amount"),
+        F.col("isFraud").alias("out_fraud"),
+    )
+    hot = None
+    if hot_rows is not None:
+        hot = hot_groups(transfers.select("account").union(outs.select("account")), ["account"], hot_rows)
+    found = as_of(transfers, outs, ["account"], "place", hot, slice_bits)
+    lag = F.col("out_step") - F.col("step")
+    return found.where(lag <= max_steps).drop("place").withColumn("lag_steps", lag)

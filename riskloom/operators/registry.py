@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.schemas import RUN_SCHEMA
-from riskloom.sources.workspace import read_or_empty
+from riskloom.sources.workspace import create_if_absent, read_or_empty
 
 # Two scores that differ by exactly the margin in decimal may differ by less in binary.
 TOLERANCE = 1e-12
@@ -67,6 +67,18 @@ def next_version(runs: DataFrame) -> DataFrame:
     )
 
 
+def reserve_version(spark: SparkSession, path: str, runs: DataFrame) -> str:
+    """The next version number, taken: no other run gets it, also one that asks at the same time.
+
+    A number is taken by creating its marker below `path`, which only succeeds if there was none; whoever
+    comes second goes on to the next number. Markers stay, as numbers are never used again.
+    """
+    number = int(next_version(runs).first()["next_version"].removeprefix("v"))
+    while not create_if_absent(spark, f"{path}/_versions/v{number}"):
+        number += 1
+    return f"v{number}"
+
+
 def promotes(
     challenger: Column, champion_score: Column, min_improvement: float = 0.005, force: bool = False
 ) -> Column:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import os
 from dataclasses import replace
 
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.sql import DataFrame
+
 from riskloom.operators.explain import Explainer
 from riskloom.operators.model import load_model
 from riskloom.plans.session import session
@@ -12,7 +16,7 @@ from riskloom.settings import Settings
 from riskloom.sources.topics import BATCH_RECORDS, read_topic
 from riskloom.streaming.monitoring import start_monitor
 from riskloom.streaming.progress import report_progress, stop_after
-from riskloom.streaming.scoring import ScoringPaths, read_scored, start_scoring
+from riskloom.streaming.scoring import ScoringPaths, read_scored, scored_schema, start_scoring
 
 
 def main() -> None:
@@ -32,33 +36,59 @@ def main() -> None:
 
     spark = session("consume")
     settings = replace(settings, kafka_bootstrap_servers=args.bootstrap)
-    trigger = {"availableNow": True} if args.once else {"processingTime": "1 second"}
     paths = ScoringPaths.below(args.root)
     report_progress(spark)
-    query = start_scoring(
-        read_topic(spark, settings, min(args.max_per_batch, args.max_messages or args.max_per_batch)),
+    most = min(args.max_per_batch, args.max_messages or args.max_per_batch)
+    run(
+        read_topic(spark, settings, most),
         load_model(spark, args.models, args.model_version),
         Explainer.load(spark, f"{args.models}/{args.model_version}"),
         paths,
         settings,
+        spark.read.parquet(args.reference) if args.reference else None,
+        args.max_messages,
+        args.once,
         to_topic=True,
-        trigger=trigger,
     )
-    if args.max_messages:
-        stop_after(query, args.max_messages)
+
+
+def run(
+    messages: DataFrame,
+    model: GBTClassificationModel,
+    explainer: Explainer,
+    paths: ScoringPaths,
+    settings: Settings = Settings(),
+    reference: DataFrame | None = None,
+    max_messages: int | None = None,
+    once: bool = False,
+    to_topic: bool = False,
+) -> None:
+    """Score a stream of messages and, given a reference, watch the scores beside it.
+
+    Both queries start at once; with `once` the watch starts when everything has been scored, since a
+    query that drains its source would see only what is there at its start.
+    """
+    trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
+    schema = scored_schema(messages, model, explainer) if reference is not None else None
+    query = start_scoring(messages, model, explainer, paths, settings, to_topic, trigger)
+
+    def watch():
+        root = os.path.dirname(paths.scored)
+        return start_monitor(
+            read_scored(messages.sparkSession, paths, schema), reference, f"{root}/monitor/state",
+            f"{root}/monitor/reports", f"{root}/monitor/checkpoint", settings, trigger=trigger,
+        )
+
+    beside = watch() if reference is not None and not once else None
+    if max_messages:
+        stop_after(query, max_messages)
     else:
-        query.awaitTermination(None if not args.reference else 60)
-    if args.reference:
-        watch = start_monitor(
-            read_scored(spark, paths),
-            spark.read.parquet(args.reference),
-            f"{args.root}/monitor/state",
-            f"{args.root}/monitor/reports",
-            f"{args.root}/monitor/checkpoint",
-            settings,
-            trigger=trigger,
-        )
-        watch.awaitTermination()
+        query.awaitTermination()
+    if beside is not None:
+        beside.processAllAvailable()
+        beside.stop()
+    elif reference is not None:
+        watch().awaitTermination()
 
 
 if __name__ == "__main__":

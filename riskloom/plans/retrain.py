@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from riskloom.operators.registry import (
     append_run,
     champion,
     is_promotion,
-    next_version,
     read_runs,
+    reserve_version,
 )
 from riskloom.plans.session import add_input_arguments, read_input, session
 from riskloom.plans.train import held_out_steps, store
@@ -69,7 +71,7 @@ def run(
     spark = transactions.sparkSession
     runs_path = f"{model_root}/_runs"
     runs = read_runs(spark, runs_path)
-    version = next_version(runs).first()["next_version"]
+    version = reserve_version(spark, runs_path, runs)
 
     train_rows, test_rows = temporal_split(transactions)
     window = recent_window(train_rows, settings.training_window_steps)
@@ -100,7 +102,7 @@ def _champion_model(spark: SparkSession, root: str, version: str, forced: bool):
     """The champion's model; none if it cannot be loaded and promotion is forced anyway."""
     try:
         return load_model(spark, root, version)
-    except Exception:
+    except (AnalysisException, Py4JJavaError):  # no such folder, or files that can't be read
         if forced:
             return None
         raise

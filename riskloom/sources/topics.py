@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.operators.monitor import published_totals
 from riskloom.schemas import FILE_SCHEMA, WIRE_FIELDS
 from riskloom.settings import Settings
 from riskloom.sources.transactions import replay
+from riskloom.sources.workspace import fresh_path, remove_path
 
 # Bound of a micro-batch: offsets start at the earliest, so the first batch would be the backlog.
 BATCH_RECORDS = 1_000_000
@@ -125,9 +127,10 @@ def publish(
 
     Tasks write at once, so order holds within a task only. The rows of as many steps as velocity
     totals stay alive go out together, each sender's by one task in order, and the next steps only
-    after they have arrived: no row can come later than its totals. A dry run sends nothing, and
-    returns the same numbers with the first five messages. `send` takes the messages instead of the
-    topic.
+    after they have arrived: no row can come later than its totals. The replay is read, checked and
+    cut once, into a table with a folder for each range of steps; a range reads its folder alone. A
+    dry run sends nothing, and returns the same numbers with the first five messages. `send` takes
+    the messages instead of the topic.
     """
     rows = replay(df, name, max_events)
     totals = published_totals(rows)
@@ -138,12 +141,16 @@ def publish(
         options = sink_options(settings.kafka_transactions_topic, settings)
         messages.write.format("kafka").options(**options).save()
 
-    first, last = rows.agg(F.min("step"), F.max("step")).first()
+    spark, width = df.sparkSession, settings.velocity_ttl_steps
+    path = fresh_path(spark, "replay")
+    steps = F.floor(F.col("step") / width).cast("long")
+    rows.withColumn("__range", steps).repartition("__range").write.partitionBy("__range").parquet(path)
+    table = StructType([*rows.schema.fields, StructField("__range", LongType())])
+    stored = spark.read.schema(table).parquet(path)
     sent = {"published": 0, "frauds": 0}
-    width = settings.velocity_ttl_steps
-    for step in range(first, last + 1, width) if first is not None else ():
-        seen = Observation(f"published-{step}")
-        part = rows.where(F.col("step").between(step, step + width - 1))
+    for (number,) in sorted(stored.select("__range").distinct().collect()):  # one for each range
+        seen = Observation(f"published-{number}")
+        part = stored.where(F.col("__range") == number).drop("__range")
         counted = sender_order(part).observe(
             seen,
             F.count(F.lit(1)).alias("published"),
@@ -152,6 +159,7 @@ def publish(
         (send or to_topic)(encode(counted))
         for figure, n in seen.get.items():
             sent[figure] += n
+    remove_path(spark, path)
     return _figures(sent)
 
 

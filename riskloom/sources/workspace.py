@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql.types import StructType
@@ -50,6 +52,31 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def create_if_absent(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if there was one. Of several callers one gets true.
+
+    Local files are created exclusively by the operating system, others by their file system, which has
+    to refuse to create a file twice (HDFS does).
+    """
+    if path.startswith(("file:", "/")):
+        name = "/" + path.removeprefix("file:").lstrip("/")
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        try:
+            os.close(os.open(name, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        files.create(target, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName() or files.exists(target):
+            return False
+        raise
+    return True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let `DataFrame.checkpoint` and MLlib cut lineage in the shared folder."""
     context = spark.sparkContext

@@ -1,28 +1,28 @@
-"""Periodic monitoring of a decisions stream: alerts and drift checks every so many rows."""
+"""Monitoring of a decisions stream: alerts and drift checks every so many rows.
+
+Rows are numbered by arrival, on from the batch before, and every point and window that a batch
+completes is checked, grouped by its number. So the reports are the same for any cutting of a stream.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.drift import check_drift, two_samples
+from riskloom.operators.drift import check_drift, window_samples
 from riskloom.operators.monitor import (
     WINDOW_ROWS,
     alerts,
     lifetime_counts,
-    monitor_summary,
-    newest_first,
+    numbered,
+    summary_by_point,
 )
 from riskloom.settings import Settings
-from riskloom.sources.workspace import read_or_empty
+from riskloom.sources.workspace import read_or_empty, remove_path
 
 ALERT_EVERY = 1000
 
 
-def _due(before: int, after: int, every: int) -> bool:
-    return after // every > before // every
-
-
 def start_monitor(
     decisions: DataFrame,
     reference: DataFrame,
@@ -35,51 +35,60 @@ def start_monitor(
 ):
     """Stream of scored rows (features, risk_score, decision, latency_ms, event_id) -> reports.
 
-    Every `alert_every` rows the alerts are checked, every `drift_window_size` rows the last window
-    is tested against `reference`. Between batches only two bounded things are kept, one folder per
-    batch each: the newest `drift_window_size` (at least WINDOW_ROWS) rows, and one row of counts.
-    A repeated batch reads the folders of the batch before and replaces its own.
+    After each `alert_every` rows the newest WINDOW_ROWS are looked at for alerts; each window of
+    `drift_window_size` rows is tested against `reference`. Between batches two bounded things are
+    kept, one folder per batch each: the rows that a later window may still need, and one row of
+    counts. A repeated batch reads the folders of the batch before and replaces its own; older ones
+    are removed.
     """
-    kept_rows = max(settings.drift_window_size, WINDOW_ROWS)
-
-    def newest(rows: DataFrame, n: int) -> DataFrame:
-        # The rows at hand are a window and one batch, so a plain ordered limit will do.
-        return rows.orderBy(*[F.desc(c) for c in newest_first(rows)]).limit(n)
+    width = settings.drift_window_size
+    kept_rows = max(width, WINDOW_ROWS)
 
     def one_batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         stored = rows.persist()
         try:
             own = lifetime_counts(stored)
-            earlier = read_or_empty(
-                spark, f"{state_path}/counts/batch={batch_id - 1}", own.schema
+            earlier = read_or_empty(spark, f"{state_path}/counts/batch={batch_id - 1}", own.schema)
+            before = earlier.agg(F.coalesce(F.max("__all"), F.lit(0))).first()[0]
+            placed = numbered(stored, before, f"{state_path}/arrived/batch={batch_id}")
+            window = read_or_empty(
+                spark, f"{state_path}/window/batch={batch_id - 1}", placed.schema
             )
+            recent = window.unionByName(placed).persist()
             (
                 earlier.unionByName(own)
                 .agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in own.columns])
                 .write.mode("overwrite")
                 .parquet(f"{state_path}/counts/batch={batch_id}")
             )
-            window = read_or_empty(
-                spark, f"{state_path}/window/batch={batch_id - 1}", stored.schema
-            )
-            newest(window.unionByName(stored), kept_rows).write.mode("overwrite").parquet(
-                f"{state_path}/window/batch={batch_id}"
-            )
             counts = spark.read.parquet(f"{state_path}/counts/batch={batch_id}")
-            recent = spark.read.parquet(f"{state_path}/window/batch={batch_id}")
-            before = earlier.agg(F.coalesce(F.max("__all"), F.lit(0))).first()[0]
             after = counts.first()["__all"]
-
-            if _due(before, after, alert_every):
-                found = alerts(monitor_summary(recent, WINDOW_ROWS, counts))
-                found.withColumn("rows_seen", F.lit(after)).write.mode("overwrite").parquet(
+            recent.where(F.col("number") > after - kept_rows).write.mode("overwrite").parquet(
+                f"{state_path}/window/batch={batch_id}"
+            )
+            if after // alert_every > before // alert_every:
+                summary = summary_by_point(
+                    recent,
+                    after // alert_every * alert_every,
+                    alert_every,
+                    WINDOW_ROWS,
+                    before,
+                    earlier,
+                )
+                alerts(summary).write.mode("overwrite").parquet(
                     f"{report_path}/alerts/batch={batch_id}"
                 )
-            if _due(before, after, settings.drift_window_size):
-                current = newest(recent, settings.drift_window_size)
+            if after // width > before // width:
+                first, last = before // width, after // width - 1
+                number = F.floor((F.col("number") - 1) / width).cast("long")
+                current = recent.withColumn("window", number).where(
+                    F.col("window").between(first, last)
+                )
                 summary, tests = check_drift(
-                    two_samples(reference, current), settings.drift_threshold
+                    window_samples(reference, current, first, last),
+                    settings.drift_threshold,
+                    by=["window"],
                 )
                 summary.write.mode("overwrite").parquet(
                     f"{report_path}/drift_summary/batch={batch_id}"
@@ -87,6 +96,10 @@ def start_monitor(
                 tests.write.mode("overwrite").parquet(
                     f"{report_path}/drift_features/batch={batch_id}"
                 )
+            recent.unpersist()
+            remove_path(spark, f"{state_path}/arrived/batch={batch_id}")
+            for kind in ("counts", "window"):
+                remove_path(spark, f"{state_path}/{kind}/batch={batch_id - 2}")
         finally:
             stored.unpersist()
 

@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
+from riskloom.streaming.velocity import ARRIVED
+
+
+def arrived(progress) -> int:
+    """Rows of a micro-batch: as the query observes them, or else as its sources count them."""
+    observed = progress["observedMetrics"] if isinstance(progress, dict) else progress.observedMetrics
+    row = (observed or {}).get(ARRIVED)
+    if row is not None:
+        return row["rows"]
+    n = progress["numInputRows"] if isinstance(progress, dict) else progress.numInputRows
+    return max(0, n)
+
 
 class ProgressLog(StreamingQueryListener):
     """Prints the rows so far whenever another `every` of them have gone by."""
@@ -19,7 +31,7 @@ class ProgressLog(StreamingQueryListener):
     def onQueryProgress(self, event):
         progress = event.progress
         before = self.rows.get(str(progress.id), 0)
-        after = before + max(0, progress.numInputRows)
+        after = before + arrived(progress)
         self.rows[str(progress.id)] = after
         if after // self.every > before // self.every:
             self.tell(f"{after} messages, {progress.processedRowsPerSecond:.0f} a second")
@@ -43,6 +55,6 @@ def stop_after(query, max_messages: int, poll_s: float = 1.0) -> int:
     Batches are finished whole, so it may be up to a batch more.
     """
     while not query.awaitTermination(poll_s):
-        if sum(p["numInputRows"] for p in query.recentProgress) >= max_messages:
+        if sum(map(arrived, query.recentProgress)) >= max_messages:
             query.stop()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return sum(map(arrived, query.recentProgress))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskloom.operators.decisions import add_decision, to_decision_records
 from riskloom.operators.explain import EXPLAIN_FROM, Explainer, add_contributions
@@ -18,10 +19,11 @@ from riskloom.schemas import MODEL_FEATURES
 from riskloom.settings import Settings
 from riskloom.sources.topics import decision_messages, decode, sink_options
 from riskloom.streaming.velocity import (
-    StreamState,
+    TOTALS_SCHEMA,
+    StreamBatch,
     add_stream_velocity,
-    open_state,
-    save_totals,
+    split_batch,
+    with_totals,
 )
 
 TOP_FEATURES = 3
@@ -29,18 +31,19 @@ TOP_FEATURES = 3
 
 @dataclass(frozen=True)
 class ScoringPaths:
-    """Where one scoring query keeps its decisions, rejects, velocity totals and offsets."""
+    """Where one scoring query keeps its decisions, rejects, late rows, scored rows, and its
+    checkpoint with offsets and velocity totals."""
 
     decisions: str
     rejects: str
-    state: str
+    late: str
     checkpoint: str
     scored: str
 
     @classmethod
     def below(cls, root: str) -> ScoringPaths:
         return cls(
-            *(f"{root}/{n}" for n in ("decisions", "rejects", "velocity", "checkpoint", "scored"))
+            *(f"{root}/{n}" for n in ("decisions", "rejects", "late", "checkpoint", "scored"))
         )
 
 
@@ -58,14 +61,14 @@ def score_enriched(
 
 def score_batch(
     rows: DataFrame,
-    state: StreamState,
+    batch: StreamBatch,
     model: GBTClassificationModel,
     explainer: Explainer,
     settings: Settings = Settings(),
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One micro-batch of valid, stored transactions to scored rows (lazy)."""
-    velocity = add_stream_velocity(rows, state, hot_rows)
+    velocity = add_stream_velocity(rows, batch, hot_rows)
     features = velocity.transform(add_balance_errors).transform(add_type_dummies)
     scored = score_enriched(features, model, explainer, settings)
     if "arrived_at" in rows.columns:
@@ -80,9 +83,24 @@ def scored_fields(columns: list[str]) -> list[str]:
     return [*times, "step", *MODEL_FEATURES, "isFraud", "risk_score", "decision"]
 
 
-def read_scored(spark: SparkSession, paths: ScoringPaths) -> DataFrame:
-    """The scored rows as a stream, for `start_monitor`, once a batch has been written."""
-    schema = spark.read.parquet(f"{paths.scored}/batch=*").schema
+def scored_schema(
+    messages: DataFrame, model: GBTClassificationModel, explainer: Explainer
+) -> StructType:
+    """The schema of the scored rows, from a plan over no rows: no batch has to be there."""
+    spark = messages.sparkSession
+    keep = tuple(c for c in ("event_id", "arrived_at") if c in messages.columns)
+    rows = valid_rows(decode(spark.createDataFrame([], messages.schema), keep=keep))
+    batch = StreamBatch(rows, spark.createDataFrame([], TOTALS_SCHEMA))
+    scored = score_batch(rows, batch, model, explainer, hot_rows=None)
+    return scored.select(*scored_fields(scored.columns)).schema
+
+
+def read_scored(
+    spark: SparkSession, paths: ScoringPaths, schema: StructType | None = None
+) -> DataFrame:
+    """The scored rows as a stream, for `start_monitor`. With a `schema` it can be started before the
+    first batch has been written."""
+    schema = schema or spark.read.parquet(f"{paths.scored}/batch=*").schema
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", 1000)
@@ -107,13 +125,14 @@ def start_scoring(
     after a batch is complete.
     """
 
-    def one_batch(raw: DataFrame, batch_id: int) -> None:
-        keep = tuple(c for c in ("event_id", "arrived_at") if c in raw.columns)
-        stored = decode(raw, keep=keep).persist()
+    def one_batch(made: DataFrame, batch_id: int) -> None:
+        stored = made.persist()
         try:
-            accepted = valid_rows(stored)
-            state = open_state(accepted, paths.state, batch_id, settings.velocity_ttl_steps)
-            scored = score_batch(accepted, state, model, explainer, settings, hot_rows)
+            if stored.isEmpty():  # a batch that only expires state
+                return
+            batch = split_batch(stored)
+            accepted = StreamBatch(valid_rows(batch.rows), batch.totals)
+            scored = score_batch(accepted.rows, accepted, model, explainer, settings, hot_rows)
             target = f"{paths.decisions}/batch={batch_id}"
             kept = scored.persist()
             try:
@@ -123,19 +142,23 @@ def start_scoring(
                 )
             finally:
                 kept.unpersist()
-            quarantined_rows(stored).write.mode("overwrite").parquet(
+            quarantined_rows(batch.rows).write.mode("overwrite").parquet(
                 f"{paths.rejects}/batch={batch_id}"
             )
-            save_totals(accepted, state)
+            accepted.late().write.mode("overwrite").parquet(f"{paths.late}/batch={batch_id}")
             if to_topic:
-                written = raw.sparkSession.read.parquet(target)
+                written = made.sparkSession.read.parquet(target)
                 options = sink_options(settings.kafka_decisions_topic, settings)
                 decision_messages(written).write.format("kafka").options(**options).save()
         finally:
             stored.unpersist()
 
+    keep = tuple(c for c in ("event_id", "arrived_at") if c in messages.columns)
+    decoded = decode(messages, keep=keep)
     return (
-        messages.writeStream.foreachBatch(one_batch)
+        with_totals(decoded, valid_rows(decoded), settings.velocity_ttl_steps)
+        .writeStream.outputMode("update")
+        .foreachBatch(one_batch)
         .option("checkpointLocation", paths.checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -1,23 +1,29 @@
-"""Velocity over a stream, with the batch operator doing the counting.
-
-Each micro-batch leaves its totals per (step, account) as one part, a folder named after the batch,
-in the shared folder. The next batch hands the totals of the living parts to the batch operator as
-what came before. So the stream equals the batch result, and an account in a third of all rows is
-split exactly as in batch. A one-row record per batch names the living parts: a batch that runs
-again after a failure starts from its predecessor's record and replaces its own folders.
+"""Velocity over a stream: totals in Spark's keyed state, counting by the batch operator.
+
+A stream carries two things side by side: its rows as they are, and the totals of each (step, account)
+they touch. The totals are a streaming aggregation with a watermark on the step's time, so Spark keeps
+them in its state store (RocksDB) under the query's checkpoint, expires them when the watermark has
+passed, and brings them back after a failure. A busy account is added up in each task before the
+shuffle, one row a task, however many rows it has.
+
+Each micro-batch hands both to `split_batch`. Totals as they are after the batch, less what the batch
+itself holds, are what came before it; the batch operator takes them along and cuts busy accounts into
+slices exactly as in batch. So the stream of any cutting equals the batch result as long as rows come
+in order. Rows of a step more than `ttl_steps` behind the newest step of earlier batches are late: the
+aggregation drops them, so they have no totals, count from zero within their batch, and can be written
+to a table of their own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.features import account_sides, add_velocity_shared
 from riskloom.operators.running import HOT_ROWS
-from riskloom.sources.workspace import read_or_empty
 
 TOTALS_SCHEMA = T.StructType(
     [
@@ -27,149 +33,135 @@ TOTALS_SCHEMA = T.StructType(
         T.StructField("c", T.LongType()),
     ]
 )
-RECORD_SCHEMA = T.StructType(
-    [
-        T.StructField("newest_step", T.LongType()),
-        T.StructField(
-            "parts",
-            T.ArrayType(
-                T.StructType(
-                    [T.StructField("batch", T.LongType()), T.StructField("last_step", T.LongType())]
-                )
-            ),
-        ),
-    ]
-)
-MAX_PARTS = 32
+STEP_SECONDS = 3600
+#: Name of the observation that counts the rows of each micro-batch: both parts of the stream read
+#: the source, so Spark's own count of input rows has each of them twice.
+ARRIVED = "arrived"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+def use_keyed_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB, unless the session names a provider already."""
+    if not spark.conf.get(_PROVIDER, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(_PROVIDER, _ROCKSDB)
 
-def _record(spark: SparkSession, state_path: str, batch_id: int) -> tuple[int | None, list]:
-    """(newest step, living parts) as left by this batch; at most MAX_PARTS + 1 parts."""
-    row = read_or_empty(spark, f"{state_path}/record/batch={batch_id}", RECORD_SCHEMA).first()
-    return (None, []) if row is None else (row["newest_step"], list(row["parts"]))
 
+def step_time(step: Column) -> Column:
+    """The middle of the hour that a step stands for."""
+    return F.timestamp_seconds(step * STEP_SECONDS + STEP_SECONDS // 2)
 
-def _read_parts(spark: SparkSession, state_path: str, parts: list, first_step: int) -> DataFrame:
-    """Totals of the parts from a step on. Parts are sorted by step, so the scan skips the rest."""
-    paths = [f"{state_path}/totals/batch={p['batch']}" for p in parts]
-    if not paths:
-        return spark.createDataFrame([], TOTALS_SCHEMA)
-    return spark.read.schema(TOTALS_SCHEMA).parquet(*paths).where(F.col("step") >= first_step)
 
+def running_account_totals(rows: DataFrame, ttl_steps: int) -> DataFrame:
+    """Stream of rows -> stream of (step, account, n, c) so far, of those a micro-batch touches.
 
-def _sum_totals(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("step", "account").agg(
-        F.sum("n").cast("long").alias("n"), F.sum("c").cast("long").alias("c")
+    The delay ends between two steps: a step is alive until a step more than `ttl_steps` newer was
+    seen by an earlier batch.
+    """
+    sides = account_sides(rows).withColumn("at", step_time(F.col("step")))
+    delay = f"{ttl_steps * STEP_SECONDS + STEP_SECONDS // 4} seconds"
+    return (
+        sides.withWatermark("at", delay)
+        .groupBy("at", "step", "account")
+        .agg(F.sum("n").cast("long").alias("n"), F.sum("c").cast("long").alias("c"))
+        .select(*TOTALS_SCHEMA.names)
     )
 
 
-@dataclass(frozen=True)
-class StreamState:
-    """What a micro-batch knows when it starts: its own steps and what earlier batches left."""
+def with_totals(rows: DataFrame, accepted: DataFrame | None = None, ttl_steps: int = 2) -> DataFrame:
+    """The stream for `split_batch`: all of `rows`, and the totals of `accepted` (all, if not given),
+    which comes from the same source. To be written in update mode."""
+    use_keyed_state(rows.sparkSession)
+    seen = rows.observe(ARRIVED, F.count(F.lit(1)).alias("rows"))
+    kept = seen.select(
+        F.struct(*rows.columns).alias("row"), F.lit(None).cast(TOTALS_SCHEMA).alias("totals")
+    )
+    totals = running_account_totals(rows if accepted is None else accepted, ttl_steps)
+    row_type = kept.schema["row"].dataType
+    return kept.unionByName(
+        totals.select(
+            F.lit(None).cast(row_type).alias("row"), F.struct(*TOTALS_SCHEMA.names).alias("totals")
+        )
+    )
 
-    path: str
-    batch_id: int
-    ttl_steps: int
-    rows: int
-    first_step: int | None
-    last_step: int | None
-    newest_step: int | None
-    parts: list
 
+@dataclass(frozen=True)
+class StreamBatch:
+    """Rows of a micro-batch, and the totals after it of each (step, account) that is alive."""
 
-def open_state(
-    rows: DataFrame, state_path: str, batch_id: int, ttl_steps: int = 2
-) -> StreamState:
-    """Eager on two single rows: size and steps of the batch, and the record of the batch before."""
-    seen = rows.agg(F.count(F.lit(1)), F.min("step"), F.max("step")).first()
-    newest, parts = _record(rows.sparkSession, state_path, batch_id - 1)
-    return StreamState(state_path, batch_id, ttl_steps, *seen, newest, parts)
+    rows: DataFrame
+    totals: DataFrame
 
+    def living_steps(self) -> DataFrame:
+        """Steps that are not late; at most as many as a stream's batch has hours."""
+        return F.broadcast(self.totals.select("step").distinct())
 
-def totals_before(spark: SparkSession, state: StreamState) -> DataFrame:
-    """(step, account, n, c) of earlier batches, for the steps of this batch that have not expired.
+    def late(self) -> DataFrame:
+        """Rows that came after their totals had expired."""
+        return self.rows.join(self.living_steps(), "step", "left_anti").select(*self.rows.columns)
 
-    Totals more than `ttl_steps` behind the newest step are gone, so a row that late starts again
-    from zero.
-    """
-    if state.first_step is None or state.newest_step is None:
-        return spark.createDataFrame([], TOTALS_SCHEMA)
-    alive_from = max(state.first_step, state.newest_step - state.ttl_steps)
-    living = [p for p in state.parts if p["last_step"] >= alive_from]
-    earlier = _read_parts(spark, state.path, living, alive_from)
-    return _sum_totals(earlier.where(F.col("step") <= state.last_step))
 
+def split_batch(batch: DataFrame) -> StreamBatch:
+    """A micro-batch of `with_totals`; it is read several times, so pass a stored one."""
+    return StreamBatch(
+        batch.where("row is not null").select("row.*"),
+        batch.where("totals is not null").select("totals.*"),
+    )
 
-def save_totals(rows: DataFrame, state: StreamState) -> None:
-    """Write this batch's part and record.
 
-    A busy account is one row per task before the shuffle. Once MAX_PARTS parts are alive, the new
-    part takes them all in, so the number of files to list stays bounded.
-    """
-    spark = rows.sparkSession
-    newest, last, parts = state.newest_step, state.last_step, state.parts
-    if last is not None:
-        newest = last if newest is None else max(newest, last)
-        alive_from = newest - state.ttl_steps
-        parts = [p for p in parts if p["last_step"] >= alive_from]
-        totals = account_sides(rows).select("step", "account", F.col("n").cast("long"), "c")
-        if len(parts) >= MAX_PARTS:
-            totals = totals.unionByName(_read_parts(spark, state.path, parts, alive_from))
-            last, parts = max(last, *(p["last_step"] for p in parts)), []
-        (
-            _sum_totals(totals)
-            .sortWithinPartitions("step", "account")
-            .write.mode("overwrite")
-            .parquet(f"{state.path}/totals/batch={state.batch_id}")
-        )
-        parts = [*parts, {"batch": state.batch_id, "last_step": last}]
-    listed = [
-        F.struct(F.lit(p["batch"]).alias("batch"), F.lit(p["last_step"]).alias("last_step"))
-        for p in parts
-    ]
-    record = spark.range(1, numPartitions=1).select(
-        F.lit(newest).cast("long").alias("newest_step"),
-        F.array(*listed).cast(RECORD_SCHEMA["parts"].dataType).alias("parts"),
+def totals_before(batch: StreamBatch, rows: DataFrame | None = None) -> DataFrame:
+    """(step, account, n, c) of earlier batches: what there is after this one, less its own rows."""
+    own = account_sides(batch.rows if rows is None else rows).join(
+        batch.living_steps(), "step", "left_semi"
+    )
+    own = own.select("step", "account", (-F.col("n")).cast("long").alias("n"), (-F.col("c")).alias("c"))
+    return (
+        batch.totals.unionByName(own)
+        .groupBy("step", "account")
+        .agg(F.sum("n").cast("long").alias("n"), F.sum("c").cast("long").alias("c"))
+        .where("n <> 0")
     )
-    record.write.mode("overwrite").parquet(f"{state.path}/record/batch={state.batch_id}")
 
 
 def add_stream_velocity(
-    rows: DataFrame, state: StreamState, hot_rows: int | None = HOT_ROWS
+    rows: DataFrame, batch: StreamBatch, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
-    """Velocity of one micro-batch. `rows` is read several times: pass a stored batch.
-
-    A batch no larger than `hot_rows` cannot hold a hot group, so it is not searched for one.
-    """
-    carried = totals_before(rows.sparkSession, state)
-    if hot_rows is not None and state.rows < hot_rows:
-        hot_rows = None
-    return add_velocity_shared(rows, hot_rows, carried=carried)
+    """Velocity of the rows of one micro-batch that were counted in its totals."""
+    return add_velocity_shared(rows, hot_rows, carried=totals_before(batch, rows))
 
 
 def start_velocity(
     stream: DataFrame,
     sink_path: str,
-    state_path: str,
     checkpoint: str,
     ttl_steps: int = 2,
     hot_rows: int | None = HOT_ROWS,
     trigger: dict | None = None,
+    late_path: str | None = None,
 ):
-    """Stream of transactions -> table of transactions with shared velocity, one folder per batch."""
+    """Stream of transactions -> table of transactions with shared velocity, one folder per batch.
+
+    Late rows are in that table, and alone in the one below `late_path` if it is given. A repeated
+    batch gets the same state again and replaces its own folders.
+    """
 
-    def one_batch(rows: DataFrame, batch_id: int) -> None:
-        stored = rows.persist()
+    def one_batch(made: DataFrame, batch_id: int) -> None:
+        stored = made.persist()
         try:
-            state = open_state(stored, state_path, batch_id, ttl_steps)
-            enriched = add_stream_velocity(stored, state, hot_rows)
+            if stored.isEmpty():  # a batch that only expires state
+                return
+            batch = split_batch(stored)
+            enriched = add_stream_velocity(batch.rows, batch, hot_rows)
             enriched.write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
-            save_totals(stored, state)
+            if late_path:
+                batch.late().write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
         finally:
             stored.unpersist()
 
     return (
-        stream.writeStream.foreachBatch(one_batch)
+        with_totals(stream, ttl_steps=ttl_steps)
+        .writeStream.outputMode("update")
+        .foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

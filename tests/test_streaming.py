@@ -1,6 +1,7 @@
 """Streams equal batch, whatever the micro-batches, and across restarts; topics and messages."""
 
 import json
+import os
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from riskloom.operators import features as fe
 from riskloom.operators import validate as va
 from riskloom.operators.limits import first_rows
 from riskloom.schemas import WIRE_FIELDS
+from riskloom.plans import consume, snapshot
 from riskloom.settings import Settings
 from riskloom.sources import topics
 from riskloom.sources import transactions as tx
@@ -29,7 +31,7 @@ def append(spark, rows, path):
 
 def follow(spark, root, **options):
     sv.start_velocity(
-        tx.read_stream(spark, f"{root}/in", files_per_batch=1), f"{root}/out", f"{root}/state", f"{root}/checkpoint", **options
+        tx.read_stream(spark, f"{root}/in", files_per_batch=1), f"{root}/out", f"{root}/checkpoint", **options
     ).awaitTermination()
     return by_event(spark.read.parquet(f"{root}/out"), *VELOCITY)
 
@@ -50,42 +52,64 @@ def test_stream_equals_batch_and_survives_a_restart(spark, cuts, hot_rows):
 
 
 def test_repeated_batch_changes_nothing(spark):
+    """A batch whose commit was lost runs again with the state it had before."""
     root = fresh_path(spark, "t-replay")
-    first, second = txns(spark, [txn_row(0)]), txns(spark, [txn_row(1, amount=5.0)])
-    for batch, rows in ((0, first), (1, second), (1, second), (1, second)):
-        state = sv.open_state(rows, root, batch)
-        got = by_event(sv.add_stream_velocity(rows, state), *VELOCITY)
-        sv.save_totals(rows, state)
-    assert got == {1: (1, 10.0, 1)}
-    rows = txns(spark, [txn_row(2)])
-    state = sv.open_state(rows, root, 2)
-    assert by_event(sv.add_stream_velocity(rows, state), *VELOCITY) == {2: (2, 15.0, 2)}
-
-
-def test_parts_are_merged_when_there_are_many(spark, monkeypatch):
-    monkeypatch.setattr(sv, "MAX_PARTS", 3)
-    root = fresh_path(spark, "t-merge")
-    for batch in range(9):
-        rows = txns(spark, [txn_row(batch)])
-        state = sv.open_state(rows, root, batch)
-        assert len(state.parts) <= 3
-        assert by_event(sv.add_stream_velocity(rows, state), *VELOCITY) == {
-            batch: (batch, 10.0 * batch, batch)
-        }
-        sv.save_totals(rows, state)
+    for i, amount in enumerate((10.0, 5.0)):
+        append(spark, [txn_row(i, amount=amount)], f"{root}/in")
+        follow(spark, root)
+    commits = f"{root.removeprefix('file://')}/checkpoint/commits"
+    last = max(int(f) for f in os.listdir(commits) if f.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{commits}/{name}"):
+            os.remove(f"{commits}/{name}")
+    append(spark, [txn_row(2)], f"{root}/in")
+    assert follow(spark, root) == {0: (0, 0.0, 0), 1: (1, 10.0, 1), 2: (2, 15.0, 2)}
 
 
 def test_late_rows_inside_and_outside_the_time_to_live(spark):
     root = fresh_path(spark, "t-late")
     batches = [[txn_row(0, step=5)], [txn_row(1, step=7)], [txn_row(2, step=5)],
-               [txn_row(3, step=8)], [txn_row(4, step=5), txn_row(5, step=7)]]
-    seen = {}
-    for batch, made in enumerate(batches):
-        rows = txns(spark, made)
-        state = sv.open_state(rows, root, batch, ttl_steps=2)
-        seen.update(by_event(sv.add_stream_velocity(rows, state), "orig_tx_count_1h"))
-        sv.save_totals(rows, state)
-    assert seen == {0: (0,), 1: (0,), 2: (1,), 3: (0,), 4: (0,), 5: (1,)}
+               [txn_row(3, step=8)],
+               [txn_row(4, step=5), txn_row(5, step=7), txn_row(6, step=5), txn_row(7, step=6)]]
+    for made in batches:
+        append(spark, made, f"{root}/in")
+        seen = follow(spark, root, late_path=f"{root}/late")
+    assert {k: v[0] for k, v in seen.items()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1, 7: 0}
+    assert {r["event_id"] for r in spark.read.parquet(f"{root}/late").collect()} == {4, 6}
+
+
+def test_state_stays_bounded_over_many_batches(spark):
+    root = fresh_path(spark, "t-bounded")
+    rows = [txn_row(i, step=1 + i // 4, orig=f"A{i % 7}", dest=f"B{i % 3}") for i in range(400)]
+    txns(spark, rows).repartitionByRange(100, "event_id").write.parquet(f"{root}/in")
+    sv.use_keyed_state(spark)
+    stream = tx.read_stream(spark, f"{root}/in", files_per_batch=1)
+    query = (
+        sv.running_account_totals(stream, 2)
+        .writeStream.outputMode("update").format("noop")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 99
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    # Three steps are alive, and the batch's own: 4 rows touch 7 accounts at most.
+    assert 0 < max(sizes) <= 4 * 7
+
+
+def test_a_third_of_the_rows_is_one_account(spark):
+    root = fresh_path(spark, "t-hot")
+    pick = random.Random(3)
+    rows = [
+        txn_row(i, step=1 + i // 200, amount=float(pick.randrange(1, 99)),
+                orig="HOT" if i % 3 == 0 else f"A{pick.randrange(30)}", dest=f"A{pick.randrange(30)}")
+        for i in range(600)
+    ]
+    for a, b in ((0, 250), (250, 251), (251, 600)):
+        append(spark, rows[a:b], f"{root}/in")
+    got = follow(spark, root, hot_rows=20)
+    assert got == by_event(fe.add_velocity_shared(txns(spark, rows)), *VELOCITY)
 
 
 def test_stream_scoring_equals_batch(spark, sf_dir):
@@ -149,10 +173,12 @@ def test_monitor_stream(spark, sf_dir):
     ).awaitTermination()
     alerts = spark.read.parquet(f"{root}/report/alerts")
     assert {r["alert"] for r in alerts.collect()} == {"block_rate"}
-    assert sorted(r["rows_seen"] for r in alerts.collect()) == [2500, 5000, 7500, 10000]
+    assert sorted(r["rows_seen"] for r in alerts.collect()) == list(range(1000, 10001, 1000))
     summaries = spark.read.parquet(f"{root}/report/drift_summary").collect()
     assert len(summaries) == 2
     assert all(r["is_drifted"] and r["drifted_features"] == ["amount"] for r in summaries)
+    assert sorted(r["window"] for r in summaries) == [0, 1]
+    assert sorted(os.listdir(f"{root}/state/window".removeprefix("file://"))) == ["batch=2", "batch=3"]
     window = spark.read.parquet(f"{root}/state/window").where("batch = 3")
     assert window.count() == 10_000
     counts = spark.read.parquet(f"{root}/state/counts").where("batch = 3").first()
@@ -189,6 +215,32 @@ def test_monitor_reads_what_scoring_writes(spark, sf_dir):
     assert "alert" in spark.read.parquet(f"{root}/report/alerts").columns
 
 
+def test_messages_to_reports_with_both_queries_at_once(spark, sf_dir):
+    """The snapshot job, then scoring and watching side by side until enough has been scored."""
+    model, _, explainer = q.fitted_model(spark, sf_dir)
+    root = fresh_path(spark, "t-consume")
+    snapshot.run(q.txn(spark, sf_dir), f"{root}/reference", model)
+    reference = spark.read.parquet(f"{root}/reference")
+    assert "risk_score" in reference.columns
+    rows = q.txn(spark, sf_dir).where("step > 500")
+    messages = topics.encode(rows, key="event_id").select(
+        F.col("key").cast("long").alias("event_id"), "value", F.current_timestamp().alias("arrived_at")
+    )
+    messages.repartition(3).write.parquet(f"{root}/in")
+    stored = spark.read.parquet(f"{root}/in")
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    paths = ScoringPaths.below(f"{root}/out")
+    n = rows.count()
+    consume.run(
+        stream, model, explainer, paths, Settings(drift_window_size=1000), reference, max_messages=n
+    )
+    scored = spark.read.parquet(paths.scored).count()
+    reports = f"{root}/out/monitor/reports"
+    windows = spark.read.parquet(f"{reports}/drift_summary")
+    assert sorted(r["window"] for r in windows.collect()) == list(range(scored // 1000))
+    assert spark.read.parquet(f"{root}/out/monitor/state/counts").agg(F.max("__all")).first()[0] == scored
+
+
 # -- messages -----------------------------------------------------------------------------------
 
 
