@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.worker import one_blas_thread
 from riskloom.sources.workspace import written
 
 #: Squared norms stay below, so that every component fits 32 bits and every score 64.
@@ -162,6 +163,7 @@ def planted(anchors: DataFrame, block: list[str]) -> DataFrame:
     kinds = ", ".join(f"{c} {t}" for c, t in anchors.dtypes)
 
     def run(group: pa.Table) -> pa.Table:
+        one_blas_thread()
         group = group.sort_by("id")
         packed = group["vec"].to_pylist()
         order, parent, edge = spanning_tree(_matrix(packed, _width(packed)))
@@ -440,6 +442,7 @@ def _search(cells: DataFrame, by: list[str], parts: int, kind: type, mining: Min
         )
 
     def run(batches):
+        one_blas_thread()
         here, anchors, search = None, [], None
 
         def done() -> Iterator[pa.RecordBatch]:

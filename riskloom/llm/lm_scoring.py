@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.gru import Adam, Gru, classes_of
 from riskloom.llm.rows import utf8
 from riskloom.llm.word_hashes import portions, word_hashes
+from riskloom.llm.worker import one_blas_thread
 from riskloom.sources.workspace import fresh_path
 
 #: The end of a text, as a word hash; words have other hashes but for one in 2**64.
@@ -59,13 +60,20 @@ class Settings:
     classes: int = 24
     hidden: int = 16
     window: int = 32
-    rows: int = 32
+    #: Texts side by side in a step: as many as leave a worker about `steps` steps a round.
+    least_rows: int = 32
+    most_rows: int = 256
+    steps: int = 200
     rounds: int = 3
     train_share: float = 1.0
     rates: tuple = (0.01, 0.007, 0.004)
     workers: int = 8
     seed: int = 7
 
+    def rows(self, tokens: float) -> int:
+        """How many texts a step takes, for so many tokens of a worker and round."""
+        return int(min(self.most_rows, max(self.least_rows, tokens / (self.window * self.steps))))
+
     def words(self, distinct: float) -> int:
         """How many words the vocabulary has, of so many distinct ones."""
         return max(self.vocabulary, math.ceil(self.growth * math.sqrt(distinct)))
@@ -351,6 +359,7 @@ def fit(docs: DataFrame, found: Counts, key: str, text: str, settings: Settings)
     train = spark.read.parquet(path)
     if found.total == 0 or train.isEmpty():
         return model
+    rows = settings.rows(found.total / workers / settings.rounds)
     for r in range(settings.rounds):
         rate = settings.rates[min(r, len(settings.rates) - 1)]
         shared = spark.sparkContext.broadcast(model)
@@ -359,11 +368,11 @@ def fit(docs: DataFrame, found: Counts, key: str, text: str, settings: Settings)
         learnt = (
             spread.sortWithinPartitions("worker", "place", "ids")
             .select("worker", "ids")
-            .mapInArrow(_learner(shared, vocabulary, settings, rate), _LEARNT)
+            .mapInArrow(_learner(shared, vocabulary, settings, rate, rows), _LEARNT)
         )
-        rows = learnt.groupBy("part").applyInPandas(_average, _LEARNT).collect()  # one model
-        if rows:
-            flats = [np.frombuffer(row["flat"], np.float32) for row in sorted(rows)]
+        parts = learnt.groupBy("part").applyInPandas(_average, _LEARNT).collect()  # one model
+        if parts:
+            flats = [np.frombuffer(part["flat"], np.float32) for part in sorted(parts)]
             model = model.with_flat(np.concatenate(flats))
     return model
 
@@ -371,16 +380,17 @@ def fit(docs: DataFrame, found: Counts, key: str, text: str, settings: Settings)
 _LEARNT = "part int, flat binary, n bigint"
 
 
-def _learner(shared, vocabulary: Vocabulary, settings: Settings, rate: float):
+def _learner(shared, vocabulary: Vocabulary, settings: Settings, rate: float, rows: int):
     """One round of the workers of a task, over their texts, a block of them at a time."""
     end, kind = vocabulary.end, vocabulary.kind
 
     def run(batches):
+        one_blas_thread()
         now, adam, n, texts, waiting = None, None, 0, [], 0
 
         def learn():
             nonlocal texts, n, waiting
-            adam.train(texts, end, settings.window, settings.rows)
+            adam.train(texts, end, settings.window, rows)
             n, texts, waiting = n + waiting, [], 0
 
         def answer() -> pa.RecordBatch:
@@ -435,6 +445,7 @@ def score(
     keyed = _keyed(docs, key, text, settings)
 
     def run(batches):
+        one_blas_thread()
         vocabulary, own = shared.value
         held: list[pa.RecordBatch] = []
         texts: list[np.ndarray] = []
