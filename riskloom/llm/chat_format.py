@@ -91,11 +91,15 @@ class Costs:
 
 
 class PartVisitor:
-    """Flattens parts into text and placeholders; a method for each kind."""
+    """Flattens parts into text and placeholders; a method for each kind.
+
+    Neighbouring texts are escaped as one, so no control string stands across the border of two.
+    """
 
     def __init__(self, costs: Costs):
         self.costs = costs
         self.out: list[str] = []
+        self.texts: list[str] = []
         self.chars = 0
         self.attachments: list[dict] = []
 
@@ -108,7 +112,7 @@ class PartVisitor:
             method(part)
 
     def visit_text(self, part) -> None:
-        self._add(escape(part["text"] or ""))
+        self.texts.append(part["text"] or "")
 
     def visit_image(self, part) -> None:
         side = self.costs.patch
@@ -122,7 +126,14 @@ class PartVisitor:
     def visit_document(self, part) -> None:
         self._attach("document", part, (part["pages"] or 0) * self.costs.page)
 
+    def finish(self) -> None:
+        """Add the texts since the last placeholder."""
+        if self.texts:
+            self._add(escape("".join(self.texts)))
+            self.texts = []
+
     def _attach(self, kind: str, part, tokens: int) -> None:
+        self.finish()
         self.attachments.append(
             {"kind": kind, "ref": part["ref"], "at": self.chars, "tokens": max(1, tokens)}
         )
@@ -154,6 +165,7 @@ def format_turns(turns: DataFrame, costs: Costs = Costs(), loss_role: str = "ass
                 visitor = PartVisitor(costs)
                 for part in parts or ():
                     visitor.visit(part)
+                visitor.finish()
                 heads.append(f"{TURN}{escape(role or '')}{TURN_END}")
                 bodies.append("".join(visitor.out))
                 notes.append(visitor.attachments)
