@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -181,7 +182,7 @@ def test_licences_against_plain_rules(spark):
     rows = {r["doc_id"]: r for r in made.where("doc_id >= 100").collect()}
     labels = [label for label, texts in license_scan.NOTICES.items() for _ in texts]
     for i, label in enumerate(labels):
-        assert label in rows[100 + i]["labels"].split(",") and rows[100 + i]["score"] == 1.0
+        assert rows[100 + i]["labels"] == label and rows[100 + i]["score"] == 1.0
     assert rows[201]["labels"] == "" and rows[201]["score"] == 0.0
     assert rows[202]["labels"] == "mit" and 0.8 <= rows[202]["score"] < 1
     assert license_scan.scan(empty(spark)).count() == 0
@@ -200,24 +201,63 @@ def test_notices_over_several_lines_and_long_ones(spark):
                 expected[key] = label
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     for r in license_scan.scan(docs, notices=notices).collect():
-        assert expected[r["doc_id"]] in r["labels"].split(",") and r["score"] == 1.0
-
-
-def test_licence_join_finds_what_comparing_all_finds():
+        assert r["labels"] == expected[r["doc_id"]] and r["score"] == 1.0
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Released under CC BY-NC 4.0. See the site.", "cc-by-nc"),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"),
+    ("Licensed under CC BY 4.0 or, at your wish, licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+     "cc-by-sa"),
+    ("Released under the Apache License.", "apache"),
+    ("The report was released yesterday under the new driving license rules.", ""),
+    ("Licensed under the Mozilla Public License, Version 2.0", "mpl"),
+    ("Licensed under the Eclipse Public License, Version 2.0", ""),
+    ("licensed under a new rule by 4 people, 0 objections", ""),
+    ("This work is licensed under the GNU Free Documentation License, version 3.", ""),
+    ("Released under the " + prose(40, 8) + " MIT of a license", ""),
+    ("They may use this file, and you may obtain a copy of the form at the counter.", ""),
+    (prose(300, 9), ""),
+])
+def test_all_labels_of_other_licences_and_prose(text, labels):
+    counts = {}
+    scanner = license_scan.Scanner(license_scan.prepared(license_scan.NOTICES, counts, 0.8), counts)
+    words = license_scan.plain_words(text.encode())
+    found = {scanner.notices[i].label for i in scanner.scan(words)}
+    base = {label for _, label in license_scan.phrase_places(words, license_scan.PHRASES)}
+    assert ",".join(sorted(found | base)) == labels
+
+
+@pytest.mark.parametrize("names", [{}, {"a": ["w2 w3"], "b": ["w20"], "d": ["w2 w3 w4"]}])
+def test_licence_join_finds_what_comparing_all_finds(names):
     rng = random.Random(3)
-    notices = {"a": [" ".join(f"w{i}" for i in range(12))], "b": ["w1 w5 w20 w21 w22"], "c": ["w7"]}
+    notices = {"a": [" ".join(f"w{i}" for i in range(12))], "b": ["w1 w5 w20 w21 w22 w5"], "c": ["w7"]}
     counts = {f"w{i}".encode(): rng.randint(0, 9) for i in range(30)}
-    sets = license_scan.prepared(notices, counts, 0.7)
-    scanner = license_scan.Scanner(sets, counts, 16)
-    for _ in range(400):
-        text = " ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 60))).encode()
+    sets = license_scan.prepared(notices, counts, 0.7, names)
+    scanner = license_scan.Scanner(sets, counts, names)
+    assert [bool(n.name) for n in sets] == ([True, True, False] if names else [False] * 3)
+    met = Counter()
+    for _ in range(2000):
+        spread = rng.choice([3, 12, 30])
+        words = [f"w{rng.randint(0, spread)}".encode() for _ in range(rng.randint(0, 60))]
+        for at in range(0, len(words) - 12, 15):
+            words[at : at + 6] = [f"w{i}".encode() for i in range(6)]
         expected = {}
         for i, notice in enumerate(sets):
-            for block in scanner.blocks(text):
+            for begin in range(len(words)):
+                block = words[begin : begin + notice.room]
                 common = len(set(block) & set(notice.words))
-                if common >= notice.needed:
+                named = not notice.name or any(
+                    tuple(block[k : k + len(notice.name)]) == notice.name
+                    and not (names and words[begin + k : begin + k + 3] == [b"w2", b"w3", b"w4"])
+                    for k in range(len(block))
+                )
+                if common >= notice.needed and named:
                     expected[i] = max(expected.get(i, 0), common / len(notice.words))
-        assert scanner.scan(text) == expected
+        met.update(expected)
+        assert scanner.scan(words) == expected
+    assert len(met) == 3
 
 
 # -- URLs -----------------------------------------------------------------------------------------
