@@ -104,6 +104,22 @@ def search(
     return pairs.where(apart <= radius).select("query", "found").distinct()
 
 
+def links(
+    prints: DataFrame, every: int = 50, radius: int = 3, key: str = "doc_key"
+) -> DataFrame:
+    """Pairs `query`, `found` of different fingerprints within the radius, written as in `prints`;
+    queries are those of keys divisible by `every`. With `prints` (`key`, `fingerprint`) as
+    membership they name every document found; documents of one fingerprint need no pair."""
+    bits = F.conv("fingerprint", 16, -10).cast("bigint")
+    own = prints.select(key, bits.alias("fingerprint"))
+    found = search(own.where(_asked(key, every)), own, radius).where("query <> found")
+    return found.select(as_hex(F.col("query")).alias("query"), as_hex(F.col("found")).alias("found"))
+
+
+def _asked(key: str, every: int) -> Column:
+    return F.coalesce(F.col(key).try_cast("bigint") % every == 0, F.lit(False))
+
+
 def following(docs: DataFrame, key: str, text: str) -> DataFrame:
     """`doc_key`, `doc_hash` of each document, `chars`, `copies` (rows that are alike), and
     `next_key`, `next_hash`: the document after it in descending order of the key, the first one
@@ -214,8 +230,9 @@ def document_fingerprints(
     docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 50, radius: int = 3
 ) -> DataFrame:
     """`doc_key`, `n_chars`, `edited_sha256`, `fingerprint`, `edited_fingerprint`, `near_edited`,
-    `near_next`, and `n_within`: for keys divisible by `every`, how many other fingerprints of the
-    table the search finds within the radius; null for other keys."""
+    `near_next`, and `n_within`: for keys divisible by `every`, how many other documents of the
+    table the search finds within the radius, those with an equal fingerprint too; null for other
+    keys, and for those that are no integers. `links` names them."""
     spark = docs.sparkSession
     pairs = edited_pairs(docs, key, text)
     both = pairs.select(
@@ -246,17 +263,17 @@ def document_fingerprints(
         F.col("doc_key").alias("n_key"), F.col("doc_hash").alias("n_hash"), F.col("own").alias("n_own")
     )
     rows = rows.join(neighbour, _same("next_key", "next_hash", "n_key", "n_hash"), "left")
-    asked = rows.where(F.col("doc_key") % every == 0)
-    found = search(
-        asked.select(F.col("own").alias("fingerprint")),
-        rows.select(F.col("own").alias("fingerprint")),
-        radius,
+    sizes = plain.groupBy("own").agg(F.sum("copies").alias("documents"))
+    prints = sizes.select(F.col("own").alias("fingerprint"))
+    asked = plain.where(_asked("doc_key", every)).select(F.col("own").alias("fingerprint"))
+    found = search(asked, prints, radius)
+    near = found.join(sizes, F.col("found") == F.col("own")).groupBy("query").agg(
+        F.sum("documents").alias("n")
     )
-    near = found.where("query <> found").groupBy("query").agg(F.count("*").alias("n"))
     rows = rows.join(near, F.col("own") == F.col("query"), "left")
     each = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
     rows = rows.withColumn("copy", each)
-    within = F.when(F.col("doc_key") % every == 0, F.coalesce(F.col("n"), F.lit(0)))
+    within = F.when(_asked("doc_key", every), F.col("n") - 1)
     return rows.select(
         "doc_key",
         F.col("chars").alias("n_chars"),

@@ -257,6 +257,29 @@ def test_fingerprints_of_all_awkward_rows_and_few(spark):
     assert one["near_next"] == 1.0 and one["n_within"] is None
 
 
+def test_documents_found_within_the_radius(spark):
+    base = [prose(200, i) for i in range(4)]
+    rows = [(i, base[i % 4] + (f" {i}" if i % 3 == 1 else "")) for i in range(60)]
+    rows += [(50, base[2]), (50, base[2]), (0, ""), (7, None), (None, base[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = simhash.document_fingerprints(docs, every=10)
+    made = prints.select("doc_key", "fingerprint", "n_within").collect()
+    values = [int(r["fingerprint"], 16) for r in made]
+    near = [[j for j, y in enumerate(values) if (x ^ y).bit_count() <= 3] for x in values]
+    for own, found in zip(made, near):
+        asked = own["doc_key"] is not None and own["doc_key"] % 10 == 0
+        assert own["n_within"] == (len(found) - 1 if asked else None)
+    expected = {
+        (own["fingerprint"], made[j]["fingerprint"])
+        for own, found in zip(made, near) if own["doc_key"] is not None and own["doc_key"] % 10 == 0
+        for j in found if made[j]["fingerprint"] != own["fingerprint"]
+    }
+    assert expected
+    assert {tuple(r) for r in simhash.links(prints, every=10).collect()} == expected
+    texts = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert simhash.document_fingerprints(texts).where("n_within is not null").count() == 0
+
+
 @pytest.mark.parametrize("radius, blocks", [(3, 6), (2, 4), (0, 1), (7, 9)])
 def test_search_finds_all_within_the_radius(spark, radius, blocks):
     rng = random.Random(radius)
