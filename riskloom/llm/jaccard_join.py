@@ -5,7 +5,8 @@ shingles of `n_words` words; one with fewer words has them all as its one shingl
 apart by 64-bit hashes, and documents with equal sets by a 64-bit sum, so equal sets are one class.
 
 1. Shingles go, packed in blocks, to ranges of their hash, where each is counted once for a class.
-   Only those of two classes or more go on, gathered by class.
+   Only those of two classes or more go on, gathered by class. A text's own row is dealt evenly, not
+   by class, so copies of one text don't meet in a task; ranges follow the bytes of the input.
 2. The order of shingles is the rarer first. A set of n that has to share k with another meets it
    within its first n-k+1 (prefix filter). The shingles of one class alone come first and meet
    nobody; a class whose prefix is made of them is done.
@@ -20,7 +21,9 @@ shingle's list one partner in each bunch of classes that seem linked. Components
 verified pairs. In a second round, all pairs that pass the filters between different components are
 verified. So no link between components is lost, and the components are exact.
 
-Lists of a shingle longer than `list_rows` are cut into parts, and each two parts are joined apart.
+Lists of a shingle longer than `list_rows` are cut into parts. The first round joins neighbouring
+parts, as it only has to link most of what belongs together; the second joins each two parts, of the
+lists that still hold different components.
 
 Defined results: null and empty texts, and those without words, have an empty set and are linked with
 nothing; rows that repeat have equal sets; a null id is the smallest of a group only if all are null;
@@ -32,6 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,7 @@ from riskloom.sources.workspace import fresh_path
 
 BLOCK_BYTES = 4_000_000
 VECTOR_BYTES = 64
+RANGE_BYTES = 128_000_000
 LIST_ROWS = 4_000
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
@@ -77,12 +82,14 @@ _MADE = pa.schema(
         ("sig", pa.int64()),
         ("n", pa.int64()),
         ("sigs", pa.binary()),
+        ("sizes", pa.binary()),
         ("counts", pa.binary()),
         ("tokens", pa.binary()),
     ]
 )
 _MADE_SQL = (
-    "part int, doc_key string, sig bigint, n bigint, sigs binary, counts binary, tokens binary"
+    "part int, doc_key string, sig bigint, n bigint, sigs binary, sizes binary, counts binary, "
+    "tokens binary"
 )
 
 
@@ -90,6 +97,7 @@ def _spread(ranges: int, n_words: int):
     """Rows of documents, and of the shingles of a block in each range."""
 
     def run(batches):
+        dealt = TaskContext.get().partitionId()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in portions([len(t) for t in texts], BLOCK_BYTES):
@@ -108,15 +116,16 @@ def _spread(ranges: int, n_words: int):
                 flat, owner = flat[order], owner[order]
                 cuts = np.searchsorted(place[order], np.arange(ranges + 1, dtype=np.uint64))
                 rows = [
-                    (int(np.uint64(s) % np.uint64(ranges)), k, int(s), int(n), None, None, None)
-                    for k, s, n in zip(keys[a:b], sigs, sizes)
+                    ((dealt + i) % ranges, k, int(s), int(n), None, None, None, None)
+                    for i, (k, s, n) in enumerate(zip(keys[a:b], sigs, sizes))
                 ]
+                dealt += b - a
                 for r in range(ranges):
                     part = slice(cuts[r], cuts[r + 1])
                     if part.stop > part.start:
                         docs, counts = np.unique(owner[part], return_counts=True)
                         rows.append(
-                            (r, None, 0, 0, sigs[docs].tobytes(),
+                            (r, None, 0, 0, sigs[docs].tobytes(), sizes[docs].astype("<u4").tobytes(),
                              counts.astype("<u4").tobytes(), _six(flat[part]))
                         )
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _MADE)]
@@ -142,8 +151,8 @@ def _repeated(parts: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         docs = frame[frame["sigs"].isna()]
         out = [
-            (int(np.uint64(np.int64(s)) % np.uint64(parts)), k, s, n, None, None, None, None)
-            for k, s, n in zip(docs["doc_key"], docs["sig"], docs["n"])
+            (p, k, s, n, None, None, None, None, None)
+            for p, k, s, n in zip(docs["part"], docs["doc_key"], docs["sig"], docs["n"])
         ]
         rows = frame[~frame["sigs"].isna()]
         if len(rows):
@@ -153,6 +162,9 @@ def _repeated(parts: int):
                 [np.repeat(np.frombuffer(s, "<i8"), np.frombuffer(c, "<u4"))
                  for s, c in zip(rows["sigs"], rows["counts"])]
             )
+            all_sigs = np.frombuffer(b"".join(rows["sigs"]), "<i8")
+            all_sigs, at = np.unique(all_sigs, return_index=True)
+            sizes = np.frombuffer(b"".join(rows["sizes"]), "<u4")[at]
             order = np.lexsort((sigs, tokens))
             tokens, sigs = tokens[order], sigs[order]
             new = np.ones(len(tokens), bool)
@@ -171,8 +183,9 @@ def _repeated(parts: int):
                     each, n = np.unique(sigs[mine], return_counts=True)
                     rank = np.log2(often[mine]).astype(np.uint8)
                     out.append(
-                        (p, None, own, 0, each.tobytes(), n.astype("<u4").tobytes(),
-                         _six(tokens[mine]), rank.tobytes())
+                        (p, None, own, 0, each.tobytes(),
+                         sizes[np.searchsorted(all_sigs, each)].tobytes(),
+                         n.astype("<u4").tobytes(), _six(tokens[mine]), rank.tobytes())
                     )
         return pd.DataFrame(out, columns=[c.split()[0] for c in _REPEATED_SQL.split(", ")])
 
@@ -198,13 +211,14 @@ def _gathered(share: tuple[int, int]):
         keys = docs["doc_key"].tolist()
         sig_of, n_of = docs["sig"].tolist(), docs["n"].tolist()
         out = [(k, s, n, 0, 0, None, None) for k, s, n in zip(keys, sig_of, n_of)]
-        sizes = dict(zip(sig_of, n_of))
+        sizes = {}
         rows = frame[~frame["sigs"].isna()]
         if len(rows):
             tokens, sigs, ranks = [], [], []
-            for own, s, c, t, r in zip(
-                rows["sig"], rows["sigs"], rows["counts"], rows["tokens"], rows["ranks"]
+            for own, s, z, c, t, r in zip(
+                *(rows[x] for x in ("sig", "sigs", "sizes", "counts", "tokens", "ranks"))
             ):
+                sizes.update(zip(np.frombuffer(s, "<i8").tolist(), np.frombuffer(z, "<u4").tolist()))
                 tokens.append(_from_six(t) | np.uint64(int(own) & 0xFFFF) << np.uint64(48))
                 sigs.append(np.repeat(np.frombuffer(s, "<i8"), np.frombuffer(c, "<u4")))
                 ranks.append(np.frombuffer(r, np.uint8))
@@ -265,17 +279,26 @@ def _postings(classes: DataFrame) -> DataFrame:
     )
 
 
-def _listed(postings: DataFrame, list_rows: int) -> DataFrame:
-    """Lists of each shingle as `token`, `one`, `two`: short ones whole, long ones as pairs of parts."""
-    sizes = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    rows = postings.join(sizes, "token")
+def _listed(postings: DataFrame, list_rows: int, every: bool) -> DataFrame:
+    """Lists of each shingle as `token`, `one`, `two`: short ones whole, long ones in parts.
+
+    Lists of one label only have nothing to find. Parts are joined each with each if `every` pair
+    counts, and otherwise each with the next."""
+    sizes = postings.groupBy("token").agg(
+        F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    rows = postings.join(sizes.where("lo <> hi").select("token", "m"), "token")
     parts = F.ceil(F.col("m") / list_rows).cast("int")
-    own = F.pmod(F.xxhash64("sig"), parts).cast("int")
-    pairs = F.explode(F.sequence(F.lit(0), parts - 1))
-    rows = rows.withColumn("own", own).withColumn("other", pairs)
-    return rows.withColumns(
-        {"one": F.least("own", "other"), "two": F.greatest("own", "other")}
-    ).drop("own", "other", "m")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sig"), parts).cast("int"))
+    if every:
+        others = F.sequence(F.lit(0), parts - 1)
+        one, two = F.least("own", "other"), F.greatest("own", "other")
+    else:
+        before = F.pmod(F.col("own") - 1, parts)
+        others = F.array_distinct(F.array("own", before))
+        one = two = F.col("other")
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.withColumns({"one": one, "two": two}).drop("own", "other", "m")
 
 
 def _pairs(share: tuple[int, int], every: bool):
@@ -366,7 +389,7 @@ def candidates(
     classes: DataFrame, share: tuple[int, int], every: bool, list_rows: int = LIST_ROWS
 ) -> DataFrame:
     """Distinct pairs `a`, `b` of classes that share a prefix shingle and pass the filters."""
-    lists = _listed(_postings(classes), list_rows)
+    lists = _listed(_postings(classes), list_rows, every)
     in_order = lists.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
     columns = ["token", "one", "two", "label", "sig", "n", "alone", "at", "vector"]
     found = in_order.select(*columns).mapInArrow(_pairs(share, every), "a bigint, b bigint")
@@ -412,8 +435,10 @@ def groups(
     """`doc_key`, `n_shingles`, `component` (the least key reachable by links) of each row."""
     spark = docs.sparkSession
     key_type = docs.schema[key].dataType.simpleString()
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     rows = docs.select(F.col(key).cast("string").alias("doc_key"), utf8(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(least, -(-size // RANGE_BYTES)), 1 << 16)
     path = fresh_path(spark, "jaccard")
     (
         rows.mapInArrow(_spread(parts, n_words), _MADE_SQL)
@@ -456,10 +481,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     spark = docs.sparkSession
     path = fresh_path(spark, "jaccard-kept")
     found.where(F.col("doc_key").eqNullSafe(F.col("component"))).groupBy("doc_key").agg(
-        F.count("*").alias("__rows")
+        F.count("*").alias("rows")
     ).write.parquet(path)
-    kept = spark.read.parquet(path).withColumnRenamed("doc_key", "__kept")
-    rows = docs.join(kept.select("__kept"), F.col(f"`{key}`").eqNullSafe(F.col("__kept")), "left_semi")
-    if kept.where("__rows > 1").isEmpty():
+    kept = spark.read.parquet(path)
+    own = "__kept"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    keys = kept.select(F.col("doc_key").alias(own))
+    rows = docs.join(keys, F.col(f"`{key}`").eqNullSafe(F.col(own)), "left_semi")
+    if kept.where("rows > 1").isEmpty():
         return rows
     return rows.dropDuplicates([key, text])

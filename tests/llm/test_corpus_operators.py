@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,44 @@ def copies(seed, n, edits):
     return out
 
 
+def test_copies_are_dealt_evenly_and_a_clashing_column_stays(spark):
+    rows = [(i, prose(60, 1) if i % 3 else prose(60, i), i) for i in range(600)]
+    rows += [(600 + i, "", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __kept bigint")
+    batch = pa.RecordBatch.from_pylist(
+        [{"k": str(i), "t": t.encode()} for i, t, _ in rows], pa.schema([("k", pa.string()), ("t", pa.binary())])
+    )
+    made = pa.Table.from_batches(
+        spark.createDataFrame([(1,)], "a int").mapInArrow(
+            lambda _: jaccard_join._spread(8, 5)([batch]), jaccard_join._MADE_SQL
+        ).toArrow().to_batches()
+    ).to_pandas()
+    per_range = made[made["doc_key"].notna()].groupby("part").size()
+    assert len(per_range) == 8 and per_range.max() <= per_range.min() + 1
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    expected = {i for i, t, _ in rows if not t or i % 3 == 0} | {1}
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == expected
+
+
+def test_long_lists_grow_with_their_rows_until_every_pair_counts(spark):
+    rows = [(7, i, i, 1) for i in range(400)] + [(8, i, 5, 1) for i in range(400)]
+    postings = spark.createDataFrame(rows, "token bigint, sig bigint, label bigint, n bigint")
+    linear = jaccard_join._listed(postings, 10, False)
+    assert linear.where("token = 7").count() == 800 and linear.where("token = 8").count() == 0
+    lists = jaccard_join._listed(postings, 10, True).where("token = 7")
+    own = [{r["sig"] for r in g} for g in _grouped(lists.collect(), "one", "two").values()]
+    for a, b in [(0, 1), (3, 399), (17, 200)]:
+        assert any({a, b} <= x for x in own)
+
+
+def _grouped(rows, *names):
+    out = {}
+    for r in rows:
+        out.setdefault(tuple(r[n] for n in names), []).append(r)
+    return out
+
+
 @pytest.mark.parametrize("list_rows", [4_000, 7])
 def test_groups_against_brute_force(spark, list_rows):
     rows = [(r[0], r[1]) for r in awkward_rows()]
