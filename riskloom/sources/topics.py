@@ -75,11 +75,15 @@ def decode(messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
     required fields are then caught by validation instead of failing the query. `unreadable` lists
     fields that are there but not of their type, names that are no strings among them: validation
     rejects such rows, even where the field may be absent.
+
+    A message is parsed twice, whatever is asked of its fields: both parses come out of a generator,
+    which later filters and projections on the fields don't pass. Else each would parse again.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in FILE_SCHEMA.fields])
-    parsed = messages.withColumn(
-        "__m", F.from_json(F.col(value).cast("string"), text, {"mode": "PERMISSIVE"})
-    )
+    body = F.col(value).cast("string")
+    fields = F.from_json(body, text, {"mode": "PERMISSIVE"})
+    both = F.struct(fields.alias("__m"), F.try_parse_json(body).alias("__tree"))
+    parsed = messages.select(*keep, F.inline(F.array(both)))
 
     def typed(field: T.StructField):
         raw = F.col(f"__m.{field.name}")
@@ -89,12 +93,10 @@ def decode(messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
             return whole.cast(field.dataType).alias(field.name)
         return raw.try_cast(field.dataType).alias(field.name)
 
-    tree = F.try_parse_json(F.col(value).cast("string"))
-
     def misread(field: T.StructField):
         present = F.col(f"__m.{field.name}").isNotNull()
         if isinstance(field.dataType, T.StringType):
-            kind = F.schema_of_variant(F.try_variant_get(tree, f"$.{field.name}", "variant"))
+            kind = F.schema_of_variant(F.try_variant_get("__tree", f"$.{field.name}", "variant"))
             return present & (kind != "STRING")
         return present & typed(field).isNull()
 

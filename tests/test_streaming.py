@@ -264,6 +264,15 @@ def test_decode_is_lenient_on_numbers_and_strict_on_meaning(spark):
     assert va.valid_rows(topics.decode(df)).count() == 2
 
 
+def test_a_message_is_parsed_once_whatever_is_asked_of_it(spark):
+    rows = topics.decode(topics.encode(txns(spark, [txn_row(0)])), keep=("key",))
+    for asked in (va.quarantined_rows(rows), va.valid_rows(rows), rows.where("step > 1 and amount > 2")):
+        text = asked._jdf.queryExecution().optimizedPlan().toString()
+        parses = text.count("from_json(") + text.count("JsonToStructs")
+        trees = text.count("try_parse_json(") + text.count("parseJson(")
+        assert parses == 1 and trees <= 1
+
+
 def test_topic_options():
     settings = Settings(kafka_bootstrap_servers="broker:9092")
     source = topics.source_options(settings, max_records=100)
