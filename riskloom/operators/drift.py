@@ -98,6 +98,10 @@ def ks_by_feature(
         F.max("ref_all").alias("reference_rows"),
         F.max("cur_all").alias("current_rows"),
     )
+    return _flagged(tested, method, by)
+
+
+def _flagged(tested: DataFrame, method: str, by: Sequence[str]) -> DataFrame:
     n, m = F.col("reference_rows"), F.col("current_rows")
     p = kolmogorov_p(F.col("d"), n, m)
     tested = tested.withColumn("p", exact_ks_p()(F.col("d"), n, m) if method == "exact" else p)
@@ -112,6 +116,84 @@ def ks_by_feature(
     )
 
 
+def ks_by_window(
+    reference: DataFrame,
+    current: DataFrame,
+    first: int,
+    last: int,
+    features: Sequence[str] = MODEL_FEATURES,
+) -> DataFrame:
+    """`ks_by_feature` of each window from `first` to `last` of `current`, which has that column,
+    against the one `reference`: the same rows as with a copy of the reference for each window.
+
+    Between two values of a window only the reference's distribution moves, so the largest gap is at
+    a value of the window, or just below one. The reference rows up to and below each value are running
+    totals over one order of both sides, so the work grows with reference plus windows, not with their
+    product. A window's own distribution is a plain window: its rows are bounded by its width.
+    """
+    columns = [c for c in reference.columns if c in current.columns]
+    _require(reference.select(*columns), features)
+
+    def counted(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        values = _long(rows.withColumn("is_reference", F.lit(name == "ref")), features, by)
+        return values.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias(name))
+
+    ref, cur = counted(reference, (), "ref"), counted(current, ["window"], "cur")
+    nothing = F.lit(0).cast("long")
+
+    def points(rows: DataFrame, kind: int, upto, below) -> DataFrame:
+        window, own = (F.col(c) if c in rows.columns else F.lit(None) for c in ("window", "cur"))
+        return rows.select(
+            "feature",
+            "value",
+            F.lit(kind).alias("kind"),
+            window.cast("long").alias("window"),
+            own.cast("long").alias("cur"),
+            upto.alias("upto"),
+            below.alias("below"),
+        )
+
+    both = points(cur, 1, nothing, nothing)  # after the reference's `upto`, before its `below`
+    for kind, upto, below in ((0, F.col("ref"), nothing), (2, nothing, F.col("ref"))):
+        both = both.unionByName(points(ref, kind, upto, below))
+    placed = running_totals(
+        value_buckets(both, "value", ["feature"]),
+        ["upto", "below"],
+        ["value", "kind", "window"],
+        VALUE_LEVELS,
+        ["feature"],
+        overall=True,
+    ).where("kind = 1")
+    steps = running_totals(placed, ["cur"], ["value"], (), ["window", "feature"], overall=True)
+
+    def gap(upto: str, own):
+        return F.abs(F.col(upto) / F.col("upto_all") - own / F.col("cur_all"))
+
+    largest = F.greatest(
+        gap("upto_before", F.col("cur_before") + F.col("cur")), gap("below_before", F.col("cur_before"))
+    )
+    found = steps.groupBy("window", "feature").agg(
+        F.max(F.when(F.col("upto_all") > 0, largest)).alias("d"),
+        F.max("cur_all").alias("__current"),
+    )
+    # A feature that a window has no values of is reported too: windows x features, and ten totals.
+    numbers = reference.sparkSession.range(first, last + 1).toDF("window")
+    names = ref.groupBy("feature").agg(F.sum("ref").alias("__reference"))
+    named = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    pairs = numbers.crossJoin(F.broadcast(named.join(names, "feature", "left")))
+    tested = (
+        pairs.join(found, ["window", "feature"], "left")
+        .where("__reference is not null or __current is not null")
+        .withColumns(
+            {
+                "reference_rows": F.coalesce("__reference", nothing),
+                "current_rows": F.coalesce("__current", nothing),
+            }
+        )
+    )
+    return _flagged(tested, "asymptotic", ["window"])
+
+
 def chi2_by_dummy(samples: DataFrame, features: Sequence[str] = DUMMY_FEATURES) -> DataFrame:
     """2 x 2 chi-square test (no correction) per 0/1 feature; a constant feature never drifts."""
     one, ref = F.col("value") == 1, F.col("is_reference")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.drift import check_drift, window_samples
+from riskloom.operators.drift import drift_summary, ks_by_window
 from riskloom.operators.monitor import (
     WINDOW_ROWS,
     alerts,
@@ -85,17 +85,12 @@ def start_monitor(
                 current = recent.withColumn("window", number).where(
                     F.col("window").between(first, last)
                 )
-                summary, tests = check_drift(
-                    window_samples(reference, current, first, last),
-                    settings.drift_threshold,
-                    by=["window"],
-                )
-                summary.write.mode("overwrite").parquet(
-                    f"{report_path}/drift_summary/batch={batch_id}"
-                )
-                tests.write.mode("overwrite").parquet(
-                    f"{report_path}/drift_features/batch={batch_id}"
-                )
+                tested = f"{report_path}/drift_features/batch={batch_id}"
+                ks_by_window(reference, current, first, last).write.mode("overwrite").parquet(tested)
+                tests = spark.read.parquet(tested)
+                drift_summary(tests, settings.drift_threshold, ["window"]).write.mode(
+                    "overwrite"
+                ).parquet(f"{report_path}/drift_summary/batch={batch_id}")
             recent.unpersist()
             remove_path(spark, f"{state_path}/arrived/batch={batch_id}")
             for kind in ("counts", "window"):

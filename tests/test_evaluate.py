@@ -139,6 +139,30 @@ def test_ks_statistic_is_symmetric_and_ignores_nulls(spark):
     assert rows[0]["reference_rows"] == 150
 
 
+def test_windows_against_one_reference_equal_a_copy_for_each(spark):
+    pick = random.Random(8)
+    features = ["amount", "step", "none", "gone"]
+
+    def sample(rows, shift):
+        return [
+            (pick.choice([None, float("nan"), 0.0, -0.0, pick.randrange(40) + shift, pick.random()]),
+             float(pick.randrange(3)), None, None if shift else 1.0, i % 3 + 2)
+            for i in range(rows)
+        ]
+
+    schema = "amount double, step double, none double, gone double, window long"
+    reference = spark.createDataFrame(sample(300, 0.0), schema).drop("window")
+    current = spark.createDataFrame(sample(180, 30.0), schema).where("window < 4 or amount is null")
+    copied = dr.ks_by_feature(dr.window_samples(reference, current, 2, 5), features, by=["window"])
+    found = dr.ks_by_window(reference, current, 2, 5, features)
+    rows = sorted(map(tuple, copied.collect()))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
+    assert len(rows) == 12 and any(r[-1] for r in rows)
+    # The reference is read as it is: no row of it is made again for a window.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(2, 5" not in plan and "explode" not in plan
+
+
 def test_same_sample_has_no_drift(spark):
     same = sample(spark, [1.0, 2.0, 3.0])
     row = dr.ks_by_feature(dr.two_samples(same, same), ["amount"]).first()
