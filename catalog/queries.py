@@ -838,13 +838,19 @@ def retrain_cycle(spark, sf_dir):
 ARRIVALS = 4
 
 
+def _arrive(part: DataFrame, path: str) -> None:
+    """Append a portion as files of even size: a range of ids is read by few tasks, however many rows
+    it has, and the stream after it would be no wider than the files."""
+    part.repartition("event_id").write.mode("append").parquet(path)
+
+
 def _arrivals(df: DataFrame, path: str):
     """Append the rows below `path` in ARRIVALS portions of event order, pausing after each."""
     last = df.agg(F.max("event_id")).first()[0]
     width = last // ARRIVALS + 1
     for i in range(ARRIVALS):
         part = df.where((F.col("event_id") >= i * width) & (F.col("event_id") < (i + 1) * width))
-        part.write.mode("append").parquet(path)
+        _arrive(part, path)
         yield i
 
 
@@ -881,9 +887,7 @@ def stream_velocity_mixed(spark, sf_dir):
     root = fresh_path(spark, "stream")
     rows = mixed_arrivals(txn(spark, sf_dir))
     for portion in range(ARRIVALS):
-        rows.where(F.col("portion") == portion).drop("portion").write.mode("append").parquet(
-            f"{root}/in"
-        )
+        _arrive(rows.where(F.col("portion") == portion).drop("portion"), f"{root}/in")
         start_velocity(
             tx.read_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint",
             late_path=f"{root}/late",
@@ -908,7 +912,7 @@ def _monitored(spark, sf_dir) -> str:
     settings = Settings(drift_window_size=2500, drift_threshold=0.05)
     for low, high in ((0.0, 0.21), (0.21, 0.22), (0.22, 0.8), (0.8, 1.0)):
         part = rows.where(F.col("event_id").between(int(low * end), int(high * end) - 1))
-        part.write.mode("append").parquet(f"{root}/in")
+        _arrive(part, f"{root}/in")
         start_monitor(
             spark.readStream.schema(rows.schema).parquet(f"{root}/in"), reference,
             f"{root}/state", f"{root}/report", f"{root}/checkpoint", settings,

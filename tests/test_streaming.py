@@ -98,6 +98,16 @@ def test_state_stays_bounded_over_many_batches(spark):
     assert 0 < max(sizes) <= 4 * 7
 
 
+def test_a_portion_from_one_task_arrives_in_several_files(spark):
+    path = fresh_path(spark, "t-arrive")
+    one = spark.range(0, 200_000, 1, 1).select(
+        F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")
+    )
+    q._arrive(one, path)
+    sizes = [r[0] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * min(sizes) and sum(sizes) == 200_000
+
+
 def test_a_third_of_the_rows_is_one_account(spark):
     root = fresh_path(spark, "t-hot")
     pick = random.Random(3)
