@@ -23,6 +23,8 @@ from riskloom.streaming.velocity import (
     StreamBatch,
     add_stream_velocity,
     split_batch,
+    state_parts,
+    stored_batch,
     with_totals,
 )
 
@@ -125,41 +127,38 @@ def start_scoring(
     after a batch is complete.
     """
 
+    session = messages.sparkSession
+
     def one_batch(made: DataFrame, batch_id: int) -> None:
-        stored = made.persist()
-        try:
+        with stored_batch(made, session) as stored:
             if stored.isEmpty():  # a batch that only expires state
                 return
             batch = split_batch(stored)
             accepted = StreamBatch(valid_rows(batch.rows), batch.totals)
             scored = score_batch(accepted.rows, accepted, model, explainer, settings, hot_rows)
             target = f"{paths.decisions}/batch={batch_id}"
-            kept = scored.persist()
-            try:
+            with stored_batch(scored, session) as kept:
                 to_decision_records(kept, TOP_FEATURES).write.mode("overwrite").parquet(target)
                 kept.select(*scored_fields(kept.columns)).write.mode("overwrite").parquet(
                     f"{paths.scored}/batch={batch_id}"
                 )
-            finally:
-                kept.unpersist()
             quarantined_rows(batch.rows).write.mode("overwrite").parquet(
                 f"{paths.rejects}/batch={batch_id}"
             )
             accepted.late().write.mode("overwrite").parquet(f"{paths.late}/batch={batch_id}")
             if to_topic:
-                written = made.sparkSession.read.parquet(target)
+                written = session.read.parquet(target)
                 options = sink_options(settings.kafka_decisions_topic, settings)
                 decision_messages(written).write.format("kafka").options(**options).save()
-        finally:
-            stored.unpersist()
 
     keep = tuple(c for c in ("event_id", "arrived_at") if c in messages.columns)
     decoded = decode(messages, keep=keep)
-    return (
+    writer = (
         with_totals(decoded, valid_rows(decoded), settings.velocity_ttl_steps)
         .writeStream.outputMode("update")
         .foreachBatch(one_batch)
         .option("checkpointLocation", paths.checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    with state_parts(session):
+        return writer.start()

@@ -16,6 +16,8 @@ to a table of their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 
 from riskloom.operators.features import account_sides, add_velocity_shared
 from riskloom.operators.running import HOT_ROWS
+from riskloom.sources.workspace import fresh_path, remove_path
 
 TOTALS_SCHEMA = T.StructType(
     [
@@ -39,12 +42,33 @@ STEP_SECONDS = 3600
 ARRIVED = "arrived"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+#: A stream's state has a part for each core, and so many at least: a part is a store to open and to
+#: commit for each micro-batch, and holds little, as totals expire after a few steps.
+LEAST_STATE_PARTS = 8
 
 
 def use_keyed_state(spark: SparkSession) -> None:
-    """Keep streaming state in RocksDB, unless the session names a provider already."""
+    """Keep streaming state in RocksDB, unless the session names a provider already, and commit what
+    a batch has changed instead of a whole snapshot, unless the session says otherwise."""
     if not spark.conf.get(_PROVIDER, "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set(_PROVIDER, _ROCKSDB)
+    if spark.conf.get(_CHANGELOG, None) is None:
+        spark.conf.set(_CHANGELOG, "true")
+
+
+@contextmanager
+def state_parts(spark: SparkSession) -> Iterator[None]:
+    """A query started meanwhile keeps its state in a part for each core, or in as many as the session
+    has shuffle partitions if those are fewer. A restarted query stays with what its checkpoint says."""
+    before = spark.conf.get(_PARTITIONS)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set(_PARTITIONS, str(min(int(before), max(LEAST_STATE_PARTS, cores))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_PARTITIONS, before)
 
 
 def step_time(step: Column) -> Column:
@@ -101,6 +125,23 @@ class StreamBatch:
         return self.rows.join(self.living_steps(), "step", "left_anti").select(*self.rows.columns)
 
 
+@contextmanager
+def stored_batch(made: DataFrame, session: SparkSession) -> Iterator[DataFrame]:
+    """A micro-batch as a table in the shared folder, for as long as it is worked on, read by the
+    session that started the stream.
+
+    A stream's own session plans without adaptive execution: every shuffle after a micro-batch would
+    take as many tasks as the state has partitions, however few rows there are, and a lost executor
+    would run the stateful step again.
+    """
+    path = fresh_path(session, "micro-batch")
+    try:
+        made.write.parquet(path)
+        yield session.read.schema(made.schema).parquet(path)
+    finally:
+        remove_path(session, path)
+
+
 def split_batch(batch: DataFrame) -> StreamBatch:
     """A micro-batch of `with_totals`; it is read several times, so pass a stored one."""
     return StreamBatch(
@@ -146,8 +187,7 @@ def start_velocity(
     """
 
     def one_batch(made: DataFrame, batch_id: int) -> None:
-        stored = made.persist()
-        try:
+        with stored_batch(made, stream.sparkSession) as stored:
             if stored.isEmpty():  # a batch that only expires state
                 return
             batch = split_batch(stored)
@@ -155,14 +195,13 @@ def start_velocity(
             enriched.write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
             if late_path:
                 batch.late().write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
-        finally:
-            stored.unpersist()
 
-    return (
+    writer = (
         with_totals(stream, ttl_steps=ttl_steps)
         .writeStream.outputMode("update")
         .foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    with state_parts(stream.sparkSession):
+        return writer.start()

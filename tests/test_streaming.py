@@ -165,6 +165,29 @@ def test_scoring_keeps_rejects_and_gates_explanations(spark, sf_dir):
     assert rejected[2] == ["amount"]
 
 
+def test_a_small_batch_takes_few_tasks_and_stores(spark, sf_dir):
+    """Whatever the session's shuffle partitions: the state has few parts, the rows few files."""
+    model, _, explainer = q.fitted_model(spark, sf_dir)
+    root = fresh_path(spark, "t-few")
+    rows = txns(spark, [txn_row(i, orig=f"A{i % 90}", oldbalanceOrg=5.0) for i in range(300)])
+    messages = topics.encode(rows, key="event_id").select(F.col("key").cast("long").alias("event_id"), "value")
+    messages.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(messages.schema).parquet(f"{root}/in")
+    paths = ScoringPaths.below(root)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        start_scoring(stream, model, explainer, paths).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    stores = os.listdir(f"{paths.checkpoint.removeprefix('file://')}/state/0")
+    assert len([s for s in stores if s.isdigit()]) == 8
+    for made in (paths.decisions, paths.scored):
+        table = spark.read.parquet(made)
+        assert table.count() == 300
+        assert table.select(F.input_file_name()).distinct().count() < 8
+
+
 def test_monitor_stream(spark, sf_dir):
     rows = q.scored(spark, sf_dir)
     features = fe.engineer_features(rows).withColumn("isFraud", F.lit(0))
