@@ -40,6 +40,8 @@ from riskloom.sources.workspace import fresh_path
 CACHE_ENTRIES = 800_000
 BUCKET_KEYS = 20_000
 KEYS_PER_DISPLACEMENT = 4
+#: Marks behind a word that the tokenizer takes apart from its letters.
+MARKS = b".,!?;:*&%#$@+=~^"
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u4"), ("rows", "<u4")])
 
 
@@ -54,8 +56,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 0x10000
         self.dtype = np.dtype("<u4" if wide else "<u2")
+        #: Which ids end a piece of the text, if the model marks them.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
         self.spare: dict[bytes, bytes] = {}
 
@@ -63,48 +71,85 @@ class WordEncoder:
         """Packed ids of `dtype` for each text, without an end."""
         if len(self.spare) > CACHE_ENTRIES // 4:
             self.spare.clear()
-        find, spare = self.words.get, self.spare.get
+        find = self.words.get
         cut = [text.split() for text in texts]
         ids = [list(map(find, words)) for words in cut]
         missed = [i for i, x in enumerate(ids) if None in x]
-        self._learn({w for i in missed for w, x in zip(cut[i], ids[i]) if x is None})
+        new = set().union(*[cut[i] for i in missed]).difference(self.words)
+        found = self._learn(new)
         for i in missed:
-            words = zip(cut[i], map(find, cut[i]))
-            ids[i] = [spare(w) if x is None else x for w, x in words]
+            ids[i] = [found[w] if x is None else x for w, x in zip(cut[i], ids[i])]
         return [b"".join(x) for x in ids]
 
-    def _known(self, word: bytes) -> bytes | None:
-        ids = self.words.get(word)
-        return self.spare.get(word) if ids is None else ids
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of all these words, which are kept as far as there is room.
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Words in ASCII go through in lower case, with marks after their letters apart.
-
-        The tokenizer puts letters in lower case and cuts between letters and marks. An apostrophe
-        or a bracket of a special token is no such mark, so these words go through whole.
+        Words in ASCII go through in lower case, with marks after their letters apart. The tokenizer
+        puts letters in lower case and cuts between letters and marks. An apostrophe or a bracket of
+        a special token is no such mark, so these words go through whole.
         """
-        plain = {}
-        for word in words:
-            if self._known(word) is None:
-                low = word
-                if word.isascii() and b"<|" not in word:
-                    low = word.lower()
-                stem = low.rstrip(b".,!?;:")
-                if len(stem) < len(low) and _letters(to_str(stem)):
-                    plain[word] = (stem, low[len(stem) :])
+        spare = self.spare
+        found = {w: spare[w] for w in words if w in spare} if spare else {}
+        split, letters, others = {}, set(), set()
+        for word in words.difference(found):
+            plain = word.isascii()
+            low = word.lower() if plain and b"<|" not in word else word
+            stem = low.rstrip(MARKS)
+            if stem.isalpha() if plain else _letters(to_str(stem)):
+                letters.add(stem)
+                tail = low[len(stem) :]
+                if tail:
+                    others.add(tail)
+                    split[word] = (stem, tail)
+                elif low != word:
+                    split[word] = (stem,)
+            else:
+                others.add(low)
+                if low != word:
+                    split[word] = (low,)
+        for pieces, encode in ((letters, self._encode_letters), (others, self._encode_each)):
+            new = []
+            for piece in pieces:
+                ids = self.words.get(piece)
+                if ids is None:
+                    ids = spare.get(piece)
+                if ids is None:
+                    new.append(piece)
                 else:
-                    plain[word] = (low,)
-        new = list({p for parts in plain.values() for p in parts if self._known(p) is None})
-        for begin in range(0, len(new), 20_000):
-            portion = new[begin : begin + 20_000]
-            encoded = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in portion], add_special_tokens=False
-            )
-            for word, made in zip(portion, encoded):
-                self._keep(word, np.array(made.ids, self.dtype).tobytes())
-        for word, parts in plain.items():
-            if len(parts) > 1 or parts[0] != word:
-                self._keep(word, b"".join([self._known(p) for p in parts]))
+                    found[piece] = ids
+            for begin in range(0, len(new), 20_000):
+                portion = new[begin : begin + 20_000]
+                for piece, ids in zip(portion, encode(portion)):
+                    found[piece] = ids
+                    self._keep(piece, ids)
+        for word, parts in split.items():
+            ids = found[parts[0]] + found[parts[1]] if len(parts) > 1 else found[parts[0]]
+            found[word] = ids
+            self._keep(word, ids)
+        return found
+
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters go through as one text, which is cut behind the ids that end a word.
+
+        Each has one end at least, so as many ends as words are one each; else the words go in halves.
+        """
+        if len(words) == 1:
+            return self._encode_each(words)
+        text = b" ".join(words).decode("utf-8", "replace")
+        made = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        ids = np.array(made.ids, self.dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            half = len(words) // 2
+            return self._encode_letters(words[:half]) + self._encode_letters(words[half:])
+        packed, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _encode_each(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False
+        )
+        return [np.array(made.ids, self.dtype).tobytes() for made in encoded]
 
     def _keep(self, word: bytes, ids: bytes) -> None:
         (self.words if len(self.words) < CACHE_ENTRIES else self.spare)[word] = ids

@@ -116,6 +116,34 @@ def test_perfect_hash_gives_each_key_its_slot():
         assert sorted(slots.tolist()) == list(range(len(keys)))
 
 
+def test_new_words_of_letters_go_to_the_tokenizer_together():
+    with open(WORDS, encoding="utf-8") as file:
+        encoder = token_shards.WordEncoder(file.read())
+    whole, asked = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    letters = "abcdefgh"
+    plain = [a + b + c + "xyz" for a in letters for b in letters for c in letters]
+    odd = (
+        "don't A*** b&&&, ^c $d e=, F@+~ g%# \u0958\u0958 \u212a \u0130stanbul \ufb01n stra\u00dfe "
+        "e\u0301t\u00e9. \u01c4;; n\u0303 \u03a3\u03a3 \u03c2, 12a a12. <|endoftext|> x<|y| ... \u4e2d\u6587: \u0e01\u0e33!"
+    )
+    texts = [" ".join(plain), odd, odd.upper(), " ".join(w + "," for w in plain)]
+    for many in ([texts], [[t] for t in texts], [[w] for w in odd.split()]):
+        encoder.words, encoder.spare = {}, {}
+        for portion in many:
+            got = encoder.encode([t.encode() for t in portion])
+            want = whole.encode_batch_fast(portion, add_special_tokens=False)
+            assert got == [np.array(w.ids, encoder.dtype).tobytes() for w in want]
+        if len(many) == 1:
+            assert len(asked) < 100  # 512 words of letters, and some odd ones
+
+
 def test_shards_hold_all_rows_in_order(spark):
     tokenizer = Tokenizer.from_file(WORDS)
     folder = token_shards.store(awkward(spark), WORDS, end_id=2, shards=4)
