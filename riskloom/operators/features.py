@@ -73,11 +73,13 @@ def add_dummies_drop_first(df: DataFrame, column: str, known: list[str]) -> Data
 
 
 def hot_accounts(df: DataFrame, hot_rows: int | None) -> DataFrame | None:
-    """(step, account) seen in more than `hot_rows` rows, in either role: one pass for both."""
+    """(step, account) seen in more than `hot_rows` rows, in either role: one pass for both, over steps
+    that have so many rows at all."""
     if hot_rows is None:
         return None
     accounts = df.select("step", F.explode(F.array("nameOrig", "nameDest")).alias("account"))
-    return hot_groups(accounts, ["step", "account"], hot_rows)
+    upper = df.groupBy("step").agg((2 * F.count(F.lit(1))).alias("__rows"))
+    return hot_groups(accounts, ["step", "account"], hot_rows, upper)
 
 
 def add_velocity_by_role(

@@ -104,17 +104,24 @@ def _listed(groups: DataFrame, hot_rows: int) -> DataFrame:
     return F.broadcast(groups) if hot_rows >= HOT_ROWS else groups
 
 
-def hot_groups(df: DataFrame, groups: Sequence[str], hot_rows: int) -> DataFrame:
+def hot_groups(
+    df: DataFrame, groups: Sequence[str], hot_rows: int, upper: DataFrame | None = None
+) -> DataFrame:
     """Groups of more than `hot_rows` rows, with `__hot` = true.
 
     Rows are first counted per first group column and hash of the others: few counters, so next to
     nothing is shuffled. A counter is never below the size of a group in it, so only rows under a
     large counter, usually none, are counted by group. At most rows / hot_rows counters or groups
     can be large (a million keys, tens of MB, for 10**12 rows): those lists get broadcast. Below
-    HOT_ROWS the lists have no such bound, and the optimizer chooses the join.
+    HOT_ROWS the lists have no such bound, and the optimizer chooses the join. `upper` has, for each
+    value of the first group column, `__rows`, which are no fewer than it has: if that is cheaper to
+    know, only rows under a large value, perhaps none, are read for the counters.
     """
     lead, rest = groups[0], groups[1:] or groups
     counter = f"pmod(xxhash64({_list(rest)}), {HASH_COUNTERS}) AS __counter"
+    if upper is not None:
+        leads = upper.where(f"__rows > {hot_rows}").select(lead)
+        df = df.join(_listed(leads, hot_rows), lead)
     rows = df.selectExpr(*[f"`{g}`" for g in groups], counter)
     large = (
         rows.groupBy(lead, "__counter")

@@ -183,3 +183,18 @@ def test_decision_guard(spark):
     assert strict.count() == 1
     with pytest.raises(Exception, match="inconsistent"):
         va.require_matching_decisions(df).collect()
+
+
+def test_accounts_of_small_steps_are_not_counted(spark):
+    """Rows of a step with fewer rows than a hot account has don't reach the counters."""
+    calm = [txn_row(i, step=1, orig="A", dest=f"B{i}") for i in range(5)]
+    busy = [txn_row(5 + i, step=2, orig="A" if i % 2 else f"C{i}", dest=f"D{i}") for i in range(20)]
+    rows = txns(spark, calm + busy)
+    hot = fe.hot_accounts(rows, 8)
+    assert [tuple(r) for r in hot.select("step", "account").collect()] == [(2, "A")]
+    assert [tuple(r) for r in fe.hot_accounts(rows, 4).select("step", "account").orderBy("step").collect()] == [
+        (1, "A"), (2, "A")
+    ]
+    told = spark.createDataFrame([(1, 10), (2, 8)], "step bigint, __rows bigint")
+    sides = rows.select("step", F.explode(F.array("nameOrig", "nameDest")).alias("account"))
+    assert ru.hot_groups(sides, ["step", "account"], 8, told).count() == 0
