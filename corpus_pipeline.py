@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontaminate, jaccard_join, toxicity
+from riskloom.llm import byte_bpe, decontaminate, jaccard_join, toxicity
 from riskloom.llm.queries import byte_bpe_digests
 from riskloom.sources.workspace import fresh_path
 
@@ -33,7 +33,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of the ids of each document, and of the text they decode to."""
-    return byte_bpe_digests(docs)
+    return byte_bpe_digests(docs, byte_bpe.FEW_ENTRIES)
 
 
 STAGES = [

@@ -2,13 +2,15 @@
 
 `encode`, `decode` and `round_trip` go through whole texts, partition by partition, without a
 shuffle. A text is cut into the pieces the pattern gives. A piece that is no token itself becomes
-rows (piece, position, token), linked to the next position. Each step of a recursive query joins
-the rows with the merge table, and contracts the leftmost pair of least rank of every piece, until
-no pair of it can be merged. Decoding joins ids with the vocabulary and puts the bytes together by
-an ordered aggregation.
-
-The same pieces come again and again, so each worker keeps what it has worked out, up to
-`CACHE_ENTRIES` entries. That changes the time only. Pieces over `LONG_PIECE`
+a row with the list of its tokens. Each step of a recursive query joins the neighbours in the lists
+with the merge table, and contracts the leftmost pair of least rank of every piece, until no pair of
+it can be merged. Decoding joins ids with the vocabulary and puts the bytes together by an ordered
+aggregation.
+
+The same pieces come again and again, so each worker keeps what it has worked out lately, up to
+`entries` entries of `CACHE_LENGTH` at most. That changes the time only. After stages with several
+Python steps an executor has more workers than cores, and each gets tasks in turn: a job of such
+stages asks for `FEW_ENTRIES`. Pieces over `LONG_PIECE`
 bytes, of which a step would contract one pair out of very many, follow the same rule with a heap.
 
 Defined results: null text is empty; an empty text has no ids; rows that repeat are all answered;
@@ -25,45 +27,45 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.rows import to_bytes, to_str, utf8
-from riskloom.llm.worker import kept
+from riskloom.llm.worker import kept, release_memory
 
-CACHE_ENTRIES = 800_000
+#: Entries of a generation of a table that a worker keeps, and characters or bytes of a key.
+CACHE_ENTRIES = 250_000
+FEW_ENTRIES = 100_000
+CACHE_LENGTH = 64
 LONG_PIECE = 300
 #: Texts over so many characters are cut by the pattern, a portion at a time.
 LONG_TEXT = 2_000_000
 #: Bytes of texts, pieces of a long text, bytes of new pieces and new runs that are taken together.
-AT_ONCE = 2_000_000
-PIECES_AT_ONCE = 200_000
+AT_ONCE = 1_000_000
+PIECES_AT_ONCE = 100_000
 BYTES_AT_ONCE = 400_000
-RUNS_AT_ONCE = 100_000
+RUNS_AT_ONCE = 25_000
 
 _ENCODE = """
 with recursive t as (
-  select piece, pos, tok, lead(pos) over w as npos, lead(tok) over w as ntok, false as done
-  from start window w as (partition by piece order by pos)
+  select piece, toks, false as done from start
   union all
   (with pairs as (
-     select t.*, (m.merged::bigint << 32) | pos as cand
-     from t left join merges m on m.pair = ((t.tok::bigint << 32) | t.ntok) where not done),
-   least_pair as (select piece, min(cand) as best from pairs group by piece),
-   rated as (select pairs.*, best from pairs join least_pair using (piece)),
-   joined as (
-     select l.piece, l.pos as at, l.npos as gone, (l.best >> 32)::int as tok,
-            r.npos as npos, r.ntok as ntok
-     from rated l join rated r on l.piece = r.piece and l.npos = r.pos where l.cand = l.best)
-   select f.piece, f.pos, case when f.pos = j.at then j.tok else f.tok end,
-          case when f.pos = j.at then j.npos else f.npos end,
-          case when f.pos = j.at then j.ntok when f.npos = j.at then j.tok else f.ntok end,
-          f.best is null
-   from rated f left join joined j on f.piece = j.piece
-   where f.best is null or f.pos <> j.gone)
+     select piece, unnest(range(1, len(toks) + 1)) as pos,
+            unnest(toks) as tok, unnest(toks[2:]) as ntok from t where not done),
+   least_pair as (
+     select piece, min((merged::bigint << 32) | pos) as best
+     from pairs join merges m on m.pair = ((tok::bigint << 32) | ntok) group by piece),
+   rated as (
+     select t.piece, toks, best, best & 4294967295 as place
+     from t left join least_pair using (piece) where not done)
+   select piece, case when best is null then toks
+                      else toks[:place - 1] || [(best >> 32)::int] || toks[place + 2:] end, best is null
+   from rated)
 )
-select piece, pos, tok from t where done order by piece, pos
+select piece, unnest(toks) as tok from (select * from t where done order by piece)
 """
 
 _DECODE = """
@@ -78,10 +80,38 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
+class Recent:
+    """What has been worked out lately. A new entry is in `once`; if it is asked for again, it goes to
+    `now`, and stays there or in `before`, the generation before it, as long as it is used. Each of
+    the three has up to `entries` entries."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.once: dict = {}
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def get(self, key):
+        value = self.now.get(key)
+        if value is None:
+            value = self.before.get(key) or self.once.pop(key, None)
+            if value is not None:
+                if len(self.now) >= self.entries:
+                    self.before, self.now = self.now, {}
+                self.now[key] = value
+        return value
+
+    def put(self, key, value) -> None:
+        if len(key) <= CACHE_LENGTH:
+            if len(self.once) >= self.entries:
+                self.once = {}
+            self.once[key] = value
+
+
 class Coder:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, entries: int | None = None):
         import duckdb
 
         lines = (line.split() for line in rank_file.splitlines() if line.strip())
@@ -96,7 +126,7 @@ class Coder:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
         pairs = (np.array(left, np.int64) << 32) | np.array(right, np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         # Byte strings travel as text, one character for each byte.
         names = {
             "merge_rows": pa.table({"pair": pairs, "merged": np.array(merged, np.int32)}),
@@ -116,11 +146,11 @@ class Coder:
         self.spaced = np.zeros(len(self.valid), bool)
         self.spaced[[r for t, r in self.ranks.items() if t[:1] == b" "]] = True
         #: Chunks by the text after the space before them; the first chunk of a text, which has no
-        #: space before it, under its text with a space. `spare` takes over when `chunks` is full.
-        self.chunks: dict[str, bytes] = {" ": b""}
-        self.spare: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[int, dict[bytes, bytes]] = {}
+        #: space before it, under its text with a space.
+        self.entries = entries or CACHE_ENTRIES
+        self.chunks = Recent(self.entries)
+        self.pieces = Recent(self.entries)
+        self.runs: dict[int, Recent] = {}
 
     # -- encoding ---------------------------------------------------------------------------------
 
@@ -137,11 +167,9 @@ class Coder:
         The pattern cuts before a single space, unless more white space follows it. So most texts
         are cut there, which is fast, and the others by the pattern.
         """
-        if len(self.spare) > CACHE_ENTRIES // 4:
-            self.spare.clear()
         out: list[list[bytes] | None] = []
         missed = {}
-        find = self.chunks.get
+        find = self.chunks.now.get
         for i, text in enumerate(texts):
             ids = None
             if len(text) <= LONG_TEXT and "  " not in text and text[-1:] != " ":
@@ -151,31 +179,34 @@ class Coder:
                 if None in ids:
                     missed[i] = chunks
             out.append(ids)
-        self._learn({c for chunks in missed.values() for c in chunks if c not in self.chunks})
+        new = {c for i, chunks in missed.items() for c, x in zip(chunks, out[i]) if x is None}
+        made = self._learn(new).get
         for i, chunks in missed.items():
-            spare = self.spare.get
-            out[i] = [spare(c) if x is None else x for c, x in zip(chunks, map(find, chunks))]
+            out[i] = [made(c) if x is None else x for c, x in zip(chunks, out[i])]
         return [
             list(self._by_pattern(text)) if ids is None or None in ids else ids
             for text, ids in zip(texts, out)
         ]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks; one that starts with white space has none, as it can't stand alone."""
-        cut = {}
+        made, cut, words = {}, {}, []
         for chunk in chunks:
-            if chunk in self.spare:
-                continue
-            if chunk.isalpha():
-                cut[chunk] = [" " + chunk]
-            elif chunk[0] == " ":
+            known = self.chunks.get(chunk)
+            if known is not None:
+                made[chunk] = known
+            elif chunk.isalpha():
+                words.append(" " + chunk)
+            elif chunk[:1] == " ":
                 cut[chunk] = self.pattern.findall(chunk[1:])
-            elif not chunk[0].isspace():
+            elif chunk and not chunk[0].isspace():
                 cut[chunk] = self.pattern.findall(" " + chunk)
-        made = self._merged({p for parts in cut.values() for p in parts})
+        found = self._merged({p for parts in cut.values() for p in parts}.union(words))
+        made.update((word[1:], found[word]) for word in words)
         for chunk, parts in cut.items():
-            table = self.chunks if len(self.chunks) < CACHE_ENTRIES else self.spare
-            table[chunk] = b"".join([made[p] for p in parts])
+            made[chunk] = b"".join([found[p] for p in parts])
+            self.chunks.put(chunk, made[chunk])
+        return made
 
     def _by_pattern(self, text: str) -> Iterator[bytes]:
         found = self.pattern.finditer(text)
@@ -184,53 +215,49 @@ class Coder:
             yield from map(made.__getitem__, part)
 
     def _merged(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces of the pattern."""
-        if len(self.pieces) > CACHE_ENTRIES // 4:
-            self.pieces.clear()
+        """Ids of pieces of the pattern; a word after a space is a chunk, too."""
         made, batch, size = {}, [], 0
         for piece in pieces:
             word = piece[0] == " " and piece[1:].isalpha()
             known = self.chunks.get(piece[1:]) if word else self.pieces.get(piece)
-            data = to_bytes(piece)
             if known is not None:
                 made[piece] = known
-            elif data in self.ranks:
-                made[piece] = np.array([self.ranks[data]], self.dtype).tobytes()
+                continue
+            data = to_bytes(piece)
+            if data in self.ranks:
+                self._keep(made, piece, np.array([self.ranks[data]], self.dtype).tobytes())
             elif len(data) > LONG_PIECE:
                 made[piece] = np.array(self._by_heap(data), self.dtype).tobytes()
             else:
                 batch.append((piece, data))
                 size += len(data)
                 if size > BYTES_AT_ONCE:
-                    made.update(self._recursive(batch))
+                    self._recursive(batch, made)
                     batch, size = [], 0
         if batch:
-            made.update(self._recursive(batch))
-        for piece, ids in made.items():
-            if piece[0] != " " or not piece[1:].isalpha():
-                self.pieces[piece] = ids
-            elif len(self.chunks) < CACHE_ENTRIES:
-                self.chunks[piece[1:]] = ids
+            self._recursive(batch, made)
         return made
 
-    def _recursive(self, batch: list[tuple[str, bytes]]) -> dict[str, bytes]:
-        lens = np.fromiter((len(d) for _, d in batch), np.int64, len(batch))
+    def _keep(self, made: dict[str, bytes], piece: str, ids: bytes) -> None:
+        made[piece] = ids
+        if piece[0] == " " and piece[1:].isalpha():
+            self.chunks.put(piece[1:], ids)
+        else:
+            self.pieces.put(piece, ids)
+
+    def _recursive(self, batch: list[tuple[str, bytes]], made: dict[str, bytes]) -> None:
+        lens = np.fromiter((len(d) for _, d in batch), np.int32, len(batch))
         data = np.frombuffer(b"".join([d for _, d in batch]), np.uint8)
-        pos = np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens)
-        start = pa.table(
-            {
-                "piece": np.repeat(np.arange(len(batch), dtype=np.int32), lens),
-                "pos": pos.astype(np.int32),
-                "tok": self.byte_ids[data],
-            }
-        )
-        self.db.register("start", start)
+        ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+        toks = pa.ListArray.from_arrays(ends, self.byte_ids[data])
+        self.db.register("start", pa.table({"piece": np.arange(len(batch), dtype=np.int32), "toks": toks}))
         rows = self.db.execute(_ENCODE).fetchnumpy()
         self.db.unregister("start")
         ids = np.asarray(rows["tok"]).astype(self.dtype).tobytes()
         ends = np.cumsum(np.bincount(np.asarray(rows["piece"]), minlength=len(batch)))
         ends = (ends * self.dtype.itemsize).tolist()
-        return {p: ids[a:b] for (p, _), a, b in zip(batch, [0, *ends], ends)}
+        for (piece, _), a, b in zip(batch, [0, *ends], ends):
+            self._keep(made, piece, ids[a:b])
 
     def _by_heap(self, data: bytes) -> list[int]:
         """The same rule for a long piece: least rank first, leftmost of equals."""
@@ -268,17 +295,19 @@ class Coder:
 
     def decode_parts(self, texts: list[list[bytes]], dtype: np.dtype) -> list[bytes]:
         """The same for ids in parts; each distinct part goes through the query once."""
-        runs = self.runs.setdefault(dtype.itemsize, {})
-        if len(runs) > CACHE_ENTRIES:
-            runs.clear()
-        runs[b""] = b""
-        made = [list(map(runs.get, parts)) for parts in texts]
+        runs = self.runs.setdefault(dtype.itemsize, Recent(self.entries))
+        made = [list(map(runs.now.get, parts)) for parts in texts]
         missed = [i for i, x in enumerate(made) if None in x]
-        new = list({p for i in missed for p, x in zip(texts[i], made[i]) if x is None})
+        found = {b"": b""}
+        for run in {p for i in missed for p, x in zip(texts[i], made[i]) if x is None and p}:
+            found[run] = runs.get(run)
+        new = [run for run, text in found.items() if text is None]
         for begin in range(0, len(new), RUNS_AT_ONCE):
-            runs.update(self._ordered(new[begin : begin + RUNS_AT_ONCE], dtype))
+            for run, text in self._ordered(new[begin : begin + RUNS_AT_ONCE], dtype).items():
+                found[run] = text
+                runs.put(run, text)
         for i in missed:
-            made[i] = map(runs.__getitem__, texts[i])
+            made[i] = [found[p] if x is None else x for p, x in zip(texts[i], made[i])]
         return [b"".join(x) for x in made]
 
     def _runs(self, blob: bytes) -> list[bytes]:
@@ -303,10 +332,10 @@ class Coder:
         return {ids: text.encode("latin-1") for ids, (_, text) in zip(runs, rows)}
 
 
-def coder(rank_file: bytes, pattern: str) -> Coder:
+def coder(rank_file: bytes, pattern: str, entries: int | None = None) -> Coder:
     """The coder of this worker; it lives on for later tasks."""
-    key = ("byte_bpe", hashlib.sha256(rank_file + pattern.encode()).hexdigest())
-    return kept(key, lambda: Coder(rank_file, pattern))
+    key = ("byte_bpe", hashlib.sha256(rank_file + pattern.encode()).hexdigest(), entries)
+    return kept(key, lambda: Coder(rank_file, pattern, entries))
 
 
 def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -321,7 +350,9 @@ def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _mapped(df: DataFrame, keep, column, rank_path, pattern, work, kinds: str) -> DataFrame:
+def _mapped(
+    df: DataFrame, keep, column, rank_path, pattern, work, kinds: str, entries: int | None = None
+) -> DataFrame:
     """`work(coder, values)` gives a list of columns; `kinds` are their names and types."""
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_path))
@@ -329,13 +360,15 @@ def _mapped(df: DataFrame, keep, column, rank_path, pattern, work, kinds: str) -
     names = [part.split()[0] for part in kinds.split(", ")]
 
     def run(batches):
-        own = coder(ranks.value, pattern)
+        own = coder(ranks.value, pattern, entries)
         for batch in batches:
-            values = batch.column(len(keep)).to_pylist()
-            for a, b in _portions([len(v) for v in values]):
-                made = work(own, values[a:b])
+            values = batch.column(len(keep))
+            for a, b in _portions(pc.binary_length(values).to_pylist()):
+                made = work(own, values.slice(a, b - a).to_pylist())
                 left = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*left, *made], [*keep, *names])
+                made = None
+            release_memory()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), kinds])
     return df.select(*keep, column).mapInArrow(run, schema)
@@ -370,7 +403,12 @@ def decode(
 
 
 def round_trip(
-    docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: tuple = ("doc_id",)
+    docs: DataFrame,
+    rank_path: str,
+    pattern: str,
+    text: str = "text",
+    keep: tuple = ("doc_id",),
+    entries: int | None = None,
 ) -> DataFrame:
     """`encode`, then `decode` of its ids, in one pass: `keep`, `ids`, `n_tokens`, `decoded`."""
 
@@ -381,4 +419,4 @@ def round_trip(
         return [*_packed(ids), pa.array(decoded, pa.binary())]
 
     kinds = "ids binary, n_tokens bigint, decoded binary"
-    return _mapped(docs, keep, utf8(text), rank_path, pattern, work, kinds)
+    return _mapped(docs, keep, utf8(text), rank_path, pattern, work, kinds, entries)

@@ -75,8 +75,8 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_digests(docs, folder).withColumnRenamed("doc_key", "doc_id")
 
 
-def byte_bpe_digests(docs: DataFrame) -> DataFrame:
-    made = byte_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
+def byte_bpe_digests(docs: DataFrame, entries: int | None = None) -> DataFrame:
+    made = byte_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN, entries=entries)
     return made.select(
         "doc_id",
         "n_tokens",

@@ -8,6 +8,7 @@ import os
 from collections.abc import Callable, Hashable
 
 import numpy as np
+import pyarrow as pa
 
 # Names under which builds of OpenBLAS set the number of their threads.
 _SETTERS = (
@@ -28,6 +29,14 @@ def kept(key: Hashable, make: Callable[[], object]):
     return _kept[key]
 
 
+def release_memory() -> None:
+    """Give freed memory back, where the C library can: workers that wait would hold it for good."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def one_blas_thread() -> None:
     """Keep the matrix products of this process to one thread, where numpy brings OpenBLAS along.
 

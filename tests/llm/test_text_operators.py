@@ -72,6 +72,20 @@ def test_bpe_with_small_caches(reference_bpe, monkeypatch):
         assert own.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_keeps_a_bounded_number_of_short_entries(reference_bpe, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 50)
+    own = byte_bpe.Coder(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    for s in range(4):  # new words, each seen twice, and one chunk that is too long to be kept
+        words = [f"x{hashlib.sha256(f'{s} {i}'.encode()).hexdigest()[:9]}" for i in range(400)]
+        text = " ".join([*words, "ab1" * 40])
+        for _ in range(2):
+            assert own.encode([text])[0] == np.array(reference_bpe.encode_ordinary(text), "<u4").tobytes()
+            assert own.decode_parts(own.encode_parts([text]), own.dtype) == [text.encode()]
+    tables = [t for x in (own.chunks, own.pieces, *own.runs.values()) for t in (x.once, x.now, x.before)]
+    assert max(map(len, tables)) <= 50
+    assert max(len(key) for t in tables for key in t) <= byte_bpe.CACHE_LENGTH
+
+
 def test_bpe_rejects_unknown_ids(coder):
     with pytest.raises(ValueError):
         coder.decode([np.array([60_000], "<u4").tobytes()])
