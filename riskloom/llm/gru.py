@@ -180,8 +180,9 @@ class Gru:
             grads[k][at] = rows
         return grads, last, loss
 
-    def _gradient(self, inputs, targets, valid, state):
-        """The same, with gradients of `SPARSE` parameters as the rows that are not 0."""
+    def _gradient(self, inputs, targets, valid, state, with_loss: bool = True):
+        """The same, with gradients of `SPARSE` parameters as the rows that are not 0; the loss is left
+        out at wish."""
         h, (rows, steps) = self.hidden, inputs.shape
         before, last, saved = self.states(inputs, state, keep=True)
         fits = valid.T.ravel()
@@ -193,7 +194,7 @@ class Gru:
         logits = flat @ self.C + self.c
         probs = np.exp(logits - _log_sum(logits)[:, None])
         at = np.arange(len(wanted))
-        loss = -np.log(probs[at, self.class_of[wanted]] + 1e-30).sum()
+        loss = -np.log(probs[at, self.class_of[wanted]] + 1e-30).sum() if with_loss else 0.0
         probs[at, self.class_of[wanted]] -= 1
         grads["C"], grads["c"] = flat.T @ probs / n, probs.sum(0) / n
         back = probs @ self.C.T
@@ -201,7 +202,8 @@ class Gru:
         if len(places):
             own, weights = flat[places], self.O[nodes]
             odds = np.einsum("ij,ij->i", own, weights) + self.o[nodes]
-            loss -= _log_sigmoid(np.where(behind, odds, -odds)).sum()
+            if with_loss:
+                loss -= _log_sigmoid(np.where(behind, odds, -odds)).sum()
             off = 0.5 + 0.5 * np.tanh(0.5 * odds) - behind
             weights *= off[:, None]
             first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
@@ -246,45 +248,70 @@ class Gru:
         self, texts: list[np.ndarray], start: int, window: int, rows: int, rate: float
     ) -> Gru:
         """One pass over the texts, `rows` at a time, by Adam."""
-        Adam(self, rate).train(texts, start, window, rows)
+        adam = Adam(self, rate)
+        adam.train(texts, start, window, rows)
+        adam.finish(start, window)
         return self
 
 
 class Adam:
-    """Steps of a model; a row of a sparse parameter moves when it has a gradient. Averages go on
-    from one call of `train` to the next, so texts can come in blocks."""
+    """Steps of a model; a row of a sparse parameter moves when it has a gradient.
+
+    Texts lie in lanes, side by side. A lane whose text has ended takes the next one with the next
+    window, so a window is full however long the texts are. Lanes and averages go on from one call
+    of `train` to the next, so texts can come in blocks; `finish` goes on to the end of all lanes. The
+    last windows have few lanes, and their steps are as much shorter: a text counts by its tokens.
+    """
 
     def __init__(self, model: Gru, rate: float):
         self.model, self.rate, self.step = model, rate, 0
         self.first = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
         self.second = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
+        #: Texts of the lanes, where each goes on, and the states there.
+        self.lanes: list[np.ndarray] = []
+        self.at = np.zeros(0, np.int64)
+        self.state = np.zeros((0, model.hidden), np.float32)
+        self.full = 1  # tokens of the fullest window so far
 
     def train(self, texts: list[np.ndarray], start: int, window: int, rows: int) -> None:
-        texts = sorted(texts, key=len)
-        groups = [texts[i : i + rows] for i in range(0, len(texts), rows)]
-        for i in np.random.default_rng(len(texts)).permutation(len(groups)):
-            group = groups[i]
-            lens = np.array([len(t) for t in group])
-            state = np.zeros((len(group), self.model.hidden), np.float32)
-            longest = int(lens.max(initial=0))
-            padded = np.zeros((len(group), longest), np.int32)
-            for row, text in zip(padded, group):
-                row[: len(text)] = text
-            for at in range(0, longest, window):
-                # Sorted by length: texts that have ended are the first ones.
-                on = int(np.searchsorted(lens, at, "right"))
-                targets = padded[on:, at : at + window]
-                valid = at + np.arange(targets.shape[1]) < lens[on:, None]
-                inputs = np.empty_like(targets)
-                inputs[:, 1:] = targets[:, :-1]
-                inputs[:, 0] = start if at == 0 else padded[on:, at - 1]
-                state = state[len(state) - len(targets) :]
-                grads, state, _ = self.model._gradient(inputs, targets, valid, state)
-                self.move(grads)
-
-    def move(self, grads: dict) -> None:
+        """All windows that have `rows` lanes; the longest texts begin first."""
+        waiting = sorted((t for t in texts if len(t)), key=len)
+        while waiting:
+            new = max(0, min(rows - len(self.lanes), len(waiting)))
+            self.lanes += [waiting.pop() for _ in range(new)]
+            self.at = np.concatenate([self.at, np.zeros(new, np.int64)])
+            self.state = np.concatenate([self.state, np.zeros((new, self.model.hidden), np.float32)])
+            if len(self.lanes) >= rows:
+                self._window(start, window)
+
+    def finish(self, start: int, window: int) -> None:
+        while self.lanes:
+            self._window(start, window)
+
+    def _window(self, start: int, window: int) -> None:
+        left = np.array([len(t) for t in self.lanes]) - self.at
+        width = min(window, int(left.max()))
+        targets = np.zeros((len(left), width), np.int32)
+        inputs = np.empty_like(targets)
+        inputs[:, 0] = start
+        for i, (text, at) in enumerate(zip(self.lanes, self.at.tolist())):
+            part = text[at : at + width]
+            targets[i, : len(part)] = part
+            if at:
+                inputs[i, 0] = text[at - 1]
+        inputs[:, 1:] = targets[:, :-1]
+        valid = np.arange(width) < left[:, None]
+        grads, state, _ = self.model._gradient(inputs, targets, valid, self.state, False)
+        self.full = max(self.full, int(valid.sum()))
+        self.move(grads, valid.sum() / self.full)
+        on = left > width
+        self.lanes = [text for text, more in zip(self.lanes, on.tolist()) if more]
+        self.at, self.state = self.at[on] + width, state[on]
+
+    def move(self, grads: dict, share: float = 1.0) -> None:
+        """One step, shorter for a window that is not full."""
         self.step += 1
-        size = self.rate / (1 - 0.9**self.step)
+        size = share * self.rate / (1 - 0.9**self.step)
         scale = 1 / (1 - 0.99**self.step)
         for k, g in grads.items():
             at = ...

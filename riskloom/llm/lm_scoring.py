@@ -395,6 +395,7 @@ def _learner(shared, vocabulary: Vocabulary, settings: Settings, rate: float, ro
 
         def answer() -> pa.RecordBatch:
             learn()
+            adam.finish(end, settings.window)
             flat = adam.model.flat()
             slices = [flat[a : a + SLICE].tobytes() for a in range(0, len(flat), SLICE)]
             return pa.RecordBatch.from_arrays(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from riskloom.llm import decontaminate, jaccard_join, lm_scoring, simhash, toxicity
 from riskloom.llm.components import components
-from riskloom.llm.gru import Gru, classes_of
+from riskloom.llm.gru import Adam, Gru, classes_of
 from riskloom.llm.queries import QUERIES
 from riskloom.llm.rows import plain_words, spaced_words
 from riskloom.llm.word_hashes import PLAIN, word_hashes
@@ -557,3 +557,26 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     made = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert set(made) == first - leaked
     assert all(made[k] == hashlib.sha256(texts[k].encode()).hexdigest() for k in made)
+
+
+def test_op10_windows_are_full_and_take_every_token_once(monkeypatch):
+    model = Gru.fresh(np.full(20, 5.0), classes_of(np.full(20, 5.0), 4), 4, 1)
+    windows = []
+    own = Gru._gradient
+
+    def seen(self, inputs, targets, valid, *more):
+        windows.append((valid.sum(), np.sort(targets[valid])))
+        return own(self, inputs, targets, valid, *more)
+
+    monkeypatch.setattr(Gru, "_gradient", seen)
+    rng = np.random.default_rng(3)
+    blocks = [[rng.integers(0, 20, n) for n in [160, *[16] * 10]] for _ in range(5)]
+    adam = Adam(model, 0.01)
+    for block in blocks:
+        adam.train(block, 0, 8, 4)
+    adam.finish(0, 8)
+    texts = np.concatenate([t for block in blocks for t in block])
+    assert np.array_equal(np.sort(np.concatenate([w for _, w in windows])), np.sort(texts))
+    # 200 lanes of a window, four side by side; only the last long text may be left alone.
+    assert adam.step <= 200 / 4 + 20
+    assert not adam.lanes and np.isfinite(model.flat()).all()
