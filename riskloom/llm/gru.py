@@ -15,6 +15,8 @@ import numpy as np
 
 #: Rows that are held against all classes at a time.
 ROWS_AT_ONCE = 8192
+#: Texts that are scored side by side: what a window of them takes stays in a core's cache.
+TEXTS_AT_ONCE = 256
 
 
 class Tree:
@@ -106,37 +108,43 @@ class Gru:
     # -- forward ----------------------------------------------------------------------------------
 
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: bool = False):
-        """States before each step of a window (rows, steps), the last state, what backward needs."""
+        """States before each step of a window (rows, steps), the last state, what backward needs.
+
+        Inside, rows lie side by side, so that each gate of a step is one run of memory.
+        """
         h, rows, steps = self.hidden, *inputs.shape
-        gates = self.W[inputs.T] + self.b
-        before = np.empty((steps, rows, h), np.float32)
-        if keep:
-            gate, new, inner = (np.empty((steps, rows, k * h), np.float32) for k in (2, 1, 1))
+        gates = np.ascontiguousarray(self.W.take(inputs.T, axis=0).transpose(0, 2, 1))
+        gates += self.b[:, None]
+        across, state = np.ascontiguousarray(self.U.T), np.ascontiguousarray(state.T)
+        before = np.empty((steps, h, rows), gates.dtype)
+        inner = np.empty_like(before) if keep else None
         for t in range(steps):
             before[t] = state
-            x, u = gates[t], state @ self.U
-            zr = x[:, : 2 * h] + u[:, : 2 * h]
+            x, u = gates[t], across @ state
+            zr, new = x[: 2 * h], x[2 * h :]
+            zr += u[: 2 * h]
             zr *= 0.5
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            own = zr[:, h:] * u[:, 2 * h :]
-            own += x[:, 2 * h :]
-            np.tanh(own, out=own)
             if keep:
-                gate[t], new[t], inner[t] = zr, own, u[:, 2 * h :]
-            state = own + zr[:, :h] * (state - own)
-        return before, state, (gate, new, inner) if keep else None
+                inner[t] = u[2 * h :]
+            new += np.multiply(zr[h:], u[2 * h :], out=u[:h])
+            np.tanh(new, out=new)
+            state = state - new
+            state *= zr[:h]
+            state += new
+        return before.transpose(0, 2, 1), state.T, (gates, inner) if keep else None
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each target after its state."""
         out = np.empty(len(targets))
         for a in range(0, len(targets), ROWS_AT_ONCE):
             own, wanted = states[a : a + ROWS_AT_ONCE], targets[a : a + ROWS_AT_ONCE]
-            logits = own @ self.C + self.c
-            found = logits[np.arange(len(wanted)), self.class_of[wanted]] - _log_sum(logits)
+            logits = self.C.T @ own.T + self.c[:, None]
+            found = logits[self.class_of[wanted], np.arange(len(wanted))] - _log_sum(logits)
             places, nodes, behind = self.tree.ways(wanted)
-            odds = np.einsum("ij,ij->i", own[places], self.O[nodes]) + self.o[nodes]
+            odds = np.einsum("ij,ij->i", own.take(places, axis=0), self.O.take(nodes, axis=0)) + self.o[nodes]
             steps = _log_sigmoid(np.where(behind, odds, -odds))
             out[a : a + ROWS_AT_ONCE] = found + np.bincount(places, steps, len(wanted))
         return out
@@ -146,27 +154,28 @@ class Gru:
         lens = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lens, kind="stable")
         total = np.zeros(len(texts))
-        state = np.zeros((len(texts), self.hidden), np.float32)
         begins = np.cumsum(lens) - lens
         flat = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
-        longest = int(lens.max(initial=0))
-        for at in range(0, longest, window):
-            rows = order[: int((lens > at).sum())]
-            width = min(window, longest - at)
-            places = begins[rows, None] + at + np.arange(width)
-            valid = at + np.arange(width) < lens[rows, None]
-            targets = flat[np.where(valid, places, 0)]
-            inputs = np.empty_like(targets)
-            inputs[:, 1:] = targets[:, :-1]
-            inputs[:, 0] = start if at == 0 else flat[begins[rows] + at - 1]
-            before, last, _ = self.states(inputs, state[: len(rows)])
-            state[: len(rows)] = last
-            fits = valid.T.ravel()
-            found = np.zeros(fits.size)
-            found[fits] = self.log_probs(
-                before.reshape(-1, self.hidden)[fits], targets.T.ravel()[fits]
-            )
-            total[rows] += found.reshape(width, -1).sum(0)
+        for a in range(0, len(order), TEXTS_AT_ONCE):  # of about equal lengths
+            rows = order[a : a + TEXTS_AT_ONCE]
+            state = np.zeros((len(rows), self.hidden), np.float32)
+            longest = int(lens[rows].max())
+            for at in range(0, longest, window):
+                rows = rows[: int((lens[rows] > at).sum())]
+                width = min(window, longest - at)
+                places = begins[rows, None] + at + np.arange(width)
+                valid = at + np.arange(width) < lens[rows, None]
+                targets = flat[np.where(valid, places, 0)]
+                inputs = np.empty_like(targets)
+                inputs[:, 1:] = targets[:, :-1]
+                inputs[:, 0] = start if at == 0 else flat[begins[rows] + at - 1]
+                before, state, _ = self.states(inputs, state[: len(rows)])
+                fits = valid.T.ravel()
+                found = np.zeros(fits.size)
+                found[fits] = self.log_probs(
+                    before.reshape(-1, self.hidden)[fits], targets.T.ravel()[fits]
+                )
+                total[rows] += found.reshape(width, -1).sum(0)
         return total
 
     # -- training ---------------------------------------------------------------------------------
@@ -184,66 +193,92 @@ class Gru:
         """The same, with gradients of `SPARSE` parameters as the rows that are not 0; the loss is left
         out at wish."""
         h, (rows, steps) = self.hidden, inputs.shape
-        before, last, saved = self.states(inputs, state, keep=True)
+        before, last, (gates, inner) = self.states(inputs, state, keep=True)
         fits = valid.T.ravel()
         flat = before.reshape(-1, h)[fits]
         wanted = targets.T.ravel()[fits]
         n = max(1, len(wanted))
         grads = {}
         # Output: classes, then the ways to the tokens in their trees.
-        logits = flat @ self.C + self.c
-        probs = np.exp(logits - _log_sum(logits)[:, None])
+        probs = self.C.T @ flat.T
+        probs += self.c[:, None]
+        probs -= probs.max(0)
+        np.exp(probs, out=probs)
+        probs /= probs.sum(0)
         at = np.arange(len(wanted))
-        loss = -np.log(probs[at, self.class_of[wanted]] + 1e-30).sum() if with_loss else 0.0
-        probs[at, self.class_of[wanted]] -= 1
-        grads["C"], grads["c"] = flat.T @ probs / n, probs.sum(0) / n
-        back = probs @ self.C.T
-        places, nodes, behind = self.tree.ways(wanted)
-        if len(places):
-            own, weights = flat[places], self.O[nodes]
-            odds = np.einsum("ij,ij->i", own, weights) + self.o[nodes]
-            if with_loss:
-                loss -= _log_sigmoid(np.where(behind, odds, -odds)).sum()
-            off = 0.5 + 0.5 * np.tanh(0.5 * odds) - behind
-            weights *= off[:, None]
-            first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-            back[places[first]] += np.add.reduceat(weights, first)
-            off /= n
-            own *= off[:, None]
-            cut, rows_of = _by_key(nodes, own)
-            grads["O"], grads["o"] = (cut, rows_of), (cut, _by_key(nodes, off)[1])
-        else:
-            none = np.zeros(0, np.int64)
-            grads["O"], grads["o"] = (none, self.O[none]), (none, self.o[none])
+        loss = -np.log(probs[self.class_of[wanted], at] + 1e-30).sum() if with_loss else 0.0
+        probs[self.class_of[wanted], at] -= 1
+        grads["C"], grads["c"] = flat.T @ probs.T / n, probs.sum(1) / n
+        back = probs.T @ self.C.T
+        grads["O"], grads["o"], more = self._down_the_trees(flat, wanted, back, n, with_loss)
+        loss += more
         to_before = np.zeros((steps * rows, h), back.dtype)
         to_before[fits] = back / n
-        to_before = to_before.reshape(steps, rows, h)
+        to_before = np.ascontiguousarray(to_before.reshape(steps, rows, h).transpose(0, 2, 1))
         # States, last step first: what a gradient on the state gives to new, z, r and u.
-        gate, new, inner = saved
-        z, r = gate[..., :h], gate[..., h:]
+        before = before.transpose(0, 2, 1)
+        z, r, new = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
         to_new = (1 - z) * (1 - new * new)
         to_z = (before - new) * z * (1 - z)
         to_r = inner * r * (1 - r)
-        gate_grads = np.empty((steps, rows, 3 * h), back.dtype)
-        u_grads = np.empty((steps, rows, 3 * h), back.dtype)
-        d_state = np.zeros((rows, h), back.dtype)
-        across = np.ascontiguousarray(self.U.T)
+        gate_grads = np.empty((steps, 3 * h, rows), back.dtype)
+        u_grads = np.empty((steps, 3 * h, rows), back.dtype)
+        d_state = np.zeros((h, rows), back.dtype)
         for t in range(steps - 1, -1, -1):
             d, du = gate_grads[t], u_grads[t]
-            d_new = np.multiply(d_state, to_new[t], out=d[:, 2 * h :])
-            np.multiply(d_state, to_z[t], out=d[:, :h])
-            np.multiply(d_new, to_r[t], out=d[:, h : 2 * h])
-            du[:, : 2 * h] = d[:, : 2 * h]
-            np.multiply(d_new, r[t], out=du[:, 2 * h :])
-            d_state = d_state * z[t]
-            d_state += du @ across
+            d_new = np.multiply(d_state, to_new[t], out=d[2 * h :])
+            np.multiply(d_state, to_z[t], out=d[:h])
+            np.multiply(d_new, to_r[t], out=d[h : 2 * h])
+            du[: 2 * h] = d[: 2 * h]
+            np.multiply(d_new, r[t], out=du[2 * h :])
+            d_state *= z[t]
+            d_state += self.U @ du
             d_state += to_before[t]
-        flat_grads = gate_grads.reshape(-1, 3 * h)
-        grads["U"] = before.reshape(-1, h).T @ u_grads.reshape(-1, 3 * h)
+        grads["U"] = np.matmul(before, u_grads.transpose(0, 2, 1)).sum(0)
+        flat_grads = gate_grads.transpose(0, 2, 1).reshape(-1, 3 * h)
         grads["W"] = _by_key(inputs.T.ravel(), flat_grads)
-        grads["b"] = flat_grads.sum(0)
+        grads["b"] = gate_grads.sum((0, 2))
         return grads, last, loss / n
 
+    def _down_the_trees(self, flat, wanted, back, n: int, with_loss: bool):
+        """Gradients of `O` and `o` as rows that are not 0, and the loss; adds to `back`.
+
+        Tokens in order, all of them one step down at a time: a node's tokens are then neighbours.
+        """
+        tree, loss = self.tree, 0.0
+        places = _order(wanted)
+        steps = tree.steps.take(wanted.take(places))
+        cuts, rows, odds_rows = [np.zeros(0, np.int64)], [self.O[:0]], [self.o[:0]]
+        own, at, depth = flat.take(places, axis=0), tree.first.take(wanted.take(places)), 0
+        found = np.zeros_like(own)
+        while True:
+            on = steps > depth
+            if not on.all():
+                done, on = np.flatnonzero(~on), np.flatnonzero(on)
+                if depth:
+                    back[places.take(done)] += found.take(done, axis=0)
+                places, steps, at = places.take(on), steps.take(on), at.take(on)
+                own, found = own.take(on, axis=0), found.take(on, axis=0)
+            if not len(places):
+                break
+            nodes, behind = tree.nodes.take(at), tree.behind.take(at)
+            weights = self.O.take(nodes, axis=0)
+            odds = np.einsum("ij,ij->i", own, weights) + self.o.take(nodes)
+            if with_loss:
+                loss -= _log_sigmoid(np.where(behind, odds, -odds)).sum()
+            off = 0.5 + 0.5 * np.tanh(0.5 * odds) - behind
+            weights *= off[:, None]
+            found += weights
+            off /= n
+            first = _first(nodes)
+            cuts.append(nodes.take(first))
+            np.multiply(own, off[:, None], out=weights)
+            rows.append(np.add.reduceat(weights, first))
+            odds_rows.append(np.add.reduceat(off, first))
+            at, depth = at + 1, depth + 1
+        cut = np.concatenate(cuts)
+        return (cut, np.concatenate(rows)), (cut, np.concatenate(odds_rows)), loss
+
     def train(
         self, texts: list[np.ndarray], start: int, window: int, rows: int, rate: float
     ) -> Gru:
@@ -314,11 +349,11 @@ class Adam:
         size = share * self.rate / (1 - 0.9**self.step)
         scale = 1 / (1 - 0.99**self.step)
         for k, g in grads.items():
-            at = ...
+            param, first, second = getattr(self.model, k), self.first[k], self.second[k]
             if k in self.model.SPARSE:
                 at, g = g
+                first, second = first.take(at, axis=0), second.take(at, axis=0)
             g = np.clip(g, -1, 1, out=g)
-            first, second = self.first[k][at], self.second[k][at]
             first *= 0.9
             first += 0.1 * g
             second *= 0.99
@@ -330,27 +365,39 @@ class Adam:
             g += 1e-6
             np.divide(first, g, out=g)
             g *= size
-            getattr(self.model, k)[at] -= g
             if k in self.model.SPARSE:
+                param[at] = np.subtract(param.take(at, axis=0), g, out=g)
                 self.first[k][at], self.second[k][at] = first, second
+            else:
+                param -= g
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    most = logits.max(1)
-    return most + np.log(np.exp(logits - most[:, None]).sum(1))
+    """Of each column."""
+    most = logits.max(0)
+    return most + np.log(np.exp(logits - most).sum(0))
 
 
 def _log_sigmoid(x: np.ndarray) -> np.ndarray:
     return np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x)))
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    small = len(keys) and keys.max() < 1 << 16  # 16 bits are sorted by digits, which is faster
+    return np.argsort(keys.astype(np.uint16) if small else keys, kind="stable")
+
+
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+
+
 def _by_key(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, and the sum of the rows of each."""
-    small = len(keys) and keys.max() < 1 << 16  # 16 bits are sorted by digits, which is faster
-    order = np.argsort(keys.astype(np.uint16) if small else keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(rows[order], first)
+    order = _order(keys)
+    keys = keys.take(order)
+    first = _first(keys)
+    return keys.take(first), np.add.reduceat(rows.take(order, axis=0), first)
 
 
 def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:

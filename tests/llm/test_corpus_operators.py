@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import decontaminate, jaccard_join, lm_scoring, simhash, toxicity
+from riskloom.llm import decontaminate, gru, jaccard_join, lm_scoring, simhash, toxicity
 from riskloom.llm.components import components
 from riskloom.llm.gru import Adam, Gru, classes_of
 from riskloom.llm.queries import QUERIES
@@ -471,6 +471,38 @@ def test_state_goes_on_from_window_to_window():
     assert model.score([], 4, 8).size == 0
 
 
+def test_scoring_holds_few_texts_at_a_time(monkeypatch):
+    model, taken = small_model(), []
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 10, n) for n in (0, 5, 40, 7, 7, 23, 1, 8)]
+    whole = model.score(texts, 4, 5)
+    monkeypatch.setattr(gru, "TEXTS_AT_ONCE", 3)
+    states = Gru.states
+    monkeypatch.setattr(Gru, "states", lambda self, x, *a: taken.append(len(x)) or states(self, x, *a))
+    assert np.allclose(model.score(texts, 4, 5), whole, atol=1e-4)
+    assert max(taken) == 3
+
+
+def test_gradients_of_the_trees_against_whole_ways():
+    model = small_model()
+    rng = np.random.default_rng(5)
+    flat, wanted = rng.normal(0, 1, (60, 6)), rng.integers(0, 10, 60)
+    back = np.zeros((60, 6))
+    (nodes, rows), (_, odds_rows), loss = model._down_the_trees(flat, wanted, back, 60, True)
+    assert len(set(nodes.tolist())) == len(nodes)
+    made, made_odds = np.zeros_like(model.O), np.zeros_like(model.o)
+    made[nodes], made_odds[nodes] = rows, odds_rows
+    expected, odds, to_flat, lost = np.zeros_like(model.O), np.zeros_like(model.o), np.zeros((60, 6)), 0.0
+    for place, node, behind in zip(*model.tree.ways(wanted)):
+        p = 1 / (1 + np.exp(-flat[place] @ model.O[node] - model.o[node]))
+        lost -= np.log(p if behind else 1 - p)
+        expected[node] += (p - behind) * flat[place] / 60
+        odds[node] += (p - behind) / 60
+        to_flat[place] += (p - behind) * model.O[node]
+    assert np.allclose(made, expected) and np.allclose(made_odds, odds)
+    assert np.allclose(back, to_flat) and np.isclose(loss, lost)
+
+
 def brute_base(rows):
     counts, tokens = Counter(), []
     for key, text in rows:
