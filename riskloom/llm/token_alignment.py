@@ -31,7 +31,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ from riskloom.sources.workspace import written
 #: Chunks that a worker keeps, and the bytes of the longest among them.
 CHUNKS = 400_000
 CHUNK_BYTES = 200
+#: New chunks that are encoded as one text.
+TOGETHER = 64
 #: Bytes of text worked on at once.
 PORTION = 1_000_000
 #: The mark that SentencePiece has for a space.
@@ -145,20 +147,11 @@ class Tokenizers:
 # -- alignment ------------------------------------------------------------------------------------
 
 
-class Chunk(NamedTuple):
-    """Groups as text, numbers of A tokens, B tokens and groups, and the pairs linked.
+#: Groups as text, numbers of A and B tokens, and the pairs linked, one for each group. A chunk whose
+#: tokens don't give a space and its text back has no tokens. Plain tuples need no garbage collection.
+Chunk = tuple[bytes, int, int, bytes]
 
-    A chunk whose tokens don't give a space and its text back has no tokens.
-    """
-
-    groups: bytes
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes
-
-
-_BAD = Chunk(b"", 0, 0, 0, b"")
+_BAD: Chunk = (b"", 0, 0, b"")
 
 
 class Aligner:
@@ -174,28 +167,46 @@ class Aligner:
                        for end in ends for i in range(len(ids))]
 
     def learn(self, keys: list[bytes]) -> list[Chunk]:
+        """Some chunks together are encoded as one text; if it isn't given back, each by itself."""
+        alone = [i for i, k in enumerate(keys) if not self.tokens.chunked or _open_ended(k)]
+        own = set(alone)
+        together = [i for i in range(len(keys)) if i not in own]
+        units = [together[a : a + TOGETHER] for a in range(0, len(together), TOGETHER)]
+        units += [[i] for i in alone]
         made = [_BAD] * len(keys)
-        ids_a, ids_b = self.tokens.encode([k.decode("utf-8", "replace") for k in keys])
+        again = self._learn(keys, units, made)
+        self._learn(keys, [[i] for unit in again if len(unit) > 1 for i in unit], made)
+        return made
+
+    def _learn(self, keys: list[bytes], units: list[list[int]], made: list[Chunk]) -> list[list[int]]:
+        """Fills in the chunks of each unit, whose keys are one text; returns units that are not given back."""
+        texts = [b" ".join([keys[i] for i in unit]) for unit in units]
+        ids_a, ids_b = self.tokens.encode([t.decode("utf-8", "replace") for t in texts])
         a_bytes, b_bytes = self.tokens.a_bytes, self.tokens.b_bytes
-        good = [
-            i
-            for i, key in enumerate(keys)
-            if self._joined(a_bytes, ids_a[i]) == b" " + key == self._joined(b_bytes, ids_b[i])
-        ]
+        good, bad = [], []
+        for n, (text, a, b) in enumerate(zip(texts, ids_a, ids_b)):
+            fits = self._joined(a_bytes, a) == b" " + text == self._joined(b_bytes, b)
+            (good if fits else bad).append(n)
         if good:
-            for i, chunk in zip(good, self._aligned([ids_a[i] for i in good], [ids_b[i] for i in good])):
+            places = [i for n in good for i in units[n]]
+            sizes = np.fromiter((len(keys[i]) + 1 for i in places), np.int64, len(places))
+            chunks = self._aligned([ids_a[n] for n in good], [ids_b[n] for n in good], sizes)
+            for i, chunk in zip(places, chunks):
                 made[i] = chunk
-        return made
+        return [units[n] for n in bad]
 
     @staticmethod
     def _joined(table: list[bytes | None], ids: list[int]) -> bytes | None:
         parts = [table[i] for i in ids]
         return None if None in parts else b"".join(parts)
 
-    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> Iterator[Chunk]:
-        """All chunks at once: they follow each other, and both sides end at the end of each."""
-        a = np.fromiter((i for ids in ids_a for i in ids), np.int64)
-        b = np.fromiter((i for ids in ids_b for i in ids), np.int64)
+    def _aligned(
+        self, ids_a: list[list[int]], ids_b: list[list[int]], sizes: np.ndarray
+    ) -> Iterator[Chunk]:
+        """All chunks at once: they follow each other, with so many bytes each, and both sides end at
+        the end of each."""
+        a = np.fromiter(chain.from_iterable(ids_a), np.int64)
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64)
         ends_a, ends_b = np.cumsum(self._sizes_a[a]), np.cumsum(self._sizes_b[b])
         common, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         del common
@@ -212,31 +223,39 @@ class Aligner:
         look[place_a[last_a]] += n_a
         look[place_b[last_b]] += n_b
         looks = list(map(self._texts.__getitem__, look.tolist()))
-        # Groups before each chunk, from its last A token.
-        counts_a = np.fromiter(map(len, ids_a), np.int64, len(ids_a))
-        counts_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
-        group = np.searchsorted(last_a, np.cumsum(counts_a) - 1, side="right")
+        # Tokens and groups before the end of each chunk.
+        at_a, at_b = (np.searchsorted(e, np.cumsum(sizes), side="right") for e in (ends_a, ends_b))
+        counts_a, counts_b = np.diff(at_a, prepend=0), np.diff(at_b, prepend=0)
+        group = np.searchsorted(last_a, at_a - 1, side="right")
         raw, first, at = pairs.tobytes(), 0, 0
         for g, x, y in zip(group.tolist(), counts_a.tolist(), counts_b.tolist()):
             end = at + x + y
-            yield Chunk(b"".join(looks[at:end])[:-1], x, y, g - first, raw[4 * first : 4 * g])
+            yield b"".join(looks[at:end])[:-1], x, y, raw[4 * first : 4 * g]
             first, at = g, end
 
     # -- texts ------------------------------------------------------------------------------------
 
     def found(self, texts: list[bytes]) -> list[list[Chunk]]:
-        """The chunks of each text; none if it has no tokens."""
+        """The chunks of each text."""
         if len(self.spare) > CHUNKS // 4:
             self.spare.clear()
-        cut = [self._cut(text) if text else [] for text in texts]
-        find = self.chunks.get
-        chunks = [list(map(find, keys)) for keys in cut]
-        missed = [i for i, x in enumerate(chunks) if None in x]
-        if missed:
-            rest = self._rest({k for i in missed for k, x in zip(cut[i], chunks[i]) if x is None})
-            for i in missed:
-                chunks[i] = [rest[k] if x is None else x for k, x in zip(cut[i], chunks[i])]
-        return [[] if _BAD in x else x for x in chunks]
+        find, chunked = self.chunks.get, self.tokens.chunked
+        made, missed = [], []
+        for i, text in enumerate(texts):
+            keys = (text.split(b" ") if chunked else [text]) if text else []
+            chunks = list(map(find, keys))
+            new = [k for k, x in zip(keys, chunks) if x is None]
+            if new and chunked and any(map(_open_ended, new)):  # a kept chunk is closed
+                keys = _glued(keys)
+                chunks = list(map(find, keys))
+                new = [k for k, x in zip(keys, chunks) if x is None]
+            if new:
+                missed.append((i, keys, new))
+            made.append(chunks)
+        rest = self._rest({k for _, _, new in missed for k in new})
+        for i, keys, _ in missed:
+            made[i] = [rest[k] if x is None else x for k, x in zip(keys, made[i])]
+        return made
 
     def _rest(self, keys: set[bytes]) -> dict[bytes, Chunk]:
         """Chunks that are not among the kept ones; as many as there is room for will be."""
@@ -245,62 +264,45 @@ class Aligner:
         for begin, end in _portions(new):
             for key, chunk in zip(new[begin:end], self.learn(new[begin:end])):
                 rest[key] = chunk
-                # An open end is kept with its neighbours only: `_cut` takes a kept one for closed.
+                # An open end is kept with its neighbours only: `found` takes a kept one for closed.
                 if len(key) <= CHUNK_BYTES and not _open_ended(key):
                     (self.chunks if len(self.chunks) < CHUNKS else self.spare)[key] = chunk
         return rest
 
-    def _cut(self, text: bytes) -> list[bytes]:
-        if not self.tokens.chunked:
-            return [text]
-        pieces = text.split(b" ")
-        known, spare = self.chunks, self.spare
-        if not any(_open_ended(p) for p in pieces if p not in known and p not in spare):
-            return pieces
-        made: list[bytes] = []
-        glued = False
-        for piece in pieces:
-            before, after = _ends(piece)
-            if made and (glued or before):
-                made[-1] += b" " + piece
-            else:
-                made.append(piece)
-            glued = after
-        return made
-
     def measured(self, text: bytes) -> tuple:
         """Measures of one text, and its pairs with how often it links them."""
-        counts, digest = [0, 0, 0], hashlib.sha256()
-        pairs: list[np.ndarray] = []
+        n_a, n_b, digest = 0, 0, hashlib.sha256()
+        pairs: list[bytes] = []
         for i, part in enumerate(_slices(text) if self.tokens.chunked else [text]):
             (chunks,) = self.found([part])
-            if not chunks:
+            groups, of_a, of_b, links = zip(*chunks) if chunks else _NO_CHUNK
+            if 0 in of_a:  # a chunk has no tokens, so the text has none
                 return _NOTHING
-            groups, *numbers, links = zip(*chunks)
             digest.update((b";" if i else b"") + b";".join(groups))
-            counts = [n + sum(x) for n, x in zip(counts, numbers)]
-            pairs.append(np.frombuffer(b"".join(links), "<i4"))
-        return (*counts, digest.hexdigest(), *_times(np.concatenate(pairs)))
+            n_a, n_b = n_a + sum(of_a), n_b + sum(of_b)
+            pairs.append(b"".join(links))
+        return (n_a, n_b, sum(map(len, pairs)) // 4, digest.hexdigest(), *_times(b"".join(pairs)))
 
     def measures(self, texts: list[bytes]) -> Iterator[tuple]:
         for chunks in self.found(texts):
-            if not chunks:
+            groups, n_a, n_b, links = zip(*chunks) if chunks else _NO_CHUNK
+            if 0 in n_a:  # a chunk has no tokens, so the text has none
                 yield _NOTHING
                 continue
-            groups, *numbers, links = zip(*chunks)
-            yield (
-                *map(sum, numbers),
-                hashlib.sha256(b";".join(groups)).hexdigest(),
-                *_times(np.frombuffer(b"".join(links), "<i4")),
-            )
+            pairs = b"".join(links)
+            digest = hashlib.sha256(b";".join(groups)).hexdigest()
+            yield sum(n_a), sum(n_b), len(pairs) // 4, digest, *_times(pairs)
 
 
+_NO_CHUNK = tuple(zip(_BAD))
 _NOTHING = (0, 0, 0, "", np.empty(0, "<i4"), np.empty(0, "<i8"))
 
 
-def _times(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pairs, times = np.unique(links, return_counts=True)
-    return pairs, times.astype("<i8")
+def _times(links: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of packed links, and how often each is there."""
+    pairs = np.sort(np.frombuffer(links, "<i4"))
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    return pairs[first], np.diff(first, append=len(pairs)).astype("<i8")
 
 
 def _ends(piece: bytes) -> tuple[bool, bool]:
@@ -317,9 +319,25 @@ def _loose(char: str) -> bool:
 
 
 def _open_ended(piece: bytes) -> bool:
+    if piece and 32 < piece[0] < 127 and 32 < piece[-1] < 127:  # printable ASCII, as most
+        return False
     return any(_ends(piece))
 
 
+def _glued(pieces: list[bytes]) -> list[bytes]:
+    """What lies between spaces, with its neighbours at open ends."""
+    made: list[bytes] = []
+    glued = False
+    for piece in pieces:
+        before, after = _ends(piece)
+        if made and (glued or before):
+            made[-1] += b" " + piece
+        else:
+            made.append(piece)
+        glued = after
+    return made
+
+
 def _portions(keys: list[bytes]) -> Iterator[tuple[int, int]]:
     begin, size = 0, 0
     for i, key in enumerate(keys):

@@ -122,6 +122,20 @@ def test_long_texts_in_portions(monkeypatch, plain):
         assert found == dict(counts)
 
 
+def test_new_chunks_are_encoded_together(monkeypatch, plain):
+    with open(BYTE_TOKENIZER, encoding="utf-8") as a, open(PIECE_MODEL, "rb") as b:
+        aligner = token_alignment.Aligner(a.read(), b.read())
+    texts = [" ".join(f"w{i}é{j}x," for j in range(300)) for i in range(3)]
+    texts += [f"good{i} ﬁne word{i} it's{i}" for i in range(80)]  # B doesn't give the ligature back
+    encoded, encode = [], aligner.tokens.encode
+    monkeypatch.setattr(aligner.tokens, "encode", lambda x: encoded.append(len(x)) or encode(x))
+    rows = list(enumerate(texts))
+    want, _ = expected(rows, plain)
+    got = [(i, *x[:4]) for i, x in enumerate(aligner.measures([t.encode() for t in texts]))]
+    assert got == [(w[0], *w[1:4], w[7]) for w in sorted(want)]
+    assert sum(encoded) < 200  # 1141 chunks; the few that share a text with the ligature come again
+
+
 def test_pairs_table_and_hot_text(spark, plain):
     rows = [(i, "the very same text") for i in range(60)] + [(i, prose(30, i)) for i in range(60, 90)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
