@@ -23,7 +23,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,21 +91,29 @@ class Recent:
         self.now: dict = {}
         self.before: dict = {}
 
-    def get(self, key):
-        value = self.now.get(key)
-        if value is None:
-            value = self.before.get(key) or self.once.pop(key, None)
-            if value is not None:
-                if len(self.now) >= self.entries:
-                    self.before, self.now = self.now, {}
-                self.now[key] = value
-        return value
-
-    def put(self, key, value) -> None:
-        if len(key) <= CACHE_LENGTH:
-            if len(self.once) >= self.entries:
-                self.once = {}
-            self.once[key] = value
+    def find(self, keys) -> dict:
+        """What is kept of these keys, by key."""
+        found: dict = {}
+        now, before, pop = self.now, self.before, self.once.pop
+        for key in keys:
+            value = now.get(key)
+            if value is None:
+                value = before.get(key) or pop(key, None)
+                if value is None:
+                    continue
+                if len(now) >= self.entries:
+                    self.before, self.now = before, now = now, {}
+                now[key] = value
+            found[key] = value
+        return found
+
+    def put(self, entries) -> None:
+        once = self.once
+        for key, value in entries:
+            if len(key) <= CACHE_LENGTH:
+                if len(once) >= self.entries:
+                    once = self.once = {}
+                once[key] = value
 
 
 class Coder:
@@ -190,22 +198,20 @@ class Coder:
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks; one that starts with white space has none, as it can't stand alone."""
-        made, cut, words = {}, {}, []
-        for chunk in chunks:
-            known = self.chunks.get(chunk)
-            if known is not None:
-                made[chunk] = known
-            elif chunk.isalpha():
-                words.append(" " + chunk)
+        made = self.chunks.find(chunks)
+        cut, words = {}, set()
+        for chunk in chunks - made.keys():
+            if chunk.isalpha():
+                words.add(" " + chunk)
             elif chunk[:1] == " ":
                 cut[chunk] = self.pattern.findall(chunk[1:])
             elif chunk and not chunk[0].isspace():
                 cut[chunk] = self.pattern.findall(" " + chunk)
-        found = self._merged({p for parts in cut.values() for p in parts}.union(words))
+        found = self._merged({p for parts in cut.values() for p in parts} - words, words)
         made.update((word[1:], found[word]) for word in words)
-        for chunk, parts in cut.items():
-            made[chunk] = b"".join([found[p] for p in parts])
-            self.chunks.put(chunk, made[chunk])
+        whole = {c: b"".join([found[p] for p in parts]) for c, parts in cut.items()}
+        self.chunks.put(whole.items())
+        made.update(whole)
         return made
 
     def _by_pattern(self, text: str) -> Iterator[bytes]:
@@ -214,38 +220,34 @@ class Coder:
             made = self._merged(set(part))
             yield from map(made.__getitem__, part)
 
-    def _merged(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces of the pattern; a word after a space is a chunk, too."""
-        made, batch, size = {}, [], 0
-        for piece in pieces:
-            word = piece[0] == " " and piece[1:].isalpha()
-            known = self.chunks.get(piece[1:]) if word else self.pieces.get(piece)
-            if known is not None:
-                made[piece] = known
-                continue
+    def _merged(self, pieces: set[str], new: set[str] = frozenset()) -> dict[str, bytes]:
+        """Ids of pieces of the pattern, and of `new` words, which are known not to be kept; a word
+        after a space is a chunk, too."""
+        words = {p for p in pieces if _is_word(p)}
+        made = {" " + word: ids for word, ids in self.chunks.find([p[1:] for p in words]).items()}
+        made.update(self.pieces.find(pieces - words))
+        fresh, long, batch, size = {}, {}, [], 0
+        for piece in chain(pieces - made.keys(), new):
             data = to_bytes(piece)
-            if data in self.ranks:
-                self._keep(made, piece, np.array([self.ranks[data]], self.dtype).tobytes())
+            rank = self.ranks.get(data)
+            if rank is not None:
+                fresh[piece] = rank.to_bytes(self.dtype.itemsize, "little")
             elif len(data) > LONG_PIECE:
-                made[piece] = np.array(self._by_heap(data), self.dtype).tobytes()
+                long[piece] = np.array(self._by_heap(data), self.dtype).tobytes()
             else:
                 batch.append((piece, data))
                 size += len(data)
                 if size > BYTES_AT_ONCE:
-                    self._recursive(batch, made)
+                    fresh.update(self._recursive(batch))
                     batch, size = [], 0
         if batch:
-            self._recursive(batch, made)
-        return made
-
-    def _keep(self, made: dict[str, bytes], piece: str, ids: bytes) -> None:
-        made[piece] = ids
-        if piece[0] == " " and piece[1:].isalpha():
-            self.chunks.put(piece[1:], ids)
-        else:
-            self.pieces.put(piece, ids)
+            fresh.update(self._recursive(batch))
+        others = fresh.keys() - words - new
+        self.pieces.put((p, fresh[p]) for p in others)
+        self.chunks.put((p[1:], ids) for p, ids in fresh.items() if p not in others)
+        return made | fresh | long
 
-    def _recursive(self, batch: list[tuple[str, bytes]], made: dict[str, bytes]) -> None:
+    def _recursive(self, batch: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
         lens = np.fromiter((len(d) for _, d in batch), np.int32, len(batch))
         data = np.frombuffer(b"".join([d for _, d in batch]), np.uint8)
         ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
@@ -256,8 +258,7 @@ class Coder:
         ids = np.asarray(rows["tok"]).astype(self.dtype).tobytes()
         ends = np.cumsum(np.bincount(np.asarray(rows["piece"]), minlength=len(batch)))
         ends = (ends * self.dtype.itemsize).tolist()
-        for (piece, _), a, b in zip(batch, [0, *ends], ends):
-            self._keep(made, piece, ids[a:b])
+        return ((piece, ids[a:b]) for (piece, _), a, b in zip(batch, [0, *ends], ends))
 
     def _by_heap(self, data: bytes) -> list[int]:
         """The same rule for a long piece: least rank first, leftmost of equals."""
@@ -298,14 +299,14 @@ class Coder:
         runs = self.runs.setdefault(dtype.itemsize, Recent(self.entries))
         made = [list(map(runs.now.get, parts)) for parts in texts]
         missed = [i for i, x in enumerate(made) if None in x]
-        found = {b"": b""}
-        for run in {p for i in missed for p, x in zip(texts[i], made[i]) if x is None and p}:
-            found[run] = runs.get(run)
-        new = [run for run, text in found.items() if text is None]
+        wanted = {p for i in missed for p, x in zip(texts[i], made[i]) if x is None and p}
+        found = runs.find(wanted)
+        new = [run for run in wanted if run not in found]
+        found[b""] = b""
         for begin in range(0, len(new), RUNS_AT_ONCE):
-            for run, text in self._ordered(new[begin : begin + RUNS_AT_ONCE], dtype).items():
-                found[run] = text
-                runs.put(run, text)
+            fresh = self._ordered(new[begin : begin + RUNS_AT_ONCE], dtype)
+            found.update(fresh)
+            runs.put(fresh.items())
         for i in missed:
             made[i] = [found[p] if x is None else x for p, x in zip(texts[i], made[i])]
         return [b"".join(x) for x in made]
@@ -327,9 +328,13 @@ class Coder:
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
         run = np.repeat(np.arange(len(runs), dtype=np.int32), lens)
         self.db.register("ids", pa.table({"run": run, "pos": pos.astype(np.int32), "tok": flat}))
-        rows = self.db.execute(_DECODE).fetchall()
+        rows = self.db.execute(_DECODE).fetchnumpy()["bytes"].tolist()
         self.db.unregister("ids")
-        return {ids: text.encode("latin-1") for ids, (_, text) in zip(runs, rows)}
+        return {ids: text.encode("latin-1") for ids, text in zip(runs, rows)}
+
+
+def _is_word(piece: str) -> bool:
+    return piece[0] == " " and piece[1:].isalpha()
 
 
 def coder(rank_file: bytes, pattern: str, entries: int | None = None) -> Coder:

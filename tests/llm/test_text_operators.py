@@ -86,6 +86,22 @@ def test_bpe_keeps_a_bounded_number_of_short_entries(reference_bpe, monkeypatch)
     assert max(len(key) for t in tables for key in t) <= byte_bpe.CACHE_LENGTH
 
 
+def test_bpe_looks_new_words_up_once(reference_bpe, monkeypatch):
+    own = byte_bpe.Coder(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    asked, find = Counter(), byte_bpe.Recent.find
+
+    def counted(self, keys):
+        keys = list(keys)
+        asked.update(keys if self is own.chunks else ())
+        return find(self, keys)
+
+    monkeypatch.setattr(byte_bpe.Recent, "find", counted)
+    texts = ["qwxy vbnmz qwxy", "vbnmz pqrst. pqrst"]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == reference_bpe.encode_ordinary(text)
+    assert asked["vbnmz"] == asked["pqrst"] == 1
+
+
 def test_bpe_rejects_unknown_ids(coder):
     with pytest.raises(ValueError):
         coder.decode([np.array([60_000], "<u4").tobytes()])
